@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import pii, quality_rules
 from .common import table
 
 
@@ -40,8 +41,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    base = [k.name for k in pii.KINDS if k.base]
+
+    def joined(names: list[str]):
+        told = [F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))) for name in names]
+        return F.array_join(F.concat(*told), ",")
+
+    return found.select(
+        F.col("key").alias("doc_id"), *(F.size(name).cast("long").alias(f"n_{name}") for name in base),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined([k.name for k in pii.KINDS]).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_quality_rules": op5_quality_rules}
+    return {
+        "op5_quality_rules": op5_quality_rules,
+        "op6_pii": op6_pii,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
