@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_rules
+from . import mixing, pii, quality_rules, sharding
 from .common import table
 
 
@@ -55,10 +55,24 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix_counts(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shuffle_to_shards(table(spark, sf_dir, "documents"), 40)
+    return rows.select(
+        F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_mixing": op3_mixing,
         "op5_quality_rules": op5_quality_rules,
         "op6_pii": op6_pii,
+        "op10_sharding": op10_sharding,
     }
 
 
