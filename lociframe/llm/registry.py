@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality_rules, sharding
+from . import mixing, packing, pii, quality_rules, sharding, token_counts
 from .common import table
 
 
@@ -67,11 +67,29 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file() -> str:
+    """The vocabulary that the registered queries use; the operators take any path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+    return rows.withColumnsRenamed({"key": "doc_id", "crc": "ids_crc32"})
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), 50256).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
         "op3_mixing": op3_mixing,
         "op5_quality_rules": op5_quality_rules,
         "op6_pii": op6_pii,
+        "op8_token_counts": op8_token_counts,
         "op10_sharding": op10_sharding,
     }
 
