@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality_rules, sharding, token_counts
+from . import html_text, mixing, packing, pii, quality_rules, sharding, token_counts, topk
 from .common import table
 
 
@@ -83,13 +83,25 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), 50256).withColumnRenamed("key", "doc_id")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_text.extract(table(spark, sf_dir, "pages"))
+    return rows.select(F.col("key").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = topk.sign_codes(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(codes, F.col("id") % 50 == 0, 10).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_html_text": op2_html_text,
         "op3_mixing": op3_mixing,
         "op5_quality_rules": op5_quality_rules,
         "op6_pii": op6_pii,
         "op8_token_counts": op8_token_counts,
+        "op9_topk": op9_topk,
         "op10_sharding": op10_sharding,
     }
 
