@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, packing, pii, quality_rules, sharding, token_counts, topk
+from . import html_text, mixing, near_dedup, packing, pii, quality_rules, sharding, token_counts, topk
 from .common import table
 
 
@@ -93,11 +93,17 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(codes, F.col("id") % 50 == 0, 10).withColumnRenamed("id", "vec_id")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_html_text": op2_html_text,
         "op3_mixing": op3_mixing,
+        "op4_near_dedup": op4_near_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_pii": op6_pii,
         "op8_token_counts": op8_token_counts,
