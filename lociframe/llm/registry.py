@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, near_dedup, packing, pii, quality_rules, sharding, token_counts, topk
+from . import html_text, mixing, near_dedup, packing, pii, quality_model, quality_rules, sharding, token_counts, topk
 from .common import table
 
 
@@ -98,6 +98,14 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = lambda key: F.crc32(F.col(key).cast("string").cast("binary")) % 5
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id") != 0))
+    rows = quality_model.score(docs, model)
+    return rows.select(F.col("key").alias("doc_id"), (fold("key") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -106,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_dedup": op4_near_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_pii": op6_pii,
+        "op7_quality_model": op7_quality_model,
         "op8_token_counts": op8_token_counts,
         "op9_topk": op9_topk,
         "op10_sharding": op10_sharding,
