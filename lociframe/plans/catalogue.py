@@ -26,18 +26,22 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from . import core  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["region_rows"](spark, sf_dir)
+    return queries()["flagship_scan"](spark, sf_dir)
 
 
-@register("region_rows", "SELECT r_regionkey, r_name FROM region")
-def _region_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
