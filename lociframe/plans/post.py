@@ -243,9 +243,9 @@ def mr_egger_coef(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "mr_weighted_median",
     TWO + """, o AS (SELECT snp, ey / bx AS ratio, bx * bx / sy ** 2 AS w FROM inst WHERE bx <> 0),
-    a AS (SELECT snp, ratio, (sum(w) OVER (ORDER BY ratio, snp ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER () AS at FROM o),
-    n AS (SELECT *, lead(at) OVER (ORDER BY ratio, snp) AS na, lead(ratio) OVER (ORDER BY ratio, snp) AS nr FROM a)
-    SELECT round(ratio + (nr - ratio) * (0.5 - at) / (na - at), 6) AS beta FROM n WHERE at < 0.5 AND na >= 0.5""",
+    a AS (SELECT snp, ratio, (sum(w) OVER (ORDER BY ratio, snp ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER () AS ut FROM o),
+    n AS (SELECT *, lead(ut) OVER (ORDER BY ratio, snp) AS na, lead(ratio) OVER (ORDER BY ratio, snp) AS nr FROM a)
+    SELECT round(ratio + (nr - ratio) * (0.5 - ut) / (na - ut), 6) AS beta FROM n WHERE ut < 0.5 AND na >= 0.5""",
 )
 def mr_weighted_median(spark: SparkSession, sf: str) -> DataFrame:
     return sumstats.mr_weighted_median(inst(spark, sf)).select(r("beta"))
