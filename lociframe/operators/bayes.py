@@ -108,7 +108,7 @@ def prs_cs(z: np.ndarray, r: np.ndarray, n: float, a: float = 1.0, b: float = 0.
     m, y = len(z), z / np.sqrt(n)
     psi, kept = np.full(m, phi), np.zeros(m)
     for it in range(draws + burn_in):
-        chol = np.linalg.cholesky(r + np.diag(1 / np.minimum(np.maximum(psi, 1e-12), 1.0)) / n + 1e-10 * np.eye(m))
+        chol = np.linalg.cholesky(r + np.diag(1 / np.clip(psi, 1e-12, 1.0)))
         beta = np.linalg.solve(chol.T, np.linalg.solve(chol, y) + rng.standard_normal(m) / np.sqrt(n))
         delta = rng.gamma(a + b, 1 / (psi + phi))
         psi = np.minimum(_gig(rng, a - 0.5, n * beta**2, 2 * delta), 1.0)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_OWN = Window.partitionBy("v_idx")
+def _own() -> WindowSpec:
+    return Window.partitionBy("v_idx")
 
 
 def dense(calls: DataFrame, variants: DataFrame, samples: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def dense(calls: DataFrame, variants: DataFrame, samples: DataFrame) -> DataFram
 
 
 def impute_mean(cells: DataFrame) -> DataFrame:
-    return cells.withColumn("dosage", F.coalesce("dosage", F.avg("dosage").over(_OWN)))
+    return cells.withColumn("dosage", F.coalesce("dosage", F.avg("dosage").over(_own())))
 
 
 def impute_mode(cells: DataFrame) -> DataFrame:
@@ -26,13 +27,13 @@ def impute_mode(cells: DataFrame) -> DataFrame:
 
 
 def center(cells: DataFrame) -> DataFrame:
-    return cells.withColumn("g", F.col("dosage") - F.avg("dosage").over(_OWN))
+    return cells.withColumn("g", F.col("dosage") - F.avg("dosage").over(_own()))
 
 
 def scale(cells: DataFrame, ploidy: int = 2) -> DataFrame:
     """Centred and divided by the standard deviation expected under Hardy-Weinberg."""
-    af = F.avg("dosage").over(_OWN) / ploidy
-    return cells.withColumn("g", (F.col("dosage") - F.avg("dosage").over(_OWN)) / F.sqrt(F.greatest(ploidy * af * (1 - af), F.lit(1e-10))))
+    af = F.avg("dosage").over(_own()) / ploidy
+    return cells.withColumn("g", (F.col("dosage") - F.avg("dosage").over(_own())) / F.sqrt(F.greatest(ploidy * af * (1 - af), F.lit(1e-10))))
 
 
 def gene_action(dosage: Column, model: str, ploidy: int = 2) -> Column:

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = 1 / (F.col("se") * F.col("se"))
+def _w() -> Column:
+    """Inverse variance."""
+    return 1 / (F.col("se") * F.col("se"))
 
 
 def align(reference: DataFrame, other: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def harmonize(target: DataFrame, source: DataFrame, af_tolerance: float = 0.08)
 
 def meta_fixed(studies: DataFrame, by: str = "snp") -> DataFrame:
     """Inverse-variance weighted mean with Cochran's Q and I2, in one aggregation."""
-    m = studies.groupBy(by).agg(F.count("*").alias("k"), F.sum(W).alias("w"), F.sum(W * W).alias("w2"), F.sum(W * F.col("beta")).alias("wb"), F.sum(W * F.col("beta") * F.col("beta")).alias("wbb"))
+    m = studies.groupBy(by).agg(F.count("*").alias("k"), F.sum(_w()).alias("w"), F.sum(_w() * _w()).alias("w2"), F.sum(_w() * F.col("beta")).alias("wb"), F.sum(_w() * F.col("beta") * F.col("beta")).alias("wbb"))
     q = F.greatest(F.col("wbb") - F.col("wb") * F.col("wb") / F.col("w"), F.lit(0.0))
     m = m.withColumn("q", q)
     i2 = F.when(F.col("q") > 0, F.greatest((F.col("q") - (F.col("k") - 1)) / F.col("q"), F.lit(0.0))).otherwise(0.0)
@@ -61,9 +63,9 @@ def log_sum_exp(*terms: Column) -> Column:
 
 def mantra(studies: DataFrame, by: str = "snp", s2: float = 0.04, prior: float = 0.5) -> DataFrame:
     """Log Bayes factors of one shared effect and of separate ones, and their mixture."""
-    single = 1 / (1 / s2 + W)
+    single = 1 / (1 / s2 + _w())
     m = studies.groupBy(by).agg(
-        F.sum(W).alias("w"), F.sum(W * F.col("beta")).alias("wb"), F.sum(0.5 * F.log(single / s2) + 0.5 * F.pow(single * W * F.col("beta"), 2) / single).alias("log_bf_separate")
+        F.sum(_w()).alias("w"), F.sum(_w() * F.col("beta")).alias("wb"), F.sum(0.5 * F.log(single / s2) + 0.5 * F.pow(single * _w() * F.col("beta"), 2) / single).alias("log_bf_separate")
     )
     v = 1 / (1 / s2 + F.col("w"))
     shared = 0.5 * F.log(v / s2) + 0.5 * F.pow(v * F.col("wb"), 2) / v
