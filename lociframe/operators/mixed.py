@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lociframe.functions import specfun
 
+from .packed import map_variants
+
 
 @dataclass(frozen=True)
 class NullFit:
@@ -76,22 +75,11 @@ def score(fit: NullFit, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def scan(cells: DataFrame, fit: NullFit) -> DataFrame:
     """(v_idx, beta, se, p) for dense cells (v_idx, s_idx, dosage); missing calls get the variant's mean."""
-    order = np.array(fit.samples)
-    place = np.argsort(order)
-    shared = cells.sparkSession.sparkContext.broadcast(fit)
-    packed = cells.groupBy("v_idx").agg(F.collect_list(F.struct("s_idx", F.coalesce("dosage", F.lit(float("nan"))).alias("d"))).alias("calls"))
-
-    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in stream:
-            g = np.full((len(order), len(batch)), np.nan)
-            for k, calls in enumerate(batch["calls"]):
-                who = place[np.searchsorted(order[place], [c["s_idx"] for c in calls])]
-                g[who, k] = [c["d"] for c in calls]
-            g = np.where(np.isnan(g), np.nanmean(g, axis=0, keepdims=True), g)
-            beta, se, p = score(shared.value, g)
-            yield pd.DataFrame({"v_idx": batch["v_idx"], "beta": beta, "se": se, "p": p})
-
-    return packed.mapInPandas(run, "v_idx long, beta double, se double, p double")
+    return map_variants(cells, list(fit.samples), _columns, fit, "beta double, se double, p double")
+
+
+def _columns(g: np.ndarray, fit: NullFit) -> dict[str, np.ndarray]:
+    return dict(zip(("beta", "se", "p"), score(fit, g), strict=True))
 
 
 def set_tests(fit: NullFit, g: np.ndarray, weights: np.ndarray) -> dict[str, float]:
