@@ -58,7 +58,7 @@ def haplotype_gwas(spark: SparkSession, sf: str) -> DataFrame:
     return multilocus.haplotype_test(copies, hit, ids, y, x)
 
 
-LONG = "WITH e AS (SELECT user_id, epoch(ts)::BIGINT AS sec, value FROM events), b AS (SELECT min(sec)::DOUBLE AS low, max(sec)::DOUBLE AS high FROM e), p AS (SELECT user_id, value, 2 * (sec - low) / greatest(high - low, 1e-12) - 1 AS t FROM e, b) "
+LONG = "WITH e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS sec, value FROM events), b AS (SELECT min(sec)::DOUBLE AS low, max(sec)::DOUBLE AS high FROM e), p AS (SELECT user_id, value, 2 * (sec - low) / greatest(high - low, 1e-12) - 1 AS t FROM e, b) "
 
 
 @register(
