@@ -27,8 +27,8 @@ from . import bytescan
 from .common import written
 from .tokens import Encoder
 
-BLOCK_TOKENS = 1 << 18
-SLICE_BYTES = 1 << 23
+BLOCK_TOKENS = 1 << 16
+SLICE_BYTES = 1 << 21
 
 
 def token_files(docs: DataFrame, tokenizer: str, separator: int, key: str = "doc_id", text: str = "text", width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import json
+from pathlib import Path
 
 import numpy as np
 import tiktoken
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 from . import bytescan
 
 #: The cache starts anew beyond this many chunks.
-MOST_CHUNKS = 2_500_000
+MOST_CHUNKS = 1_000_000
 #: Fixed value: how byte-level BPE of this family splits a text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -29,9 +30,8 @@ _LEAD = np.zeros(256, bool)
 _LEAD[0xC3:0xE0] = True
 
 
-def _fast(tokenizer: Tokenizer) -> tiktoken.Encoding | None:
+def _fast(model: dict) -> tiktoken.Encoding | None:
     """The same merges in a faster encoder, if ids rise with merge rank and the split is SPLIT."""
-    model = json.loads(tokenizer.to_str())
     split = model["pre_tokenizer"] or {}
     plain = [c for c in range(256) if 33 <= c < 127 or 161 <= c < 173 or c >= 174]
     char = {chr(c): c for c in plain} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in plain)}
@@ -50,9 +50,11 @@ class Encoder:
     _own: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = _fast(self.tokenizer)
+        self.path = path
+        self.tokenizer: Tokenizer | None = None  # read when first asked for
+        model = json.loads(Path(path).read_bytes())
+        self.specials = [t["content"].encode() for t in model["added_tokens"]]
+        self.fast = _fast(model)
         self._reset()
 
     @classmethod
@@ -68,6 +70,7 @@ class Encoder:
         self.pool = np.zeros(0, np.uint32)
 
     def plain(self, texts: list[str], ordinary: bool = False) -> list[np.ndarray]:
+        self.tokenizer = self.tokenizer or Tokenizer.from_file(self.path)
         self.tokenizer.encode_special_tokens = ordinary
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
