@@ -196,5 +196,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 def keep_first(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row's key of each component, the smallest."""
-    kept = near_duplicates(docs, key, **options).where(F.col("key") == F.col("component")).select(F.col("key").alias("kept_key")).distinct()
-    return docs.join(kept, F.col(key) == F.col("kept_key"), "left_semi")
+    kept = near_duplicates(docs, key, **options).where(F.col("key") == F.col("component")).select(F.col("key").alias("__kept_key")).distinct()
+    return docs.join(kept, F.col(key) == F.col("__kept_key"), "left_semi")

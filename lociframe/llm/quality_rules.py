@@ -115,5 +115,5 @@ def quality_rules(
 
 def keep_good(docs: DataFrame, key: str = "doc_id", **limits) -> DataFrame:
     """``docs`` without the rows that the rules reject; the other columns are untouched."""
-    kept = quality_rules(docs, key, **limits).where("kept").select(F.col("key").alias("kept_key")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("kept_key")), "left_semi")
+    kept = quality_rules(docs, key, **limits).where("kept").select(F.col("key").alias("__kept_key")).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col("__kept_key")), "left_semi")

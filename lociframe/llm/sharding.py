@@ -114,6 +114,6 @@ def shuffle_to_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", text:
 
 def write_shards(docs: DataFrame, path: str, n_shards: int, key: str = "doc_id", text: str = "text", seed: int = 17) -> None:
     """Write ``docs`` as one folder for each shard, rows in slot order within each file; keys must be unique."""
-    places = shuffle_to_shards(docs, n_shards, key, text, seed).select(F.col("key").alias("place_key"), "shard", "slot")
-    rows = docs.join(places, F.col(key).eqNullSafe(F.col("place_key"))).drop("place_key")
+    places = shuffle_to_shards(docs, n_shards, key, text, seed).select(F.col("key").alias("__place_key"), "shard", "slot")
+    rows = docs.join(places, F.col(key).eqNullSafe(F.col("__place_key"))).drop("__place_key")
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

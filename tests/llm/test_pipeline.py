@@ -77,3 +77,19 @@ def test_packed(stages, tokenizer):  # noqa: F811
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_odd_and_empty(spark, odd, empty, sf):
+    odd = odd.selectExpr("*", "'clash' as kept_key", "'clash' as component", "'clash' as member")
+    for docs in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            rows = out.collect()
+            if name != "packed":
+                assert out.columns == docs.columns, name
+            if docs is empty:
+                assert not rows, name
+            elif name in ("quality", "near_duplicates"):
+                assert len(rows) <= docs.count(), name
+            elif name == "personal_data":
+                assert len(rows) == docs.count()
