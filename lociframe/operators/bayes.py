@@ -185,6 +185,7 @@ def ldsc(rows: DataFrame, m_total: float, n_blocks: int = 20, steps: int = 2) ->
     to 2 x 2 moments per step; the driver solves n_blocks small systems.
     """
     spark = rows.sparkSession
+    rows = rows.persist()
     total = rows.agg(F.count("*").alias("m"), F.avg("n").alias("nbar"), F.avg("chi2").alias("mean"), F.avg(F.col("ld_score") * F.col("n")).alias("ln")).first()
     nbar = total["nbar"]
     from lociframe.operators.ranking import with_rank
@@ -201,6 +202,7 @@ def ldsc(rows: DataFrame, m_total: float, n_blocks: int = 20, steps: int = 2) ->
         moments = np.array([[r["s0"], r["sx"], r["sxx"], r["sy"], r["sxy"]] for r in got])
         intercept, slope = _line(moments.sum(axis=0))
         a, h2 = intercept, max(slope * m_total / nbar, 0.0)
+    rows.unpersist()
     k = len(moments)
     whole = np.array(_line(moments.sum(axis=0)))
     left = np.array([_line(moments.sum(axis=0) - m) for m in moments])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,9 +54,10 @@ def sample_ids(spark: SparkSession, sf: str) -> list[int]:
 
 
 def _matrix(spark: SparkSession, k: np.ndarray, ids: list[int]) -> DataFrame:
-    i, j = np.triu_indices(len(ids))
-    at = np.array(ids)
-    return spark.createDataFrame(pd.DataFrame({"i": at[i], "j": at[j], "k": k[i, j]}))
+    """(i, j, k) of the upper triangle; the driver ships one array for each row and Spark unfolds it."""
+    rows = spark.createDataFrame(pa.table({"i": pa.array(ids, pa.int64()), "row": pa.array(list(k), pa.list_(pa.float64()))}))
+    at = F.split(F.lit(",".join(map(str, ids))), ",").cast("array<bigint>")
+    return rows.select("i", F.explode(F.arrays_zip(at.alias("j"), F.col("row").alias("k"))).alias("x")).select("i", "x.j", "x.k").where("i <= j")
 
 
 GRM = CELLS + """, d AS (SELECT v_idx, s_idx, coalesce(dosage, avg(dosage) OVER (PARTITION BY v_idx)) AS d FROM cells),
