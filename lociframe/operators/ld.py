@@ -68,7 +68,7 @@ def adjacent_blocks(variants: DataFrame, pairs: DataFrame, threshold: float) ->
     """Blocks of consecutive variants whose r2 with the one before is at least ``threshold``."""
     r2 = pairs.select(F.col("i").alias("previous"), F.col("j").alias("v_idx"), (F.col("r") * F.col("r")).alias("r2"))
     rows = with_previous(variants).join(r2, ["previous", "v_idx"], "left")
-    rows = islands(rows, F.col("r2").isNull() | (F.col("r2") < threshold), ["chr"], ["pos", "v_idx"], "block")
+    rows = islands(rows, F.col("r2").isNull() | (F.round("r2", 9) < threshold), ["chr"], ["pos", "v_idx"], "block")
     return summarise(rows)
 
 

@@ -56,7 +56,7 @@ def ld_decay_signal(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "blocks_r2_islands",
     PAIRS + """, w AS (SELECT v.v_idx, v.chr, v.pos, lag(v.v_idx) OVER (PARTITION BY v.chr ORDER BY v.pos, v.v_idx) AS previous FROM variants v),
-    f AS (SELECT w.*, r * r < 0.01 OR r IS NULL AS s FROM w LEFT JOIN pairs p ON p.i = w.previous AND p.j = w.v_idx),
+    f AS (SELECT w.*, round(r * r, 9) < 0.01 OR r IS NULL AS s FROM w LEFT JOIN pairs p ON p.i = w.previous AND p.j = w.v_idx),
     b AS (SELECT *, sum(s::INT) OVER (PARTITION BY chr ORDER BY pos, v_idx ROWS UNBOUNDED PRECEDING) AS block FROM f)
     SELECT chr, block::BIGINT AS block, min(pos) AS "start", max(pos) AS "end", count(*) AS n_variants FROM b GROUP BY 1, 2""",
 )
@@ -99,12 +99,12 @@ def dprime_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "ld_components",
-    PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT i AS a, j AS b FROM pairs WHERE r * r > 0.04 UNION SELECT j, i FROM pairs WHERE r * r > 0.04),
+    PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT i AS a, j AS b FROM pairs WHERE round(r * r, 9) > 0.04 UNION SELECT j, i FROM pairs WHERE round(r * r, 9) > 0.04),
     reach AS (SELECT v_idx AS a, v_idx AS b FROM variants UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
     SELECT a AS v_idx, min(b) AS component FROM reach GROUP BY 1""",
 )
 def ld_components(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.connected_components(pairs(spark, sf).where("r * r > 0.04"), views.variants(spark, sf))
+    return graph.connected_components(pairs(spark, sf).where("round(r * r, 9) > 0.04"), views.variants(spark, sf))
 
 
 @register("clump")
