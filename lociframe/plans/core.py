@@ -64,8 +64,10 @@ def stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stats_query(name: str, *columns: str) -> None:
     exact = {"v_idx", "n_obs", "n_miss", "mono", "c0", "c1", "c2"}
-    told = ", ".join(c if c in exact else f"round({c}, 6) AS {c}" for c in columns)
-    register(name, STATS + f"SELECT {told} FROM stats")(lambda spark, sf: stats(spark, sf).select(*(c if c in exact else r(c) for c in columns)))
+    # adding 0 turns a rounded -0.0 into 0.0
+    told = ", ".join(c if c in exact else f"round({c}, 6) + 0::DOUBLE AS {c}" for c in columns)
+    plain = lambda c: (F.round(c, 6) + F.lit(0.0)).alias(c)
+    register(name, STATS + f"SELECT {told} FROM stats")(lambda spark, sf: stats(spark, sf).select(*(c if c in exact else plain(c) for c in columns)))
 
 
 _stats_query("allele_freq", "v_idx", "af")
