@@ -61,8 +61,8 @@ def _hashed(texts: list[str | None]) -> Iterator[tuple[int, int, list[tuple[np.n
 
 def _ranges(part: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
     """First and end place of each text's features; n-grams don't leave their text."""
-    bounds = part[1]
-    return bounds[:-1], np.maximum(bounds[:-1], np.minimum(bounds[1:] - (n - 1), len(part[0])) if n else bounds[1:])
+    bounds = np.minimum(part[1], len(part[0])) if n else part[1]
+    return bounds[:-1], np.maximum(bounds[:-1], np.minimum(part[1][1:] - (n - 1), len(part[0])) if n else bounds[1:])
 
 
 def counts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
