@@ -16,8 +16,9 @@ from lociframe.llm.registry import tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither fail the base rules nor are depleted of lines of their own."""
-    return quality_rules.keep_good(docs)
+    """Documents that neither fail the base rules nor are depleted of lines of their own, without their boilerplate lines; n_chars follows the text."""
+    good = quality_rules.keep_good(docs)
+    return good.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,28 +92,46 @@ def frequent_lines(counts: DataFrame, min_docs: int = MIN_DOCS, max_share: float
     return lines.where(F.col("n_docs") > max_share * F.col("n_host")).select("l.host", "line", "n_docs")
 
 
-def quality_rules(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
-    min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE,
-) -> DataFrame:
-    """Per row of ``docs``: key, host, base counts, base_failed, removed_words, depleted, kept."""
+def _host_line(host: Column, line: Column) -> Column:
+    """One hash for a line of a host."""
+    return F.xxhash64(host, line)
+
+
+def _judged(docs: DataFrame, key: str, text: str, host: str, min_docs: int, max_share: float, left_words: int, left_share: float) -> DataFrame:
+    """The rows of `quality_rules` with gone, the hashes of the key's lines above the limit (null for none)."""
     counts = written(text_counts(docs, key, text, host), "quality-counts")
     frequent = frequent_lines(counts, min_docs, max_share)
     lines = counts.select("key", "host", F.explode("lines").alias("x")).select("key", "host", "x.line", "x.n")
     hit = lines.alias("d").join(frequent.alias("f"), (F.col("d.line") == F.col("f.line")) & F.col("d.host").eqNullSafe(F.col("f.host")))
-    removed = hit.groupBy(F.col("d.key").alias("hit_key")).agg(F.sum("n").alias("removed"))
+    gone = F.collect_set(_host_line(F.col("d.host"), F.col("d.line"))).alias("gone")
+    removed = hit.groupBy(F.col("d.key").alias("hit_key")).agg(F.sum("n").alias("removed"), gone)
     rows = counts.drop("lines", "text_hash").join(removed, F.col("key").eqNullSafe(F.col("hit_key")), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     depleted = F.col("removed").isNotNull() & ((left < left_words) | (left < left_share * F.col("n_words")))
     rows = rows.select(
         "key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed_words"), depleted.alias("depleted"),
+        failed.alias("base_failed"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed_words"), depleted.alias("depleted"), "gone",
     )
     return rows.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
-def keep_good(docs: DataFrame, key: str = "doc_id", **limits) -> DataFrame:
-    """``docs`` without the rows that the rules reject; the other columns are untouched."""
-    kept = quality_rules(docs, key, **limits).where("kept").select(F.col("key").alias("__kept_key")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("__kept_key")), "left_semi")
+def quality_rules(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
+    min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE,
+) -> DataFrame:
+    """Per row of ``docs``: key, host, base counts, base_failed, removed_words, depleted, kept."""
+    return _judged(docs, key, text, host, min_docs, max_share, left_words, left_share).drop("gone")
+
+
+def keep_good(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
+    min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE,
+) -> DataFrame:
+    """``docs`` without the rows that the rules reject, each text without its lines above the limit; the other columns are untouched."""
+    rows = _judged(docs, key, text, host, min_docs, max_share, left_words, left_share).where("kept")
+    kept = rows.groupBy(F.col("key").alias("__kept_key")).agg(F.first("gone").alias("__gone"))
+    stays = lambda line: ~F.array_contains("__gone", _host_line(F.col(host), F.xxhash64(_normalised(line))))
+    cleaned = F.array_join(F.filter(F.split(text, "\n"), stays), "\n")
+    joined = docs.join(kept, F.col(key).eqNullSafe(F.col("__kept_key")))
+    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(cleaned)).drop("__kept_key", "__gone")

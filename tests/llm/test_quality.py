@@ -1,5 +1,6 @@
 import zlib
 
+import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -51,3 +52,24 @@ def test_frequent_lines(spark):
     assert all(got[100 + k].depleted and not got[100 + k].kept for k in range(3)) and all(got[200 + k].removed_words == 0 for k in range(3))
     copies = spark.createDataFrame([(k, f"{line}\n{tail}", "h") for k in range(60)], "doc_id long, text string, source string")
     assert quality_rules.quality_rules(copies).where(F.col("kept")).count() == 60
+
+
+def test_lines_removed(spark):
+    line, tail = "This line is on every page of the host", "of some text that is only here and nowhere else"
+    rows = [(k, f"{(line, ' THIS line is on every page  of the host')[k % 2]}\n\n number {k} {tail} as far as I know\nend {k}\n", "h") for k in range(60)]
+    rows += [(200 + k, f"{line}\nnumber {k} {tail}\n", "other") for k in range(3)]
+    rows += [(300, f"{line}\nnumber 300 {tail}\n", None), (301, f"{line}\nbye", "h"), (1, f"{line}\nnumber 1 again {tail}", "other")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.source): r.text for r in quality_rules.keep_good(frame).collect()}
+    want = {(k, "h"): f"\n number {k} {tail} as far as I know\nend {k}\n" for k in range(60)}
+    assert got == want | {(k, host): text for k, text, host in rows if host != "h"}
+
+
+def test_pipeline_writes_cleaned_text(spark, sf):
+    line = "This line is on every page of the host"
+    rows = [(k, f"{line}\npage {k} of some text that is only here and nowhere else", "en", "h", 0) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["quality"](spark, frame, sf)
+    got = out.collect()
+    assert len(got) == 60 and out.schema == frame.schema
+    assert all(line not in r.text and r.text.startswith("page ") and r.n_chars == len(r.text) for r in got)
