@@ -11,16 +11,16 @@ from . import views
 from .catalogue import register
 from .core import cells, study_p
 from .models import block_stats
-from .post import eqtl, inst, pairs
+from .post import PAIR_WINDOW, eqtl, inst, pairs
 from .views import cte
 
 for _method in blocks.METHODS:
-    register(f"blocks_{_method}")(lambda spark, sf, method=_method: blocks.detect(views.variants(spark, sf), pairs(spark, sf), method))
+    register(f"blocks_{_method}")(lambda spark, sf, method=_method: blocks.detect(views.variants(spark, sf), pairs(spark, sf, PAIR_WINDOW), method))
 
 
 @register("blocks_compare")
 def blocks_compare(spark: SparkSession, sf: str) -> DataFrame:
-    v, p = views.variants(spark, sf), pairs(spark, sf)
+    v, p = views.variants(spark, sf), pairs(spark, sf, PAIR_WINDOW)
     return blocks.compare(blocks.detect(v, p, "spine"), blocks.detect(v, p, "big_ld"))
 
 
@@ -81,7 +81,7 @@ def ihw(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("impute_ld")
 def impute_ld(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.impute_from_neighbours(cells(spark, sf), pairs(spark, sf))
+    return evidence.impute_from_neighbours(cells(spark, sf), pairs(spark, sf, PAIR_WINDOW))
 
 
 @register("required_n", cte("pvals", "geno") + """, f AS (SELECT v_idx, avg(dosage) / 2 AS af FROM geno GROUP BY 1)
@@ -115,4 +115,4 @@ def effective_tests(spark: SparkSession, sf: str) -> DataFrame:
     from lociframe.operators import bayes, kinship
 
     work = lambda rows, r: pd.DataFrame({"block": rows["block"].iloc[:1], "n": [len(rows)], "n_effective": [kinship.effective_tests(r)]})
-    return bayes.by_block(block_stats(spark, sf), pairs(spark, sf), work, "block string, n long, n_effective long")
+    return bayes.by_block(block_stats(spark, sf), pairs(spark, sf, PAIR_WINDOW), work, "block string, n long, n_effective long")

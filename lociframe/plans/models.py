@@ -15,7 +15,7 @@ from lociframe.streaming import running
 from . import views
 from .catalogue import register
 from .core import CELLS, cells, joined, r, stats
-from .post import pairs
+from .post import PAIR_WINDOW, SCORE_WINDOW, pairs
 from .views import cte
 
 
@@ -150,23 +150,23 @@ def block_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("susie_rss")
 def susie_rss(spark: SparkSession, sf: str) -> DataFrame:
-    return bayes.finemap(block_stats(spark, sf), pairs(spark, sf))
+    return bayes.finemap(block_stats(spark, sf), pairs(spark, sf, PAIR_WINDOW))
 
 
 for _method in ("inf", "grid", "auto", "cs"):
     register({"inf": "ldpred2_inf", "grid": "ldpred2_grid", "auto": "ldpred2_auto", "cs": "prs_cs"}[_method])(
-        lambda spark, sf, method=_method: bayes.polygenic_weights(block_stats(spark, sf), pairs(spark, sf), method)
+        lambda spark, sf, method=_method: bayes.polygenic_weights(block_stats(spark, sf), pairs(spark, sf, PAIR_WINDOW), method)
     )
 
 
 @register("hess")
 def hess(spark: SparkSession, sf: str) -> DataFrame:
-    return bayes.hess(block_stats(spark, sf), pairs(spark, sf))
+    return bayes.hess(block_stats(spark, sf), pairs(spark, sf, PAIR_WINDOW))
 
 
 @register("ldsc_h2")
 def ldsc_h2(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.pvals(spark, sf).withColumn("chi2", F.pow(F.col("beta") / F.col("se"), 2)).join(ld.scores(pairs(spark, sf), views.variants(spark, sf)), "v_idx")
+    rows = views.pvals(spark, sf).withColumn("chi2", F.pow(F.col("beta") / F.col("se"), 2)).join(ld.scores(pairs(spark, sf, SCORE_WINDOW), views.variants(spark, sf)), "v_idx")
     return bayes.ldsc(rows.select(F.col("v_idx").alias("at"), "chi2", "ld_score", "n"), 200)
 
 

@@ -12,7 +12,12 @@ from .catalogue import register
 from .core import CELLS, JOINED, LINEAR, joined, r
 from .views import cte
 
+#: The window that the SQL of the pair queries states.
 WINDOW = 5000
+#: The reference's windows, for queries without SQL: pairs and blocks, clumping, LD scores.
+PAIR_WINDOW = 200_000
+CLUMP_WINDOW = 250_000
+SCORE_WINDOW = 1_000_000
 
 PAIRS = cte("geno", "variants") + f""", c AS (SELECT * FROM geno JOIN variants USING (v_idx)),
   pairs AS (SELECT a.chr, a.v_idx AS i, b.v_idx AS j, a.pos AS pos_i, b.pos AS pos_j, count(*) AS n, corr(a.dosage, b.dosage) AS r
@@ -20,8 +25,8 @@ PAIRS = cte("geno", "variants") + f""", c AS (SELECT * FROM geno JOIN variants U
 BOTH = """, both_ways AS (SELECT i AS v_idx, j AS other, pos_j - pos_i AS gap, r * r AS r2 FROM pairs UNION ALL SELECT j, i, pos_j - pos_i, r * r FROM pairs) """
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return ld.pair_correlations(views.geno(spark, sf), views.variants(spark, sf), WINDOW)
+def pairs(spark: SparkSession, sf: str, window: int = WINDOW) -> DataFrame:
+    return ld.pair_correlations(views.geno(spark, sf), views.variants(spark, sf), window)
 
 
 @register("ld_pairs_r2", PAIRS + "SELECT chr, i, j, n, round(r * r, 6) AS r2 FROM pairs")
@@ -109,7 +114,7 @@ def ld_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("clump")
 def clump(spark: SparkSession, sf: str) -> DataFrame:
-    return ld.clump(views.pvals(spark, sf), pairs(spark, sf), 0.5, 0.02)
+    return ld.clump(views.pvals(spark, sf), pairs(spark, sf, CLUMP_WINDOW), 0.5, 0.02)
 
 
 @register("prune_peaks")

@@ -10,7 +10,7 @@ from lociframe.operators import genetics_extra, kinship, ld, qc
 from . import views
 from .catalogue import register
 from .core import cells
-from .post import pairs
+from .post import SCORE_WINDOW, pairs
 
 
 @register("ldsc_rg")
@@ -18,12 +18,12 @@ def ldsc_rg(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.studies(spark, sf).withColumn("z", F.col("beta") / F.col("se"))
     a = rows.where("study = 'N'").select("v_idx", F.col("z").alias("z1"), F.col("n").alias("n1"))
     b = rows.where("study = 'R'").select("v_idx", F.col("z").alias("z2"), F.col("n").alias("n2"))
-    return genetics_extra.ldsc_covariance(a.join(b, "v_idx").join(ld.scores(pairs(spark, sf), views.variants(spark, sf)), "v_idx"), 200)
+    return genetics_extra.ldsc_covariance(a.join(b, "v_idx").join(ld.scores(pairs(spark, sf, SCORE_WINDOW), views.variants(spark, sf)), "v_idx"), 200)
 
 
 @register("sldsc_h2")
 def sldsc_h2(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.pvals(spark, sf).withColumn("chi2", F.pow(F.col("beta") / F.col("se"), 2)).join(ld.scores(pairs(spark, sf), views.variants(spark, sf)), "v_idx")
+    rows = views.pvals(spark, sf).withColumn("chi2", F.pow(F.col("beta") / F.col("se"), 2)).join(ld.scores(pairs(spark, sf, SCORE_WINDOW), views.variants(spark, sf)), "v_idx")
     rows = rows.withColumns({"coding": F.when(F.col("v_idx") % 3 == 0, F.col("ld_score")).otherwise(0.0), "other": F.when(F.col("v_idx") % 3 != 0, F.col("ld_score")).otherwise(0.0)})
     return genetics_extra.partitioned_heritability(rows, ["coding", "other"], {"coding": 67.0, "other": 133.0})
 
