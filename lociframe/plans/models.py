@@ -34,7 +34,7 @@ def glm_scan_p(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("rank_int")
 def rank_int(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.read(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("feature", "v"))
+    rows = views.read(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("feature", "v"))
     rank, n = encode.average_rank("v", ["feature"]), F.count("*").over(Window.partitionBy("feature"))
     return rows.withColumn("q", (rank - 0.375) / (n + 0.25)).select("vec_id", "feature", specfun.norm_ppf_udf("q").alias("normal"))
 

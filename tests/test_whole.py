@@ -1,7 +1,9 @@
 """Queries without SQL use all of their input."""
 
 import numpy as np
+import pandas as pd
 
+from lociframe.functions import specfun
 from lociframe.operators import kinship
 from lociframe.plans import catalogue, views
 
@@ -18,3 +20,11 @@ def test_ld_of_whole_blocks(spark, sf):
     clumps = catalogue.queries()["clump"](spark, sf).toPandas()
     gap = np.abs(at.loc[clumps["index"], "pos"].to_numpy() - at.loc[clumps["member"], "pos"].to_numpy())
     assert gap.max() > 5000
+
+
+def test_rank_int_of_all_columns(spark, sf):
+    stored = views.read(spark, sf, "embeddings").toPandas()
+    wide = pd.DataFrame(np.stack(stored["embedding"].to_numpy()), index=stored["vec_id"])
+    got = catalogue.queries()["rank_int"](spark, sf).toPandas().pivot(index="vec_id", columns="feature", values="normal")
+    want = specfun.norm_ppf(((wide.rank() - 0.375) / (len(wide) + 0.25)).to_numpy().ravel()).reshape(wide.shape)
+    assert got.shape == wide.shape and np.allclose(got.loc[wide.index].to_numpy(), want, atol=1e-6)
