@@ -28,3 +28,9 @@ def test_rank_int_of_all_columns(spark, sf):
     got = catalogue.queries()["rank_int"](spark, sf).toPandas().pivot(index="vec_id", columns="feature", values="normal")
     want = specfun.norm_ppf(((wide.rank() - 0.375) / (len(wide) + 0.25)).to_numpy().ravel()).reshape(wide.shape)
     assert got.shape == wide.shape and np.allclose(got.loc[wide.index].to_numpy(), want, atol=1e-6)
+
+
+def test_gene_sets_of_all_parts(spark, sf):
+    got = {r.gene_set: r.n_genes for r in catalogue.queries()["gene_set_enrichment"](spark, sf).collect()}
+    part = views.read(spark, sf, "part").toPandas()
+    assert got == part.groupby("p_type")["p_brand"].nunique().to_dict()
