@@ -10,7 +10,8 @@ Scale: blocks are read once and reduced to the places of their separators. The p
 one small row for each block. Token files written here have a sidecar of keys in file order.
 
 Defined results: a document of no tokens counts 0; tokens after a file's last separator are one
-open document (ended is false); a null text is empty; an empty table gives an empty result.
+open document (ended is false); a null text is empty; an empty table gives an empty result; an id
+that the width can't hold raises an error, so nothing wraps.
 """
 
 from __future__ import annotations
@@ -31,6 +32,11 @@ BLOCK_TOKENS = 1 << 16
 SLICE_BYTES = 1 << 21
 
 
+def width_for(tokenizer: str, separator: int) -> int:
+    """Bytes an id needs: 2, or 4 for vocabularies above 65,536."""
+    return 2 if max(separator, Encoder.of(tokenizer).largest) < 1 << 16 else 4
+
+
 def token_files(docs: DataFrame, tokenizer: str, separator: int, key: str = "doc_id", text: str = "text", width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Flat token files of ``docs``, one for each partition, in blocks: (file, block, data, first, keys).
 
@@ -39,6 +45,8 @@ def token_files(docs: DataFrame, tokenizer: str, separator: int, key: str = "doc
     """
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
+    if max(separator, Encoder.of(tokenizer).largest) >= 1 << 8 * width:
+        raise ValueError(f"ids of {tokenizer} or the separator {separator} need more than {width} bytes")
 
     def write(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, file, block, first, rest = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0, 0, b""
@@ -102,8 +110,9 @@ def count_tokens(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame
     return ended.unionByName(left)
 
 
-def document_tokens(docs: DataFrame, tokenizer: str, separator: int, key: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
+def document_tokens(docs: DataFrame, tokenizer: str, separator: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, file, nth, start, n_tokens, counted in token files written for it."""
+    width = width_for(tokenizer, separator)
     files = written(token_files(docs, tokenizer, separator, key, text, width), "token-files")
     found = count_tokens(files.where(F.col("data").isNotNull()), separator, width)
     keys = files.where(F.col("keys").isNotNull()).select("file", "first", F.posexplode("keys").alias("i", "key"))

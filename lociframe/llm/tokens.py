@@ -3,12 +3,17 @@
 Byte-level BPE splits a text before it merges, and a split always falls before a space that
 follows a non-space character. Cut there, the chunks' ids are the text's ids. Each batch's
 distinct chunks are found by hash; only those not met before are encoded.
+
+Defined results: None is the empty text and has no ids; strings of special tokens are their
+token unless the caller asks for ordinary text; runs of white space and words may be of any
+length; equal texts have equal ids.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
+import re
 from pathlib import Path
 
 import numpy as np
@@ -22,6 +27,11 @@ MOST_CHUNKS = 1_000_000
 #: Fixed value: how byte-level BPE of this family splits a text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space as SPLIT counts it. A run of RUN of them is merged without SPLIT, whose look-ahead
+#: steps back over a run one character at a time and has a limit on that.
+RUN = 4096
+_RUN = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{RUN},}}")
+
 #: Bytes after which a space begins a chunk: printable ASCII, and the end of a character of
 #: two bytes led by C3 to DF, none of which is white space.
 _SOLID = np.zeros(256, bool)
@@ -54,6 +64,7 @@ class Encoder:
         self.tokenizer: Tokenizer | None = None  # read when first asked for
         model = json.loads(Path(path).read_bytes())
         self.specials = [t["content"].encode() for t in model["added_tokens"]]
+        self.largest = max([*model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"])], default=0)
         self.fast = _fast(model)
         self._reset()
 
@@ -74,6 +85,19 @@ class Encoder:
         self.tokenizer.encode_special_tokens = ordinary
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _chunk(self, text: str) -> list[int]:
+        """Ids of one chunk. A run of white space is one piece, but for its last character where more text follows."""
+        if len(text) < RUN:
+            return self.fast.encode_ordinary(text)
+        ids: list[int] = []
+        at = 0
+        for run in _RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.fast.encode_ordinary(text[at : run.start()])
+            ids += self.fast._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + self.fast.encode_ordinary(text[at:])
+
     def encode(self, texts: list[str | None], ordinary: bool = False) -> list[np.ndarray]:
         """Ids of each text; None counts as empty. ordinary: strings of special tokens are text."""
         raw = [(t or "").encode() for t in texts]
@@ -111,7 +135,7 @@ class Encoder:
                 new[:] = True
             whole = data.tobytes()
             chunks = [whole[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            got = list(map(self.fast.encode_ordinary, chunks)) if self.fast else self.plain(chunks, True)
+            got = list(map(self._chunk, chunks)) if self.fast else self.plain(chunks, True)
             counts = np.fromiter(map(len, got), np.int64, len(got))
             begin = len(self.pool) + np.cumsum(counts) - counts
             self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(counts.sum()))])

@@ -120,3 +120,27 @@ def test_separator_scan(spark, tmp_path):
         blocks = token_counts.read_token_files(spark, str(tmp_path), 2, block)
         got = [(int(r.file.rsplit("/", 1)[1][0]), r.nth, r.start, r.n_tokens, r.ended) for r in token_counts.count_tokens(blocks, 0).collect()]
         assert sorted(got) == sorted(want)
+
+
+LONG = [" " * 2_000_000 + "x", "\n" * 2_000_000, "a \xa0" + "\xa0" * 2_000_000 + " b", "a " + "\n \t\u3000" * 300_000 + "word" + " " * 5000 + "\n" * 5000 + "z", "abcdefghij" * 500_000]
+
+
+def test_long_runs(tokenizer):
+    assert [x.tolist() for x in Encoder(tokenizer_file()).encode(LONG)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in LONG]
+
+
+def test_packing_of_long_runs(spark, tmp_path, tokenizer):
+    texts = dict(enumerate(["\n" * 1_010_000, "  " * 600_000, "short"]))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    check_packing(op1_packing(spark, str(tmp_path)).collect(), texts, tokenizer)
+    rows = {r.doc_id: r.n_tokens for r in op8_token_counts(spark, str(tmp_path)).collect()}
+    assert rows == {k: len(tokenizer.encode(t, add_special_tokens=False).ids) for k, t in texts.items()}
+
+
+def test_id_width(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        token_counts.token_files(docs, tokenizer_file(), 70_000)
+    monkeypatch.setattr(Encoder.of(tokenizer_file()), "largest", 70_000)
+    assert token_counts.width_for(tokenizer_file(), 0) == 4
+    assert token_counts.document_tokens(docs, tokenizer_file(), 50256).first().n_tokens == 2
