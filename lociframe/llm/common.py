@@ -1,7 +1,12 @@
-"""Shared pieces: the word class, table access, written intermediate tables."""
+"""Shared pieces: the word class, table access, written intermediate tables.
+
+Defined results: null text has no words; a table without rows is written and read back with its
+schema; repeated rows stay repeated.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own.
+
+    Only where driver and executors are one process (local mode, as in tests) is a folder made up;
+    elsewhere executors would write to disks that nobody else reads, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lociframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,7 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.__dict__["written_at"] = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `written` wrote for these tables, once nothing that is still to run reads them."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.__dict__["written_at"])
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words_of(text: Column) -> Column:

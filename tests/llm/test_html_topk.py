@@ -75,8 +75,8 @@ def test_topk(spark, sf, monkeypatch):
     table = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
     want = brute(table.vec_id.tolist(), table.embedding.tolist(), 10, lambda i: i % 50 == 0)
     assert sorted(map(tuple, op9_topk(spark, sf).select("query_id", "rank", "vec_id", "distance").collect())) == want
-    monkeypatch.setattr(topk, "BLOCK_CODES", 50)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
+    monkeypatch.setattr(topk, "PART_CODES", 20)
+    monkeypatch.setattr(topk, "SPLIT_QUERIES", 2)
     assert sorted(map(tuple, op9_topk(spark, sf).select("query_id", "rank", "vec_id", "distance").collect())) == want
 
 
