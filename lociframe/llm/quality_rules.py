@@ -1,20 +1,21 @@
 """Quality rules: per-text counts and cross-document line frequency (DataFrame functions only).
 
 A line that many different documents of one host hold is boilerplate. Lines are normalised
-(lower case, single spaces, trimmed), hashed, and counted once per distinct text of a host, so
-exact copies of one document do not condemn it. Lines above the limit are removed; a document
-that keeps too few of its words is depleted and rejected.
+(lower case, single spaces, trimmed) and hashed. `frequent_lines` counts both the documents and the
+distinct texts of a host that hold a line; the distinct texts decide, so exact copies of one
+document, which deduplication will remove, do not condemn its lines. Lines above the limits are
+removed; a document that keeps too few of its words is depleted and rejected.
 
 Scale: texts never shuffle, only line hashes do. Counts are partially aggregated before the
 shuffle, and the join that brings the frequent lines back is a plain equi-join, so AQE picks
 broadcast by measured size or splits the partition of a hot line. A line above the limit is in
-a fixed share of its host's documents, hence at most (mean lines per document / share) lines
-per host are above it.
+a fixed share of its host's documents, or in MANY_DOCS of them, so the lines above it are a fixed
+share of all lines at most.
 
 Defined results: a null or empty text has no words and fails the base rule; null hosts form
-one host of their own; rows that repeat a key are one document whose lines count together, and
-each gets the same verdict; an empty table gives an empty result. Only the named columns are
-read, so further columns cannot clash.
+one host of their own; each row is judged on its own text, so rows that repeat a key with one text
+get one verdict and with other texts their own; a null key is a key like any other; an empty table
+gives an empty result. Only the named columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, words_of, written
 
-#: Lines in more documents of a host than both limits are boilerplate.
+#: Lines in more than MIN_DOCS distinct texts of a host are boilerplate if these are more than
+#: MAX_SHARE of the host's texts, or more than MANY_DOCS whatever the host's size.
 MIN_DOCS = 20
 MAX_SHARE = 0.02
+MANY_DOCS = 5000
 #: A document is depleted with fewer words left than this number or this share of its words.
 LEFT_WORDS = 5
 LEFT_SHARE = 0.2
@@ -82,14 +85,14 @@ def text_counts(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return twice.withColumn("n_repeat_words", covered).drop("p")
 
 
-def frequent_lines(counts: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line, n_docs): lines in more distinct texts of their host than both limits."""
-    texts = counts.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
-    texts = texts.select("host", F.array_distinct(F.transform("lines", lambda x: x["line"])).alias("lines"))
+def frequent_lines(counts: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
+    """(host, line, n_texts, n_docs): lines above the limits, with the distinct texts (which decide) and the documents that hold them."""
+    texts = counts.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"), F.count("*").alias("copies"))
+    texts = texts.select("host", "copies", F.array_distinct(F.transform("lines", lambda x: x["line"])).alias("lines"))
     hosts = texts.groupBy("host").agg(F.count("*").alias("n_host"))
-    lines = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-    lines = lines.where(F.col("n_docs") > min_docs).alias("l").join(hosts.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
-    return lines.where(F.col("n_docs") > max_share * F.col("n_host")).select("l.host", "line", "n_docs")
+    lines = texts.select("host", "copies", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_texts"), F.sum("copies").alias("n_docs"))
+    lines = lines.where(F.col("n_texts") > min_docs).alias("l").join(hosts.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
+    return lines.where((F.col("n_texts") > max_share * F.col("n_host")) | (F.col("n_texts") > many_docs)).select("l.host", "line", "n_texts", "n_docs")
 
 
 def _host_line(host: Column, line: Column) -> Column:
@@ -97,20 +100,20 @@ def _host_line(host: Column, line: Column) -> Column:
     return F.xxhash64(host, line)
 
 
-def _judged(docs: DataFrame, key: str, text: str, host: str, min_docs: int, max_share: float, left_words: int, left_share: float) -> DataFrame:
-    """The rows of `quality_rules` with gone, the hashes of the key's lines above the limit (null for none)."""
-    counts = written(text_counts(docs, key, text, host), "quality-counts")
-    frequent = frequent_lines(counts, min_docs, max_share)
-    lines = counts.select("key", "host", F.explode("lines").alias("x")).select("key", "host", "x.line", "x.n")
+def _judged(docs: DataFrame, key: str, text: str, host: str, min_docs: int, max_share: float, left_words: int, left_share: float, many_docs: int) -> DataFrame:
+    """The rows of `quality_rules` with text_hash and gone, the hashes of the row's lines above the limits (null for none)."""
+    counts = written(text_counts(docs, key, text, host).withColumn("row", F.monotonically_increasing_id()), "quality-counts")
+    frequent = frequent_lines(counts, min_docs, max_share, many_docs)
+    lines = counts.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.line", "x.n")
     hit = lines.alias("d").join(frequent.alias("f"), (F.col("d.line") == F.col("f.line")) & F.col("d.host").eqNullSafe(F.col("f.host")))
     gone = F.collect_set(_host_line(F.col("d.host"), F.col("d.line"))).alias("gone")
-    removed = hit.groupBy(F.col("d.key").alias("hit_key")).agg(F.sum("n").alias("removed"), gone)
-    rows = counts.drop("lines", "text_hash").join(removed, F.col("key").eqNullSafe(F.col("hit_key")), "left")
+    removed = hit.groupBy(F.col("d.row").alias("hit_row")).agg(F.sum("n").alias("removed"), gone)
+    rows = counts.drop("lines").join(removed, F.col("row") == F.col("hit_row"), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     depleted = F.col("removed").isNotNull() & ((left < left_words) | (left < left_share * F.col("n_words")))
     rows = rows.select(
-        "key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "key", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed_words"), depleted.alias("depleted"), "gone",
     )
     return rows.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
@@ -118,20 +121,25 @@ def _judged(docs: DataFrame, key: str, text: str, host: str, min_docs: int, max_
 
 def quality_rules(
     docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
-    min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE,
+    min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE, many_docs: int = MANY_DOCS,
 ) -> DataFrame:
     """Per row of ``docs``: key, host, base counts, base_failed, removed_words, depleted, kept."""
-    return _judged(docs, key, text, host, min_docs, max_share, left_words, left_share).drop("gone")
+    return _judged(docs, key, text, host, min_docs, max_share, left_words, left_share, many_docs).drop("gone", "text_hash")
 
 
 def keep_good(
     docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
-    min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE,
+    min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE, many_docs: int = MANY_DOCS,
 ) -> DataFrame:
-    """``docs`` without the rows that the rules reject, each text without its lines above the limit; the other columns are untouched."""
-    rows = _judged(docs, key, text, host, min_docs, max_share, left_words, left_share).where("kept")
-    kept = rows.groupBy(F.col("key").alias("__kept_key")).agg(F.first("gone").alias("__gone"))
+    """``docs`` without the rows that the rules reject, each text without its lines above the limits; the other columns are untouched.
+
+    A verdict follows from host and text, so rows meet theirs by key, host and hash of the text:
+    rows that repeat one key with different texts keep their own verdicts.
+    """
+    own = ["__kept_key", "__kept_host", "__kept_hash"]
+    rows = _judged(docs, key, text, host, min_docs, max_share, left_words, left_share, many_docs).where("kept")
+    kept = rows.groupBy(F.col("key").alias(own[0]), F.col("host").alias(own[1]), F.col("text_hash").alias(own[2])).agg(F.first("gone").alias("__gone"))
     stays = lambda line: ~F.array_contains("__gone", _host_line(F.col(host), F.xxhash64(_normalised(line))))
     cleaned = F.array_join(F.filter(F.split(text, "\n"), stays), "\n")
-    joined = docs.join(kept, F.col(key).eqNullSafe(F.col("__kept_key")))
-    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(cleaned)).drop("__kept_key", "__gone")
+    same = F.col(key).eqNullSafe(F.col(own[0])) & F.col(host).eqNullSafe(F.col(own[1])) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(own[2]))
+    return docs.join(kept, same).withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(cleaned)).drop(*own, "__gone")

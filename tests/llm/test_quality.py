@@ -73,3 +73,25 @@ def test_pipeline_writes_cleaned_text(spark, sf):
     got = out.collect()
     assert len(got) == 60 and out.schema == frame.schema
     assert all(line not in r.text and r.text.startswith("page ") and r.n_chars == len(r.text) for r in got)
+
+
+def test_repeated_rows_and_keys(spark):
+    line, tail = "This line is on every page of the host", "of some text that is only here and nowhere else"
+    rows = [(k, f"{line}\nnumber {k} {tail} as far", "h") for k in range(40)]
+    rows += [(500, f"{line}\nthe text {tail} as it is", "h")] * 4
+    rows += [(None, f"{line}\nno key {tail}", "h"), (600, f"{line}\nsix {tail}", "h"), (600, f"{line}\nbye", "h"), (600, "too short", "h")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_rules.quality_rules(frame).collect()
+    assert [(r.kept, r.removed_words) for r in got if r.key == 500] == [(True, 9)] * 4
+    assert sorted((r.kept, r.removed_words) for r in got if r.key == 600) == [(False, 0), (False, 9), (True, 9)]
+    kept = [(r.doc_id, r.text) for r in quality_rules.keep_good(frame).collect()]
+    assert kept.count((500, f"the text {tail} as it is")) == 4 and kept.count((None, f"no key {tail}")) == 1
+    assert [t for k, t in kept if k == 600] == [f"six {tail}"]
+
+
+def test_limit_whatever_the_share(spark):
+    line = "This line is on some pages of a large host"
+    rows = [(k, f"{line} here\npage {k} of it" if k % 4 == 0 else f"page {k} of it alone", "h") for k in range(200)]
+    counts = quality_rules.text_counts(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source")
+    found = lambda **limits: quality_rules.frequent_lines(counts, **limits).collect()
+    assert not found(max_share=0.5) and [(r.n_texts, r.n_docs) for r in found(max_share=0.5, many_docs=40)] == [(50, 50)]
