@@ -113,17 +113,18 @@ def _level(rows: DataFrame, seed: int, level: int) -> DataFrame:
 
 def mix_counts(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 29,
+    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 29, row: str | None = None,
 ) -> DataFrame:
-    """Per row of ``docs``: key, size, source_size, target (both its source's) and copies."""
-    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("h"))
+    """Per row of ``docs``: key, size, source_size, target (both its source's) and copies; row, if a column of that name is carried."""
+    carried = [F.col(row).alias("row")] if row else []
+    sized = docs.select(*carried, F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("h"))
     sized = written(sized, "mix-sizes")
     targets = written(source_targets(sized, weights, share, most), "mix-targets")
     rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     blocks = F.ceil(F.col("source_rows") / BLOCK_ROWS).cast("long")
     rows = rows.select(
-        "key", "size", "source_size", "target", "h", F.xxhash64("d.source", F.col("d.source").isNull()).alias("source_h"),
+        *["row"] * bool(row), "key", "size", "source_size", "target", "h", F.xxhash64("d.source", F.col("d.source").isNull()).alias("source_h"),
         F.floor(times).cast("long").alias("whole"), (times - F.floor(times)).alias("chance"), F.pmod("h", blocks).alias("block"), blocks.alias("blocks"),
     )
     most_blocks, level, done = targets.agg(F.max(F.ceil(F.col("source_rows") / BLOCK_ROWS))).first()[0] or 1, 0, []
@@ -138,14 +139,16 @@ def mix_counts(
         most_blocks = math.ceil(most_blocks * 2 / BLOCK_ROWS)
     for part in done:
         rows = rows.unionByName(part)
-    return rows.select("key", "size", "source_size", "target", (F.col("whole") + F.col("chance").cast("long")).alias("copies"))
+    return rows.select(*["row"] * bool(row), "key", "size", "source_size", "target", (F.col("whole") + F.col("chance").cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it.
 
-    Keys should be unique; rows that repeat a key all get the largest number of copies among them.
+    The rows are numbered and written first, so each has its own count even where keys or whole
+    rows repeat or are null.
     """
-    copies = mix_counts(docs, key, **options).groupBy(F.col("key").alias("__mix_key")).agg(F.max("copies").alias("__mix_copies"))
-    rows = docs.join(copies, F.col(key).eqNullSafe(F.col("__mix_key"))).where(F.col("__mix_copies") > 0)
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_nth")).select(*docs.columns)
+    rows = written(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "mix-rows")
+    copies = mix_counts(rows, key, row="__mix_row", **options).select(F.col("row").alias("__mix_of"), F.col("copies").cast("int").alias("__mix_copies")).where("__mix_copies > 0")
+    taken = rows.join(copies, F.col("__mix_row") == F.col("__mix_of"))
+    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__mix_copies"))).alias("__mix_nth")).select(*docs.columns)

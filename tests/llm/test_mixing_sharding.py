@@ -99,3 +99,13 @@ def test_matrix():
     assert m.sum(0).tolist() == [7, 7, 6] and m.sum(1).tolist() == [5, 0, 7, 8]
     draws = [sharding._draw(rng, 10**9, 39 * 10**9, 4000) for _ in range(800)]
     assert abs(np.mean(draws) - 100) < 2 and abs(np.var(draws) - 97.5) < 20
+
+
+def test_mix_of_repeated_rows(spark):
+    rows = [(7, "one two three four", "en", "a", 18)] * 200 + [(None, "five six", "en", "a", 8)] * 100 + [(k, "seven eight nine", "en", "b", 16) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {r.source: r.target for r in mixing.mix_counts(docs).withColumn("source", F.when(F.col("source_size") == 1000, "a").otherwise("b")).select("source", "target").distinct().collect()}
+    mixed = mixing.mix(docs).collect()
+    for source in "ab":
+        assert abs(sum(len(r.text.split()) for r in mixed if r.source == source) - want[source]) <= 4
+    assert sorted(map(tuple, mixed), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()), key=str)
