@@ -37,3 +37,10 @@ def test_redact(spark, odd, empty):
     assert rows[6] == "é \U0001f600 <EMAIL> <IP> <CARD> <PHONE>" and rows[1] is None and rows[2] == ""
     assert pii.redact(odd).columns == odd.columns and pii.redact(empty).count() == 0 and pii.find_pii(empty).count() == 0
     assert pii.find_pii(odd).count() == odd.count()
+
+
+def test_iban_before_a_word(spark):
+    texts = ["IBAN DE89370400440532013000 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "NO9386011117947 AND MORE", "ZZ89370400440532013000"]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("key").collect()
+    assert [[(s.start, s.end) for s in r.iban] for r in rows] == [[(5, 27)], [(0, 27)], [(0, 15)], []]
+    assert pii.redact(spark.createDataFrame([(texts[0],)], "text string")).first().text == "IBAN <IBAN> BIC COBADEFFXXX"
