@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,10 +16,13 @@ def components(links: DataFrame) -> DataFrame:
     component is one star around its smallest node. The number of links never grows; the rounds
     are about the square of the logarithm of the longest chain at most. Each round is written to
     the shared folder, so a lost executor costs one round at most. A hub's rows meet its minimum
-    in a plain equi-join, which AQE splits when they are many.
+    in a plain equi-join, which AQE splits when they are many. The rounds end when every node has
+    one parent that has none itself, which is checked on the whole table.
+
+    Defined results: links of a node with itself and repeated links add nothing; a null node must
+    not occur; no links give no rows.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
-    seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
@@ -28,10 +31,11 @@ def components(links: DataFrame) -> DataFrame:
         large = written(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "of")
         small = large.join(low, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        small = small.unionByName(low.select(F.col("of").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = written(small, "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == seen:
+        small = written(small.unionByName(low.select(F.col("of").alias("u"), F.col("m").alias("v"))).distinct(), "small-star")
+        discard(edges, large)
+        edges = small
+        parents = edges.select(F.col("v").alias("p")).distinct()
+        loose = edges.groupBy("u").agg(F.count("*").alias("n")).join(parents, F.col("u") == F.col("p"), "left").where("n > 1 or p is not null")
+        if loose.isEmpty():
             break
-        seen = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,31 +1,35 @@
 """Near duplicates: SuperMinHash signatures, banding, verification on full sets, union-find.
 
-1. Each text becomes its set of hashed shingles, a signature, band hashes and a bitmap. Texts with
-   equal sets form one class by a fingerprint of the set; only classes go on.
+1. Rows are numbered and written. Each text becomes its set of hashed shingles, a signature and band
+   hashes. Texts with equal sets form one class by a fingerprint of the set; only classes go on.
 2. Classes that share a band hash are a bucket. A bucket's most central class (the one in the
    fullest buckets) is its pivot; every other member is tested against the pivot. That is linear
    in the bucket, and in a group of near copies it links nearly all of them.
 3. Components of the verified links. A bucket whose members, the pivot aside, lie in one component
-   is settled. In the others, members of different components are compared in blocks: bitmaps give
-   an upper bound of the intersection, and pairs that the bound can't exclude are verified. So no
-   candidate pair is given up and no pair inside a component is emitted.
+   is settled. The others are split by size, since sets of similarity 0.8 differ by a quarter at
+   most, and members of different components are compared in blocks: bitmaps give an upper bound of
+   the intersection, and pairs that the bound can't exclude are verified. So no candidate pair is
+   given up and no pair inside a component is emitted.
 4. Components of all verified links. Verification always compares the full sets.
 
 BANDS bands of ROWS slots miss a pair of similarity 0.8 with probability (1 - 0.8**ROWS)**BANDS,
 about 5 in a million, and a component only if all its links there are missed.
 
-Scale: signatures and bitmaps are made where the text is read; bands shuffle one small row each.
-Texts of candidates are written once. Verification groups are (pivot, part) with PART_ROWS members
+Shingles have WIDTH words and similarity counts from 0.8 on.
+
+Scale: signatures are made where the text is read; bands shuffle one small row each. Texts of
+candidates are written once, and bitmaps made for unsettled members only. Verification groups are (pivot, part) with PART_ROWS members
 at most, streamed in sorted order; only one pivot's set is held. Components contract in Spark.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and is
-its own component; rows that repeat a text are one class; a null key is no one's partner, but its
-row counts as of its class; rows that repeat a key should repeat the text; an empty table gives
-an empty result; only the named columns are read.
+its own component; rows that repeat a text are one class; rows are linked by their number, so rows
+that repeat a key may differ in text; a component's name is its smallest key that is not null, and
+null where all keys are; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,21 +39,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan, shingles
-from .common import written
+from .common import discard, written
 from .components import components
 
-WIDTH = 4
+WIDTH = 5
 BANDS = 40
 ROWS = 6
 PART_ROWS = 64
 BLOCK_ROWS = 256
 SLICE_BYTES = 1 << 20
+#: Ratio of the sizes in one size class: above 1 / 0.8, so similar sets are at most one class apart.
+STEP = 1.26
 
 
-def features(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """Per row: key, n (size of the set), f1 and f2 (fingerprint of the set), bands, bits."""
-    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = source.schema["key"].dataType.simpleString()
+def features(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Per row of ``rows`` (id, key, text): id, key, n (size of the set), f1 and f2 (fingerprint of the set), bands."""
+    kind = rows.schema["key"].dataType.simpleString()
 
     def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -60,17 +65,29 @@ def features(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFr
                 f1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 f2 = np.array([bytescan.mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 columns = [
-                    batch.column("key").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2),
+                    batch.column("id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2),
                     pa.array([x if len(s) else [] for x, s in zip(bands, sets, strict=True)], pa.list_(pa.int64())),
-                    pa.array([shingles.bitmap(s) for s in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "f1", "f2", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n", "f1", "f2", "bands"])
+
+    return rows.select("id", "key", "text").mapInArrow(scan, f"id bigint, key {kind}, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
+
+
+def bitmaps(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(id, bits) of ``texts`` (id, text)."""
+
+    def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            values = batch.column("text").to_pylist()
+            for a, b in bytescan.batches([(t or "").encode() for t in values], SLICE_BYTES):
+                bits = [shingles.bitmap(s) for s in shingles.shingle_sets(values[a:b], width)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(bits, pa.binary())], ["id", "bits"])
 
-    return source.mapInArrow(scan, f"key {kind}, n bigint, f1 bigint, f2 bigint, bands array<bigint>, bits binary")
+    return texts.select("id", "text").mapInArrow(scan, "id bigint, bits binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 0.8 or more; texts is (key, text).
+    """The pairs (a, b) whose sets have a similarity of 0.8 or more; texts is (id, text).
 
     Pairs are grouped by their first member, in parts of about PART_ROWS, so that its text moves
     once for each part; the sorted groups are streamed and one set is held at a time.
@@ -79,9 +96,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFram
     rows = pairs.join(parts, F.col("a") == F.col("of")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("member"), F.lit(1).alias("role"))
     rows = written(rows, "verify-rows")
     heads = rows.select("a", "part").distinct().select("a", "part", F.col("a").alias("member"), F.lit(0).alias("role"))
-    rows = rows.unionByName(heads).join(texts, F.col("member") == F.col("key")).select("a", "part", "role", "member", "text")
+    rows = rows.unionByName(heads).join(texts, F.col("member") == F.col("id")).select("a", "part", "role", "member", "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
-    kind = pairs.schema["a"].dataType.simpleString()
 
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own = None, np.zeros(0, np.uint64)
@@ -100,7 +116,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFram
             at = pa.array(linked, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("member").take(at)], ["a", "b"])
 
-    return rows.mapInArrow(compare, f"a {kind}, b {kind}")
+    return rows.mapInArrow(compare, "a bigint, b bigint")
 
 
 def sorted_groups(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
@@ -132,6 +148,7 @@ def _plausible(group: pd.DataFrame) -> pd.DataFrame | None:
     n, m = left["n"].to_numpy(np.int64)[:, None], right["n"].to_numpy(np.int64)[None]
     ids, others = left["rep"].to_numpy(), right["rep"].to_numpy()
     open_ = (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None]) & (10 * np.minimum(n, m) >= 8 * np.maximum(n, m))
+    open_ &= ~(left["upper"].to_numpy()[:, None] & right["upper"].to_numpy()[None])
     if same:
         open_ &= ids[:, None] < others[None]
     rows, columns = np.nonzero(open_)
@@ -158,43 +175,68 @@ def _plausible(group: pd.DataFrame) -> pd.DataFrame | None:
     return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a)})
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """Per row of ``docs``: key, n_shingles, component (smallest key reachable over links)."""
-    found = written(features(docs, key, text, width), "shingle-features")
-    kind = found.schema["key"].dataType.simpleString()
-    real = found.where((F.col("n") > 0) & F.col("key").isNotNull())
-    classes = written(real.groupBy("n", "f1", "f2").agg(F.min("key").alias("rep"), F.first("bands").alias("bands")), "shingle-classes")
+def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return written(docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), F.col(text).alias("text")), "numbered-texts")
+
+
+def _unsettled(open_: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Pairs of members of one bucket in different components that could be similar; open_ is (bucket, rep, n, comp).
+
+    A member of size class c (sizes within a factor of STEP) meets the others of c, and those of c + 1.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(STEP)).cast("int")
+    dealt = open_.withColumn("c", size).withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("g", F.col("c") - F.col("upper").cast("int"))
+    groups = dealt.groupBy("bucket", "g").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("k"), F.count_if(~F.col("upper")).alias("own")).where("c1 != c2 and own > 0")
+    groups = groups.select("bucket", "g", F.ceil(F.col("k") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rest = written(dealt.join(groups, ["bucket", "g"]), "unsettled-members")
+    wanted = texts.join(rest.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi")
+    bits = bitmaps(wanted, width).withColumnRenamed("id", "rep")
+    rest = rest.join(bits, "rep").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("bucket", "g", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "n", "comp", "upper", "bits")
+    return sorted_groups(rest, ["bucket", "g", "low", "high"], _plausible, "a bigint, b bigint").distinct()
+
+
+def labelled(numbered: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Per row of ``numbered`` (id, key, text), written: id, key, n, component (its smallest key) and first (the id of its first row by key)."""
+    found = written(features(numbered, width), "shingle-features")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "id")).alias("first")
+    classes = written(found.where("n > 0").groupBy("n", "f1", "f2").agg(first, F.first("bands").alias("bands")).withColumn("rep", F.col("first.id")), "shingle-classes")
     rows = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     members = written(rows.join(full, "bucket"), "bucket-members")
     central = members.groupBy("rep").agg(F.sum("size").alias("weight"))
     pivots = members.join(central, "rep").groupBy("bucket").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", F.xxhash64("rep"), "rep")).alias("p"))
-    members = written(members.join(pivots, "bucket").select("bucket", "rep", "n", "size", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")).where("rep != pivot"), "bucket-stars")
+    stars = members.join(pivots, "bucket").select("bucket", "rep", "n", "size", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")).where("rep != pivot")
+    members, every = written(stars, "bucket-stars"), members
+    discard(every)
     stars = members.where(10 * F.least("n", "pivot_n") >= 8 * F.greatest("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     candidates = members.select(F.col("rep").alias("c")).union(members.select("pivot")).distinct()
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    texts = written(texts.join(candidates, F.col("key") == F.col("c"), "left_semi"), "candidate-texts")
+    texts = written(numbered.select("id", "text").join(candidates, F.col("id") == F.col("c"), "left_semi"), "candidate-texts")
     links = written(verified(stars, texts, width), "star-links")
     labels = components(links)
 
     member_labels = labels.withColumnRenamed("node", "rep")
     open_ = members.where(F.col("size") > 2).join(member_labels, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     open_ = written(open_.select("bucket", "rep", "n", "comp"), "open-members")
-    unsettled = open_.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("k")).where("c1 != c2")
-    unsettled = unsettled.select("bucket", F.ceil(F.col("k") / BLOCK_ROWS).cast("int").alias("blocks"))
-    side = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    bits = found.select(F.col("key").alias("rep"), "bits").dropDuplicates(["rep"])
-    rest = open_.join(unsettled, "bucket").join(bits, "rep").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "n", "comp", "bits")
-    more = written(sorted_groups(rest, ["bucket", "low", "high"], _plausible, f"a {kind}, b {kind}").distinct(), "plausible-pairs")
-    links = links.unionByName(written(verified(more, texts, width), "more-links"))
-    labels = components(links).withColumnRenamed("node", "rep")
-    reps = classes.select("n", "f1", "f2", "rep").join(labels, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-    rows = found.select("key", "n", "f1", "f2").join(reps, ["n", "f1", "f2"], "left")
-    return rows.select("key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
-
-
-def keep_first(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row's key of each component, the smallest."""
-    kept = near_duplicates(docs, key, **options).where(F.col("key") == F.col("component")).select(F.col("key").alias("__kept_key")).distinct()
-    return docs.join(kept, F.col(key) == F.col("__kept_key"), "left_semi")
+    more = written(verified(written(_unsettled(open_, texts, width), "plausible-pairs"), texts, width), "more-links")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    discard(members, open_, texts, links, more)
+    reps = classes.select("n", "f1", "f2", "first", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    firsts = reps.groupBy("component").agg(F.min("first").alias("of_all"))
+    reps = reps.join(firsts, "component").select("n", "f1", "f2", "of_all")
+    rows = found.select("id", "key", "n", "f1", "f2").join(reps, ["n", "f1", "f2"], "left")
+    linked = F.col("n") > 0
+    return rows.select("id", "key", "n", F.when(linked, F.col("of_all.key")).otherwise(F.col("key")).alias("component"), F.when(linked, F.col("of_all.id")).otherwise(F.col("id")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """Per row of ``docs``: key, n_shingles, component (smallest key reachable over links)."""
+    return labelled(_numbered(docs, key, text), width).select("key", F.col("n").alias("n_shingles"), "component")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest key, a null key being last. Rows without words all stay."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+    kept = labelled(rows.select(F.col("__row").alias("id"), F.col(key).alias("key"), F.col(text).alias("text")), width).where("id = first").select(F.col("id").alias("__kept"))
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")

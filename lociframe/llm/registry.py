@@ -32,7 +32,7 @@ lines AS (SELECT doc_id, source, t, trim(regexp_replace(lower(x), '[\x20\x09-\x0
   FROM (SELECT doc_id, source, t, unnest(l) AS x FROM base)),
 hosts AS (SELECT source, count(DISTINCT t) AS n_host FROM base GROUP BY 1),
 freq AS (SELECT f.source, line FROM (SELECT source, line, count(DISTINCT t) AS n_docs FROM lines GROUP BY 1, 2) f
-  JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE n_docs > 20 AND n_docs > 0.02 * n_host),
+  JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE n_docs > 20 AND (n_docs > 0.02 * n_host OR n_docs > 5000)),
 gone AS (SELECT doc_id, sum(n)::BIGINT AS removed FROM lines JOIN freq ON lines.line = freq.line AND lines.source IS NOT DISTINCT FROM freq.source GROUP BY 1),
 verdict AS (SELECT base.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   removed IS NOT NULL AND (n_words - removed < 5 OR n_words - removed < 0.2 * n_words) AS depleted
@@ -49,9 +49,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         told = [F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))) for name in names]
         return F.array_join(F.concat(*told), ",")
 
+    scores = F.concat(*(F.transform(k.name, lambda s: F.format_string("%.1f", s["score"])) for k in pii.KINDS))
     return found.select(
         F.col("key").alias("doc_id"), *(F.size(name).cast("long").alias(f"n_{name}") for name in base),
-        F.sha2(joined(base), 256).alias("base_sha256"), joined([k.name for k in pii.KINDS]).alias("spans"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined([k.name for k in pii.KINDS]).alias("spans"), F.array_join(scores, ",").alias("scores"),
     )
 
 
@@ -94,7 +95,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    rows = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
     return rows.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
 
 

@@ -1,4 +1,8 @@
-"""Sets of hashed word shingles of many texts, and SuperMinHash signatures of the sets."""
+"""Sets of hashed word shingles of many texts, and SuperMinHash signatures of the sets.
+
+Defined results: a null text is empty and has the empty set, whose signature is open in all slots;
+equal texts have equal sets and signatures; no texts give empty arrays.
+"""
 
 from __future__ import annotations
 

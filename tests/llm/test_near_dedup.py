@@ -8,13 +8,13 @@ from lociframe.llm.components import components
 from lociframe.llm.registry import op4_near_dedup
 
 
-def brute(texts):
+def brute(texts, width=4):
     """{key: (size of the set, component)} by comparing all pairs."""
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
     for key, text in texts.items():
         w = WORD.findall((text or "").translate(lower))
-        sets[key] = {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+        sets[key] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
     parent = {k: k for k in texts}
 
     def find(k):
@@ -106,3 +106,23 @@ def test_odd(spark, odd, empty):
     assert len(rows) == odd.count() and {r.component for r in rows if r.key == 4} == {4}
     assert near_dedup.near_duplicates(empty).count() == 0
     assert near_dedup.keep_first(odd).columns == odd.columns
+
+
+def test_null_and_repeated_keys(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text), (7, text), (7, text), (7, "quite another text of some length than the one above it"), (None, "only here with a null key and nowhere else at all"), (None, "only here with a null key and nowhere else at all")]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, nth int")
+    assert sorted(r.nth for r in near_dedup.keep_first(docs).collect()) in ([1, 3, 4], [1, 3, 5], [2, 3, 4], [2, 3, 5])
+    assert sorted((r.key or 0, r.component or 0) for r in near_dedup.near_duplicates(docs).collect()) == [(0, 0), (0, 0), (0, 7), (7, 7), (7, 7), (7, 7)]
+
+
+def test_size_classes(spark, tmp_path, monkeypatch):
+    """One long shared passage and lengths that differ: buckets that the pivot doesn't settle."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    rng = random.Random(8)
+    shared = [f"s{k}" for k in range(120)]
+    texts = {}
+    for k in range(60):
+        own = [f"o{k}x{j}" for j in range(rng.randint(5, 120))]
+        texts[2 * k], texts[2 * k + 1] = " ".join(shared + own), " ".join(shared + own[:-1] + ["end"])
+    check(spark, tmp_path, texts)

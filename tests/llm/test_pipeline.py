@@ -30,7 +30,7 @@ def test_quality(stages):
 
 def test_near_duplicates(stages):
     docs, kept = stages["near_duplicates"]
-    want = components({r.doc_id: r.text for r in docs.collect()})
+    want = components({r.doc_id: r.text for r in docs.collect()}, width=5)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, (_, c) in want.items() if k == c)
     assert kept.schema == docs.schema
 
