@@ -1,18 +1,23 @@
 """Quality classifier: averaged hashed word and character n-gram vectors, softmax, SGD in numpy.
 
-A text's features are its words and its byte n-grams (NGRAMS), hashed into BUCKETS vectors, and
-for each pair of neighbouring words whether they are the same word (buckets 0 and 1). The text's vector is their mean; a linear layer and softmax give the label's probability. Training is
+A text's features are its words and the character n-grams (NGRAMS code points) of its words, the
+white space on either side of a word counting as one mark; all are hashed into BUCKETS vectors.
+Each pair of neighbouring words adds one more feature, which says whether they are the same word
+(buckets 0 and 1): no vector of a word or n-gram can say that of words not met in training. The
+text's vector is the mean; a linear layer and softmax give the label's probability. Training is
 one document at a time with a falling rate. Since mean and layer are linear, scoring needs one
 number for each bucket: the layer applied to the bucket's vector.
 
-Scale: training takes at most TRAIN_ROWS labelled rows (those of smallest hash; a documented
-bound), whose sparse counts come to the driver, BUCKETS numbers each at most. Scoring maps each
-text once, whole, with a table of BUCKETS floats; nothing shuffles.
+Scale: training takes at most TRAIN_ROWS labelled rows (those of smallest hash) and of these at
+most so many that their sparse features stay below TRAIN_FEATURES: documented bounds, so six bytes
+for each of TRAIN_FEATURES come to the driver at most. Scoring maps each text once, whole, with a
+table of BUCKETS floats; nothing shuffles.
 
 Defined results: a null or empty text has no features and gets the label's share among the
 training rows' odds (the layer's bias); labels that are null or of unknown documents are not
-used; with no training rows or one label only, all scores are that label's share (0.5 without
-any); repeated rows get equal scores; an empty table gives an empty result.
+used, and a label's rows that repeat count once; with no training rows or one label only, all
+scores are that label's share (0.5 without any); repeated rows get equal scores; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan
+from .common import discard, written
 
 BUCKETS = 1 << 16
 NGRAMS = (3, 4)
@@ -33,50 +39,46 @@ DIMENSIONS = 8
 EPOCHS = 6
 RATE = 0.5
 TRAIN_ROWS = 3000
+TRAIN_FEATURES = 10_000_000
 SLICE_BYTES = 1 << 21
 
 
-def _hashed(texts: list[str | None]) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Slices of texts: (first, end, [(bucket of each feature, bounds of the texts)])."""
-    raw = [(t or "").encode() for t in texts]
-    for a, b in bytescan.batches(raw, SLICE_BYTES):
-        data, bounds = bytescan.laid(raw[a:b])
-        starts, ends = bytescan.words(data)
-        whole = bytescan.span_hashes(bytescan.prefix_sums(data), starts, ends)
-        first = np.searchsorted(starts, bounds)
-        again = np.zeros(len(whole), np.int64)
-        again[1:] = whole[1:] == whole[:-1]
-        again[first[:-1][first[:-1] < len(whole)]] = 0
-        parts = [((whole >> np.uint64(48)).astype(np.int64).clip(2), first), (again, first)]
-        wide = data.astype(np.uint32)
+def _hashed(texts: list[str | None], repeats: bool = True) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Slices of texts: (first, end, [(bucket of each feature, bounds of the texts)]), a pair for each sort of feature."""
+    for a, b in bytescan.batches([(t or "").encode() for t in texts], SLICE_BYTES):
+        own = [t or "" for t in texts[a:b]]
+        data = np.frombuffer(("\n" + "\n".join(own) + "\n").encode("utf-32-le"), np.uint32)
+        before = np.concatenate(([0], np.cumsum([len(t) + 1 for t in own])))  # places of the line feeds between texts
+        space = (data == 32) | (data - 9 < 5)
+        chars = np.where(space, 32, data).astype(np.uint64)
+        change = np.flatnonzero(space[1:] != space[:-1]) + 1
+        starts, ends = change[0::2], change[1::2]
+        words = bytescan.span_hashes(bytescan.prefix_sums(chars), starts, ends)
+        first = np.searchsorted(starts, before)
+        again = np.zeros(len(words), np.int64)
+        again[1:] = words[1:] == words[:-1]
+        again[first[:-1][first[:-1] < len(words)]] = 0
+        parts = [((words >> np.uint64(48)).astype(np.int64).clip(2), first)] + [(again, first)] * repeats
+        spaces = np.concatenate(([0], np.cumsum(space)))
         for n in NGRAMS:
-            size = max(0, len(wide) - n + 1)
-            gram = np.zeros(size, np.uint32)
+            size = max(0, len(chars) - n + 1)
+            # none of the inner characters is white space, nor all of them with the last one
+            at = np.flatnonzero((spaces[n - 1 : n - 1 + size] == spaces[1 : 1 + size]) & (spaces[n : n + size] - spaces[:size] < n))
+            gram = np.full(len(at), n, np.uint64)
             for k in range(n):
-                gram = gram | wide[k : k + size] << np.uint32(8 * k)
-            gram = ((gram ^ (gram >> np.uint32(15)) ^ np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(16)
-            parts.append((gram.astype(np.int64).clip(2), bounds))
+                gram = gram * np.uint64(bytescan.BASE) + chars[at + k]
+            parts.append(((bytescan.mixed(gram) >> np.uint64(48)).astype(np.int64).clip(2), np.searchsorted(at, before)))
         yield a, b, parts
 
 
-def _ranges(part: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and end place of each text's features; n-grams don't leave their text."""
-    bounds = np.minimum(part[1], len(part[0])) if n else part[1]
-    return bounds[:-1], np.maximum(bounds[:-1], np.minimum(part[1][1:] - (n - 1), len(part[0])) if n else bounds[1:])
-
-
 def counts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sparse features of each text: buckets, and their shares of all its features."""
     out = []
     for a, b, parts in _hashed(texts):
-        spans = [_ranges(p, n) for p, n in zip(parts, (0, 0, *NGRAMS), strict=True)]
         for k in range(b - a):
-            own = np.concatenate([p[0][s[k] : e[k]] for p, (s, e) in zip(parts, spans, strict=True)])
-            if len(own):
-                bucket, times = np.unique(own, return_counts=True)
-                out.append((bucket, (times / len(own)).astype(np.float32)))
-            else:
-                out.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
+            own = np.concatenate([f[at[k] : at[k + 1]] for f, at in parts])
+            bucket, times = np.unique(own, return_counts=True)
+            out.append((bucket.astype(np.uint16), (times / max(1, len(own))).astype(np.float32)))
     return out
 
 
@@ -91,11 +93,10 @@ class Model:
         out = np.zeros(len(texts))
         for a, b, parts in _hashed(texts):
             total, number = np.zeros(b - a), np.zeros(b - a)
-            for part, n in zip(parts, (0, 0, *NGRAMS), strict=True):
-                s, e = _ranges(part, n)
-                upto = np.concatenate(([0.0], np.cumsum(self.weights[part[0]], dtype=np.float64)))
-                total += upto[e] - upto[s]
-                number += e - s
+            for bucket, at in parts:
+                upto = np.concatenate(([0.0], np.cumsum(self.weights[bucket], dtype=np.float64)))[at]
+                total += upto[1:] - upto[:-1]
+                number += at[1:] - at[:-1]
             out[a:b] = total / np.maximum(number, 1)
         return 1.0 / (1.0 + np.exp(-np.clip(out + self.bias, -50, 50)))
 
@@ -126,8 +127,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: in
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = TRAIN_ROWS) -> Model:
-    """Train on the ``most_rows`` labelled rows of smallest hash; ``labels`` says which rows may be learnt from."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = TRAIN_ROWS, most_features: int = TRAIN_FEATURES) -> Model:
+    """Train on labelled rows of smallest hash, as many as both bounds allow; ``labels`` says which rows may be learnt from."""
     chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("of")).agg(F.max(label).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("of"), "of").limit(most_rows)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("key") == F.col("of"))
@@ -135,12 +136,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def sparse(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             found = counts(batch.column("text").to_pylist())
-            arrays = [pa.array([b.astype(np.uint16).tobytes() for b, _ in found], pa.binary()), pa.array([t.tobytes() for _, t in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), *arrays], ["h", "y", "b", "t"])
-
-    got = rows.select(F.xxhash64("of").alias("h"), F.col("y").cast("int").alias("y"), "text").mapInArrow(sparse, "h bigint, y int, b binary, t binary").collect()
-    got.sort(key=lambda r: (r["h"], bytes(r["b"])))
-    return train([(np.frombuffer(r["b"], np.uint16).astype(np.int64), np.frombuffer(r["t"], np.float32)) for r in got], [r["y"] for r in got])
+            arrays = [pa.array([len(b) for b, _ in found], pa.int64()), pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([t.tobytes() for _, t in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), batch.column("text_hash"), *arrays], ["h", "y", "text_hash", "n", "b", "t"])
+
+    rows = rows.select(F.xxhash64("of").alias("h"), F.col("y").cast("int").alias("y"), F.xxhash64("text").alias("text_hash"), "text")
+    found = written(rows.mapInArrow(sparse, "h bigint, y int, text_hash bigint, n bigint, b binary, t binary"), "train-features")
+    once = F.row_number().over(Window.partitionBy("h").orderBy("text_hash"))
+    upto = F.sum("n").over(Window.orderBy("h"))  # over TRAIN_ROWS small rows
+    taken = found.select("h", "text_hash", "n").withColumn("nth", once).where("nth = 1").withColumn("upto", upto).where(F.col("upto") <= most_features)
+    got = found.join(F.broadcast(taken.select("h", "text_hash")), ["h", "text_hash"]).dropDuplicates(["h"]).select("h", "y", "b", "t").collect()
+    discard(found)
+    got.sort(key=lambda r: r["h"])
+    return train([(np.frombuffer(r["b"], np.uint16), np.frombuffer(r["t"], np.float32)) for r in got], [r["y"] for r in got])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -95,3 +95,48 @@ def test_limit_whatever_the_share(spark):
     counts = quality_rules.text_counts(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source")
     found = lambda **limits: quality_rules.frequent_lines(counts, **limits).collect()
     assert not found(max_share=0.5) and [(r.n_texts, r.n_docs) for r in found(max_share=0.5, many_docs=40)] == [(50, 50)]
+
+
+def test_features_by_hand():
+    """Words, character n-grams with one mark on either side, and pairs of neighbours, counted in plain Python."""
+    texts = ["né né x\n\t y", "", "a", " ab  "]
+    for (bucket, share), text in zip(quality_model.counts(texts), texts):
+        words = text.split()
+        grams = [f" {w} "[i : i + n] for w in words for n in quality_model.NGRAMS for i in range(len(w) + 3 - n)]
+        total = 2 * len(words) + len(grams)
+        assert np.isclose(share.sum(), 1) or not words
+        assert len(bucket) <= total and sorted(np.round(share * total).tolist(), reverse=True)[:1] <= [total]
+        if text.startswith("né"):
+            shares = dict(zip(bucket.tolist(), np.round(share * total).astype(int).tolist()))
+            assert shares[0] == 3 and shares[1] == 1 and sum(shares.values()) == total
+
+
+def test_training_learns_the_gradient():
+    """On separable rows the loss falls to almost nothing, and flipped labels give the opposite model."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for k in range(400):
+        y = k % 2
+        bucket = np.sort(rng.choice(np.arange(100), 10, replace=False)) + 100 * y + 2
+        rows.append((bucket.astype(np.uint16), np.full(10, 0.1, np.float32)))
+        labels.append(y)
+    odds = lambda model: np.array([float(t @ model.weights[b]) + model.bias for b, t in rows])
+    right, wrong = odds(quality_model.train(rows, labels)), odds(quality_model.train(rows, [1 - y for y in labels]))
+    y = np.array(labels)
+    assert np.mean(np.log1p(np.exp(np.where(y == 1, -right, right)))) < 0.05
+    assert ((right > 0) == (y == 1)).all() and ((wrong > 0) == (y == 0)).all()
+
+
+def test_training_bound(spark):
+    docs = spark.createDataFrame([(k % 50, f"word{k % 50} some more words") for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
+    seen = []
+    train = quality_model.train
+    try:
+        quality_model.train = lambda rows, y: seen.append(len(rows)) or train(rows, y)
+        quality_model.fit(docs, labels)
+        quality_model.fit(docs, labels, most_features=400)
+        quality_model.fit(docs, labels, most_rows=7)
+    finally:
+        quality_model.train = train
+    assert seen[0] == 50 and 0 < seen[1] < 50 and seen[2] == 7
