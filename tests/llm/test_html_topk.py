@@ -32,7 +32,7 @@ OTHER = (
 
 
 def text_of(page):
-    return html_text.main_text(html_text.parse(page), [])[0]
+    return html_text.main_text(html_text.parse(page))
 
 
 def test_templates():
@@ -44,6 +44,59 @@ def test_templates():
     assert text_of("<div><p>cut in a tag of the page <a hr") == "cut in a tag of the page"
 
 
+P = ["The first paragraph of a page says something that is long enough.", "A second one goes on about it for a while, as they do.", "The last one ends it, with no more to be said about it."]
+PS = "".join(f"<p>{p}</p>" for p in P)
+
+
+def test_page_set():
+    """Pages with what browsers forgive, and the exact texts."""
+    all_three = "\n".join(P)
+    cases = {
+        f"<html><head><title>T</title><meta charset=utf-8><body><article>{PS}</article>": all_three,
+        f"<head><link rel=x><article>{PS}</article>": all_three,
+        f"<article><p>{P[0]}</p><button>Press<p>{P[1]}</p><p>{P[2]}</p></article>": all_three,
+        f"<article><p>{P[0]}</p><select><option>one<option>two<p>{P[1]}</p><p>{P[2]}</p></article>": all_three,
+        f"<article><p>{P[0]}</p><svg><text>label<p>{P[1]}</p><p>{P[2]}</p></article>": all_three,
+        f"<article><p>{P[0]} <button>Press</button></p><p>{P[1]}</p><svg><g><text>x</text></g></svg><p>{P[2]}</p><video>no</video></article>": all_three,
+        f"<article><p>{P[0]}</p><button-group><p>{P[1]}</p></button-group><video-player></video-player><title-bar>{P[2]}</title-bar></article>": all_three,
+        f"<article><p>{P[0]}</p><figure><img src=x><figcaption>A caption.</figcaption></figure><p>{P[1]}</p></article>": f"{P[0]}\nA caption.\n{P[1]}",
+        f"<article><p>{P[0]} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><object data=x><p>{P[1]}</p></object></article>": f"{P[0]} x=2\n{P[1]}",
+        f'<article><p>{P[0]}</p><p class="advert">Buy this now</p><p hidden>secret</p><p style="display: none">gone</p><p>{P[1]}</p></article>': "\n".join(P[:2]),
+        f'<article><ul><li class="menu-item">Home<li class="menu-item">News</ul>{PS}<p>Read <span class="share-count">17 shares</span>more.</p></article>': f"{all_three}\nRead more.",
+        f'<article><div class="side-by-side">{PS}</div><div class="legal-analysis"><p>{P[0]}</p></div><p class="share-price">{P[1]}</p><section id="related-work"><p>{P[2]}</p></section></article>': f"{all_three}\n{all_three}",
+        f'<body><div class="sidebar-left"><p>{P[0]}</p></div><div class="main-column"><h1>Title</h1>{PS}</div><div class="relatedPosts"><p>{P[1]}</p></div></body>': f"Title\n{all_three}",
+        f'<body><form action=x><div id=header><p>Site</p></div><div class=content>{PS}</div><input name=q></form></body>': all_three,
+        f"<main><header><h1>Title</h1><p>By somebody</p></header>{PS}<section class=comments><p>{P[0]} I agree with that very much.</p><p>{P[1]} So do I, and for a long time.</p></section></main>": f"Title\n{all_three}",
+        f"<table><tr><td class=nav><a href=x>Home</a><a href=y>News</a><td>{PS}<tr><td>Copy<td></table>": all_three,
+        f"<article>{PS}<ul><li>one<li>two<ul><li>deep</ul><li>three</ul><dl><dt>a<dd>b<dt>c</dl><pre>x\n  y</pre></article>": f"{all_three}\none\ntwo\ndeep\nthree\na\nb\nc\nx y",
+    }
+    for page, want in cases.items():
+        assert text_of(page) == want, page
+
+
+def test_many_open_tags():
+    assert len(text_of("<button>" * 20_000 + "<a " * 50_000 + "<p>end of it</p>")) < 200_000
+    assert text_of("<div>" * 3_000 + "deep" + "</div>" * 3_000) == "deep"
+
+
+def test_repeated_paths(spark):
+    """On each host of five templates, an unnamed box with one text on all pages goes; the same box with texts of its own stays, and so do copies of a page."""
+    shells = ["<article>{}</article>", '<div class="content-{n}">{}</div>', "<main><div>{}</div></main>", '<table><tr><td class="x">{}</td></tr></table>', '<section id="post">{}</section>']
+    rows, want = [], {}
+    for t, shell in enumerate(shells):
+        for n in range(12):
+            own = [f"Page {n} of host {t} {p}" for p in P]
+            note = f"<p class='note'>Note {n} of {t}.</p>"
+            page = f"<body>{shell.replace('{n}', str(n)).format(''.join(f'<p>{p}</p>' for p in own) + note + f'<p class=app>Our app is in the store.</p>')}</body>"
+            rows.append((100 * t + n, f"http://h{t}.example/{n}", page))
+            want[100 * t + n] = "\n".join([*own, f"Note {n} of {t}."])
+    copies = "<body><article>" + PS + "<p class=lead>All copies have this lead.</p></article></body>"
+    rows += [(900 + n, "http://copies.example/", copies) for n in range(12)]
+    want |= {900 + n: "\n".join([*P, "All copies have this lead."]) for n in range(12)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.key: r.text for r in html_text.extract(pages).collect()} == want
+
+
 def test_consensus(spark):
     short = '<body><div class="body-1"><p>Too short.</p></div><div class="x"><p>Something that is longer than the text but on no other page.</p></div></body>'
     long = '<body><div class="body-2"><p>' + "A long article text. " * 9 + '</p></div><div class="x"><p>Other.</p></div></body>'
