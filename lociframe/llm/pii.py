@@ -87,7 +87,7 @@ def _iban_pattern() -> str:
     for entry in IBAN_LENGTHS.split():
         by.setdefault(int(entry[2:]), []).append(entry[:2])
     each = "|".join(rf"(?:{'|'.join(names)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in sorted(by.items()))
-    return rf"(?<![A-Za-z0-9])(?:{each})(?![A-Za-z0-9])"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{each})(?![A-Za-z0-9])"
 
 
 @dataclass(frozen=True)
