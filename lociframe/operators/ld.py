@@ -10,37 +10,71 @@ from pyspark.sql import functions as F
 from .intervals import islands
 
 
-def pair_correlations(calls: DataFrame, variants: DataFrame, window: int) -> DataFrame:
-    """(chr, i, j, pos_i, pos_j, n, r) of pairs within ``window`` bases on one chromosome.
+#: Samples in one tile of calls; a task's matrices have at most so many columns.
+TILE = 65_536
+
+
+def _tiled(calls: DataFrame, variants: DataFrame, window: int, tile: int) -> DataFrame:
+    """(chr, block, tile, own, v_idx, pos, s, d): the calls of a variant and a tile of samples packed in two arrays, in each block that needs them."""
+    rows = calls.where(F.col("dosage").isNotNull()).groupBy("v_idx", F.floor(F.col("s_idx") / tile).cast("long").alias("tile"))
+    packed = rows.agg(F.array_sort(F.collect_list(F.struct((F.col("s_idx") % tile).cast("int").alias("s"), F.col("dosage").alias("d")))).alias("x"))
+    packed = packed.select("v_idx", "tile", F.col("x.s").alias("s"), F.col("x.d").alias("d")).join(variants.select("v_idx", "chr", "pos"), "v_idx")
+    own = F.floor(F.col("pos") / window)
+    return packed.withColumn("own", own).withColumn("block", F.explode(F.array("own", F.col("own") - 1)))
+
+
+def _pair_sums(calls: DataFrame, variants: DataFrame, window: int, tile: int, columns: list[str], sums) -> DataFrame:
+    """(chr, i, j, pos_i, pos_j, columns) with ``sums(x, here, i, j)`` added up over the tiles of samples.
 
     A chromosome is cut into blocks of ``window`` bases. Each block's task also gets the next
-    block's calls, so every pair meets in exactly one task; correlations over the samples that
-    both variants have come from four products of the dosage and presence matrices. A task holds
-    two blocks of calls, however long the chromosome.
+    block's variants, so every pair meets in exactly one block; a task holds two blocks of
+    variants and one tile of samples, however long the chromosome and however many the samples.
     """
-    rows = calls.where(F.col("dosage").isNotNull()).join(variants.select("v_idx", "chr", "pos"), "v_idx")
-    own = F.floor(F.col("pos") / window)
-    rows = rows.withColumn("own", own).withColumn("block", F.explode(F.array("own", F.col("own") - 1)))
-
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        v, at = np.unique(group["v_idx"].to_numpy(), return_inverse=True)
-        _, who = np.unique(group["s_idx"].to_numpy(), return_inverse=True)
-        x = np.zeros((len(v), who.max() + 1))
-        here = np.zeros_like(x)
-        x[at, who], here[at, who] = group["dosage"], 1.0
-        pos, mine = np.zeros(len(v), np.int64), np.zeros(len(v), bool)
-        pos[at], mine[at] = group["pos"], (group["own"] == group["block"]).to_numpy()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("v_idx")
+        v, pos = group["v_idx"].to_numpy(), group["pos"].to_numpy(np.int64)
+        mine = (group["own"] == group["block"]).to_numpy()
+        counts = group["s"].map(len).to_numpy()
+        at, who = np.repeat(np.arange(len(v)), counts), np.concatenate(group["s"].to_numpy())
+        names, who = np.unique(who, return_inverse=True)
+        x, here = np.zeros((len(v), len(names))), np.zeros((len(v), len(names)))
+        x[at, who], here[at, who] = np.concatenate(group["d"].to_numpy()), 1.0
         gap = pos[None] - pos[:, None]
         i, j = np.nonzero((gap > 0) & (gap <= window) & mine[:, None])
-        n, s, q, c = here @ here.T, x @ here.T, (x * x) @ here.T, x @ x.T
-        var_i, var_j = n * q - s * s, (n * q - s * s).T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = (n * c - s * s.T) / np.sqrt(var_i * var_j)
-        ok = (var_i[i, j] > 1e-9) & (var_j[i, j] > 1e-9)
-        i, j = i[ok], j[ok]
-        return pd.DataFrame({"chr": group["chr"].iloc[0], "i": v[i], "j": v[j], "pos_i": pos[i], "pos_j": pos[j], "n": n[i, j].astype(np.int64), "r": np.clip(r[i, j], -1, 1)})
+        out = pd.DataFrame({"chr": group["chr"].iloc[0], "i": v[i], "j": v[j], "pos_i": pos[i], "pos_j": pos[j]})
+        return pd.concat([out, pd.DataFrame(sums(x, here, i, j), columns=columns)], axis=1)
+
+    keys = "chr string, i long, j long, pos_i long, pos_j long"
+    rows = _tiled(calls, variants, window, tile).groupBy("chr", "block", "tile").applyInPandas(run, ", ".join([keys, *(f"{c} double" for c in columns)]))
+    return rows.groupBy("chr", "i", "j", "pos_i", "pos_j").agg(*(F.sum(c).alias(c) for c in columns))
+
+
+def _moments(x: np.ndarray, here: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    n, s, q, c = here @ here.T, x @ here.T, (x * x) @ here.T, x @ x.T
+    return np.stack([n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], c[i, j]], axis=1)
 
-    return rows.groupBy("chr", "block").applyInPandas(pairs, "chr string, i long, j long, pos_i long, pos_j long, n long, r double")
+
+def pair_correlations(calls: DataFrame, variants: DataFrame, window: int, tile: int = TILE) -> DataFrame:
+    """(chr, i, j, pos_i, pos_j, n, r) of pairs within ``window`` bases on one chromosome, over the samples that both variants have."""
+    m = _pair_sums(calls, variants, window, tile, ["n", "si", "sj", "qi", "qj", "c"], _moments)
+    var_i, var_j = F.col("n") * F.col("qi") - F.col("si") * F.col("si"), F.col("n") * F.col("qj") - F.col("sj") * F.col("sj")
+    r = (F.col("n") * F.col("c") - F.col("si") * F.col("sj")) / F.sqrt(var_i * var_j)
+    kept = m.where((var_i > 1e-9) & (var_j > 1e-9))
+    return kept.select("chr", "i", "j", "pos_i", "pos_j", F.col("n").cast("long").alias("n"), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)).alias("r"))
+
+
+def genotype_tables(calls: DataFrame, variants: DataFrame, window: int, tile: int = TILE) -> DataFrame:
+    """(chr, i, j, pos_i, pos_j, n, c): how many samples have each of the nine pairs of rounded dosages; c is by rows of the first variant."""
+
+    def counts(x: np.ndarray, here: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        classes = np.clip(np.rint(x), 0, 2)
+        flags = [(classes == k) * here for k in range(3)]
+        return np.stack([(flags[a] @ flags[b].T)[i, j] for a in range(3) for b in range(3)], axis=1)
+
+    names = [f"c{k}" for k in range(9)]
+    m = _pair_sums(calls, variants, window, tile, names, counts)
+    return m.select("chr", "i", "j", "pos_i", "pos_j", sum((F.col(c) for c in names[1:]), F.col("c0")).cast("long").alias("n"), F.array(*names).alias("c"))
 
 
 def scores(pairs: DataFrame, variants: DataFrame) -> DataFrame:
@@ -109,30 +143,44 @@ def dprime_pairs(haplotypes: DataFrame, pairs: DataFrame) -> DataFrame:
 def clump(hits: DataFrame, pairs: DataFrame, p_threshold: float, r2_threshold: float) -> DataFrame:
     """Greedy clumps: (chr, index, member). hits: v_idx, chr, p; pairs from `pair_correlations`.
 
-    Only strong pairs reach the greedy step. It runs by chromosome in order of (p, v_idx).
+    Clumps touch through strong pairs only. Where no strong pair spans a gap between neighbouring
+    variants, the chromosome falls apart, so the greedy step, in order of (p, v_idx), runs by such
+    a run of variants. A hit without a strong pair is a clump of its own.
     """
     strong = pairs.where(F.col("r") * F.col("r") >= r2_threshold)
-    near = strong.select(F.col("i").alias("v_idx"), F.col("j").alias("other")).unionByName(strong.select(F.col("j").alias("v_idx"), F.col("i").alias("other")))
-    lists = near.groupBy("v_idx").agg(F.collect_list("other").alias("others"))
-    rows = hits.select("v_idx", "chr", "p").join(lists, "v_idx", "left")
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
+    ends = strong.select("chr", F.col("i").alias("v_idx"), F.col("pos_i").alias("pos"), F.col("pos_j").alias("reach"))
+    ends = ends.unionByName(strong.select("chr", F.col("j").alias("v_idx"), F.col("pos_j").alias("pos"), F.col("pos_j").alias("reach")))
+    ends = ends.groupBy("chr", "v_idx", "pos").agg(F.max("reach").alias("reach"))
+    earlier = Window.partitionBy("chr").orderBy("pos", "v_idx").rowsBetween(Window.unboundedPreceding, -1)
+    runs = islands(ends.withColumn("gap", F.col("pos") > F.max("reach").over(earlier)), F.col("gap"), ["chr"], ["pos", "v_idx"], "run").select("v_idx", "run")
+    rows = hits.select("v_idx", "chr", "p").where(F.col("p") <= p_threshold).join(runs, "v_idx", "left")
+    links = strong.select(F.col("chr").alias("of_chr"), "i", "j").join(runs.select(F.col("v_idx").alias("i"), F.col("run").alias("of_run")), "i")
+
+    def greedy(group: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        others: dict[int, list[int]] = {}
+        for a, b in zip(near["i"].tolist(), near["j"].tolist(), strict=True):
+            others.setdefault(a, []).append(b)
+            others.setdefault(b, []).append(a)
         taken: set[int] = set()
         out = []
-        for v, p, others in group.sort_values(["p", "v_idx"])[["v_idx", "p", "others"]].itertuples(index=False):
-            if p > p_threshold:
-                break
+        for v in group.sort_values(["p", "v_idx"])["v_idx"]:
             if v not in taken:
-                own = [v, *(o for o in sorted(others if others is not None else []) if o not in taken)]
+                own = [v, *(o for o in sorted(others.get(v, ())) if o not in taken)]
                 taken.update(own)
                 out += [(v, o) for o in own]
-        return pd.DataFrame({"chr": group["chr"].iloc[0], "index": [a for a, _ in out], "member": [b for _, b in out]}).astype({"index": "int64", "member": "int64"})
+        chrom = group["chr"].iloc[0] if len(group) else ""
+        return pd.DataFrame({"chr": chrom, "index": [a for a, _ in out], "member": [b for _, b in out]}).astype({"chr": "object", "index": "int64", "member": "int64"})
 
-    return rows.groupBy("chr").applyInPandas(greedy, "chr string, index long, member long")
+    alone = rows.where("run IS NULL").select("chr", F.col("v_idx").alias("index"), F.col("v_idx").alias("member"))
+    together = rows.where("run IS NOT NULL").groupBy("chr", "run").cogroup(links.groupBy("of_chr", "of_run")).applyInPandas(greedy, "chr string, index long, member long")
+    return together.unionByName(alone)
 
 
 def prune_peaks(hits: DataFrame, p_threshold: float, window: int) -> DataFrame:
-    """Greedy peaks by chromosome: each absorbs the candidates within ``window`` bases; (chr, v_idx, n, start, end)."""
+    """Greedy peaks: each absorbs the candidates within ``window`` bases; (chr, v_idx, n, start, end).
+
+    Candidates further apart than the window can't touch, so a group is a run of candidates without such a gap.
+    """
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(["p", "pos", "v_idx"])
@@ -145,4 +193,7 @@ def prune_peaks(hits: DataFrame, p_threshold: float, window: int) -> DataFrame:
                 out.append((v[k], int(near.sum()), max(0, pos[k] - window // 2), pos[k] + window // 2))
         return pd.DataFrame(out, columns=["v_idx", "n", "start", "end"]).assign(chr=group["chr"].iloc[0])
 
-    return hits.where(F.col("p") <= p_threshold).groupBy("chr").applyInPandas(greedy, "chr string, v_idx long, n long, start long, end long")
+    own = Window.partitionBy("chr").orderBy("pos", "v_idx")
+    rows = hits.where(F.col("p") <= p_threshold).select("v_idx", "chr", "pos", "p")
+    rows = islands(rows, F.coalesce(F.col("pos") - F.lag("pos").over(own) > window, F.lit(True)), ["chr"], ["pos", "v_idx"], "run")
+    return rows.groupBy("chr", "run").applyInPandas(greedy, "chr string, v_idx long, n long, start long, end long")
