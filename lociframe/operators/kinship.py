@@ -1,4 +1,4 @@
-"""Relationship matrices as partial Gram sums, and their spectra."""
+"""Relationship matrices as sums of products over tiles of samples, and their spectra."""
 
 from __future__ import annotations
 
@@ -9,10 +9,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import encode
+
+#: Samples in one tile of a relationship matrix.
+TILE = 1024
+#: Variants whose values one row packs.
+CHUNK = 64
+#: Samples up to which a matrix may come to the driver: 2 GB.
+MOST_SAMPLES = 16_000
+
 
 def encoded(cells: DataFrame, kind: str = "vanraden", ploidy: int = 2, weights: DataFrame | None = None) -> DataFrame:
-    """(v_idx, s_idx, x, norm) of mean-imputed cells; norm is the variant's part of the divisor."""
+    """(v_idx, s_idx, x, norm) of mean-imputed cells; norm is the variant's part of the divisor. Other columns of cells stay."""
     own = Window.partitionBy("v_idx")
+    extra = [c for c in cells.columns if c not in ("v_idx", "s_idx", "dosage")]
+    if ":" in kind:
+        # the relationship of calls recoded for a gene action, as of a lower ploidy
+        action = kind.partition(":")[2]
+        ploidies = {"additive": ploidy, "general": ploidy, "diplo-additive": ploidy // 2}
+        recoded = cells.withColumn("dosage", encode.gene_action(F.coalesce(F.col("dosage"), F.avg("dosage").over(own)), "additive" if action == "general" else action, ploidy))
+        return encoded(recoded, "vanraden", ploidies.get(action, 1))
+    if kind == "pseudo_diploid":
+        filled = F.coalesce(F.col("dosage"), F.avg("dosage").over(own))
+        return encoded(cells.withColumn("dosage", F.round(2 * filled / ploidy)), "vanraden", 2)
     d = F.coalesce(F.col("dosage"), F.avg("dosage").over(own))
     rows = cells.withColumn("d", d).withColumn("p", F.avg("d").over(own) / ploidy)
     p, q, g = F.col("p"), 1 - F.col("p"), F.col("d")
@@ -22,68 +41,144 @@ def encoded(cells: DataFrame, kind: str = "vanraden", ploidy: int = 2, weights:
     elif kind == "yang":
         rows = rows.where((F.col("p") > 0) & (F.col("p") < 1))
         x, norm = (g - ploidy * p) / F.sqrt(ploidy * p * q), F.lit(1.0)
-    elif kind == "dominance":
+    elif kind == "dominance" and ploidy == 2:
         x = F.when(F.round(g) == 0, -2 * p * p).when(F.round(g) == 1, 2 * p * q).otherwise(-2 * q * q)
         norm = F.pow(2 * p * q, 2) / 2
+    elif kind == "dominance":
+        h = g * (ploidy - g) / (ploidy / 2) ** 2
+        x, norm = h * 2 * p * q - (1 - h) * 2 * p * q, F.pow(2 * p * q, 2) / 2
     elif kind == "su":
         x, norm = F.when(F.round(g) == 1, 1 - 2 * p * q).otherwise(-2 * p * q), p * q * (1 - p * q)
     elif kind == "digenic":
         x, norm = 6 * p * p - 3 * p * g + g * (g - 1) / 2, 6 * p * p * q * q
     elif kind == "slater":
         x, norm = g - ploidy * p, ploidy * p * (ploidy - ploidy * p)
-    elif kind == "vanraden":
+    elif kind in ("vanraden", "centred"):
         x, norm = g - ploidy * p, ploidy * p * q
+        rows = rows if kind == "vanraden" else rows.where((F.col("p") > 0) & (F.col("p") < 1))
     else:
         raise ValueError(f"unknown relationship {kind}")
-    return rows.select("v_idx", "s_idx", x.alias("x"), norm.alias("norm"))
+    return rows.select("v_idx", "s_idx", x.alias("x"), norm.alias("norm"), *extra)
 
 
-def gram(rows: DataFrame, samples: list[int]) -> tuple[np.ndarray, float]:
-    """X X' over (v_idx, s_idx, x) and the sum of norms: one partial matrix per task, added in a tree.
+def tiles(rows: DataFrame, samples: list[int], tile: int = TILE, by: str | None = None) -> DataFrame:
+    """(ti, tj, k) for ti <= tj: X X' over (v_idx, s_idx, x) as one binary matrix of doubles for each pair of tiles, by a column if asked for.
 
-    The driver holds one n x n matrix; beyond some ten thousand samples use `gram_pairs`.
+    The values of CHUNK variants and a tile of samples are packed to one row, which goes to each
+    pair its tile takes part in. A task adds up the products of its rows pair by pair and passes
+    on one matrix for each; a second pass adds the tasks' matrices. Nothing comes to the driver; a
+    task holds the values of one row and one product.
     """
-    place = {s: k for k, s in enumerate(sorted(samples))}
-    n = len(place)
-    order = np.array(sorted(place))
-
-    def partial(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, norm, rest = np.zeros((n, n)), 0.0, None
+    order = np.array(sorted(samples), np.int64)
+    n_tiles = max(1, -(-len(order) // tile))
+    spark = rows.sparkSession
+    parts = max(1, spark.sparkContext.defaultParallelism // (n_tiles * (n_tiles + 1) // 2))
+    keys = ["ti", "tj"] + [by] * bool(by)
+    own = [by] * bool(by)
+    size = lambda t: min(len(order), (t + 1) * tile) - t * tile
+    edges = ",".join(str(order[min(len(order), (k + 1) * tile) - 1]) for k in range(n_tiles)) if len(order) else "0"
+    place = F.size(F.filter(F.split(F.lit(edges), ",").cast("array<bigint>"), lambda e: e < F.col("s_idx")))
+    packed = rows.groupBy(F.floor(F.col("v_idx") / CHUNK).alias("chunk"), place.alias("t"), *own).agg(F.collect_list(F.struct("v_idx", "s_idx", "x")).alias("c"))
+    packed = packed.select("chunk", "t", *own, F.col("c.v_idx").alias("v"), F.col("c.s_idx").alias("s"), F.col("c.x").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))).alias("o"))
+    pairs = packed.groupBy(F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"), *own, "chunk").agg(F.collect_list(F.struct("t", "v", "s", "x")).alias("c"))
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts))).repartition(*keys, "part").sortWithinPartitions(*keys, "part")
+    schema = "ti int, tj int, " + "".join(f"{c} {dict(rows.dtypes)[c]}, " for c in own) + "k binary"
+
+    def added(stream: Iterator[pa.RecordBatch], value) -> Iterator[pa.RecordBatch]:
+        """One row for each run of equal keys, with the sum of ``value`` over it."""
+        key, total, last = None, None, None
         for batch in stream:
-            v, s = batch.column("v_idx").to_numpy(zero_copy_only=False), batch.column("s_idx").to_numpy(zero_copy_only=False)
-            x, w = batch.column("x").to_numpy(zero_copy_only=False), batch.column("norm").to_numpy(zero_copy_only=False)
-            if rest is not None:
-                v, s, x, w = (np.concatenate(pair) for pair in zip(rest, (v, s, x, w), strict=True))
-            if not len(v):
-                continue
-            cut = int(np.flatnonzero(v != v[-1])[-1]) + 1 if (v != v[-1]).any() else 0
-            rest = v[cut:], s[cut:], x[cut:], w[cut:]
-            t, c = _product(v[:cut], s[:cut], x[:cut], w[:cut])
-            total, norm = total + t, norm + c
-        if rest is not None:
-            t, c = _product(*rest)
-            total, norm = total + t, norm + c
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([norm])], ["k", "norm"])
-
-    def _product(v, s, x, w):
-        names, row, first = np.unique(v, return_inverse=True, return_index=True)[0], *np.unique(v, return_inverse=True, return_index=True)[:0:-1]
-        m = np.zeros((len(names), n))
-        m[row, np.searchsorted(order, s)] = x
-        return m.T @ m, float(w[first].sum()) if len(v) else 0.0
-
-    parts = rows.repartition("v_idx").sortWithinPartitions("v_idx").mapInArrow(partial, "k binary, norm double")
-    total, norm = np.zeros((n, n)), 0.0
-    for r in parts.toLocalIterator():
-        total, norm = total + np.frombuffer(r["k"]).reshape(n, n), norm + r["norm"]
-    return total, norm
-
-
-def gram_pairs(rows: DataFrame) -> DataFrame:
+            columns = [batch.column(c) for c in keys]
+            for k in range(batch.num_rows):
+                now = tuple(c[k].as_py() for c in columns)
+                if now != key:
+                    if key is not None:
+                        yield pa.RecordBatch.from_arrays([*last, pa.array([total.tobytes()], pa.binary())], [*keys, "k"])
+                    key, total, last = now, np.zeros((size(now[0]), size(now[1]))), [c.slice(k, 1) for c in columns]
+                total += value(batch, k, now)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([*last, pa.array([total.tobytes()], pa.binary())], [*keys, "k"])
+
+    def dense(entry: dict, t: int, names: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(names), size(t)))
+        out[np.searchsorted(names, entry["v"]), np.searchsorted(order, entry["s"]) - t * tile] = entry["x"]
+        return out
+
+    def product(batch: pa.RecordBatch, k: int, key: tuple) -> np.ndarray:
+        flat = batch.column("c")[k].values
+        found = {}
+        for n, t in enumerate(flat.field("t").to_pylist()):
+            found[t] = {c: flat.field(c)[n].values.to_numpy() for c in ("v", "s", "x")}
+        if key[0] not in found or key[1] not in found:
+            return np.zeros((size(key[0]), size(key[1])))
+        names = np.unique(np.concatenate([e["v"] for e in found.values()]))
+        left = dense(found[key[0]], key[0], names)
+        return left.T @ (left if key[0] == key[1] else dense(found[key[1]], key[1], names))
+
+    def stored(batch: pa.RecordBatch, k: int, key: tuple) -> np.ndarray:
+        return np.frombuffer(batch.column("k")[k].as_buffer()).reshape(size(key[0]), size(key[1]))
+
+    first = pairs.mapInArrow(lambda stream: added(stream, product), schema)
+    return first.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda stream: added(stream, stored), schema)
+
+
+def _norm(rows: DataFrame, by: str | None = None) -> DataFrame:
+    own = [by] * bool(by)
+    return rows.groupBy("v_idx", *own).agg(F.max("norm").alias("norm")).groupBy(*own).agg(F.sum("norm").alias("norm"))
+
+
+def _checked(samples: list[int]) -> None:
+    if len(samples) > MOST_SAMPLES:
+        raise ValueError(f"a matrix of {len(samples)} samples is too large for the driver; use the table of pairs, or a low rank")
+
+
+def _assembled(found: DataFrame, n: int, tile: int, by: str | None = None) -> dict:
+    """Full matrices from tiles, by the values of a column."""
+    out: dict = {}
+    for r in found.toLocalIterator():
+        k = out.setdefault(r[by] if by else None, np.zeros((n, n)))
+        a, b = r["ti"] * tile, r["tj"] * tile
+        piece = np.frombuffer(r["k"]).reshape(min(n, a + tile) - a, min(n, b + tile) - b)
+        k[a : a + tile, b : b + tile] = piece
+        k[b : b + tile, a : a + tile] = piece.T
+    return out
+
+
+def gram(rows: DataFrame, samples: list[int], tile: int = TILE) -> tuple[np.ndarray, float]:
+    """X X' over (v_idx, s_idx, x) and the sum of norms, on the driver; at most MOST_SAMPLES samples."""
+    _checked(samples)
+    rows = rows.persist()
+    k = _assembled(tiles(rows, samples, tile), len(samples), tile).get(None, np.zeros((len(samples), len(samples))))
+    norm = _norm(rows).first()["norm"] or 0.0
+    rows.unpersist()
+    return k, norm
+
+
+def gram_pairs(rows: DataFrame, samples: list[int] | None = None, tile: int = TILE) -> DataFrame:
     """(i, j, k) with i <= j as a table: for sample numbers that no driver matrix holds."""
-    a, b = rows.select("v_idx", F.col("s_idx").alias("i"), F.col("x").alias("x")), rows.select("v_idx", F.col("s_idx").alias("j"), F.col("x").alias("y"))
-    norm = rows.groupBy("v_idx").agg(F.max("norm").alias("norm")).agg(F.sum("norm").alias("norm"))
-    sums = a.join(b, "v_idx").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    return sums.crossJoin(F.broadcast(norm)).select("i", "j", (F.col("s") / F.greatest(F.col("norm"), F.lit(1e-10))).alias("k"))
+    order = np.array(sorted(samples if samples is not None else (r["s_idx"] for r in rows.select("s_idx").distinct().toLocalIterator())), np.int64)
+    n = len(order)
+
+    def unfold(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for ti, tj, k in zip(batch.column("ti").to_pylist(), batch.column("tj").to_pylist(), batch.column("k").to_pylist(), strict=True):
+                left, right = order[ti * tile : (ti + 1) * tile], order[tj * tile : (tj + 1) * tile]
+                values = np.frombuffer(k).reshape(len(left), len(right))
+                for a in range(0, len(left), max(1, (1 << 16) // max(1, len(right)))):
+                    own = slice(a, a + max(1, (1 << 16) // max(1, len(right))))
+                    i, j = np.repeat(left[own], len(right)), np.tile(right, len(left[own]))
+                    keep = i <= j
+                    yield pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(j[keep]), pa.array(values[own].ravel()[keep])], ["i", "j", "s"])
+
+    if not n:
+        return rows.sparkSession.createDataFrame([], "i long, j long, k double")
+    sums = tiles(rows, order.tolist(), tile).mapInArrow(unfold, "i bigint, j bigint, s double")
+    return sums.crossJoin(F.broadcast(_norm(rows))).select("i", "j", (F.col("s") / F.greatest(F.col("norm"), F.lit(1e-10))).alias("k"))  # one row: the norm
+
+
+def sparse_pairs(rows: DataFrame, threshold: float = 0.05, samples: list[int] | None = None, tile: int = TILE) -> DataFrame:
+    """The pairs of `gram_pairs` whose relationship reaches the threshold, and all of a sample with itself."""
+    return gram_pairs(rows, samples, tile).where((F.col("i") == F.col("j")) | (F.abs("k") >= threshold))
 
 
 def relationship(cells: DataFrame, samples: list[int], kind: str = "vanraden", ploidy: int = 2, weights: DataFrame | None = None) -> np.ndarray:
@@ -91,6 +186,39 @@ def relationship(cells: DataFrame, samples: list[int], kind: str = "vanraden", p
     return total / (norm if norm > 1e-10 else 1.0)
 
 
+def leave_one_out(cells: DataFrame, samples: list[int], by: str = "chr", kind: str = "vanraden", ploidy: int = 2, tile: int = TILE) -> dict:
+    """The relationship without the variants of each value of ``by``: products are made once, by value, and subtracted from their sum."""
+    _checked(samples)
+    rows = encoded(cells, kind, ploidy).persist()
+    parts = _assembled(tiles(rows, samples, tile, by), len(samples), tile, by)
+    norms = {r[by]: r["norm"] for r in _norm(rows, by).collect()}
+    rows.unpersist()
+    whole, norm = sum(parts.values()), sum(norms.values())
+    return {c: (whole - k) / max(norm - norms[c], 1e-10) for c, k in parts.items()}
+
+
+def zhang(cells: DataFrame, samples: list[int]) -> np.ndarray:
+    """Centred products rescaled by the samples' inbreeding: floor and largest diagonal to the least relationship and the top."""
+    own = Window.partitionBy("v_idx")
+    filled = cells.withColumn("dosage", F.coalesce("dosage", F.avg("dosage").over(own)))
+    filled = filled.withColumn("mean", F.avg("dosage").over(own)).where((F.col("mean") > 0) & (F.col("mean") < 2))
+    het = {r["s_idx"]: r["h"] for r in filled.groupBy("s_idx").agg(F.avg(1 - F.abs(F.col("dosage") - 1)).alias("h")).collect()}
+    if not het:
+        return np.eye(len(samples))
+    k, _ = gram(filled.select("v_idx", "s_idx", (F.col("dosage") - F.col("mean")).alias("x"), F.lit(0.0).alias("norm")), samples)
+    top = 2 - min(het.values()) / 2
+    low, high = k.min(), np.diag(k).max()
+    if abs(high - low) < 1e-20:
+        return np.eye(len(samples))
+    k = top * (k - low) / (high - low)
+    own = np.eye(len(k), dtype=bool)
+    least = np.diag(k).min()
+    if least < 1:
+        k = np.where(own, (k - least + 1) * 2 / (top + 1 - least), k / least)
+    most = k[~own].max(initial=0.0)
+    return np.where(own, k, k * top / most) if most > top else k
+
+
 def standardised(k: np.ndarray) -> np.ndarray:
     """Scaled so that the mean sample variance is one."""
     return k / ((np.trace(k) - k.mean() * len(k)) / (len(k) - 1))
@@ -107,7 +235,10 @@ def spectrum(k: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]
     return np.maximum(values[order], floor), vectors[:, order]
 
 
-def effective_tests(correlation: np.ndarray, share: float = 0.995) -> int:
-    """The first number of eigenvalues that reach the share of the total."""
-    values, _ = spectrum(correlation)
+def components_for(values: np.ndarray, share: float = 0.995) -> int:
+    """The first number of eigenvalues, largest first, that reach the share of their total."""
     return int(np.searchsorted(np.cumsum(values) / values.sum(), share) + 1)
+
+
+def effective_tests(correlation: np.ndarray, share: float = 0.995) -> int:
+    return components_for(spectrum(correlation)[0], share)

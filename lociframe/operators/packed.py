@@ -6,13 +6,36 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def pack(cells: DataFrame) -> DataFrame:
+    """(v_idx, s, d): the known calls of each variant as two arrays; persist it to scan the same calls again."""
+    known = F.collect_list(F.when(F.col("dosage").isNotNull(), F.struct("s_idx", "dosage"))).alias("x")
+    return cells.groupBy("v_idx").agg(known).select("v_idx", F.col("x.s_idx").alias("s"), F.col("x.dosage").alias("d"))
+
+
+def _matrix(batch: pa.RecordBatch, order: np.ndarray) -> np.ndarray:
+    """Samples by variants of a batch, missing calls at the variant's mean (0 without calls); samples outside ``order`` are left out."""
+    s, d = batch.column("s"), batch.column("d")
+    counts = np.diff(s.offsets.to_numpy())
+    who, x = s.flatten().to_numpy(), d.flatten().to_numpy()
+    column = np.repeat(np.arange(batch.num_rows), counts)
+    row = np.searchsorted(order, who)
+    inside = (row < len(order)) & (order[np.minimum(row, len(order) - 1)] == who) if len(order) else np.zeros(len(who), bool)
+    row, column, x = row[inside], column[inside], x[inside]
+    total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+    np.add.at(total, column, x)
+    np.add.at(n, column, 1)
+    g = np.tile(np.where(n > 0, total / np.maximum(n, 1), 0.0), (len(order), 1))
+    g[row, column] = x
+    return g
+
+
 def map_variants(cells: DataFrame, samples: list[int], work: Callable[[np.ndarray, Any], dict[str, np.ndarray]], state: Any, schema: str) -> DataFrame:
-    """``work(G, state)`` on (samples x variants) blocks of dense cells (v_idx, s_idx, dosage).
+    """``work(G, state)`` on (samples x variants) blocks of cells (v_idx, s_idx, dosage), or of what `pack` made of them.
 
     Missing calls get the variant's mean. state is broadcast once; it holds what a null fit left,
     of a size in samples. Each row groups one variant's calls, so a task's memory is a batch of
@@ -20,16 +43,14 @@ def map_variants(cells: DataFrame, samples: list[int], work: Callable[[np.ndarra
     """
     order = np.array(sorted(samples))
     shared = cells.sparkSession.sparkContext.broadcast(state)
-    packed = cells.groupBy("v_idx").agg(F.collect_list(F.struct("s_idx", F.coalesce("dosage", F.lit(float("nan"))).alias("d"))).alias("calls"))
+    packed = cells if "s" in cells.columns else pack(cells)
+
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            if not len(batch):
-                continue
-            g = np.full((len(order), len(batch)), np.nan)
-            for k, calls in enumerate(batch["calls"]):
-                g[np.searchsorted(order, [c["s_idx"] for c in calls]), k] = [c["d"] for c in calls]
-            mean = np.where(np.isnan(g).all(axis=0), 0.0, np.nansum(g, axis=0) / np.maximum((~np.isnan(g)).sum(axis=0), 1))
-            yield pd.DataFrame({"v_idx": batch["v_idx"].to_numpy()} | work(np.where(np.isnan(g), mean, g), shared.value))
-
-    return packed.mapInPandas(run, f"v_idx long, {schema}")
+            if batch.num_rows:
+                found = work(_matrix(batch, order), shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column("v_idx"), *(pa.array(found[n]) for n in names)], ["v_idx", *names])
+
+    return packed.mapInArrow(run, f"v_idx long, {schema}")
