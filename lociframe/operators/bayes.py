@@ -10,26 +10,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def susie_rss(z: np.ndarray, r: np.ndarray, n: float, layers: int = 5, prior: float = 0.04, rounds: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of single effects on z-scores: (pip, alpha by layer), by coordinate ascent."""
+def best_prior(z: np.ndarray, n: float, start: float = 0.04, widest: float = 100.0) -> float:
+    """The prior variance of a single effect with the largest marginal likelihood over variants: golden section on its logarithm; 0 if none beats no effect."""
+
+    def likelihood(v: float) -> float:
+        s2 = 1 / (1 / v + n)
+        lbf = 0.5 * np.log(s2 / v) + 0.5 * s2 * n * z * z
+        return float(lbf.max() + np.log(np.exp(lbf - lbf.max()).mean()))
+
+    a, b, golden = np.log(1e-8), np.log(max(widest * start, float((z * z).max() / n))), (np.sqrt(5) - 1) / 2
+    for _ in range(80):
+        p, q = b - golden * (b - a), a + golden * (b - a)
+        a, b = (a, q) if likelihood(np.exp(p)) >= likelihood(np.exp(q)) else (p, b)
+    v = float(np.exp((a + b) / 2))
+    return v if likelihood(v) > 0 else 0.0
+
+
+def susie_rss(z: np.ndarray, r: np.ndarray, n: float, layers: int = 10, prior: float | None = None, rounds: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of single effects on z-scores: (pip, alpha by layer), by coordinate ascent.
+
+    Each layer's prior variance is estimated in each round unless given; a layer whose best is 0
+    has no effect and no part in the inclusion probabilities.
+    """
     m = len(z)
     z = z * np.sqrt((n - 1) / (z * z + n - 2))
     alpha, mean = np.full((layers, m), 1.0 / m), np.zeros((layers, m))
-    s2 = 1.0 / (1.0 / prior + n)
+    variances = np.full(layers, prior or 0.0)
     fitted = np.zeros(m)
     for _ in range(rounds):
         before = alpha.copy()
         for k in range(layers):
             fitted -= r @ (alpha[k] * mean[k])
             left = z / np.sqrt(n) - fitted
+            v = variances[k] = prior if prior is not None else best_prior(left * np.sqrt(n), n)
+            if v == 0:
+                alpha[k], mean[k] = 1.0 / m, 0.0
+                continue
+            s2 = 1.0 / (1.0 / v + n)
             mu = s2 * n * left
-            log_bf = 0.5 * np.log(s2 / prior) + 0.5 * mu * mu / s2
+            log_bf = 0.5 * np.log(s2 / v) + 0.5 * mu * mu / s2
             e = np.exp(log_bf - log_bf.max())
             alpha[k], mean[k] = e / e.sum(), mu
             fitted += r @ (alpha[k] * mean[k])
         if np.abs(alpha - before).max() < tol:
             break
-    return 1 - np.prod(1 - alpha, axis=0), alpha
+    return 1 - np.prod(1 - alpha[variances > 0], axis=0), alpha
 
 
 def ldpred_inf(z: np.ndarray, r: np.ndarray, n: float, h2: float, m_total: int) -> np.ndarray:
@@ -140,14 +165,15 @@ def by_block(stats: DataFrame, pairs: DataFrame, work: Callable[[pd.DataFrame, n
     return stats.groupBy("block").cogroup(inside.groupBy("of_block")).applyInPandas(run, schema)
 
 
-def finemap(stats: DataFrame, pairs: DataFrame, layers: int = 5) -> DataFrame:
+def finemap(stats: DataFrame, pairs: DataFrame, layers: int = 10) -> DataFrame:
     """(block, v_idx, pip) of each block."""
     work = lambda rows, r: pd.DataFrame({"block": rows["block"], "v_idx": rows["v_idx"], "pip": susie_rss(rows["z"].to_numpy(), r, float(rows["n"].mean()), layers)[0]})
     return by_block(stats, pairs, work, "block string, v_idx long, pip double")
 
 
-def polygenic_weights(stats: DataFrame, pairs: DataFrame, method: str = "inf", h2: float = 0.3, p: float = 0.1, m_total: int = 200) -> DataFrame:
-    """(block, v_idx, weight) by LDpred2 (inf, grid, auto) or PRS-CS (cs); seeded by block."""
+def polygenic_weights(stats: DataFrame, pairs: DataFrame, method: str = "inf", h2: float = 0.3, p: float = 0.1, m_total: int | None = None) -> DataFrame:
+    """(block, v_idx, weight) by LDpred2 (inf, grid, auto) or PRS-CS (cs); seeded by block. m_total is the number of variants of stats unless given."""
+    m_total = m_total or max(1, stats.count())
 
     def work(rows: pd.DataFrame, r: np.ndarray) -> pd.DataFrame:
         z, n = rows["z"].to_numpy(), float(rows["n"].mean())
@@ -178,7 +204,21 @@ def hess(stats: DataFrame, pairs: DataFrame, least: float = 1.0) -> DataFrame:
     return by_block(stats, pairs, work, "block string, h2 double, se double, n_kept long", shrink=0.0)
 
 
-def ldsc(rows: DataFrame, m_total: float, n_blocks: int = 20, steps: int = 2) -> DataFrame:
+def hess_covariance(first: DataFrame, second: DataFrame, pairs: DataFrame, least: float = 1.0) -> DataFrame:
+    """(block, covariance): local genetic covariance of two traits (v_idx, block, z, n) from the block's leading eigenvectors."""
+    both = first.select("v_idx", "block", "z", "n").join(second.select("v_idx", F.col("z").alias("z2"), F.col("n").alias("n2")), "v_idx")
+
+    def work(rows: pd.DataFrame, r: np.ndarray) -> pd.DataFrame:
+        d, u = np.linalg.eigh(r)
+        keep = d >= least
+        n = float(np.sqrt(rows["n"].mean() * rows["n2"].mean()))
+        q = float(((u[:, keep].T @ rows["z"].to_numpy()) * (u[:, keep].T @ rows["z2"].to_numpy()) / d[keep]).sum())
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "covariance": [q / n], "n_kept": [int(keep.sum())]})
+
+    return by_block(both, pairs, work, "block string, covariance double, n_kept long", shrink=0.0)
+
+
+def ldsc(rows: DataFrame, m_total: float, n_blocks: int = 200, steps: int = 2) -> DataFrame:
     """LD score regression with reweighting and a block jackknife.
 
     rows: (at, chi2, ld_score, n) with ``at`` the genome order. Spark reduces each jackknife block
@@ -186,11 +226,13 @@ def ldsc(rows: DataFrame, m_total: float, n_blocks: int = 20, steps: int = 2) ->
     """
     spark = rows.sparkSession
     rows = rows.persist()
-    total = rows.agg(F.count("*").alias("m"), F.avg("n").alias("nbar"), F.avg("chi2").alias("mean"), F.avg(F.col("ld_score") * F.col("n")).alias("ln")).first()
+    total = rows.agg(F.count("*").alias("m"), F.avg("n").alias("nbar"), F.avg("chi2").alias("mean"), F.avg(F.col("ld_score") * F.col("n")).alias("ln"), F.min("at").alias("low"), F.max("at").alias("high")).first()
     nbar = total["nbar"]
     from lociframe.operators.ranking import with_rank
 
-    placed = with_rank(rows.withColumn("__u", F.col("at") / (1 + F.col("at"))), "__u", ["at"])
+    # the even buckets of the ranking, over the genome's own range
+    even = 1 / 64 + (F.col("at") - (total["low"] or 0)) * (63 / 64 / ((total["high"] or 0) - (total["low"] or 0) + 1))
+    placed = with_rank(rows.withColumn("__u", even), "__u", ["at"])
     block = F.least(F.floor((F.col("i") - 1) / (F.col("m") / n_blocks)), F.lit(n_blocks - 1)).cast("int")
     placed = placed.withColumn("block", block).select("block", "chi2", "ld_score", "n")
     a, h2 = 1.0, max(m_total * (total["mean"] - 1) / total["ln"], 0.0)

@@ -7,11 +7,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.functions import specfun
 
+from .ld import pair_correlations
 from .multiple_testing import benjamini_hochberg
 from .sumstats import log_abf
 
@@ -151,27 +152,40 @@ def gene_set_enrichment(genes: DataFrame, sets: DataFrame, gene: str = "gene", z
     return member.mapInPandas(run, f"{name} string, n_genes long, beta double, p double")
 
 
-def local_fdr(rows: DataFrame, p: str = "p", bins: int = 120) -> DataFrame:
-    """Local false discovery rate from a histogram density of z; the histogram is the only thing collected."""
-    z = specfun.norm_ppf_udf(F.least(F.greatest(1 - F.col(p) / 2, F.lit(0.5)), F.lit(1 - 1e-15)))
-    scored = rows.withColumn("__z", z)
-    width = 8.0 / bins
-    counts = {r["b"]: r["n"] for r in scored.groupBy(F.least(F.floor(F.col("__z") / width), F.lit(bins - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}
-    n = sum(counts.values())
-    if n < 10:
+#: The grid of scores on which `local_fdr` estimates their density.
+GRID_STEP, GRID_END = 0.01, 10.0
+
+
+def local_fdr(rows: DataFrame, p: str = "p", cut: float = 0.5) -> DataFrame:
+    """Local false discovery rate of z = quantile(1 - p): null share times normal density over the scores' density.
+
+    The density is a Gaussian kernel estimate with Scott's width. Scores are shared out between
+    their two neighbours on a grid, so only the grid's weights come to the driver, and the density
+    between grid points is interpolated; the grid is fine against the width.
+    """
+    z = -specfun.norm_ppf_udf(F.least(F.greatest(F.col(p), F.lit(1e-300)), F.lit(1 - 1e-15)))
+    scored = rows.withColumn("__z", F.least(F.greatest(z, F.lit(-GRID_END)), F.lit(GRID_END)))
+    place = (F.col("__z") + GRID_END) / GRID_STEP
+    k = F.least(F.floor(place), F.lit(round(2 * GRID_END / GRID_STEP) - 1)).cast("int")
+    spread = scored.select("__z", F.explode(F.array(F.struct(k.alias("k"), (1 - (place - k)).alias("w")), F.struct((k + 1).alias("k"), (place - k).alias("w")))).alias("x"))
+    stats = scored.agg(F.count("*").alias("n"), F.stddev_samp("__z").alias("sd"), F.count(F.when(F.col(p) > cut, 1)).alias("high")).first()
+    n = stats["n"]
+    if n < 10 or not stats["sd"]:
         return rows.withColumn("local_fdr", F.lit(1.0))
-    centers = (np.arange(bins) + 0.5) * width
-    raw = np.array([counts.get(k, 0) for k in range(bins)]) / (n * width)
-    spread = max(0.9 * min(1.0, 1.0) * n**-0.2, width)
-    kernel = np.exp(-0.5 * (np.subtract.outer(centers, np.concatenate([centers, -centers])) / spread) ** 2) / (spread * math.sqrt(2 * math.pi))
-    density = kernel @ np.concatenate([raw, raw]) * width
-    high = rows.where(F.col(p) > 0.5).count()
-    pi0 = min(1.0, max(0.01, high / (0.5 * n)))
-    f0 = 2 * specfun.norm_pdf(centers)
-    table = np.clip(pi0 * f0 / np.maximum(density, 1e-300), 0, 1)
-    table = np.minimum.accumulate(table)
-    at = F.least(F.floor(F.col("__z") / width), F.lit(bins - 1)).cast("int")
-    return scored.withColumn("local_fdr", F.get(F.array(*(F.lit(float(x)) for x in table)), at)).drop("__z")
+    grid = np.arange(round(2 * GRID_END / GRID_STEP) + 1) * GRID_STEP - GRID_END
+    weight = np.zeros(len(grid))
+    for r in spread.groupBy("x.k").agg(F.sum("x.w").alias("w")).collect():
+        weight[r["k"]] = r["w"]
+    width = stats["sd"] * n**-0.2
+    density = np.exp(-0.5 * (np.subtract.outer(grid, grid) / width) ** 2) @ weight / (n * width * math.sqrt(2 * math.pi))
+    pi0 = min(max(stats["high"] / (n * (1 - cut)), 0.01), 1.0)
+
+    @F.pandas_udf("double")
+    def rate(z: pd.Series) -> pd.Series:
+        at = z.to_numpy(float)
+        return pd.Series(np.clip(pi0 * specfun.norm_pdf(at) / np.maximum(np.interp(at, grid, density), 1e-20), 0, 1))
+
+    return scored.withColumn("local_fdr", rate("__z")).drop("__z")
 
 
 def ihw(rows: DataFrame, covariate: str, ties: list[str], p: str = "p", n_bins: int = 10, n_folds: int = 5) -> DataFrame:
@@ -191,11 +205,18 @@ def ihw(rows: DataFrame, covariate: str, ties: list[str], p: str = "p", n_bins:
     return weighted_bh(folded.join(F.broadcast(weights), ["__bin", "__fold"]), "weight", ties, p).drop("__bin", "__fold")
 
 
-def impute_from_neighbours(cells: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Missing calls from near variants of the same sample, weighted by |r|; the variant's mean where none helps."""
+def impute_from_neighbours(cells: DataFrame, window: int = 50) -> DataFrame:
+    """Missing calls from the variants up to ``window`` places before and after, weighted by |r|; all calls mean-filled first.
+
+    v_idx is a variant's place. The filled mean itself stays where no neighbour is correlated.
+    """
+    own = Window.partitionBy("v_idx")
+    filled = cells.withColumn("filled", F.coalesce("dosage", F.avg("dosage").over(own)))
+    places = cells.select("v_idx").distinct().select("v_idx", F.lit("").alias("chr"), F.col("v_idx").alias("pos"))
+    pairs = pair_correlations(filled.select("v_idx", "s_idx", F.col("filled").alias("dosage")), places, window)
     near = pairs.select(F.col("i").alias("v_idx"), F.col("j").alias("other"), F.abs("r").alias("w")).unionByName(pairs.select(F.col("j").alias("v_idx"), F.col("i").alias("other"), F.abs("r").alias("w")))
     missing = cells.where("dosage IS NULL").select("v_idx", "s_idx")
-    known = cells.where("dosage IS NOT NULL").select(F.col("v_idx").alias("other"), "s_idx", "dosage")
-    guess = missing.join(near, "v_idx").join(known, ["other", "s_idx"]).groupBy("v_idx", "s_idx").agg((F.sum(F.col("w") * F.col("dosage")) / F.sum("w")).alias("guess"))
-    means = cells.groupBy("v_idx").agg(F.avg("dosage").alias("mean"))
-    return cells.join(guess, ["v_idx", "s_idx"], "left").join(means, "v_idx").select("v_idx", "s_idx", F.coalesce("dosage", "guess", "mean").alias("dosage"))
+    known = filled.select(F.col("v_idx").alias("other"), "s_idx", "filled")
+    guess = missing.join(near, "v_idx").join(known, ["other", "s_idx"]).groupBy("v_idx", "s_idx").agg(F.sum(F.col("w") * F.col("filled")).alias("wd"), F.sum("w").alias("w"))
+    guess = guess.select("v_idx", "s_idx", F.when(F.col("w") > 1e-10, F.col("wd") / F.col("w")).alias("guess"))
+    return filled.join(guess, ["v_idx", "s_idx"], "left").select("v_idx", "s_idx", F.coalesce("dosage", "guess", "filled").alias("dosage"))

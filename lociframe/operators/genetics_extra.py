@@ -101,8 +101,8 @@ def impute_knn(cells: DataFrame, kinship: DataFrame, k: int = 5) -> DataFrame:
     near = kinship.where("s_idx <> other").withColumn("place", place).where(F.col("place") <= k).drop("place")
     known = cells.where("dosage IS NOT NULL").select("v_idx", F.col("s_idx").alias("other"), "dosage")
     missing = cells.where("dosage IS NULL").select("v_idx", "s_idx")
-    sums = missing.join(near, "s_idx").join(known, ["v_idx", "other"]).groupBy("v_idx", "s_idx").agg(F.sum(F.col("w") * F.col("dosage")).alias("wd"), F.sum("w").alias("w"), F.avg("dosage").alias("plain"))
-    guess = sums.select("v_idx", "s_idx", F.when(F.abs("w") > 1e-12, F.col("wd") / F.col("w")).otherwise(F.col("plain")).alias("guess"))
+    sums = missing.join(near, "s_idx").join(known, ["v_idx", "other"]).groupBy("v_idx", "s_idx").agg(F.sum(F.greatest("w", F.lit(0.0)) * F.col("dosage")).alias("wd"), F.sum(F.greatest("w", F.lit(0.0))).alias("w"), F.avg("dosage").alias("plain"))
+    guess = sums.select("v_idx", "s_idx", F.when(F.col("w") > 0, F.col("wd") / F.col("w")).otherwise(F.col("plain")).alias("guess"))
     means = cells.groupBy("v_idx").agg(F.avg("dosage").alias("mean"))
     return cells.join(guess, ["v_idx", "s_idx"], "left").join(means, "v_idx").select("v_idx", "s_idx", F.coalesce("dosage", "guess", "mean").alias("dosage"))
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import specfun
 
-from .packed import map_variants
+from . import mixed
+from .packed import map_variants, pack
 
 
 def score_linear(g: np.ndarray, s: dict) -> dict[str, np.ndarray]:
@@ -42,16 +43,29 @@ def _smallest(scan: DataFrame, k: int, threshold: float) -> pd.DataFrame:
     return scan.where(F.col("p").isNotNull() & ~F.isnan("p") & (F.col("p") <= threshold)).orderBy("p", "v_idx").limit(k).toPandas()
 
 
-def conditional_leads(cells: DataFrame, samples: list[int], y: np.ndarray, x: np.ndarray, threshold: float = 5e-8, most: int = 5) -> DataFrame:
-    """Lead variants found one by one, each conditional on those before: (round, v_idx, beta, se, p)."""
+def _cut(cells: DataFrame, threshold: float | None) -> float:
+    """The threshold, or 0.01 over the number of variants."""
+    return threshold if threshold is not None else 0.01 / max(1, cells.select("v_idx").distinct().count())
+
+
+def conditional_leads(cells: DataFrame, samples: list[int], y: np.ndarray, x: np.ndarray, threshold: float = 5e-8, most: int = 5, kinship: np.ndarray | None = None) -> DataFrame:
+    """Lead variants found one by one, each conditional on those before: (round, v_idx, beta, se, p).
+
+    Calls are packed once for all rounds. With a kinship matrix each round is a mixed model whose
+    null fit holds the leads found so far.
+    """
     found: list[tuple] = []
+    packed = pack(cells).persist()
+    basis = mixed.eigen(kinship) if kinship is not None else None
     while len(found) < most:
         own = np.column_stack([x, columns_of(cells, samples, [f[1] for f in found])])
-        top = _smallest(linear_scan(cells, samples, y, own), 1, threshold)
+        scan = linear_scan(packed, samples, y, own) if basis is None else mixed.scan(packed, mixed.fit_eigen(y, own, *basis, sorted(samples)))
+        top = _smallest(scan, 1, threshold)
         if not len(top):
             break
         r = top.iloc[0]
         found.append((len(found) + 1, int(r["v_idx"]), float(r["beta"]), float(r["se"]), float(r["p"])))
+    packed.unpersist()
     return cells.sparkSession.createDataFrame(found, "round int, v_idx long, beta double, se double, p double")
 
 
@@ -73,11 +87,26 @@ def bic(y: np.ndarray, x: np.ndarray) -> float:
     return n * np.log(2 * np.pi) + n * np.log(s2) + rss / s2 + (x.shape[1] - 1) * np.log(n)
 
 
-def blink(cells: DataFrame, samples: list[int], y: np.ndarray, x: np.ndarray, threshold: float = 0.01, most: int = 20, rounds: int = 10) -> tuple[DataFrame, list[int]]:
-    """Rounds of scan, LD pruning of the hits and choice of their number by BIC, until the set stays; the last scan and the set."""
+def _final(cells: DataFrame, packed: DataFrame, samples: list[int], y: np.ndarray, x: np.ndarray, chosen: list[int]) -> DataFrame:
+    """The scan with the chosen variants as covariates; each of these is tested given the others."""
+    columns = columns_of(cells, samples, chosen)
+    scan = linear_scan(packed, samples, y, np.column_stack([x, columns]))
+    if not chosen:
+        return scan
+    rows = []
+    for k, v in enumerate(chosen):
+        found = score_linear(columns[:, [k]], {"y": y, "x": np.column_stack([x, np.delete(columns, k, axis=1)])})
+        rows.append((int(v), *(float(found[c][0]) for c in ("beta", "se", "p"))))
+    own = cells.sparkSession.createDataFrame(rows, "v_idx long, beta double, se double, p double")
+    return scan.where(~F.col("v_idx").isin(chosen)).unionByName(own)
+
+
+def blink(cells: DataFrame, samples: list[int], y: np.ndarray, x: np.ndarray, threshold: float | None = None, most: int = 20, rounds: int = 10) -> tuple[DataFrame, list[int]]:
+    """Rounds of scan, LD pruning of the hits and choice of their number by BIC, until the set stays; the last scan and the set. Calls are packed once."""
     chosen: list[int] = []
+    threshold, packed = _cut(cells, threshold), pack(cells).persist()
     for _ in range(rounds):
-        scan = linear_scan(cells, samples, y, np.column_stack([x, columns_of(cells, samples, chosen)]))
+        scan = linear_scan(packed, samples, y, np.column_stack([x, columns_of(cells, samples, chosen)]))
         hits = [int(v) for v in _smallest(scan, most, threshold)["v_idx"]]
         pool = list(dict.fromkeys(chosen + hits))
         if not pool:
@@ -90,23 +119,24 @@ def blink(cells: DataFrame, samples: list[int], y: np.ndarray, x: np.ndarray, th
         if set(new) == set(chosen):
             break
         chosen = new
-    return linear_scan(cells, samples, y, np.column_stack([x, columns_of(cells, samples, chosen)])), chosen
+    return _final(cells, packed, samples, y, x, chosen), chosen
 
 
-def farmcpu(cells: DataFrame, variants: DataFrame, samples: list[int], y: np.ndarray, x: np.ndarray, bin_size: int = 10_000, most: int = 10, threshold: float = 0.01, rounds: int = 10) -> tuple[DataFrame, list[int]]:
-    """Fixed and random rounds: the best variant of each bin below the threshold becomes a covariate."""
+def farmcpu(cells: DataFrame, variants: DataFrame, samples: list[int], y: np.ndarray, x: np.ndarray, bin_size: int = 10_000, most: int = 10, threshold: float | None = None, rounds: int = 10) -> tuple[DataFrame, list[int]]:
+    """Fixed and random rounds: the best variant of each bin below the threshold becomes a covariate. Calls are packed once."""
     from .scan import top_per_bin
 
     chosen: list[int] = []
+    threshold, packed = _cut(cells, threshold), pack(cells).persist()
     for _ in range(rounds):
-        scan = linear_scan(cells, samples, y, np.column_stack([x, columns_of(cells, samples, chosen)]))
+        scan = linear_scan(packed, samples, y, np.column_stack([x, columns_of(cells, samples, chosen)]))
         best = top_per_bin(scan.where(~F.isnan("p") & (F.col("p") <= threshold)).join(variants.select("v_idx", "chr", "pos"), "v_idx"), bin_size, most).toPandas()
         pool = list(dict.fromkeys(chosen + [int(v) for v in best["v_idx"]]))
         new = pruned(pool, columns_of(cells, samples, pool)) if pool else []
         if set(new) == set(chosen):
             break
         chosen = new
-    return linear_scan(cells, samples, y, np.column_stack([x, columns_of(cells, samples, chosen)])), chosen
+    return _final(cells, packed, samples, y, x, chosen), chosen
 
 
 def knockoffs(g: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -123,16 +153,20 @@ def knockoffs(g: np.ndarray, seed: int = 0) -> np.ndarray:
     return (z - s * z @ inverse + noise) * sd + mean
 
 
-def knockoff_statistics(cells: DataFrame, variants: DataFrame, samples: list[int], y: np.ndarray, x: np.ndarray, block: int = 20_000) -> DataFrame:
-    """(v_idx, w): |z| of each variant less that of its knockoff, made block by block."""
+def knockoff_statistics(cells: DataFrame, variants: DataFrame, samples: list[int], y: np.ndarray, x: np.ndarray, block: int = 20_000, kinship: np.ndarray | None = None) -> DataFrame:
+    """(v_idx, w): |z| of each variant less that of its knockoff, made block by block; under a mixed model if there is a kinship matrix."""
     placed = cells.join(variants.select("v_idx", "chr", F.floor(F.col("pos") / block).alias("block")), "v_idx")
-    shared = cells.sparkSession.sparkContext.broadcast((sorted(samples), y, x))
+    shared = cells.sparkSession.sparkContext.broadcast((sorted(samples), y, x, mixed.fit_null(y, x, kinship, sorted(samples)) if kinship is not None else None))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        order, y, x = shared.value
+        order, y, x, fit = shared.value
         wide = group.pivot(index="s_idx", columns="v_idx", values="dosage").reindex(order)
         g = wide.fillna(wide.mean()).fillna(0.0).to_numpy(float)
-        score = lambda m: np.abs(np.nan_to_num((lambda r: r["beta"] / r["se"])(score_linear(m, {"y": y, "x": x}))))
+
+        def score(m: np.ndarray) -> np.ndarray:
+            found = score_linear(m, {"y": y, "x": x}) if fit is None else dict(zip(("beta", "se", "p"), mixed.score(fit, m), strict=True))
+            return np.abs(np.nan_to_num(found["beta"] / found["se"]))
+
         return pd.DataFrame({"v_idx": wide.columns.to_numpy(), "w": score(g) - score(knockoffs(g, int(wide.columns[0])))})
 
     return placed.groupBy("chr", "block").applyInPandas(run, "v_idx long, w double")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import running, with_rank
+from .ranking import running, running_sums, with_rank
 
 
 def _count(df: DataFrame) -> DataFrame:
@@ -75,7 +75,6 @@ def knockoff_filter(df: DataFrame, w: str, q: float = 0.1) -> DataFrame:
     """Rows selected by the knockoff+ threshold on the statistic ``w``."""
     near = df.select(F.abs(F.col(w)).alias("t"), (F.col(w) > 0).cast("int").alias("up"), (F.col(w) < 0).cast("int").alias("down")).where("t > 0")
     sums = near.groupBy("t").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    above = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ratio = (1 + F.sum("down").over(above)) / F.greatest(F.lit(1), F.sum("up").over(above))
-    threshold = sums.withColumn("fdp", ratio).where((F.col("fdp") <= q) & (F.col("up") > 0)).agg(F.min("t").alias("threshold"))
+    sums = running_sums(sums.withColumn("minus", -F.col("t")), "minus", [], {"down": "downs", "up": "ups"})
+    threshold = sums.withColumn("fdp", (1 + F.col("downs")) / F.greatest(F.lit(1), F.col("ups"))).where((F.col("fdp") <= q) & (F.col("up") > 0)).agg(F.min("t").alias("threshold"))
     return df.crossJoin(F.broadcast(threshold)).withColumn("selected", F.coalesce(F.col(w) >= F.col("threshold"), F.lit(False)))

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import running_sums
+
+
 def _w() -> Column:
     """Inverse variance."""
     return 1 / (F.col("se") * F.col("se"))
@@ -103,11 +106,11 @@ def mr_egger(inst: DataFrame) -> DataFrame:
 def mr_weighted_median(inst: DataFrame, by: str = "snp") -> DataFrame:
     """Median of the ratio estimates by inverse-variance weight, interpolated at one half."""
     rows = inst.where("bx <> 0").select(by, (F.col("by") / F.col("bx")).alias("ratio"), (F.col("bx") * F.col("bx") / (F.col("sy") * F.col("sy"))).alias("w"))
-    order = Window.orderBy("ratio", by)
-    rows = rows.withColumn("at", (F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w") / 2) / F.sum("w").over(Window.partitionBy()))
-    rows = rows.withColumns({"next_at": F.lead("at").over(order), "next_ratio": F.lead("ratio").over(order)})
-    inside = rows.where((F.col("at") < 0.5) & (F.col("next_at") >= 0.5))
-    return inside.select((F.col("ratio") + (F.col("next_ratio") - F.col("ratio")) * (0.5 - F.col("at")) / (F.col("next_at") - F.col("at"))).alias("beta"))
+    rows = running_sums(rows, "ratio", [by], {"w": "upto"}).crossJoin(F.broadcast(rows.agg(F.sum("w").alias("total"))))  # one row: the total
+    rows = rows.withColumn("at", (F.col("upto") - F.col("w") / 2) / F.col("total"))
+    below, place = F.col("at") < 0.5, F.struct("ratio", by, "at")
+    ends = rows.agg(F.max(F.when(below, place)).alias("a"), F.min(F.when(~below, place)).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    return ends.select((F.col("a.ratio") + (F.col("b.ratio") - F.col("a.ratio")) * (0.5 - F.col("a.at")) / (F.col("b.at") - F.col("a.at"))).alias("beta"))
 
 
 def log_abf(beta: Column, se: Column, prior_w: float = 0.15) -> Column:
