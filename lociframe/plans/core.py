@@ -36,10 +36,10 @@ def sample_table(spark: SparkSession, sf: str) -> DataFrame:
     cte("geno", "samples")
     + """SELECT s_idx, g.k IS NOT NULL AS in_genotype, p.k IS NOT NULL AS in_phenotype, g.k IS NOT NULL AND p.k IS NOT NULL AS included,
       CASE WHEN p.k IS NULL THEN 'no_phenotype' WHEN g.k IS NULL THEN 'no_genotype' END AS drop_reason
-    FROM (SELECT DISTINCT s_idx, 1 AS k FROM geno WHERE s_idx % 10 <> 3) g FULL JOIN (SELECT s_idx, 1 AS k FROM samples WHERE s_idx % 7 <> 2) p USING (s_idx)""",
+    FROM (SELECT DISTINCT s_idx, 1 AS k FROM geno) g FULL JOIN (SELECT s_idx, 1 AS k FROM samples) p USING (s_idx)""",
 )
 def alignment_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return qc.alignment_manifest(views.geno(spark, sf).where("s_idx % 10 <> 3"), views.samples(spark, sf).where("s_idx % 7 <> 2"), "s_idx")
+    return qc.alignment_manifest(views.geno(spark, sf), views.samples(spark, sf), "s_idx")
 
 
 @register("orphan_samples", cte("geno", "samples") + "SELECT s_idx FROM samples WHERE s_idx NOT IN (SELECT s_idx FROM geno WHERE dosage = 2)")
@@ -174,12 +174,12 @@ def dosage_rsq(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "quantile_normalize",
-    """WITH x AS (SELECT vec_id, k AS feature, embedding[k] AS v FROM embeddings, (SELECT unnest(range(1, 9)) AS k)),
+    """WITH x AS (SELECT vec_id, k AS feature, embedding[k] AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k)),
     p AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY v, vec_id) AS place FROM x), l AS (SELECT place, avg(v) AS level FROM p GROUP BY 1)
     SELECT vec_id, feature::INT AS feature, round(avg(level) OVER (PARTITION BY feature, v), 6) AS normalized FROM p JOIN l USING (place)""",
 )
 def quantile_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.read(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("feature", "v"))
+    rows = views.read(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("feature", "v"))
     rows = rows.withColumn("feature", F.col("feature") + 1)
     return encode.quantile_normalize(rows, "vec_id", "feature", "v").select("vec_id", "feature", r("normalized"))
 

@@ -14,39 +14,49 @@ from lociframe.streaming import running
 
 from . import views
 from .catalogue import register
-from .core import CELLS, cells, joined, r, stats
-from .post import PAIR_WINDOW, SCORE_WINDOW, pairs
+from .core import CELLS, JOINED, LINEAR, STATS, cells, joined, r, stats
+from .post import BOTH, PAIR_WINDOW, SCORE_PAIRS, SCORE_WINDOW, pairs
+from .tails import chi2_sf, norm_cdf, norm_ppf, t_sf2
 from .views import cte
 
 
-@register("hwe_p")
+@register("hwe_p", STATS + f"SELECT v_idx, round(hwe_chi2, 6) AS hwe_chi2, round(CASE WHEN n_obs < 10 THEN 1 ELSE {chi2_sf('hwe_chi2', '1::DOUBLE')} END, 8) AS hwe_p FROM stats")
 def hwe_p(spark: SparkSession, sf: str) -> DataFrame:
     rows = stats(spark, sf)
     p = F.when(F.col("n_obs") < 10, 1.0).otherwise(specfun.chi2_sf_udf(F.col("hwe_chi2"), F.lit(1.0)))
-    return rows.select("v_idx", r("hwe_chi2"), p.alias("hwe_p"))
+    return rows.select("v_idx", r("hwe_chi2"), F.round(p, 8).alias("hwe_p"))
 
 
-@register("glm_scan_p")
+@register("glm_scan_p", JOINED + LINEAR + f"SELECT v_idx, round(beta, 6) AS beta, round(se, 6) AS se, round({t_sf2('beta / se', '(n - 2)::DOUBLE')}, 8) AS p FROM lin")
 def glm_scan_p(spark: SparkSession, sf: str) -> DataFrame:
     rows = scan.linear(joined(spark, sf))
-    return rows.select("v_idx", "beta", "se", specfun.t_sf2_udf(F.col("stat"), (F.col("n") - 2).cast("double")).alias("p"))
+    return rows.select("v_idx", r("beta"), r("se"), F.round(specfun.t_sf2_udf(F.col("stat"), (F.col("n") - 2).cast("double")), 8).alias("p"))
 
 
-@register("rank_int")
+@register(
+    "rank_int",
+    f"""WITH x AS (SELECT vec_id, k - 1 AS feature, embedding[k] AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k)),
+    q AS (SELECT vec_id, feature, (rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2 - 0.375) / (count(*) OVER (PARTITION BY feature) + 0.25) AS q FROM x)
+    SELECT vec_id, feature::INT AS feature, round({norm_ppf('q')}, 6) + 0::DOUBLE AS normal FROM q""",
+)
 def rank_int(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.read(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("feature", "v"))
     rank, n = encode.average_rank("v", ["feature"]), F.count("*").over(Window.partitionBy("feature"))
-    return rows.withColumn("q", (rank - 0.375) / (n + 0.25)).select("vec_id", "feature", specfun.norm_ppf_udf("q").alias("normal"))
+    return rows.withColumn("q", (rank - 0.375) / (n + 0.25)).select("vec_id", "feature", (F.round(specfun.norm_ppf_udf("q"), 6) + F.lit(0.0)).alias("normal"))
 
 
-@register("power")
+@register(
+    "power",
+    cte("pvals", "geno") + f""", f AS (SELECT v_idx, avg(dosage) / 2 AS af FROM geno GROUP BY 1), x AS (SELECT v_idx, 2 * n * af * (1 - af) * beta * beta AS ncp FROM pvals JOIN f USING (v_idx))
+    SELECT v_idx, round(ncp, 6) AS ncp, round({norm_cdf('sqrt(ncp) - 1.959963984540054')} + {norm_cdf('-sqrt(ncp) - 1.959963984540054')}, 6) AS power FROM x""",
+)
 def power(spark: SparkSession, sf: str) -> DataFrame:
     from lociframe.operators import qc
 
     rows = sumstats.power_ncp(views.pvals(spark, sf).join(qc.allele_frequency(views.geno(spark, sf)), "v_idx"))
     z = F.lit(float(specfun.norm_ppf(1 - 0.05 / 2)[0]))
     root = F.sqrt("ncp")
-    return rows.select("v_idx", "ncp", (specfun.norm_cdf_udf(root - z) + specfun.norm_cdf_udf(-root - z)).alias("power"))
+    return rows.select("v_idx", r("ncp"), F.round(specfun.norm_cdf_udf(root - z) + specfun.norm_cdf_udf(-root - z), 6).alias("power"))
 
 
 def sample_ids(spark: SparkSession, sf: str) -> list[int]:
@@ -88,11 +98,32 @@ def grm_loco(spark: SparkSession, sf: str) -> DataFrame:
     GRM.format(where="") + "SELECT a.s_idx AS i, b.s_idx AS j, round(sum(a.x * b.x) / max(c), 6) AS k FROM e a JOIN e b USING (v_idx), norm WHERE a.s_idx <= b.s_idx GROUP BY 1, 2",
 )
 def grm_pairs_table(spark: SparkSession, sf: str) -> DataFrame:
-    return kinship.gram_pairs(kinship.encoded(cells(spark, sf))).select("i", "j", r("k"))
+    return kinship.gram_pairs(kinship.encoded(cells(spark, sf)), sample_ids(spark, sf)).select("i", "j", r("k"))
+
+
+#: The values and the divisor of each relationship, from the mean-imputed dosage g and the frequency p.
+KINDS = {
+    "yang": ("(g - 2 * p) / sqrt(2 * p * (1 - p))", "1", "WHERE p > 0 AND p < 1"),
+    "dominance": ("CASE round(g) WHEN 0 THEN -2 * p * p WHEN 1 THEN 2 * p * (1 - p) ELSE -2 * (1 - p) * (1 - p) END", "2 * p * p * (1 - p) * (1 - p)", ""),
+    "su": ("CASE round(g) WHEN 1 THEN 1 - 2 * p * (1 - p) ELSE -2 * p * (1 - p) END", "p * (1 - p) * (1 - p * (1 - p))", ""),
+    "slater": ("g - 2 * p", "2 * p * (2 - 2 * p)", ""),
+    "pseudo_diploid": ("g - 2 * p", "2 * p * (1 - p)", ""),
+}
 
 
-for _kind in ("yang", "dominance", "su", "slater"):
-    register(f"grm_{_kind}")(lambda spark, sf, kind=_kind: _matrix(spark, kinship.relationship(cells(spark, sf), ids := sample_ids(spark, sf), kind), ids))
+def _kind_sql(kind: str) -> str:
+    x, norm, where = KINDS[kind]
+    filled = "coalesce(dosage, avg(dosage) OVER (PARTITION BY v_idx))"
+    filled = f"round({filled})" if kind == "pseudo_diploid" else filled
+    return CELLS + f""", d AS (SELECT v_idx, s_idx, {filled} AS g FROM cells), f AS (SELECT v_idx, s_idx, g, avg(g) OVER (PARTITION BY v_idx) / 2 AS p FROM d),
+      e AS (SELECT v_idx, s_idx, {x} AS x, {norm} AS norm FROM f {where}), c AS (SELECT sum(norm) AS c FROM (SELECT v_idx, max(norm) AS norm FROM e GROUP BY 1))
+      SELECT a.s_idx AS i, b.s_idx AS j, round(sum(a.x * b.x) / max(c), 6) + 0::DOUBLE AS k FROM e a JOIN e b USING (v_idx), c WHERE a.s_idx <= b.s_idx GROUP BY 1, 2"""
+
+
+for _kind in KINDS:
+    register(f"grm_{_kind}", _kind_sql(_kind))(
+        lambda spark, sf, kind=_kind: _matrix(spark, kinship.relationship(cells(spark, sf), ids := sample_ids(spark, sf), kind), ids).withColumn("k", F.round("k", 6) + F.lit(0.0))
+    )
 
 
 @register("pca")
@@ -102,10 +133,9 @@ def pca(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"s_idx": ids} | {f"pc{k + 1}": vectors[:, k] * np.sqrt(values[k]) for k in range(4)}))
 
 
-def null_fit(spark: SparkSession, sf: str, drop_chr: int | None = None) -> mixed.NullFit:
+def null_fit(spark: SparkSession, sf: str, k: np.ndarray | None = None) -> mixed.NullFit:
     ids = sample_ids(spark, sf)
-    own = cells(spark, sf) if drop_chr is None else cells(spark, sf).where(F.col("v_idx") % 5 != drop_chr)
-    k = kinship.relationship(own, ids)
+    k = kinship.relationship(cells(spark, sf), ids) if k is None else k
     rows = views.samples(spark, sf).orderBy("s_idx").toPandas()
     return mixed.fit_null(rows["y"].to_numpy(float), np.column_stack([np.ones(len(rows)), rows["cov"]]), k, ids)
 
@@ -117,8 +147,31 @@ def lmm_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("lmm_scan_loco")
 def lmm_scan_loco(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [mixed.scan(cells(spark, sf).where(F.col("v_idx") % 5 == c), null_fit(spark, sf, c)) for c in range(5)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+    """Each chromosome against the relationship of the others; the products are made once, by chromosome."""
+    placed = cells(spark, sf).withColumn("chr", F.col("v_idx") % 5)
+    left_out = kinship.leave_one_out(placed, sample_ids(spark, sf))
+    parts = [mixed.scan(placed.where(F.col("chr") == c), null_fit(spark, sf, k)) for c, k in sorted(left_out.items())]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@register("lmm_scan_refit")
+def lmm_scan_refit(spark: SparkSession, sf: str) -> DataFrame:
+    """The variance ratio fitted anew with each variant in the model."""
+    ids = sample_ids(spark, sf)
+    t = views.samples(spark, sf).orderBy("s_idx").toPandas()
+    return mixed.scan_refit(cells(spark, sf), t["y"].to_numpy(float), np.column_stack([np.ones(len(t)), t["cov"]]), kinship.relationship(cells(spark, sf), ids), ids)
+
+
+@register("lmm_scan_low_rank")
+def lmm_scan_low_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """The leading axes of the relationship only, as for samples beyond a driver's eigenvectors."""
+    ids = sample_ids(spark, sf)
+    t = views.samples(spark, sf).orderBy("s_idx").toPandas()
+    fit = mixed.fit_null(t["y"].to_numpy(float), np.column_stack([np.ones(len(t)), t["cov"]]), kinship.relationship(cells(spark, sf), ids), ids, rank=max(1, len(ids) // 2))
+    return mixed.scan(cells(spark, sf), fit)
 
 
 @register("variance_components")
@@ -159,15 +212,36 @@ for _method in ("inf", "grid", "auto", "cs"):
     )
 
 
+@register("hess_covariance")
+def hess_covariance(spark: SparkSession, sf: str) -> DataFrame:
+    other = views.studies(spark, sf).where("study = 'R'").select("v_idx", F.col("chr").alias("block"), (F.col("beta") / F.col("se")).alias("z"), F.col("n").cast("double").alias("n"))
+    return bayes.hess_covariance(block_stats(spark, sf), other, pairs(spark, sf, PAIR_WINDOW))
+
+
 @register("hess")
 def hess(spark: SparkSession, sf: str) -> DataFrame:
     return bayes.hess(block_stats(spark, sf), pairs(spark, sf, PAIR_WINDOW))
 
 
-@register("ldsc_h2")
+LDSC = SCORE_PAIRS + BOTH + f""", studies AS ({views.SQL["studies"]}), p AS (SELECT v_idx, n, (beta / se) ** 2 AS chi2 FROM studies WHERE study = 'N'),
+  l AS (SELECT v_idx, 1 + coalesce(sum(r2), 0) AS l FROM variants LEFT JOIN both_ways USING (v_idx) GROUP BY 1),
+  x AS (SELECT v_idx, chi2, n, l, l * n / avg(n) OVER () AS x, avg(n) OVER () AS nbar, greatest(200 * (avg(chi2) OVER () - 1) / avg(l * n) OVER (), 0) AS h0,
+    least(floor((row_number() OVER (ORDER BY v_idx) - 1) / (count(*) OVER () / 20)), 19) AS block FROM p JOIN l USING (v_idx)),
+  w1 AS (SELECT *, 1 / (2 * (1 + h0 * n * greatest(l, 1) / 200) ** 2) / greatest(l, 1) AS w FROM x),
+  s1 AS (SELECT sum(w) AS s0, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(w * chi2) AS sy, sum(w * x * chi2) AS sxy, max(nbar) AS nbar FROM w1),
+  f1 AS (SELECT (sxx * sy - sx * sxy) / (s0 * sxx - sx * sx) AS a, greatest((s0 * sxy - sx * sy) / (s0 * sxx - sx * sx) * 200 / nbar, 0) AS h FROM s1),
+  w2 AS (SELECT x.*, 1 / (2 * (a + h * n * greatest(l, 1) / 200) ** 2) / greatest(l, 1) AS w FROM x, f1),
+  b AS (SELECT block, sum(w) AS s0, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(w * chi2) AS sy, sum(w * x * chi2) AS sxy, max(nbar) AS nbar FROM w2 GROUP BY 1),
+  t AS (SELECT sum(s0) AS t0, sum(sx) AS tx, sum(sxx) AS txx, sum(sy) AS ty, sum(sxy) AS txy, count(*) AS k FROM b),
+  v AS (SELECT k, nbar, (txx * ty - tx * txy) / (t0 * txx - tx * tx) AS a, (t0 * txy - tx * ty) / (t0 * txx - tx * tx) AS s,
+    ((txx - sxx) * (ty - sy) - (tx - sx) * (txy - sxy)) / ((t0 - s0) * (txx - sxx) - (tx - sx) ** 2) AS la, ((t0 - s0) * (txy - sxy) - (tx - sx) * (ty - sy)) / ((t0 - s0) * (txx - sxx) - (tx - sx) ** 2) AS ls FROM b, t)
+  SELECT round(max(s) * 200 / max(nbar), 5) AS h2, round(sqrt(var_samp(k * s - (k - 1) * ls) / max(k)) * 200 / max(nbar), 5) AS h2_se, round(max(a), 5) AS intercept, round(sqrt(var_samp(k * a - (k - 1) * la) / max(k)), 5) AS intercept_se FROM v"""
+
+
+@register("ldsc_h2", LDSC)
 def ldsc_h2(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.pvals(spark, sf).withColumn("chi2", F.pow(F.col("beta") / F.col("se"), 2)).join(ld.scores(pairs(spark, sf, SCORE_WINDOW), views.variants(spark, sf)), "v_idx")
-    return bayes.ldsc(rows.select(F.col("v_idx").alias("at"), "chi2", "ld_score", "n"), 200)
+    return bayes.ldsc(rows.select(F.col("v_idx").alias("at"), "chi2", "ld_score", "n"), 200, 20).select(*(r(c, 5) for c in ("h2", "h2_se", "intercept", "intercept_se")))
 
 
 MED = """WITH j AS (SELECT l_partkey % 200 AS v_idx, l_discount * 100 AS x, l_quantity AS m, l_extendedprice / 1000 AS y FROM lineitem),
@@ -192,6 +266,22 @@ def events_tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
     return running.drained(spark, running.tumbling_counts(running.events(spark, sf)), "complete").withColumns({"total": F.round("total", 4), "window_start": F.col("window_start").cast("timestamp_ntz")})
 
 
+@register("events_sliding_counts", """SELECT window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS window_start FROM events) GROUP BY 1, 2""")
+def events_sliding_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return running.drained(spark, running.sliding_counts(running.events(spark, sf)), "complete").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register(
+    "events_sessions",
+    """WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '30 minutes', true) AS s FROM events),
+    k AS (SELECT user_id, ts, sum(s::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM k GROUP BY user_id, k""",
+)
+def events_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = running.drained(spark, running.sessions(running.events(spark, sf)), "complete")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
+
+
 @register(
     "events_running_moments",
     "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 5) AS variance FROM events GROUP BY 1",

@@ -12,20 +12,23 @@ from .catalogue import register
 from .core import CELLS, JOINED, LINEAR, joined, r
 from .views import cte
 
-#: The window that the SQL of the pair queries states.
-WINDOW = 5000
-#: The reference's windows, for queries without SQL: pairs and blocks, clumping, LD scores.
+#: Windows of pairs and blocks, clumping, LD scores.
 PAIR_WINDOW = 200_000
 CLUMP_WINDOW = 250_000
 SCORE_WINDOW = 1_000_000
 
-PAIRS = cte("geno", "variants") + f""", c AS (SELECT * FROM geno JOIN variants USING (v_idx)),
+
+def pairs_sql(window: int) -> str:
+    return cte("geno", "variants") + f""", c AS (SELECT * FROM geno JOIN variants USING (v_idx)),
   pairs AS (SELECT a.chr, a.v_idx AS i, b.v_idx AS j, a.pos AS pos_i, b.pos AS pos_j, count(*) AS n, corr(a.dosage, b.dosage) AS r
-    FROM c a JOIN c b ON a.chr = b.chr AND a.s_idx = b.s_idx AND b.pos > a.pos AND b.pos <= a.pos + {WINDOW} GROUP BY ALL HAVING var_pop(a.dosage) > 0 AND var_pop(b.dosage) > 0) """
+    FROM c a JOIN c b ON a.chr = b.chr AND a.s_idx = b.s_idx AND b.pos > a.pos AND b.pos <= a.pos + {window} GROUP BY ALL HAVING var_pop(a.dosage) > 0 AND var_pop(b.dosage) > 0) """
+
+
+PAIRS, CLUMP_PAIRS, SCORE_PAIRS = map(pairs_sql, (PAIR_WINDOW, CLUMP_WINDOW, SCORE_WINDOW))
 BOTH = """, both_ways AS (SELECT i AS v_idx, j AS other, pos_j - pos_i AS gap, r * r AS r2 FROM pairs UNION ALL SELECT j, i, pos_j - pos_i, r * r FROM pairs) """
 
 
-def pairs(spark: SparkSession, sf: str, window: int = WINDOW) -> DataFrame:
+def pairs(spark: SparkSession, sf: str, window: int = PAIR_WINDOW) -> DataFrame:
     return ld.pair_correlations(views.geno(spark, sf), views.variants(spark, sf), window)
 
 
@@ -36,18 +39,18 @@ def ld_pairs_r2(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "ld_neighbour_pairs",
-    cte("variants") + f"SELECT a.chr, a.v_idx AS i, b.v_idx AS j, a.pos AS pos_i, b.pos AS pos_j FROM variants a JOIN variants b ON a.chr = b.chr AND b.pos > a.pos AND b.pos <= a.pos + {WINDOW}",
+    cte("variants") + f"SELECT a.chr, a.v_idx AS i, b.v_idx AS j, a.pos AS pos_i, b.pos AS pos_j FROM variants a JOIN variants b ON a.chr = b.chr AND b.pos > a.pos AND b.pos <= a.pos + {PAIR_WINDOW}",
 )
 def ld_neighbour_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.neighbours(views.variants(spark, sf), WINDOW)
+    return intervals.neighbours(views.variants(spark, sf), PAIR_WINDOW)
 
 
 @register(
     "ld_scores",
-    PAIRS + BOTH + "SELECT v_idx, round(1 + coalesce(sum(r2), 0), 6) AS ld_score, count(r2) AS n_neighbours FROM variants LEFT JOIN both_ways USING (v_idx) GROUP BY 1",
+    SCORE_PAIRS + BOTH + "SELECT v_idx, round(1 + coalesce(sum(r2), 0), 6) AS ld_score, count(r2) AS n_neighbours FROM variants LEFT JOIN both_ways USING (v_idx) GROUP BY 1",
 )
 def ld_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return ld.scores(pairs(spark, sf), views.variants(spark, sf)).select("v_idx", r("ld_score"), "n_neighbours")
+    return ld.scores(pairs(spark, sf, SCORE_WINDOW), views.variants(spark, sf)).select("v_idx", r("ld_score"), "n_neighbours")
 
 
 @register(
@@ -93,13 +96,13 @@ def four_gamete_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "dprime_pairs",
-    HAPLO + """, p AS (SELECT a.v_idx AS i, b.v_idx AS j FROM variants a JOIN variants b ON a.chr = b.chr AND b.pos > a.pos AND b.pos <= a.pos + 2000),
+    HAPLO + """, p AS (SELECT a.v_idx AS i, b.v_idx AS j FROM variants a JOIN variants b ON a.chr = b.chr AND b.pos > a.pos AND b.pos <= a.pos + 200000),
     m AS (SELECT i, j, avg(x.allele * y.allele) AS ab, avg(x.allele) AS a, avg(y.allele) AS b FROM p JOIN hap x ON x.v_idx = i JOIN hap y ON y.v_idx = j AND x.h_idx = y.h_idx GROUP BY 1, 2),
     d AS (SELECT i, j, ab - a * b AS d, CASE WHEN ab - a * b >= 0 THEN least(a * (1 - b), (1 - a) * b) ELSE least(a * b, (1 - a) * (1 - b)) END AS mx FROM m)
     SELECT i, j, round(CASE WHEN mx > 1e-12 THEN abs(d) / mx ELSE 0 END, 6) AS dprime FROM d""",
 )
 def dprime_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return ld.dprime_pairs(haplotypes(spark, sf), intervals.neighbours(views.variants(spark, sf), 2000)).select("i", "j", r("dprime"))
+    return ld.dprime_pairs(haplotypes(spark, sf), intervals.neighbours(views.variants(spark, sf), PAIR_WINDOW)).select("i", "j", r("dprime"))
 
 
 @register(
@@ -112,12 +115,32 @@ def ld_components(spark: SparkSession, sf: str) -> DataFrame:
     return graph.connected_components(pairs(spark, sf).where("round(r * r, 9) > 0.04"), views.variants(spark, sf))
 
 
-@register("clump")
+def _greedy(order: str, stop: str, members: str) -> str:
+    """Recursion over the places of each chromosome: a place that is not taken takes its members."""
+    return f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY {order}) AS k FROM pvals WHERE {stop}),
+    near AS ({members}),
+    walk AS (SELECT chr, 0::BIGINT AS k, NULL::BIGINT AS index, []::BIGINT[] AS own, []::BIGINT[] AS taken FROM (SELECT DISTINCT chr FROM ranked)
+      UNION ALL SELECT w.chr, r.k, r.v_idx, CASE WHEN list_contains(taken, r.v_idx) THEN [] ELSE list_filter(others, lambda o: NOT list_contains(taken, o)) END,
+        CASE WHEN list_contains(taken, r.v_idx) THEN taken ELSE list_concat(taken, others) END
+      FROM walk w JOIN ranked r ON r.chr = w.chr AND r.k = w.k + 1 JOIN near USING (v_idx)) """
+
+
+@register(
+    "clump",
+    CLUMP_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + f", studies AS ({views.SQL['studies']}), pvals AS ({views.SQL['pvals']})" + BOTH
+    + _greedy("p, v_idx", "p <= 0.5", "SELECT p.v_idx, list_prepend(p.v_idx, coalesce(list(other) FILTER (r2 >= 0.02), [])) AS others FROM pvals p LEFT JOIN both_ways b ON b.v_idx = p.v_idx GROUP BY 1")
+    + "SELECT chr, index, unnest(own) AS member FROM walk WHERE k > 0",
+)
 def clump(spark: SparkSession, sf: str) -> DataFrame:
     return ld.clump(views.pvals(spark, sf), pairs(spark, sf, CLUMP_WINDOW), 0.5, 0.02)
 
 
-@register("prune_peaks")
+@register(
+    "prune_peaks",
+    cte("pvals").replace("WITH ", "WITH RECURSIVE ", 1)
+    + _greedy("p, pos, v_idx", "p <= 0.3", "SELECT a.v_idx, list(b.v_idx) AS others FROM ranked a JOIN ranked b ON a.chr = b.chr AND abs(a.pos - b.pos) <= 6000 GROUP BY 1")
+    + """SELECT w.chr, index AS v_idx, len(own) AS n, greatest(0, pos - 3000) AS "start", pos + 3000 AS "end" FROM walk w JOIN pvals ON v_idx = index WHERE len(own) > 0""",
+)
 def prune_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return ld.prune_peaks(views.pvals(spark, sf), 0.3, 6000)
 
@@ -288,10 +311,10 @@ def smr(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "heidi_stat",
     EQTL + """, k AS (SELECT gene, ey / bx AS ratio, (sy / bx) ** 2 + (ey * sx / bx ** 2) ** 2 AS var, row_number() OVER (PARTITION BY gene ORDER BY abs(bx / sx) DESC, snp) AS k FROM e WHERE bx <> 0)
-    SELECT gene, count(*) AS n, round(sum((a.ratio - b.ratio) ** 2 / (a.var + b.var)), 6) AS heidi FROM k a JOIN (SELECT * FROM k WHERE k = 1) b USING (gene) WHERE a.k BETWEEN 2 AND 8 GROUP BY 1""",
+    SELECT gene, count(*) AS n, round(sum((a.ratio - b.ratio) ** 2 / (a.var + b.var)), 6) AS heidi FROM k a JOIN (SELECT * FROM k WHERE k = 1) b USING (gene) WHERE a.k BETWEEN 2 AND 21 GROUP BY 1""",
 )
 def heidi_stat(spark: SparkSession, sf: str) -> DataFrame:
-    return sumstats.heidi(eqtl(spark, sf), most=7).select("gene", "n", r("heidi"))
+    return sumstats.heidi(eqtl(spark, sf), most=20).select("gene", "n", r("heidi"))
 
 
 TWAS = cte("pvals", "weights") + ", t AS (SELECT gene, count(*) AS n_snps, sum(weight * beta / se) / sqrt(sum(weight * weight)) AS z FROM weights JOIN pvals USING (v_idx) GROUP BY 1) "
@@ -363,12 +386,12 @@ def power_ncp(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "ldsc_moments",
-    PAIRS + BOTH + f""", studies AS ({views.SQL["studies"]}), p AS (SELECT v_idx, n, (beta / se) ** 2 AS chi2 FROM studies WHERE study = 'N'),
+    SCORE_PAIRS + BOTH + f""", studies AS ({views.SQL["studies"]}), p AS (SELECT v_idx, n, (beta / se) ** 2 AS chi2 FROM studies WHERE study = 'N'),
     l AS (SELECT v_idx, 1 + coalesce(sum(r2), 0) AS l FROM variants LEFT JOIN both_ways USING (v_idx) GROUP BY 1), x AS (SELECT chi2, l * n / avg(n) OVER () AS x, avg(n) OVER () AS nbar FROM p JOIN l USING (v_idx))
     SELECT round(regr_slope(chi2, x), 5) AS slope, round(regr_intercept(chi2, x), 5) AS intercept, round(avg(chi2), 6) AS mean_chi2, round(regr_slope(chi2, x) * 200 / max(nbar), 5) AS h2 FROM x""",
 )
 def ldsc_moments(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.pvals(spark, sf).withColumn("chi2", F.pow(F.col("beta") / F.col("se"), 2)).join(ld.scores(pairs(spark, sf), views.variants(spark, sf)), "v_idx")
+    rows = views.pvals(spark, sf).withColumn("chi2", F.pow(F.col("beta") / F.col("se"), 2)).join(ld.scores(pairs(spark, sf, SCORE_WINDOW), views.variants(spark, sf)), "v_idx")
     return sumstats.ldsc_moments(rows, 200).select(r("slope", 5), r("intercept", 5), r("mean_chi2"), r("h2", 5))
 
 
@@ -392,12 +415,12 @@ def credible_set(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "iclass",
-    """WITH x AS (SELECT vec_id AS env, k AS factor, embedding[k] AS loading FROM embeddings, (SELECT unnest(range(1, 5)) AS k)),
+    """WITH x AS (SELECT vec_id AS env, k AS factor, embedding[k] AS loading FROM embeddings, (SELECT unnest(range(1, 65)) AS k)),
     c AS (SELECT env, string_agg(CASE WHEN abs(loading) < 0.05 THEN 'Z' WHEN loading > 0 THEN 'P' ELSE 'N' END, '' ORDER BY factor) AS class FROM x GROUP BY 1)
     SELECT class, count(*) AS n, string_agg(env::VARCHAR, ',' ORDER BY env::VARCHAR) AS members FROM c GROUP BY 1""",
 )
 def iclass(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.read(spark, sf, "embeddings").select(F.col("vec_id").alias("env"), F.posexplode(F.slice("embedding", 1, 4)).alias("factor", "loading"))
+    rows = views.read(spark, sf, "embeddings").select(F.col("vec_id").alias("env"), F.posexplode("embedding").alias("factor", "loading"))
     return sumstats.polarity_classes(rows, 0.05)
 
 
@@ -487,12 +510,14 @@ def multi_env_contrast(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "phenotype_pivot",
     """SELECT o_custkey % 50 AS id, round(avg(o_totalprice) FILTER (o_orderpriority LIKE '1%') / 1000, 6) AS e1, round(avg(o_totalprice) FILTER (o_orderpriority LIKE '2%') / 1000, 6) AS e2,
-      round(avg(o_totalprice) FILTER (o_orderpriority LIKE '3%') / 1000, 6) AS e3 FROM orders GROUP BY 1""",
+      round(avg(o_totalprice) FILTER (o_orderpriority LIKE '3%') / 1000, 6) AS e3, round(avg(o_totalprice) FILTER (o_orderpriority LIKE '4%') / 1000, 6) AS e4,
+      round(avg(o_totalprice) FILTER (o_orderpriority LIKE '5%') / 1000, 6) AS e5 FROM orders GROUP BY 1""",
 )
 def phenotype_pivot(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.read(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("id"), F.concat(F.lit("e"), F.substring("o_orderpriority", 1, 1)).alias("env"), "o_totalprice")
-    wide = rows.groupBy("id").pivot("env", ["e1", "e2", "e3"]).agg(F.avg("o_totalprice") / 1000)
-    return wide.select("id", *(r(e) for e in ("e1", "e2", "e3")))
+    names = ["e1", "e2", "e3", "e4", "e5"]
+    wide = rows.groupBy("id").pivot("env", names).agg(F.avg("o_totalprice") / 1000)
+    return wide.select("id", *(r(e) for e in names))
 
 
 @register(

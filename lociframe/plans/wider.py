@@ -9,23 +9,41 @@ from lociframe.operators import genetics_extra, kinship, ld, qc
 
 from . import views
 from .catalogue import register
-from .core import cells
-from .post import SCORE_WINDOW, pairs
+from .core import cells, r
+from .models import GRM, sample_ids
+from .post import BOTH, SCORE_PAIRS, SCORE_WINDOW, pairs
 
 
-@register("ldsc_rg")
+SCORES = SCORE_PAIRS + BOTH + f""", studies AS ({views.SQL["studies"]}), l AS (SELECT v_idx, 1 + coalesce(sum(r2), 0) AS l FROM variants LEFT JOIN both_ways USING (v_idx) GROUP BY 1) """
+
+
+@register(
+    "ldsc_rg",
+    SCORES + """, x AS (SELECT a.beta / a.se AS z1, b.beta / b.se AS z2, a.n AS n1, b.n AS n2, l FROM studies a JOIN studies b USING (v_idx) JOIN l USING (v_idx) WHERE a.study = 'N' AND b.study = 'R'),
+    m AS (SELECT regr_slope(z1 * z2, sqrt(n1 * n2) * l) * 200 AS c, regr_slope(z1 * z1, n1 * l) * 200 AS h1, regr_slope(z2 * z2, n2 * l) * 200 AS h2, regr_intercept(z1 * z2, sqrt(n1 * n2) * l) AS i FROM x)
+    SELECT round(c, 5) AS covariance, round(h1, 5) AS h2_1, round(h2, 5) AS h2_2, round(c / sqrt(abs(h1 * h2)), 5) AS rg, round(i, 5) AS intercept FROM m""",
+)
 def ldsc_rg(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.studies(spark, sf).withColumn("z", F.col("beta") / F.col("se"))
     a = rows.where("study = 'N'").select("v_idx", F.col("z").alias("z1"), F.col("n").alias("n1"))
     b = rows.where("study = 'R'").select("v_idx", F.col("z").alias("z2"), F.col("n").alias("n2"))
-    return genetics_extra.ldsc_covariance(a.join(b, "v_idx").join(ld.scores(pairs(spark, sf, SCORE_WINDOW), views.variants(spark, sf)), "v_idx"), 200)
+    return genetics_extra.ldsc_covariance(a.join(b, "v_idx").join(ld.scores(pairs(spark, sf, SCORE_WINDOW), views.variants(spark, sf)), "v_idx"), 200).select(*(r(c, 5) for c in ("covariance", "h2_1", "h2_2", "rg", "intercept")))
 
 
-@register("sldsc_h2")
+@register(
+    "sldsc_h2",
+    SCORES + """, x AS (SELECT (beta / se) ** 2 AS y, n * CASE WHEN v_idx % 3 = 0 THEN l ELSE 0 END AS a, n * CASE WHEN v_idx % 3 <> 0 THEN l ELSE 0 END AS b, 1 / greatest(l, 1) AS w FROM studies JOIN l USING (v_idx) WHERE study = 'N'),
+    s AS (SELECT sum(w) AS w, sum(w * a) AS a, sum(w * b) AS b, sum(w * y) AS y FROM x),
+    cc AS (SELECT x.w AS w, x.a - s.a / s.w AS a, x.b - s.b / s.w AS b, x.y - s.y / s.w AS y FROM x, s),
+    m AS (SELECT sum(w * a * a) AS aa, sum(w * a * b) AS ab, sum(w * b * b) AS bb, sum(w * a * y) AS ay, sum(w * b * y) AS by_ FROM cc),
+    t AS (SELECT (bb * ay - ab * by_) / (aa * bb - ab * ab) AS ta, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS tb FROM m),
+    u AS (SELECT 'coding' AS annotation, ta AS tau, 67.0 AS m, 67 * ta + 133 * tb AS whole FROM t UNION ALL SELECT 'other', tb, 133.0, 67 * ta + 133 * tb FROM t)
+    SELECT annotation, round(tau, 7) AS tau, round(tau * m, 5) AS h2, round(tau * m / whole / (m / 200), 4) AS enrichment FROM u""",
+)
 def sldsc_h2(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.pvals(spark, sf).withColumn("chi2", F.pow(F.col("beta") / F.col("se"), 2)).join(ld.scores(pairs(spark, sf, SCORE_WINDOW), views.variants(spark, sf)), "v_idx")
     rows = rows.withColumns({"coding": F.when(F.col("v_idx") % 3 == 0, F.col("ld_score")).otherwise(0.0), "other": F.when(F.col("v_idx") % 3 != 0, F.col("ld_score")).otherwise(0.0)})
-    return genetics_extra.partitioned_heritability(rows, ["coding", "other"], {"coding": 67.0, "other": 133.0})
+    return genetics_extra.partitioned_heritability(rows, ["coding", "other"], {"coding": 67.0, "other": 133.0}).select("annotation", r("tau", 7), r("h2", 5), r("enrichment", 4))
 
 
 @register("mr_mega")
@@ -37,12 +55,19 @@ def mr_mega(spark: SparkSession, sf: str) -> DataFrame:
     return genetics_extra.mr_mega(views.studies(spark, sf), names, axes)
 
 
-@register("impute_knn")
+@register(
+    "impute_knn",
+    GRM.format(where="") + """, k AS (SELECT a.s_idx AS i, b.s_idx AS j, round(sum(a.x * b.x) / max(c), 9) AS k FROM e a JOIN e b USING (v_idx), norm WHERE a.s_idx <> b.s_idx GROUP BY 1, 2),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY k DESC, j) AS place FROM k) WHERE place <= 5),
+    g AS (SELECT m.v_idx, m.s_idx, sum(greatest(k, 0) * o.dosage) / nullif(sum(greatest(k, 0)), 0) AS guess, avg(o.dosage) AS plain FROM cells m JOIN near ON near.i = m.s_idx JOIN cells o ON o.v_idx = m.v_idx AND o.s_idx = near.j
+      WHERE m.dosage IS NULL AND o.dosage IS NOT NULL GROUP BY 1, 2)
+    SELECT v_idx, s_idx, round(coalesce(dosage, guess, plain, avg(dosage) OVER (PARTITION BY v_idx)), 5) AS dosage FROM cells LEFT JOIN g USING (v_idx, s_idx)""",
+)
 def impute_knn(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf)
-    k = kinship.gram_pairs(kinship.encoded(c))
+    k = kinship.gram_pairs(kinship.encoded(c), sample_ids(spark, sf)).withColumn("k", F.round("k", 9))
     both = k.select(F.col("i").alias("s_idx"), F.col("j").alias("other"), F.col("k").alias("w")).unionByName(k.where("i <> j").select(F.col("j").alias("s_idx"), F.col("i").alias("other"), F.col("k").alias("w")))
-    return genetics_extra.impute_knn(c, both)
+    return genetics_extra.impute_knn(c, both).withColumn("dosage", F.round("dosage", 5))
 
 
 @register("impute_copying")
