@@ -7,14 +7,18 @@ Every genotype reader gives two tables: variants (v_idx, snp, chr, pos, a1, a2)
 from __future__ import annotations
 
 import gzip
+import json
+import math
 import sqlite3
+import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Two-base codes of one-letter heterozygous calls, and marks of a missing one.
@@ -22,10 +26,13 @@ IUPAC = {"R": "AG", "Y": "CT", "S": "GC", "W": "AT", "K": "GT", "M": "AC"}
 MISSING = ("N", "NN", "NA", "-", "--", ".", "")
 #: Header names of each column of summary statistics.
 SUMSTATS = {
-    "chr": ("chr", "chrom", "chromosome", "#chrom"), "pos": ("pos", "bp", "position", "base_pair_location"), "snp": ("snp", "rsid", "id", "markername", "variant_id"),
-    "a1": ("a1", "effect_allele", "alt", "allele1"), "a2": ("a2", "other_allele", "ref", "allele2"), "beta": ("beta", "b", "effect"), "se": ("se", "stderr", "standard_error"),
-    "p": ("p", "pval", "p_value", "pvalue"), "n": ("n", "n_total", "samplesize"), "af": ("af", "eaf", "freq", "maf", "effect_allele_frequency"), "or": ("or", "odds_ratio"),
+    "chr": ("chr", "chrom", "chromosome", "#chrom"), "pos": ("pos", "bp", "position", "base_pair_location"), "snp": ("snp", "rsid", "rs_id", "id", "markername", "variant_id"),
+    "a1": ("a1", "effect_allele", "alt", "allele1", "ea"), "a2": ("a2", "other_allele", "ref", "allele2", "nea", "non_effect_allele"), "beta": ("beta", "b", "effect", "log_or", "log_odds"),
+    "se": ("se", "stderr", "standard_error"), "p": ("p", "pval", "p_value", "pvalue", "p.value"), "n": ("n", "n_total", "samplesize", "neff", "n_eff"),
+    "af": ("af", "eaf", "freq", "maf", "effect_allele_frequency", "frq", "a1_freq"), "or": ("or", "odds_ratio"),
 }
+#: Header names of a marker map.
+MAP = {"snp": ("snp", "marker", "name", "id", "rsid"), "chr": ("chr", "chrom", "chromosome"), "pos": ("pos", "position", "bp"), "cm": ("cm", "genetic_position", "genetic")}
 
 
 @dataclass(frozen=True)
@@ -36,12 +43,17 @@ class Genotypes:
 
 def detect_format(path: str) -> str:
     """Name of a genotype file's format, from its first bytes, its header or its ending."""
-    head = Path(path).read_bytes()[:4096]
+    if Path(path).is_dir() and (Path(path) / ".zarray").exists():
+        return "zarr"
+    with open(path, "rb") as f:
+        head = f.read(4096)
     if head[:2] == b"\x6c\x1b":
         return {1: "bed", 2: "pgen"}.get(head[2], "pgen")
     if head[:2] == b"\x1f\x8b":
         with gzip.open(path) as f:
             head = f.read(4096)
+    if head[16:20] in (b"bgen", bytes(4)) and path.endswith(".bgen"):
+        return "bgen"
     if head.startswith(b"##fileformat=VCF") or head.startswith(b"#CHROM"):
         return "vcf"
     if head.startswith(b"rs#"):
@@ -53,8 +65,18 @@ def detect_format(path: str) -> str:
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """Rows with v_idx in file order; text files are read in order within and across splits."""
-    return lines.withColumn("v_idx", F.monotonically_increasing_id())
+    """Rows with v_idx, from 0 in file order and without gaps.
+
+    Text files are read in order within and across splits, so a row's place is its place in its
+    split after the rows of the splits before; only the splits' counts meet in one window.
+    """
+    rows = lines.withColumn("__id", F.monotonically_increasing_id())
+    split = F.shiftright("__id", 33)
+    counts = rows.groupBy(split.alias("__split")).count()
+    earlier = Window.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    counts = counts.select("__split", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before"))
+    placed = rows.withColumn("__of", split).join(F.broadcast(counts), F.col("__of") == F.col("__split"))
+    return placed.withColumn("v_idx", (F.col("__before") + F.col("__id") - F.shiftleft("__of", 33)).cast("long")).drop("__id", "__of", "__split", "__before")
 
 
 def read_vcf(spark: SparkSession, path: str, field: str = "auto") -> Genotypes:
@@ -122,15 +144,12 @@ def read_dosage_table(spark: SparkSession, path: str, sep: str = ",") -> Genotyp
 
 def read_plink(spark: SparkSession, prefix: str, variants_per_slice: int = 1024) -> Genotypes:
     """PLINK 1 binary set, variant-major: codes 00, 01, 10, 11 are 2, missing, 1, 0 copies of a1."""
-    fam = spark.read.option("sep", " ").csv(f"{prefix}.fam")
-    ids = [r["iid"] for r in fam.select(F.col("_c1").alias("iid"), F.monotonically_increasing_id().alias("k")).orderBy("k").collect()]
-    bim = spark.read.option("sep", "\t").csv(f"{prefix}.bim")
-    # number rows by their place in the file, not by partition
-    rows = bim.withColumn("k", F.monotonically_increasing_id()).toDF("chr", "snp", "cm", "pos", "a1", "a2", "k")
-    from pyspark.sql import Window
-
-    rows = rows.withColumn("v_idx", (F.row_number().over(Window.orderBy("k")) - 1).cast("long"))
-    variants = rows.select("v_idx", "snp", "chr", F.col("pos").cast("long").alias("pos"), "a1", "a2")
+    white = r"\s+"
+    fam = spark.read.text(f"{prefix}.fam").where(F.length(F.trim("value")) > 0)
+    ids = [r["iid"] for r in _numbered(fam).select("v_idx", F.get(F.split(F.trim("value"), white), 1).alias("iid")).orderBy("v_idx").collect()]
+    rows = _numbered(spark.read.text(f"{prefix}.bim").where(F.length(F.trim("value")) > 0)).select("v_idx", F.split(F.trim("value"), white).alias("f"))
+    at = lambda k: F.get("f", k)
+    variants = rows.select("v_idx", at(1).alias("snp"), at(0).alias("chr"), at(3).cast("long").alias("pos"), at(4).alias("a1"), at(5).alias("a2"))
     stride = (len(ids) + 3) // 4
     files = spark.read.format("binaryFile").load(f"{prefix}.bed").select("content")
     step = variants_per_slice * stride
@@ -170,6 +189,8 @@ def read_sumstats(spark: SparkSession, path: str, sep: str = "\t", columns: dict
     def number(k: str, kind: str) -> Column:
         return F.col(f"`{found[k]}`").try_cast(kind) if found[k] else F.lit(None).cast(kind)
 
+    if not found["beta"] and not found["or"]:
+        raise ValueError(f"{path} has neither an effect nor an odds ratio")
     beta = number("beta", "double") if found["beta"] else F.log(number("or", "double"))
     text = lambda k: F.col(f"`{found[k]}`") if found[k] else F.lit(None).cast("string")
     return table.select(
@@ -184,16 +205,249 @@ def read_phenotypes(spark: SparkSession, path: str, covariates: str | None = Non
     names = [c for c in traits.columns if c != key]
     rows = traits.select(F.col(key).alias("iid"), *(F.col(f"`{c}`").try_cast("double").alias(c) for c in names)).where(F.coalesce(*(F.col(f"`{c}`") for c in names)).isNotNull())
     if covariates:
-        table = spark.read.option("sep", sep).option("header", True).csv(covariates)
-        rows = rows.join(table.select(F.col(key).alias("iid"), *(F.col(f"`{c}`").try_cast("double").alias(c) for c in table.columns if c != key)), "iid")
+        rows = rows.join(design(spark.read.option("sep", sep).option("header", True).csv(covariates), key), "iid")
     return rows
 
 
+def design(table: DataFrame, key: str = "IID", most_levels: int = 100) -> DataFrame:
+    """Covariates by sample: numbers as they are, words as one indicator for each level but the first in order."""
+    names = [c for c in table.columns if c != key]
+    told = table.agg(*(F.count(F.when(F.col(f"`{c}`").isNotNull() & ~F.col(f"`{c}`").isin("NA", "", "nan") & F.col(f"`{c}`").try_cast("double").isNull(), 1)).alias(f"w{k}") for k, c in enumerate(names))).first()
+    columns = []
+    for k, c in enumerate(names):
+        if not told[f"w{k}"]:
+            columns.append(F.col(f"`{c}`").try_cast("double").alias(c))
+            continue
+        levels = [r[0] for r in table.select(f"`{c}`").where(F.col(f"`{c}`").isNotNull()).distinct().orderBy(f"`{c}`").limit(most_levels + 1).collect()]
+        if len(levels) > most_levels:
+            raise ValueError(f"covariate {c} has more than {most_levels} levels")
+        columns += [(F.col(f"`{c}`") == v).cast("double").alias(f"{c}_{v}") for v in levels[1:]]
+    return table.select(F.col(key).alias("iid"), *columns)
+
+
 def read_map(spark: SparkSession, path: str) -> DataFrame:
-    """Marker map without header: chr, snp[, cM], position."""
-    f = F.split("value", r"\s+")
-    rows = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    return rows.select(F.get(f, 1).alias("snp"), F.get(f, 0).alias("chr"), F.element_at(f, -1).try_cast("long").alias("pos"), F.when(F.size(f) > 3, F.get(f, 2)).try_cast("double").alias("cm"))
+    """Marker map (snp, chr, pos, cm): columns by their header if there is one, else chr, snp[, cM], position; tabs, commas or blanks."""
+    lines = spark.read.text(path).where((F.length(F.trim("value")) > 0) & ~F.col("value").startswith("#"))
+    f = F.split(F.trim("value"), r"[\s,]+")
+    first = lines.select(f.alias("f")).first()
+    names = [c.lower() for c in first["f"]] if first else []
+    known = {k: next((names.index(a) for a in aliases if a in names), None) for k, aliases in MAP.items()}
+    if known["snp"] is not None and known["pos"] is not None:
+        body = lines.where(F.lower(F.get(f, 0)) != names[0])
+        pick = lambda k: F.get(f, known[k]) if known[k] is not None else F.lit(None).cast("string")
+        return body.select(pick("snp").alias("snp"), pick("chr").alias("chr"), pick("pos").try_cast("long").alias("pos"), pick("cm").try_cast("double").alias("cm"))
+    return lines.select(F.get(f, 1).alias("snp"), F.get(f, 0).alias("chr"), F.element_at(f, -1).try_cast("long").alias("pos"), F.when(F.size(f) > 3, F.get(f, 2)).try_cast("double").alias("cm"))
+
+
+def find_map(path: str) -> str | None:
+    """A marker map beside a genotype file: the same name with .map, or a map file of its folder."""
+    own = Path(path)
+    stem = own.name.removesuffix(".gz").split(".")[0]
+    for name in (f"{stem}.map", f"{stem}.map.txt", f"{stem}_map.txt", f"{stem}_map.csv", "map.txt", "map.csv"):
+        if (own.parent / name).exists():
+            return str(own.parent / name)
+    return None
+
+
+def with_map(g: Genotypes, table: DataFrame) -> Genotypes:
+    """Places of the variants from a marker map, by name; those the map lacks keep their own."""
+    own = table.select(F.col("snp").alias("__snp"), F.col("chr").alias("__chr"), F.col("pos").alias("__pos")).dropDuplicates(["__snp"])
+    rows = g.variants.join(own, F.col("snp") == F.col("__snp"), "left")
+    return Genotypes(rows.withColumns({"chr": F.coalesce("__chr", "chr"), "pos": F.coalesce("__pos", "pos")}).drop("__snp", "__chr", "__pos"), g.calls)
+
+
+def _unpacked(packed: DataFrame, names: DataFrame | list[str]) -> Genotypes:
+    """Variants and calls of rows (v_idx, snp, chr, pos, a1, a2, d) with one dosage for each of the names."""
+    ids = F.split(F.lit("\t".join(names)), "\t")
+    calls = packed.select("v_idx", F.explode(F.arrays_zip(ids.alias("iid"), F.col("d").alias("dosage"))).alias("x")).select("v_idx", "x.iid", "x.dosage")
+    return Genotypes(packed.select("v_idx", "snp", "chr", "pos", "a1", "a2"), calls)
+
+
+PACKED = "v_idx bigint, snp string, chr string, pos bigint, a1 string, a2 string, d array<double>"
+
+
+def _bits(data: bytes, width: int) -> np.ndarray:
+    """Unsigned numbers of ``width`` bits, lowest bit first."""
+    if width in (8, 16, 32):
+        return np.frombuffer(data, f"<u{width // 8}").astype(np.int64)
+    flags = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+    return flags[: len(flags) // width * width].reshape(-1, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+
+
+def _bgen_dosages(block: bytes, n: int, layout: int) -> np.ndarray:
+    """Expected copies of the second allele from an uncompressed probability block."""
+    if layout == 1:
+        p = np.frombuffer(block, "<u2").reshape(n, 3) / 32768
+        total = p.sum(axis=1)
+        return np.where(total > 0, (p[:, 1] + 2 * p[:, 2]) / np.maximum(total, 1e-12), np.nan)
+    size, alleles = struct.unpack_from("<IH", block)
+    ploidy = np.frombuffer(block, np.uint8, size, 8)
+    phased, width = block[8 + size], block[9 + size]
+    if alleles != 2:
+        raise ValueError("only variants of two alleles are read")
+    missing, ploidy = ploidy & 128 > 0, (ploidy & 63).astype(int)
+    p = _bits(block[10 + size :], width) / ((1 << width) - 1)
+    first = np.concatenate(([0], np.cumsum(ploidy)))
+    out = np.zeros(size)
+    if phased:
+        # a probability of the first allele for each haplotype
+        np.add.at(out, np.repeat(np.arange(size), ploidy), 1 - p[: first[-1]])
+    else:
+        # a probability of 0 .. ploidy - 1 copies; the last class is the rest
+        k = np.arange(first[-1]) - np.repeat(first[:-1], ploidy)
+        rest = np.ones(size)
+        np.subtract.at(rest, np.repeat(np.arange(size), ploidy), p[: first[-1]])
+        np.add.at(out, np.repeat(np.arange(size), ploidy), k * p[: first[-1]])
+        out += ploidy * rest
+    return np.where(missing, np.nan, out)
+
+
+def read_bgen(spark: SparkSession, path: str, samples: list[str] | None = None) -> Genotypes:
+    """BGEN 1.1 to 1.3, two alleles; a1 is the second one. A file is one task, since only reading it finds its variants."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def header(data: bytes) -> tuple[int, int, int, int, int]:
+        offset, length, variants, n = struct.unpack_from("<IIII", data)
+        flags = struct.unpack_from("<I", data, length)[0]
+        return offset, length, n, flags & 3, flags >> 2 & 15
+
+    def named(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for content in batch.column("content"):
+                data = content.as_buffer()
+                offset, length, n, _, _ = header(bytes(data[:4096]))
+                flags = struct.unpack_from("<I", data, length)[0]
+                names = [f"sample_{k}" for k in range(n)]
+                if flags >> 31:
+                    at = 4 + length + 8
+                    for k in range(n):
+                        size = struct.unpack_from("<H", data, at)[0]
+                        names[k], at = bytes(data[at + 2 : at + 2 + size]).decode(), at + 2 + size
+                yield pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.string()))], ["names"])
+
+    def read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for content in batch.column("content"):
+                data = memoryview(content.as_buffer())
+                offset, _, n, compression, layout = header(bytes(data[:4096]))
+                at, number = offset + 4, 0
+                while at < len(data):
+                    if layout == 1:
+                        at += 4
+                    texts = []
+                    for _ in range(3):
+                        size = struct.unpack_from("<H", data, at)[0]
+                        texts.append(bytes(data[at + 2 : at + 2 + size]).decode())
+                        at += 2 + size
+                    pos = struct.unpack_from("<I", data, at)[0]
+                    alleles = struct.unpack_from("<H", data, at + 4)[0] if layout == 2 else 2
+                    at += 6 if layout == 2 else 4
+                    letters = []
+                    for _ in range(alleles):
+                        size = struct.unpack_from("<I", data, at)[0]
+                        letters.append(bytes(data[at + 4 : at + 4 + size]).decode())
+                        at += 4 + size
+                    size = struct.unpack_from("<I", data, at)[0] if layout == 2 or compression else 6 * n
+                    skip = 4 if layout == 2 or compression else 0
+                    start = at + skip + (4 if layout == 2 and compression else 0)
+                    block = bytes(data[start : at + skip + size])
+                    block = zlib.decompress(block) if compression == 1 else zstandard().decompress(block, 1 << 31) if compression == 2 else block
+                    at += skip + size
+                    d = _bgen_dosages(block, n, layout)
+                    snp = texts[1] or texts[0] or f"{texts[2]}:{pos}"
+                    values = [number, snp, texts[2], pos, letters[1], letters[0]]
+                    arrays = [pa.array([v]) for v in values] + [pa.array([d], pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["v_idx", "snp", "chr", "pos", "a1", "a2", "d"])
+                    number += 1
+
+    ids = samples or files.mapInArrow(named, "names array<string>").first()["names"]
+    return _unpacked(_no_nan(files.mapInArrow(read, PACKED)), ids)
+
+
+def _no_nan(packed: DataFrame) -> DataFrame:
+    return packed.withColumn("d", F.transform("d", lambda x: F.when(~F.isnan(x), x)))
+
+
+def zstandard():
+    import zstandard as library
+
+    return library.ZstdDecompressor()
+
+
+def read_zarr(spark: SparkSession, path: str, samples: list[str], variants: DataFrame | None = None) -> Genotypes:
+    """A Zarr 2 array of dosages (variants x samples), chunks raw or by zlib, gzip or zstd; -1 and NaN are missing.
+
+    Chunks are files, read by Spark; a chunk is one row of one task.
+    """
+    told = json.loads(spark.read.text(f"{path}/.zarray", wholetext=True).first()["value"])
+    shape, chunk, kind = told["shape"], told["chunks"], np.dtype(told["dtype"])
+    codec = (told.get("compressor") or {}).get("id")
+    if codec not in (None, "zlib", "gzip", "zstd") or told.get("filters"):
+        raise ValueError(f"chunks by {codec} are not read")
+    sep = told.get("dimension_separator", ".")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(r"/[0-9]+[./][0-9]+$"))
+    place = F.split(F.regexp_extract("path", r"([0-9]+[./][0-9]+)$", 1), r"\." if sep == "." else "/")
+    files = files.select(place[0].cast("long").alias("a"), place[1].cast("long").alias("b"), "content")
+
+    def decode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for a, b, data in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "content")), strict=True):
+                data = zlib.decompress(data) if codec == "zlib" else gzip.decompress(data) if codec == "gzip" else zstandard().decompress(data, 1 << 31) if codec == "zstd" else data
+                d = np.frombuffer(data, kind).reshape(chunk, order=told.get("order", "C")).astype(float)[: shape[0] - a * chunk[0], : shape[1] - b * chunk[1]]
+                v, s = np.divmod(np.arange(d.size), d.shape[1])
+                d = np.where(d.ravel() < 0, np.nan, d.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(v + a * chunk[0]), pa.array(s + b * chunk[1]), pa.array(d, from_pandas=True)], ["v_idx", "s", "dosage"])
+
+    ids = F.split(F.lit("\t".join(samples)), "\t")
+    calls = files.mapInArrow(decode, "v_idx bigint, s bigint, dosage double").select("v_idx", F.get(ids, F.col("s").cast("int")).alias("iid"), "dosage")
+    if variants is None:
+        none = F.lit(None).cast("string")
+        variants = spark.range(shape[0]).select(F.col("id").alias("v_idx"), F.concat(F.lit("v"), "id").alias("snp"), none.alias("chr"), F.lit(None).cast("long").alias("pos"), none.alias("a1"), none.alias("a2"))
+    return Genotypes(variants, calls)
+
+
+def read_pgen(spark: SparkSession, prefix: str, variants_per_slice: int = 1024) -> Genotypes:
+    """PLINK 2 hard calls of fixed width (storage mode 2), variants and samples from .pvar and .psam; a1 is the alternate allele."""
+    psam = spark.read.text(f"{prefix}.psam").where(~F.col("value").startswith("##"))
+    f = F.split(F.trim("value"), r"\s+")
+    head = psam.where(F.col("value").startswith("#")).select(f.alias("f")).first()
+    at_iid = [c.lstrip("#").upper() for c in head["f"]].index("IID") if head else 1
+    ids = [r["iid"] for r in _numbered(psam.where(~F.col("value").startswith("#"))).select("v_idx", F.get(f, at_iid).alias("iid")).orderBy("v_idx").collect()]
+    pvar = _numbered(spark.read.text(f"{prefix}.pvar").where(~F.col("value").startswith("#") & (F.length("value") > 0))).select("v_idx", f.alias("f"))
+    at = lambda k: F.get("f", k)
+    variants = pvar.select("v_idx", at(2).alias("snp"), at(0).alias("chr"), at(1).cast("long").alias("pos"), at(4).alias("a1"), at(3).alias("a2"))
+    stride = (len(ids) + 3) // 4
+    step = variants_per_slice * stride
+    files = spark.read.format("binaryFile").load(f"{prefix}.pgen").select("content")
+    n = F.ceil((F.length("content") - 12) / step).cast("int")
+    slices = files.select("content", F.explode(F.sequence(F.lit(0), n - 1)).alias("slice"))
+    slices = slices.select("slice", F.substring("content", F.col("slice") * step + 13, F.lit(step)).alias("data"), F.substring("content", F.lit(1), F.lit(3)).alias("magic"))
+
+    def decode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = np.array([0.0, 1.0, 2.0, np.nan])
+        for batch in stream:
+            for piece, data, magic in zip(*(batch.column(c).to_pylist() for c in ("slice", "data", "magic")), strict=True):
+                if magic != b"\x6c\x1b\x02":
+                    raise ValueError("only fixed-width hard calls (storage mode 2) are read")
+                raw = np.frombuffer(data, np.uint8).reshape(-1, stride)
+                d = codes[(raw[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3].reshape(len(raw), -1)[:, : len(ids)]
+                v = np.repeat(np.arange(len(raw), dtype=np.int64) + piece * variants_per_slice, len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(ids * len(raw)), pa.array(d.ravel(), from_pandas=True)], ["v_idx", "iid", "dosage"])
+
+    return Genotypes(variants, slices.mapInArrow(decode, "v_idx bigint, iid string, dosage double"))
+
+
+def set_weights(af: Column, a: float = 1.0, b: float = 25.0) -> Column:
+    """Weights of variants in set tests: the squared beta density at the minor allele's frequency."""
+    maf = F.least(af, 1 - af)
+    constant = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
+    return F.pow(constant * F.pow(maf, a - 1) * F.pow(1 - maf, b - 1), 2)
+
+
+def database_genes(path: str) -> list[str]:
+    """Genes of a prediction database."""
+    with sqlite3.connect(path) as con:
+        return [r[0] for r in con.execute("SELECT DISTINCT gene FROM weights ORDER BY gene")]
 
 
 def read_weight_database(spark: SparkSession, path: str, genes: list[str] | None = None, least: float = 0.0) -> DataFrame:
@@ -213,6 +467,10 @@ def read_genotypes(spark: SparkSession, path: str, fmt: str | None = None) -> Ge
         return read_hapmap(spark, path)
     if fmt == "bed":
         return read_plink(spark, path.removesuffix(".bed"))
+    if fmt == "bgen":
+        return read_bgen(spark, path)
+    if fmt == "pgen":
+        return read_pgen(spark, path.removesuffix(".pgen"))
     if fmt == "dosage":
         return read_dosage_table(spark, path, "," if path.endswith(".csv") else "\t")
     raise ValueError(f"no reader for {fmt}")

@@ -63,3 +63,85 @@ def test_commands(spark, files, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/pgs-score").count() == 60 and spark.read.parquet(f"{tmp_path}/qc").count() == 40
     assert [round(r.beta, 6) for r in spark.read.parquet(f"{tmp_path}/mr").where("method = 'ivw'").collect()] == [1.0]
     assert spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/scan").count() > 30
+
+
+def test_more_models(spark, files):
+    for trait, model, event in (("B", "glmm", None), ("L", "ordinal_glmm", None), ("L", "multinomial_glmm", None), ("T", "frailty", "E"), ("Y", "lmm_refit", None), ("Y", "blink", None), ("Y", "farmcpu", None)):
+        best = api.gwas(spark, str(files[0] / "g.vcf"), str(files[0] / "p.tsv"), trait, ["C"], model, event=event).table.orderBy("p").first()
+        assert best.snp == "rs0", model
+    told = api.recommend(spark, str(files[0] / "g.vcf"), str(files[0] / "p.tsv"), "B")
+    assert told["trait"] == "binary" and told["model"] == "logistic"
+
+
+def test_all_commands(spark, files, tmp_path, capsys):
+    folder = files[0]
+    vcf, pheno = str(folder / "g.vcf"), str(folder / "p.tsv")
+    study = ["--genotypes", vcf, "--phenotypes", pheno]
+
+    def run(*a, rows=None):
+        out = f"{tmp_path}/{a[0]}-{len(list(tmp_path.iterdir()))}"
+        cli.main([*a, "--out", out], spark)
+        n = spark.read.parquet(out).count() if rows is not None else None
+        assert rows is None or n == rows, (a[0], n)
+
+    for name in ("mvlmm-scan", "met-scan"):
+        run(name, *study, "--trait", "Y,T", "--covariates", "C", rows=40)
+    run("mtmet-scan", *study, "--trait", "Y,T,B,L", rows=40)
+    run("rr-scan", *study, "--trait", "Y,T,B", "--times", "0,1,2", rows=40)
+    run("mklmm-scan", *study, "--trait", "Y", rows=40)
+    run("gxe-scan", *study, "--trait", "Y", "--environment", "C", rows=40)
+    run("conditional-scan", *study, "--trait", "Y", "--p", "0.001")
+    run("ocf-scan", *study, "--trait", "Y", rows=40)
+    run("knockoff-scan", *study, "--trait", "Y", "--q", "0.5", rows=40)
+    run("bayes-scan", *study, "--trait", "Y", rows=40)
+    run("family-scan", *study, "--trait", "Y", "--family", "C")
+    run("poly-scan", *study, "--trait", "Y")
+    run("mediate", *study, "--trait", "Y", "--mediator", "T", rows=40)
+    for method in ("mean", "mode", "knn", "ld", "copying"):
+        run("impute", "--genotypes", vcf, "--method", method, rows=2400)
+    for method in ("gabriel", "spine", "dp", "cc_graph", "graphical", "aligned", "changepoint"):
+        run("ld-blocks", "--genotypes", vcf, "--method", method)
+    run("convert", "--genotypes", vcf, "--to", "vcf")
+    run("convert", "--genotypes", vcf, "--to", "bed")
+    (tmp_path / "s.tsv").write_text("SNP\tCHR\tBP\tA1\tA2\tBETA\tSE\tP\tN\tEAF\n" + "".join(f"rs{k}\t{1 + k // 20}\t{1000 * (k + 1)}\tG\tA\t{0.1 + k % 9 / 100}\t{0.05 + k % 7 / 100}\t{(k + 1) / 50}\t500\t{0.1 + k / 100}\n" for k in range(40)))
+    (tmp_path / "t.tsv").write_text((tmp_path / "s.tsv").read_text().replace("\t0.1\t", "\t0.13\t"))
+    (tmp_path / "g.bed").write_text("".join(f"{1 + k // 4}\t{5000 * (k % 4)}\t{5000 * (k % 4) + 4000}\tgene{k}\n" for k in range(8)))
+    (tmp_path / "sets.tsv").write_text("gene\tgene_set\n" + "".join(f"gene{k}\tset{k % 2}\n" for k in range(8)))
+    (tmp_path / "e.tsv").write_text("IID\tgene0\tgene1\n" + "".join(f"i{k:02d}\t{k % 7}\t{k % 5}\n" for k in range(60)))
+    s, t, bed = str(tmp_path / "s.tsv"), str(tmp_path / "t.tsv"), str(tmp_path / "g.bed")
+    run("set-scan", *study, "--trait", "Y", "--regions", bed)
+    run("mediate-scan", *study, "--trait", "Y", "--expression", str(tmp_path / "e.tsv"), "--genes", bed)
+    for name in ("finemap", "bayes-scan-rss"):
+        run(name, "--genotypes", vcf, "--sumstats", s, rows=40)
+    run("hess", "--genotypes", vcf, "--sumstats", s, rows=2)
+    run("ldsc", "--genotypes", vcf, "--sumstats", s, "--blocks", "5", rows=1)
+    run("ldsc-rg", "--genotypes", vcf, "--sumstats", s, "--other", t, rows=1)
+    for method in ("inf", "cs", "ct"):
+        run("pgs-fit", "--genotypes", vcf, "--sumstats", s, "--method", method, "--p", "0.5")
+    run("mr-mega", "--sumstats", f"{s},{t},{s}")
+    run("smr", "--exposure", s, "--outcome", t, rows=2)
+    run("power", "--sumstats", s, rows=40)
+    run("winners-curse", "--sumstats", s, rows=40)
+    run("winners-curse", "--sumstats", s, "--method", "fiqt", rows=40)
+    run("gene-set-enrichment", "--sumstats", s, "--genes", bed, "--sets", str(tmp_path / "sets.tsv"), rows=2)
+    run("annotate", "--sumstats", s, "--genes", bed, "--p", "1")
+    run("pipeline", *study, "--trait", "Y", "--p", "0.01")
+    for name in ("validate", "recommend"):
+        cli.main([name, *study, *(["--trait", "Y"] if name == "recommend" else [])], spark)
+    cli.main(["models"], spark)
+    assert "frailty" in capsys.readouterr().out
+    import sqlite3
+
+    with sqlite3.connect(tmp_path / "w.db") as con:
+        con.execute("CREATE TABLE weights (gene, rsid, weight, ref_allele, eff_allele)")
+        con.executemany("INSERT INTO weights VALUES (?, ?, ?, 'A', 'G')", [(f"gene{k % 4}", f"rs{k}", 0.1 + k / 100) for k in range(12)])
+    cli.main(["twas-scan", "--sumstats", s, "--weights", str(tmp_path / "w.db"), "--out", str(tmp_path / "twas")], spark)
+    run("combine-gwas-twas", "--sumstats", s, "--twas", str(tmp_path / "twas"), "--genes", bed, rows=4)
+
+
+def test_meta_keeps_every_variant(spark, tmp_path):
+    head = "SNP\tCHR\tBP\tA1\tA2\tBETA\tSE\tP\n"
+    (tmp_path / "a.tsv").write_text(head + "rs1\t1\t1\tA\tG\t0.2\t0.1\t0.1\n")
+    (tmp_path / "b.tsv").write_text(head + "rs1\t1\t1\tG\tA\t-0.4\t0.1\t0.1\nrs2\t1\t2\tC\tT\t0.3\t0.1\t0.1\n")
+    cli.main(["meta", "--sumstats", f"{tmp_path}/a.tsv,{tmp_path}/b.tsv", "--out", f"{tmp_path}/m"], spark)
+    assert {r.snp: (r.k, round(r.beta, 6)) for r in spark.read.parquet(f"{tmp_path}/m").collect()} == {"rs1": (2, 0.3), "rs2": (1, 0.3)}
