@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Cells of the matrix that a task makes at once.
+BATCH_CELLS = 4_000_000
+
+
 def pack(cells: DataFrame) -> DataFrame:
     """(v_idx, s, d): the known calls of each variant as two arrays; persist it to scan the same calls again."""
     known = F.collect_list(F.when(F.col("dosage").isNotNull(), F.struct("s_idx", "dosage"))).alias("x")
@@ -34,23 +38,56 @@ def _matrix(batch: pa.RecordBatch, order: np.ndarray) -> np.ndarray:
     return g
 
 
+def store(cells: DataFrame, samples: list[int], path: str) -> None:
+    """Write cells of whole dosages as one byte for each of the samples in order (v_idx, g), 255 where there is no call: the form that scans of many variants read fastest."""
+    order = np.array(sorted(samples))
+    count = len(order)
+
+    def bytes_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            out = []
+            for k in range(batch.num_rows):
+                row, who = np.full(count, 255, np.uint8), batch.column("s")[k].values.to_numpy()
+                inside = np.isin(who, order)
+                row[np.searchsorted(order, who[inside])] = np.rint(batch.column("d")[k].values.to_numpy()[inside]).astype(np.uint8)
+                out.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("v_idx"), pa.array(out, pa.binary())], ["v_idx", "g"])
+
+    pack(cells).mapInArrow(bytes_of, "v_idx bigint, g binary").write.mode("overwrite").parquet(path)
+
+
+def _dense(batch: pa.RecordBatch, count: int) -> np.ndarray:
+    """Samples by variants of a batch that `store` wrote."""
+    raw = np.frombuffer(b"".join(batch.column("g").to_pylist()), np.uint8).reshape(batch.num_rows, count)
+    g = raw.astype(float)
+    gone = raw == 255
+    if gone.any():
+        n = np.maximum((~gone).sum(axis=1), 1)
+        mean = np.where(gone, 0.0, g).sum(axis=1) / n
+        g = np.where(gone, mean[:, None], g)
+    return g.T
+
+
 def map_variants(cells: DataFrame, samples: list[int], work: Callable[[np.ndarray, Any], dict[str, np.ndarray]], state: Any, schema: str) -> DataFrame:
-    """``work(G, state)`` on (samples x variants) blocks of cells (v_idx, s_idx, dosage), or of what `pack` made of them.
+    """``work(G, state)`` on (samples x variants) blocks of cells (v_idx, s_idx, dosage), or of what `pack` or `store` made of them.
 
     Missing calls get the variant's mean. state is broadcast once; it holds what a null fit left,
-    of a size in samples. Each row groups one variant's calls, so a task's memory is a batch of
-    variants times the samples. The result has v_idx and the columns that work returns.
+    of a size in samples. Each row groups one variant's calls, so a task's memory is BATCH_CELLS
+    cells, or one variant's. The result has v_idx and the columns that work returns.
     """
     order = np.array(sorted(samples))
     shared = cells.sparkSession.sparkContext.broadcast(state)
-    packed = cells if "s" in cells.columns else pack(cells)
+    stored = "g" in cells.columns
+    packed = cells if stored or "s" in cells.columns else pack(cells)
+    step = max(1, BATCH_CELLS // max(1, len(order)))
 
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            if batch.num_rows:
-                found = work(_matrix(batch, order), shared.value)
-                yield pa.RecordBatch.from_arrays([batch.column("v_idx"), *(pa.array(found[n]) for n in names)], ["v_idx", *names])
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                found = work(_dense(part, len(order)) if stored else _matrix(part, order), shared.value)
+                yield pa.RecordBatch.from_arrays([part.column("v_idx"), *(pa.array(found[n]) for n in names)], ["v_idx", *names])
 
     return packed.mapInArrow(run, f"v_idx long, {schema}")
