@@ -10,9 +10,12 @@ hashes wherever they stand.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -53,7 +56,7 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def batches(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def batches(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together (a longer text is a range of its own)."""
     first = size = 0
     for k, t in enumerate(texts):
@@ -65,6 +68,32 @@ def batches(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]
         yield first, len(texts)
 
 
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on a task's batches, after which the worker gives freed memory back: it lives on between tasks."""
+
+    def run(stream: Iterator) -> Iterator:
+        yield from work(stream)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first, end, texts) of ranges of a string column of about ``most`` bytes; only one range at a time is made Python text."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    first = size = 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > first and size + n > most:
+            yield first, k, column.slice(first, k - first).to_pylist()
+            first, size = k, 0
+        size += n + 1
+    if len(column) > first:
+        yield first, len(column), column.slice(first).to_pylist()
+
+
 def laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the texts, each followed by a line feed; starts of the texts and the end."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)

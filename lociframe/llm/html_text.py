@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bytescan
 from .common import written
 
 #: Paths kept for each host.
@@ -336,7 +337,7 @@ def parsed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
             columns = [*(batch.column(c) for c in ("key", "url", "host")), pa.array(map(best_path, found), pa.string()), pa.array(blocks, pa.list_(block))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "url", "host", "best", "blocks"])
 
-    return rows.mapInArrow(scan, f"key {kind}, url string, host string, best string, blocks array<struct<path:string,text:string>>")
+    return rows.mapInArrow(bytescan.tidy(scan), f"key {kind}, url string, host string, best string, blocks array<struct<path:string,text:string>>")
 
 
 def _below(path: Column, top: Column) -> Column:

@@ -47,7 +47,7 @@ BANDS = 40
 ROWS = 6
 PART_ROWS = 64
 BLOCK_ROWS = 256
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Ratio of the sizes in one size class: above 1 / 0.8, so similar sets are at most one class apart.
 STEP = 1.26
 
@@ -58,9 +58,8 @@ def features(rows: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            texts = batch.column("text").to_pylist()
-            for a, b in bytescan.batches([(t or "").encode() for t in texts], SLICE_BYTES):
-                sets = shingles.shingle_sets(texts[a:b], width)
+            for a, b, texts in bytescan.slices(batch.column("text"), SLICE_BYTES):
+                sets = shingles.shingle_sets(texts, width)
                 bands = shingles.band_hashes(shingles.super_minhash(sets, BANDS * ROWS), BANDS).view(np.int64)
                 f1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 f2 = np.array([bytescan.mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -70,7 +69,7 @@ def features(rows: DataFrame, width: int = WIDTH) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n", "f1", "f2", "bands"])
 
-    return rows.select("id", "key", "text").mapInArrow(scan, f"id bigint, key {kind}, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    return rows.select("id", "key", "text").mapInArrow(bytescan.tidy(scan), f"id bigint, key {kind}, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
 def bitmaps(texts: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -78,12 +77,11 @@ def bitmaps(texts: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            values = batch.column("text").to_pylist()
-            for a, b in bytescan.batches([(t or "").encode() for t in values], SLICE_BYTES):
-                bits = [shingles.bitmap(s) for s in shingles.shingle_sets(values[a:b], width)]
+            for a, b, texts in bytescan.slices(batch.column("text"), SLICE_BYTES):
+                bits = [shingles.bitmap(s) for s in shingles.shingle_sets(texts, width)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(bits, pa.binary())], ["id", "bits"])
 
-    return texts.select("id", "text").mapInArrow(scan, "id bigint, bits binary")
+    return texts.select("id", "text").mapInArrow(bytescan.tidy(scan), "id bigint, bits binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -102,11 +100,10 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFram
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own = None, np.zeros(0, np.uint64)
         for batch in stream:
-            texts = batch.column("text").to_pylist()
             groups, roles = batch.column("a").to_pylist(), batch.column("role").to_pylist()
             linked = []
-            for a, b in bytescan.batches([(t or "").encode() for t in texts], SLICE_BYTES):
-                for k, other in enumerate(shingles.shingle_sets(texts[a:b], width), a):
+            for a, _, texts in bytescan.slices(batch.column("text"), SLICE_BYTES):
+                for k, other in enumerate(shingles.shingle_sets(texts, width), a):
                     if roles[k] == 0:
                         head, own = groups[k], other
                     elif head == groups[k]:
@@ -116,7 +113,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFram
             at = pa.array(linked, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("member").take(at)], ["a", "b"])
 
-    return rows.mapInArrow(compare, "a bigint, b bigint")
+    return rows.mapInArrow(bytescan.tidy(compare), "a bigint, b bigint")
 
 
 def sorted_groups(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:

@@ -35,7 +35,7 @@ from .tokens import Encoder
 CAPACITY = 2048
 SEPARATOR = 0
 PART_ROWS = 20_000
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -104,10 +104,9 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         for batch in stream:
-            texts = batch.column("text").to_pylist()
-            for a, b in bytescan.batches([(t or "").encode() for t in texts], SLICE_BYTES):
+            for a, _, texts in bytescan.slices(batch.column("text"), SLICE_BYTES):
                 at, piece, start, length, crc, parts = [], [], [], [], [], []
-                for k, ids in enumerate(encoder.encode(texts[a:b]), a):
+                for k, ids in enumerate(encoder.encode(texts), a):
                     ids = np.append(ids, np.uint32(SEPARATOR)).astype("<u4")
                     begin, end = 0, len(ids) % capacity or capacity
                     for n in range(math.ceil(len(ids) / capacity)):
@@ -123,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 columns = [batch.column("key").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(parts, pa.list_(pa.int32()))] * with_ids, ["key", "piece", "start", "length", "crc"] + ["ids"] * with_ids)
 
-    return source.mapInArrow(cut, f"key {kind}, piece int, start bigint, length bigint, crc bigint" + ", ids array<int>" * with_ids)
+    return source.mapInArrow(bytescan.tidy(cut), f"key {kind}, piece int, start bigint, length bigint, crc bigint" + ", ids array<int>" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

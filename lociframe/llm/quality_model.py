@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), batch.column("text_hash"), *arrays], ["h", "y", "text_hash", "n", "b", "t"])
 
     rows = rows.select(F.xxhash64("of").alias("h"), F.col("y").cast("int").alias("y"), F.xxhash64("text").alias("text_hash"), "text")
-    found = written(rows.mapInArrow(sparse, "h bigint, y int, text_hash bigint, n bigint, b binary, t binary"), "train-features")
+    found = written(rows.mapInArrow(bytescan.tidy(sparse), "h bigint, y int, text_hash bigint, n bigint, b binary, t binary"), "train-features")
     once = F.row_number().over(Window.partitionBy("h").orderBy("text_hash"))
     upto = F.sum("n").over(Window.orderBy("h"))  # over TRAIN_ROWS small rows
     taken = found.select("h", "text_hash", "n").withColumn("nth", once).where("nth = 1").withColumn("upto", upto).where(F.col("upto") <= most_features)
@@ -157,6 +157,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(model.scores(batch.column("text").to_pylist()), pa.float64())], ["key", "score"])
+            for a, b, texts in bytescan.slices(batch.column("text"), SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array(model.scores(texts), pa.float64())], ["key", "score"])
 
-    return rows.mapInArrow(run, f"key {kind}, score double")
+    return rows.mapInArrow(bytescan.tidy(run), f"key {kind}, score double")

@@ -58,9 +58,9 @@ def token_files(docs: DataFrame, tokenizer: str, separator: int, key: str = "doc
 
         key_type = pa.int64()
         for batch in stream:
-            texts, key_type = batch.column("text").to_pylist(), batch.column("key").type
-            for a, b in bytescan.batches([(t or "").encode() for t in texts], SLICE_BYTES):
-                ids = encoder.encode(texts[a:b], ordinary=True)
+            key_type = batch.column("key").type
+            for a, b, texts in bytescan.slices(batch.column("text"), SLICE_BYTES):
+                ids = encoder.encode(texts, ordinary=True)
                 end = np.array([separator], np.uint32)
                 rest += np.concatenate([x for own in ids for x in (own, end)]).astype(f"<u{width}").tobytes()
                 yield row(key_type, keys=batch.column("key").slice(a, b - a).to_pylist())
@@ -73,7 +73,7 @@ def token_files(docs: DataFrame, tokenizer: str, separator: int, key: str = "doc
         if rest:
             yield row(key_type, data=rest)
 
-    return source.mapInArrow(write, f"file int, block bigint, data binary, first bigint, keys array<{kind}>")
+    return source.mapInArrow(bytescan.tidy(write), f"file int, block bigint, data binary, first bigint, keys array<{kind}>")
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -96,7 +96,7 @@ def count_tokens(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame
             columns = [batch.column("file"), batch.column("block"), pa.array(map(len, data), pa.int64()), pa.array(ends, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["file", "block", "n", "ends"])
 
-    scanned = written(blocks.select("file", "block", "data").mapInArrow(scan, f"file {kind}, block bigint, n bigint, ends array<int>"), "token-ends")
+    scanned = written(blocks.select("file", "block", "data").mapInArrow(bytescan.tidy(scan), f"file {kind}, block bigint, n bigint, ends array<int>"), "token-ends")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = scanned.select("file", "block", "n", F.size("ends").alias("k"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
     sums = sums.withColumn("tokens", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("docs", F.coalesce(F.sum("k").over(earlier), F.lit(0)))

@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from . import bytescan
 
 #: The cache starts anew beyond this many chunks.
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 400_000
 #: Fixed value: how byte-level BPE of this family splits a text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bytescan
 from .common import discard, written
 
 PART_CODES = 8192
@@ -58,7 +59,7 @@ def sign_codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
             bits[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.nan_to_num(flat, nan=0.0) > 0
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], ["id", "code"])
 
-    return rows.mapInArrow(pack, "id bigint, code binary")
+    return rows.mapInArrow(bytescan.tidy(pack), "id bigint, code binary")
 
 
 def layout(n: int, width: int) -> tuple[list[tuple[int, int]], int]:
@@ -161,7 +162,7 @@ def _round(index: DataFrame, asked: DataFrame, segments: list[tuple[int, int]],
                     for found in chunk.near(ids[a:b], np.ascontiguousarray(codes[a:b]), bound[a:b], radius, k):
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "id", "distance"])
 
-    return rows.mapInArrow(search, "query_id bigint, id bigint, distance bigint")
+    return rows.mapInArrow(bytescan.tidy(search), "query_id bigint, id bigint, distance bigint")
 
 
 def top_k(codes: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
@@ -179,11 +180,11 @@ def top_k(codes: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
             lists = pa.array(np.stack(found, axis=1).astype(np.int32).tolist() if found else [], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("code"), lists], ["id", "code", "parts"])
 
-    placed = few.mapInArrow(parts, "id bigint, code binary, parts array<int>").select("id", "code", F.posexplode("parts").alias("segment", "part"))
+    placed = few.mapInArrow(bytescan.tidy(parts), "id bigint, code binary, parts array<int>").select("id", "code", F.posexplode("parts").alias("segment", "part"))
     placed = written(placed, "segment-rows")
     chunks = placed.groupBy("segment", "part").agg(F.ceil(F.count("*") / PART_CODES).cast("int").alias("chunks"))
     index = written(placed.join(chunks, ["segment", "part"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks"), "segment-index")
-    open_ = written(rows.where(is_query).mapInArrow(parts, "id bigint, code binary, parts array<int>").withColumn("bound", F.lit(8 * size)), "open-queries")
+    open_ = written(rows.where(is_query).mapInArrow(bytescan.tidy(parts), "id bigint, code binary, parts array<int>").withColumn("bound", F.lit(8 * size)), "open-queries")
     best = None
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     for radius in range(max(b for _, b in segments) + 1):
