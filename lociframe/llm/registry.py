@@ -41,6 +41,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+#: All pairs with a common shingle by an inverted index, their similarity on whole sets, and what each text reaches.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+same AS (SELECT doc_id, md5(string_agg(sh, chr(10) ORDER BY sh)) AS f FROM s GROUP BY 1),
+rep AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY f) AS rep FROM same),
+r AS (SELECT s.* FROM s JOIN (SELECT DISTINCT rep FROM rep) ON rep = doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.sh = b.sh AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT rep AS a, rep AS b FROM rep UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN comp ON comp.a = rep.rep
+"""
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS c FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, o.vec_id, list_sum(list_transform(range(1, 65), lambda i: (q.c[i] <> o.c[i])::INT))::BIGINT AS distance FROM v q JOIN v o ON q.vec_id % 50 = 0 AND o.vec_id <> q.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 10
+"""
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     base = [k.name for k in pii.KINDS if k.base]
@@ -123,4 +147,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL}
+    return {"op4_near_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL, "op9_topk": OP9_SQL}
