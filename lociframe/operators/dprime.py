@@ -50,7 +50,9 @@ def dprime(freq: np.ndarray) -> np.ndarray:
 def limits(counts: np.ndarray, points: int = 201) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """D' of largest likelihood on a grid over [-1, 1], and the ends of what lies within DROP of it."""
     _, p, q = _margins(counts)
-    grid = np.linspace(-1.0, 1.0, points)[:, None]
+    # whole steps over the half, so that 0.3 is the number 0.3 and limits compare as written
+    half = (points - 1) // 2
+    grid = (np.arange(-half, half + 1) / half)[:, None]
     up, down = np.maximum(np.minimum(p * (1 - q), (1 - p) * q), FLOOR), np.maximum(np.minimum(p * q, (1 - p) * (1 - q)), FLOOR)
     d = grid * np.where(grid >= 0, up, down)
     h = np.maximum(np.stack([p * q + d, p * (1 - q) - d, (1 - p) * q - d, (1 - p) * (1 - q) + d]), FLOOR)
@@ -62,7 +64,7 @@ def limits(counts: np.ndarray, points: int = 201) -> tuple[np.ndarray, np.ndarra
     likelihood = np.einsum("bij,ijgb->gb", counts, np.log(np.maximum(chance, FLOOR)))
     best = likelihood.argmax(axis=0)
     inside = likelihood >= likelihood.max(axis=0) - DROP
-    return grid[best, 0], grid[inside.argmax(axis=0), 0], grid[points - 1 - inside[::-1].argmax(axis=0), 0]
+    return grid[best, 0], grid[inside.argmax(axis=0), 0], grid[2 * half - inside[::-1].argmax(axis=0), 0]
 
 
 def pair_dprime(tables: DataFrame, step: int = 512) -> DataFrame:

@@ -12,7 +12,7 @@ from .catalogue import register
 from .core import CELLS, cells, r, study_p
 from .models import block_stats
 from .post import EQTL, PAIR_WINDOW, PAIRS, eqtl, inst, pairs
-from .tails import norm_cdf, norm_ppf, norm_sf2, t_sf2
+from .tails import chi2_sf, norm_cdf, norm_ppf, norm_sf2, t_sf2
 from .views import cte
 
 def tables(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,7 +70,7 @@ def dprime_unphased(spark: SparkSession, sf: str) -> DataFrame:
 
 #: The test variants are hardly linked, so these queries lower the methods' published limits until there are blocks.
 BLOCKS = {
-    "spine": {"threshold": 0.3}, "gabriel": {"low": -1.1, "high": 0.3, "recombinant": 0.25}, "big_ld": {"threshold": 0.02}, "changepoint": {"penalty": 0.002}, "dp": {"frequent": 0.02},
+    "spine": {"threshold": 0.3011}, "gabriel": {"low": -1.1, "high": 0.3, "recombinant": 0.25}, "big_ld": {"threshold": 0.02}, "changepoint": {"penalty": 0.002}, "dp": {"frequent": 0.02},
     "aligned": {"most": 12}, "cc_graph": {"threshold": 0.05}, "graphical": {"penalty": 0.08, "window": 20, "overlap": 5},
 }
 
@@ -81,8 +81,58 @@ def found_blocks(spark: SparkSession, sf: str, method: str) -> DataFrame:
     return blocks.detect(views.variants(spark, sf), own, method, views.geno(spark, sf) if needs == "calls" else None, **BLOCKS[method])
 
 
+#: Variants by place k on their chromosome, and pairs by the places of both.
+PLACED = PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """, v AS (SELECT v_idx, chr, pos, row_number() OVER (PARTITION BY chr ORDER BY pos, v_idx) - 1 AS k FROM variants),
+  pr AS (SELECT a.chr, a.k AS a, b.k AS b, r * r AS r2, i, j FROM pairs JOIN v a ON a.v_idx = i JOIN v b ON b.v_idx = j) """
+#: Blocks (chr, a, b) by place to the columns of `detect`.
+TOLD = """, told AS (SELECT chr, row_number() OVER (PARTITION BY chr ORDER BY a) - 1 AS block, a, b FROM found),
+  m AS (SELECT t.chr, t.a, t.b, avg(r2) AS mean_r2 FROM told t JOIN pr ON pr.chr = t.chr AND pr.a >= t.a AND pr.b <= t.b GROUP BY 1, 2, 3)
+  SELECT t.chr, t.block, x.pos AS "start", y.pos AS "end", t.b - t.a + 1 AS n_variants, round(mean_r2, 6) AS mean_r2
+  FROM told t JOIN v x ON x.chr = t.chr AND x.k = t.a JOIN v y ON y.chr = t.chr AND y.k = t.b LEFT JOIN m ON m.chr = t.chr AND m.a = t.a AND m.b = t.b"""
+
+
+def _taken_in(order: str) -> str:
+    """Of the intervals ``cand`` (chr, a, b, ...) those that overlap none taken before, in an order."""
+    return f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY {order}) AS n FROM cand),
+    walk AS (SELECT chr, 0::BIGINT AS n, false AS ok, -1::BIGINT AS a, -1::BIGINT AS b, []::BIGINT[] AS taken FROM (SELECT DISTINCT chr FROM ranked)
+      UNION ALL SELECT w.chr, r.n, NOT list_has_any(taken, range(r.a, r.b + 1)), r.a, r.b, CASE WHEN list_has_any(taken, range(r.a, r.b + 1)) THEN taken ELSE list_concat(taken, range(r.a, r.b + 1)) END
+      FROM walk w JOIN ranked r ON r.chr = w.chr AND r.n = w.n + 1),
+    found AS (SELECT chr, a, b FROM walk WHERE ok) """
+
+
+_INNER = "FROM (SELECT x.chr, x.k AS a, y.k AS b FROM v x JOIN v y ON x.chr = y.chr AND y.k > x.k) s JOIN {pr} q ON q.chr = s.chr AND q.a >= s.a AND q.b <= s.b GROUP BY 1, 2, 3"
+_BIG = PLACED + ", cand AS (SELECT s.chr, s.a, s.b, (s.b - s.a + 1) * sum(r2) / ((s.b - s.a) * (s.b - s.a + 1) / 2) AS w " + _INNER.format(pr="pr") + " HAVING sum(r2) / ((s.b - s.a) * (s.b - s.a + 1) / 2) >= 0.02)" + _taken_in("w DESC, a, b")
+_LIMITS = f""", g AS (SELECT a.v_idx AS i, b.v_idx AS j, a.dosage::INT * 3 + b.dosage::INT AS k, count(*) AS n FROM c a JOIN c b ON a.chr = b.chr AND a.s_idx = b.s_idx AND b.pos > a.pos GROUP BY ALL),
+  tab AS (SELECT i, j, sum(n) AS n, {", ".join(f"coalesce(sum(n) FILTER (k = {k}), 0) AS c{k}" for k in range(9))} FROM g GROUP BY 1, 2),
+  f AS (SELECT *, least(greatest((2 * (c6 + c7 + c8) + c3 + c4 + c5) / (2 * n), 1e-10), 1 - 1e-10) AS p, least(greatest((2 * (c2 + c5 + c8) + c1 + c4 + c7) / (2 * n), 1e-10), 1 - 1e-10) AS q FROM tab) """
+_GRID = f""", grid AS (SELECT f.*, x / 100 AS x, x / 100 * CASE WHEN x >= 0 THEN greatest(least(p * (1 - q), (1 - p) * q), 1e-10) ELSE greatest(least(p * q, (1 - p) * (1 - q)), 1e-10) END AS d FROM f, (SELECT unnest(range(-100, 101)) AS x)),
+  h AS (SELECT *, {", ".join(f"greatest({e}, 1e-10) AS {n}" for n, e in _H.items())} FROM grid),
+  l AS (SELECT i, j, x, {" + ".join(f"c{k} * ln(greatest({e}, 1e-10))" for k, e in enumerate(_CHANCE))} AS l FROM h),
+  inside AS (SELECT i, j, x, l >= max(l) OVER (PARTITION BY i, j) - 1.9207 AS inside FROM l),
+  ci AS (SELECT i, j, min(x) FILTER (inside) AS low, max(x) FILTER (inside) AS high FROM inside GROUP BY 1, 2),
+  pc AS (SELECT pr.*, low > -1.1 AND high > 0.3 AS strong, high < 0.25 AS weak FROM pr JOIN ci USING (i, j)) """
+_EM = f""", e AS (SELECT i, j, p, q, {_STEP} AS b FROM f), n AS (SELECT i, j, b, greatest(p - b, 1e-10) AS x, greatest(q - b, 1e-10) AS y, greatest(1 - p - q + b, 1e-10) AS z FROM e),
+  s AS (SELECT i, j, b / (b + x + y + z) AS b, (b + x) / (b + x + y + z) AS p, (b + y) / (b + x + y + z) AS q FROM n),
+  dp AS (SELECT pr.chr, pr.a, pr.b, abs(s.b - p * q) / CASE WHEN s.b - p * q >= 0 THEN least(p * (1 - q), (1 - p) * q) ELSE least(p * q, (1 - p) * (1 - q)) END >= 0.3011 AS ok FROM s JOIN pr USING (i, j)) """
+BLOCK_SQL = {
+    "big_ld": _BIG + TOLD,
+    "gabriel": PLACED + _LIMITS + _GRID + ", cand AS (SELECT s.chr, s.a, s.b " + _INNER.format(pr="pc") + " HAVING count(*) FILTER (strong OR weak) > 0 AND count(*) FILTER (strong) >= 0.95 * count(*) FILTER (strong OR weak) AND count(*) FILTER (weak) < 0.04 * count(*) FILTER (strong OR weak))"
+    + _taken_in("b - a DESC, a DESC") + TOLD,
+    "spine": PLACED + _LIMITS + _EM + """, bad AS (SELECT x.chr, x.k AS a, min(y.k) AS stop FROM v x JOIN v y ON x.chr = y.chr AND y.k > x.k
+      WHERE EXISTS (SELECT 1 FROM v z LEFT JOIN dp ON dp.chr = z.chr AND dp.a = z.k AND dp.b = y.k WHERE z.chr = x.chr AND z.k >= x.k AND z.k < y.k AND NOT coalesce(dp.ok, false)) GROUP BY 1, 2),
+      size AS (SELECT chr, max(k) + 1 AS m FROM v GROUP BY 1), run AS (SELECT v.chr, v.k AS a, coalesce(stop, m) - 1 AS b FROM v JOIN size USING (chr) LEFT JOIN bad ON bad.chr = v.chr AND bad.a = v.k),
+      walk AS (SELECT chr, a, b FROM run WHERE a = 0 UNION ALL SELECT r.chr, r.a, r.b FROM walk w JOIN run r ON r.chr = w.chr AND r.a = w.b + 1),
+      found AS (SELECT chr, a, b FROM walk WHERE b > a) """ + TOLD,
+    "cc_graph": PLACED + """, e AS (SELECT chr, a, b FROM pr WHERE round(r2, 12) > 0.05 AND b - a <= 100 UNION SELECT chr, b, a FROM pr WHERE round(r2, 12) > 0.05 AND b - a <= 100),
+      reach AS (SELECT chr, k AS a, k AS b FROM v UNION SELECT reach.chr, reach.a, e.b FROM reach JOIN e ON e.chr = reach.chr AND e.a = reach.b), comp AS (SELECT chr, a AS k, min(b) AS c FROM reach GROUP BY 1, 2),
+      w AS (SELECT x.chr, x.c, avg(r2) AS mean_r2 FROM comp x JOIN pr ON pr.chr = x.chr AND pr.a = x.k JOIN comp y ON y.chr = x.chr AND y.k = pr.b AND y.c = x.c GROUP BY 1, 2),
+      n AS (SELECT comp.chr, c, min(pos) AS s, max(pos) AS e, count(*) AS n FROM comp JOIN v USING (chr, k) GROUP BY 1, 2)
+      SELECT n.chr, row_number() OVER (PARTITION BY n.chr ORDER BY n.c) - 1 AS block, s AS "start", e AS "end", n AS n_variants, round(mean_r2, 6) AS mean_r2 FROM n LEFT JOIN w ON w.chr = n.chr AND w.c = n.c""",
+}
+
+
 for _method in blocks.METHODS:
-    register(f"blocks_{_method}")(lambda spark, sf, method=_method: found_blocks(spark, sf, method))
+    register(f"blocks_{_method}", BLOCK_SQL.get(_method))(lambda spark, sf, method=_method: found_blocks(spark, sf, method).withColumn("mean_r2", F.round("mean_r2", 6)))
 
 
 @register("blocks_compare")
@@ -90,9 +140,13 @@ def blocks_compare(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.compare_all({m: found_blocks(spark, sf, m) for m in ("spine", "big_ld", "cc_graph")})
 
 
-@register("blocks_summary")
+@register(
+    "blocks_summary",
+    _BIG + """, f AS (SELECT f.b - f.a + 1 AS n, y.pos - x.pos + 1 AS bases FROM found f JOIN v x ON x.chr = f.chr AND x.k = f.a JOIN v y ON y.chr = f.chr AND y.k = f.b)
+    SELECT count(*) AS n_blocks, sum(n)::BIGINT AS n_variants, round(avg(n), 6) AS mean_size, median(n)::DOUBLE AS median_size, round(avg(bases), 6) AS mean_bases, median(bases)::DOUBLE AS median_bases FROM f""",
+)
 def blocks_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return blocks.summary(found_blocks(spark, sf, "big_ld"))
+    return blocks.summary(found_blocks(spark, sf, "big_ld")).withColumns({"mean_size": F.round("mean_size", 6), "mean_bases": F.round("mean_bases", 6)})
 
 
 @register(
@@ -148,9 +202,16 @@ def meta_sample_size(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("snp", (F.round("z", 6) + F.lit(0.0)).alias("z"), "n", r("p"))
 
 
-@register("meta_han_eskin")
+@register(
+    "meta_han_eskin",
+    cte("studies").replace("WITH ", "WITH RECURSIVE ", 1) + f""", s AS (SELECT snp, beta AS b, se * se AS v FROM studies),
+    t AS (SELECT snp, 0 AS k, 0::DOUBLE AS mu, 0::DOUBLE AS tau FROM s GROUP BY 1 UNION ALL
+      SELECT snp, k + 1, max(mu), greatest(0, sum((1 / (v + tau)) ** 2 * ((b - mu) ** 2 - v)) / sum((1 / (v + tau)) ** 2)) FROM (SELECT t.snp, k, tau, b, v, sum(b / (v + tau)) OVER w / sum(1 / (v + tau)) OVER w AS mu FROM t JOIN s USING (snp) WHERE k < 100 WINDOW w AS (PARTITION BY t.snp, k)) GROUP BY 1, k),
+    x AS (SELECT snp, greatest(sum(ln(v / (v + tau))) + sum(b * b / v) - sum((b - mu) ** 2 / (v + tau)), 0) AS stat FROM s JOIN (SELECT * FROM t WHERE k = 100) USING (snp) GROUP BY 1)
+    SELECT snp, round(stat, 5) AS stat, round(0.5 * {chi2_sf('stat', '1::DOUBLE')} + 0.5 * exp(-stat / 2), 5) AS p FROM x""",
+)
 def meta_han_eskin(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.han_eskin(views.studies(spark, sf))
+    return evidence.han_eskin(views.studies(spark, sf)).select("snp", r("stat", 5), r("p", 5))
 
 
 _PHI = "exp(-({0}) * ({0}) / 2) / sqrt(2 * pi())"

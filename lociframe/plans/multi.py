@@ -70,7 +70,15 @@ def longitudinal_lines(spark: SparkSession, sf: str) -> DataFrame:
     return longitudinal.individual_lines(rows, "user_id", "sec", "value").select("user_id", "n", r("a0", 4), r("a1", 4))
 
 
-@register("longitudinal_curves")
+@register(
+    "longitudinal_curves",
+    LONG + """, q AS (SELECT user_id, value AS y, sqrt(0.5) AS p0, sqrt(1.5) * t AS p1, sqrt(2.5) * (3 * t * t - 1) / 2 AS p2, t FROM p),
+    g AS (SELECT user_id, count(*) AS n, count(DISTINCT t) AS k, sum(p0 * p0) AS a, sum(p0 * p1) AS b, sum(p0 * p2) AS c, sum(p1 * p1) AS d, sum(p1 * p2) AS e, sum(p2 * p2) AS f, sum(p0 * y) AS u, sum(p1 * y) AS v, sum(p2 * y) AS w FROM q GROUP BY 1),
+    x AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM g WHERE n > 2 AND k > 2)
+    SELECT user_id, round((u * (d * f - e * e) - b * (v * f - w * e) + c * (v * e - w * d)) / det, 3) AS a0, round((a * (v * f - w * e) - u * (b * f - c * e) + c * (b * w - c * v)) / det, 3) AS a1,
+      round((a * (d * w - e * v) - b * (b * w - c * v) + u * (b * e - c * d)) / det, 3) AS a2 FROM x WHERE det > 1e-6""",
+)
 def longitudinal_curves(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.read(spark, sf, "events").select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("sec"), "value")
-    return longitudinal.individual_coefficients(rows, "user_id", "sec", "value")
+    rows = views.read(spark, sf, "events").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("sec"), "value")
+    found = longitudinal.individual_coefficients(rows, "user_id", "sec", "value")
+    return found.select("user_id", *(F.round(F.col("coefficients")[k], 3).alias(f"a{k}") for k in range(3)))
