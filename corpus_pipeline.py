@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the driver of the pipeline writes
 it as Parquet and gives it to the next stage as docs. All but the last return the columns of
 documents.
+
+Defined results, in every stage: an empty table gives an empty table of the same columns; columns
+beside those of documents are carried along and not read, whatever their names; rows that repeat
+are handled one by one; n_chars follows the text where a stage changes it. A null or empty text has
+no words, so the quality stage rejects it; given to the others it stays null or empty, is nobody's
+near duplicate, has no personal data, size 0 in the mix and a piece of the separator alone. A null
+doc_id is a key like any other, and last where the smallest is chosen; a null source is a source of
+its own.
 """
 
 from __future__ import annotations
@@ -16,18 +24,18 @@ from lociframe.llm.registry import tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither fail the base rules nor are depleted of lines of their own, without their boilerplate lines; n_chars follows the text."""
+    """Documents that neither fail the base rules nor are depleted of lines of their own, without their boilerplate lines."""
     good = quality_rules.keep_good(docs)
     return good.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates."""
+    """One document of each group of near duplicates, that of smallest id: shingles of five words, similarity of 0.8 or more."""
     return near_dedup.keep_first(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each span of personal data replaced by its kind; n_chars follows the text."""
+    """All documents, each span of personal data replaced by its kind."""
     masked = pii.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
