@@ -77,12 +77,19 @@ def token_files(docs: DataFrame, tokenizer: str, separator: int, key: str = "doc
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (file, block, data) of binary token files under ``path``, each of less than 2 GB."""
+    """Blocks (file, block, data) of binary token files under ``path``. A file of less than 2 GB is one task, which holds it once and passes on a block at a time; larger files should be written in parts."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
     size = block_tokens * width
-    n = F.greatest(F.ceil(F.length("content") / size).cast("int"), F.lit(1))
-    blocks = files.select("file", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
-    return blocks.select("file", F.col("block").cast("long").alias("block"), F.substring("content", F.col("block") * size + 1, F.lit(size)).alias("data"))
+
+    def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for k in range(batch.num_rows):
+                data = memoryview(batch.column("content")[k].as_buffer())
+                for block in range(max(1, -(-len(data) // size))):
+                    piece = pa.array([bytes(data[block * size : (block + 1) * size])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column("file").slice(k, 1), pa.array([block], pa.int64()), piece], ["file", "block", "data"])
+
+    return files.mapInArrow(bytescan.tidy(cut), "file string, block bigint, data binary")
 
 
 def count_tokens(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -109,3 +110,21 @@ def test_mix_of_repeated_rows(spark):
     for source in "ab":
         assert abs(sum(len(r.text.split()) for r in mixed if r.source == source) - want[source]) <= 4
     assert sorted(map(tuple, mixed), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()), key=str)
+
+
+def test_large_draws():
+    """Beyond numpy's limit: the walk's probability at the mode against exact fractions, and the draws' moments."""
+    from fractions import Fraction
+
+    choose = lambda n, k: math.comb(n, k)
+    for good, bad, sample, x in ((60, 40, 30, 18), (400, 700, 90, 33), (30, 5000, 700, 4)):
+        p = sample / (good + bad)
+        got = sharding._binomial(x, good, p) * sharding._binomial(sample - x, bad, p) / sharding._binomial(sample, good + bad, p)
+        assert got == pytest.approx(float(Fraction(choose(good, x) * choose(bad, sample - x), choose(good + bad, sample))), rel=1e-12)
+    rng = np.random.default_rng(4)
+    good, bad, sample = 3 * 10**9, 10**10, 10**6
+    draws = np.array([sharding._draw(rng, good, bad, sample) for _ in range(300)])
+    mean = sample * good / (good + bad)
+    sd = math.sqrt(mean * bad / (good + bad) * (1 - sample / (good + bad)))
+    assert abs(draws.mean() - mean) < 5 * sd / 300**0.5 and abs(draws.std() / sd - 1) < 0.2
+    assert sharding._draw(rng, 10**9, 10**9, 2 * 10**9) == 10**9
