@@ -479,9 +479,9 @@ def compare(first: DataFrame, second: DataFrame) -> DataFrame:
     a = first.select("chr", F.col("start").alias("s1"), F.col("end").alias("e1"))
     b = second.select("chr", F.col("start").alias("s2"), F.col("end").alias("e2"))
     width = F.greatest(F.least("e1", "e2") - F.greatest("s1", "s2"), F.lit(0))
-    both = a.join(b, "chr").where("s1 <= e2 AND s2 <= e1").agg(F.sum(width).alias("shared"), F.count("*").alias("overlaps"))
-    one = first.agg(F.sum(F.col("end") - F.col("start")).alias("first"), F.count("*").alias("n_first"))
-    two = second.agg(F.sum(F.col("end") - F.col("start")).alias("second"), F.count("*").alias("n_second"))
+    both = a.join(b, "chr").where("s1 <= e2 AND s2 <= e1").agg(F.coalesce(F.sum(width), F.lit(0)).alias("shared"), F.count("*").alias("overlaps"))
+    one = first.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("first"), F.count("*").alias("n_first"))
+    two = second.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("second"), F.count("*").alias("n_second"))
     rows = both.crossJoin(one).crossJoin(two)  # one row each
     return rows.withColumn("jaccard", F.col("shared") / F.greatest(F.col("first") + F.col("second") - F.col("shared"), F.lit(1)))
 

@@ -19,9 +19,11 @@ from . import mixed, multitrait
 
 
 def strings(haplotypes: DataFrame, regions: DataFrame) -> DataFrame:
-    """(region, s_idx, copy, hap): each copy's alleles in order of place."""
-    rows = haplotypes.join(regions, "v_idx").groupBy("region", "s_idx", "copy").agg(F.array_sort(F.collect_list(F.struct("v_idx", "allele"))).alias("x"))
-    return rows.select("region", "s_idx", "copy", F.array_join(F.transform("x", lambda a: a["allele"].cast("string")), "").alias("hap"))
+    """(region, s_idx, copy, hap): each copy's alleles in order of the region's variants, a dot where it has no call."""
+    order = regions.groupBy("region").agg(F.array_sort(F.collect_set("v_idx")).alias("v"))
+    rows = haplotypes.where("allele IS NOT NULL").join(regions, "v_idx").groupBy("region", "s_idx", "copy").agg(F.map_from_entries(F.collect_list(F.struct("v_idx", F.col("allele").cast("string")))).alias("x"))
+    alleles = F.transform("v", lambda v: F.coalesce(F.element_at("x", v), F.lit(".")))
+    return rows.join(order, "region").select("region", "s_idx", "copy", F.array_join(alleles, "").alias("hap"))
 
 
 def counts(group: pd.DataFrame, samples: np.ndarray, rare: float = 0.02) -> tuple[list[str], np.ndarray]:

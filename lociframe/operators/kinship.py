@@ -20,7 +20,11 @@ MOST_SAMPLES = 16_000
 
 
 def encoded(cells: DataFrame, kind: str = "vanraden", ploidy: int = 2, weights: DataFrame | None = None) -> DataFrame:
-    """(v_idx, s_idx, x, norm) of mean-imputed cells; norm is the variant's part of the divisor. Other columns of cells stay."""
+    """(v_idx, s_idx, x, norm) of mean-imputed cells; norm is the variant's part of the divisor. Other columns of cells stay.
+
+    In the centred kinds (vanraden, slater, yang, weighted) a call at the mean is 0, so the known
+    calls alone give the same products; the others need a cell for each sample.
+    """
     own = Window.partitionBy("v_idx")
     extra = [c for c in cells.columns if c not in ("v_idx", "s_idx", "dosage")]
     if ":" in kind:

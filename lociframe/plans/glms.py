@@ -35,7 +35,7 @@ def _left(column: str, name: str) -> str:
 
 
 def _scan(spark: SparkSession, sf: str, t: pd.DataFrame, score, state, schema: str) -> DataFrame:
-    return map_variants(cells(spark, sf), t["s_idx"].tolist(), score, state, schema)
+    return map_variants(views.geno(spark, sf), t["s_idx"].tolist(), score, state, schema)
 
 
 def _design(t: pd.DataFrame) -> np.ndarray:
@@ -71,14 +71,14 @@ def logistic_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _kinship(spark: SparkSession, sf: str, t: pd.DataFrame) -> np.ndarray:
-    return kinship.relationship(cells(spark, sf), t["s_idx"].tolist())
+    return kinship.relationship(views.geno(spark, sf), t["s_idx"].tolist())
 
 
 for _family, _trait in (("logit", "status"), ("probit", "status"), ("log", "level"), ("identity", "y")):
 
     def _glmm(spark: SparkSession, sf: str, family: str = _family, trait: str = _trait) -> DataFrame:
         t = table(spark, sf)
-        return glmm.scan(cells(spark, sf), glmm.fit(t[trait].to_numpy(float), _design(t), _kinship(spark, sf, t), t["s_idx"].tolist(), family))
+        return glmm.scan(views.geno(spark, sf), glmm.fit(t[trait].to_numpy(float), _design(t), _kinship(spark, sf, t), t["s_idx"].tolist(), family))
 
     register(f"glmm_{_family}")(_glmm)
 
@@ -86,19 +86,19 @@ for _family, _trait in (("logit", "status"), ("probit", "status"), ("log", "leve
 @register("glmm_ordinal")
 def glmm_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf)
-    return glmm.scan(cells(spark, sf), glmm.fit_ordinal(t["level"].to_numpy(), t[["cov"]].to_numpy(float), _kinship(spark, sf, t), t["s_idx"].tolist()))
+    return glmm.scan(views.geno(spark, sf), glmm.fit_ordinal(t["level"].to_numpy(), t[["cov"]].to_numpy(float), _kinship(spark, sf, t), t["s_idx"].tolist()))
 
 
 @register("glmm_multinomial")
 def glmm_multinomial(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf)
-    return glmm.scan_multinomial(cells(spark, sf), glmm.fit_multinomial(t["group"].to_numpy(), _design(t), _kinship(spark, sf, t), t["s_idx"].tolist()))
+    return glmm.scan_multinomial(views.geno(spark, sf), glmm.fit_multinomial(t["group"].to_numpy(), _design(t), _kinship(spark, sf, t), t["s_idx"].tolist()))
 
 
 @register("glmm_survival")
 def glmm_survival(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf)
-    return glmm.scan(cells(spark, sf), glmm.fit_survival(t["time"].to_numpy(float), t["status"].to_numpy(float), t[["cov"]].to_numpy(float), _kinship(spark, sf, t), t["s_idx"].tolist()))
+    return glmm.scan(views.geno(spark, sf), glmm.fit_survival(t["time"].to_numpy(float), t["status"].to_numpy(float), t[["cov"]].to_numpy(float), _kinship(spark, sf, t), t["s_idx"].tolist()))
 
 
 def _traits(t: pd.DataFrame) -> np.ndarray:
@@ -108,7 +108,7 @@ def _traits(t: pd.DataFrame) -> np.ndarray:
 @register("multi_trait_lmm")
 def multi_trait_lmm(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf)
-    return multitrait.scan(cells(spark, sf), multitrait.fit(_traits(t), _design(t), _kinship(spark, sf, t), t["s_idx"].tolist()))
+    return multitrait.scan(views.geno(spark, sf), multitrait.fit(_traits(t), _design(t), _kinship(spark, sf, t), t["s_idx"].tolist()))
 
 
 for _structure in ("unstructured", "diagonal", "fa1"):
@@ -116,7 +116,7 @@ for _structure in ("unstructured", "diagonal", "fa1"):
     def _environments(spark: SparkSession, sf: str, structure: str = _structure) -> DataFrame:
         t = table(spark, sf)
         y = np.column_stack([t["y"], 0.5 * t["y"] + np.sin(t["s_idx"] * 1.7), np.cos(t["s_idx"] * 0.9)])
-        return multitrait.scan_environments(cells(spark, sf), multitrait.fit(y, _design(t), _kinship(spark, sf, t), t["s_idx"].tolist(), structure))
+        return multitrait.scan_environments(views.geno(spark, sf), multitrait.fit(y, _design(t), _kinship(spark, sf, t), t["s_idx"].tolist(), structure))
 
     register(f"multi_env_{_structure}")(_environments)
 
@@ -126,7 +126,7 @@ def multi_trait_multi_env(spark: SparkSession, sf: str) -> DataFrame:
     """Two traits in two environments, the genetic covariance a product of one for each."""
     t = table(spark, sf)
     y = np.column_stack([t["y"], t["y"] + np.sin(t["s_idx"] * 2.3), np.sin(t["s_idx"] * 1.7), np.cos(t["s_idx"] * 0.9)])
-    return multitrait.scan(cells(spark, sf), multitrait.fit(y, _design(t), _kinship(spark, sf, t), t["s_idx"].tolist(), "separable", (2, 2)))
+    return multitrait.scan(views.geno(spark, sf), multitrait.fit(y, _design(t), _kinship(spark, sf, t), t["s_idx"].tolist(), "separable", (2, 2)))
 
 
 @register("random_regression")
@@ -135,7 +135,7 @@ def random_regression(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf)
     times = np.array([0.0, 1.0, 2.0, 4.0])
     y = t["y"].to_numpy()[:, None] + np.sin(np.outer(t["s_idx"], times + 1)) + times[None] * (t["cov"].to_numpy()[:, None] - 3) / 10
-    return multitrait.scan(cells(spark, sf), multitrait.fit(multitrait.random_regression(y, times, 1), _design(t), _kinship(spark, sf, t), t["s_idx"].tolist()))
+    return multitrait.scan(views.geno(spark, sf), multitrait.fit(multitrait.random_regression(y, times, 1), _design(t), _kinship(spark, sf, t), t["s_idx"].tolist()))
 
 
 @register("multi_kernel_lmm")
@@ -149,7 +149,7 @@ def multi_kernel_lmm(spark: SparkSession, sf: str) -> DataFrame:
 @register("heteroscedastic_lmm")
 def heteroscedastic_lmm(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf)
-    return multitrait.scan_kernels(cells(spark, sf), multitrait.fit_heteroscedastic(t["y"].to_numpy(float), _design(t), _kinship(spark, sf, t), t["group"].to_numpy(), t["s_idx"].tolist()))
+    return multitrait.scan_kernels(views.geno(spark, sf), multitrait.fit_heteroscedastic(t["y"].to_numpy(float), _design(t), _kinship(spark, sf, t), t["group"].to_numpy(), t["s_idx"].tolist()))
 
 
 @register("gxe_lmm")
@@ -157,7 +157,7 @@ def gxe_lmm(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf)
     z = t["cov"].to_numpy(float)
     fit = multitrait.fit_kernels(t["y"].to_numpy(float), _design(t), multitrait.interaction_kernels(_kinship(spark, sf, t), z - z.mean()), t["s_idx"].tolist())
-    return multitrait.scan_gxe(cells(spark, sf), fit, z)
+    return multitrait.scan_gxe(views.geno(spark, sf), fit, z)
 
 
 @register("ordinal_scan")
@@ -223,6 +223,6 @@ def permutation_max_t(spark: SparkSession, sf: str) -> DataFrame:
         r2 = (rg.T @ ry) ** 2 / np.maximum((rg * rg).sum(axis=0) * (ry @ ry), 1e-300)
         return {"r2": r2, "maxima": [own.tolist()] + [None] * (g.shape[1] - 1)}
 
-    rows = map_variants(cells(spark, sf), t["s_idx"].tolist(), blocks, {"y": y, "x": x}, "r2 double, maxima array<double>")
+    rows = map_variants(views.geno(spark, sf), t["s_idx"].tolist(), blocks, {"y": y, "x": x}, "r2 double, maxima array<double>")
     null = rows.where("maxima IS NOT NULL").select(F.posexplode("maxima").alias("k", "m")).groupBy("k").agg(F.max("m").alias("m")).agg(F.collect_list("m").alias("null"))
     return rows.select("v_idx", "r2").crossJoin(F.broadcast(null)).select("v_idx", "r2", ((1 + F.size(F.filter("null", lambda m: m >= F.col("r2") - 1e-12))) / (n + 1)).alias("p_fwer"))

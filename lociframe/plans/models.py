@@ -81,7 +81,7 @@ GRM = CELLS + """, d AS (SELECT v_idx, s_idx, coalesce(dosage, avg(dosage) OVER
 )
 def grm_vanraden(spark: SparkSession, sf: str) -> DataFrame:
     ids = sample_ids(spark, sf)
-    return _matrix(spark, kinship.relationship(cells(spark, sf), ids), ids).withColumn("k", F.round("k", 6))
+    return _matrix(spark, kinship.relationship(views.geno(spark, sf), ids), ids).withColumn("k", F.round("k", 6))
 
 
 @register(
@@ -90,7 +90,7 @@ def grm_vanraden(spark: SparkSession, sf: str) -> DataFrame:
 )
 def grm_loco(spark: SparkSession, sf: str) -> DataFrame:
     ids = sample_ids(spark, sf)
-    return _matrix(spark, kinship.relationship(cells(spark, sf).where("v_idx % 5 <> 2"), ids), ids).withColumn("k", F.round("k", 6))
+    return _matrix(spark, kinship.relationship(views.geno(spark, sf).where("v_idx % 5 <> 2"), ids), ids).withColumn("k", F.round("k", 6))
 
 
 @register(
@@ -98,7 +98,7 @@ def grm_loco(spark: SparkSession, sf: str) -> DataFrame:
     GRM.format(where="") + "SELECT a.s_idx AS i, b.s_idx AS j, round(sum(a.x * b.x) / max(c), 6) AS k FROM e a JOIN e b USING (v_idx), norm WHERE a.s_idx <= b.s_idx GROUP BY 1, 2",
 )
 def grm_pairs_table(spark: SparkSession, sf: str) -> DataFrame:
-    return kinship.gram_pairs(kinship.encoded(cells(spark, sf)), sample_ids(spark, sf)).select("i", "j", r("k"))
+    return kinship.gram_pairs(kinship.encoded(views.geno(spark, sf)), sample_ids(spark, sf)).select("i", "j", r("k"))
 
 
 #: The values and the divisor of each relationship, from the mean-imputed dosage g and the frequency p.
@@ -111,6 +111,10 @@ KINDS = {
 }
 
 
+#: Relationships in which a missing call, at the variant's mean, adds nothing.
+SPARSE = ("vanraden", "yang", "slater")
+
+
 def _kind_sql(kind: str) -> str:
     x, norm, where = KINDS[kind]
     filled = "coalesce(dosage, avg(dosage) OVER (PARTITION BY v_idx))"
@@ -122,33 +126,33 @@ def _kind_sql(kind: str) -> str:
 
 for _kind in KINDS:
     register(f"grm_{_kind}", _kind_sql(_kind))(
-        lambda spark, sf, kind=_kind: _matrix(spark, kinship.relationship(cells(spark, sf), ids := sample_ids(spark, sf), kind), ids).withColumn("k", F.round("k", 6) + F.lit(0.0))
+        lambda spark, sf, kind=_kind: _matrix(spark, kinship.relationship(views.geno(spark, sf) if kind in SPARSE else cells(spark, sf), ids := sample_ids(spark, sf), kind), ids).withColumn("k", F.round("k", 6) + F.lit(0.0))
     )
 
 
 @register("pca")
 def pca(spark: SparkSession, sf: str) -> DataFrame:
     ids = sample_ids(spark, sf)
-    values, vectors = kinship.spectrum(kinship.relationship(cells(spark, sf), ids))
+    values, vectors = kinship.spectrum(kinship.relationship(views.geno(spark, sf), ids))
     return spark.createDataFrame(pd.DataFrame({"s_idx": ids} | {f"pc{k + 1}": vectors[:, k] * np.sqrt(values[k]) for k in range(4)}))
 
 
 def null_fit(spark: SparkSession, sf: str, k: np.ndarray | None = None) -> mixed.NullFit:
     ids = sample_ids(spark, sf)
-    k = kinship.relationship(cells(spark, sf), ids) if k is None else k
+    k = kinship.relationship(views.geno(spark, sf), ids) if k is None else k
     rows = views.samples(spark, sf).orderBy("s_idx").toPandas()
     return mixed.fit_null(rows["y"].to_numpy(float), np.column_stack([np.ones(len(rows)), rows["cov"]]), k, ids)
 
 
 @register("lmm_scan")
 def lmm_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return mixed.scan(cells(spark, sf), null_fit(spark, sf))
+    return mixed.scan(views.geno(spark, sf), null_fit(spark, sf))
 
 
 @register("lmm_scan_loco")
 def lmm_scan_loco(spark: SparkSession, sf: str) -> DataFrame:
     """Each chromosome against the relationship of the others; the products are made once, by chromosome."""
-    placed = cells(spark, sf).withColumn("chr", F.col("v_idx") % 5)
+    placed = views.geno(spark, sf).withColumn("chr", F.col("v_idx") % 5)
     left_out = kinship.leave_one_out(placed, sample_ids(spark, sf))
     parts = [mixed.scan(placed.where(F.col("chr") == c), null_fit(spark, sf, k)) for c, k in sorted(left_out.items())]
     out = parts[0]
@@ -162,7 +166,7 @@ def lmm_scan_refit(spark: SparkSession, sf: str) -> DataFrame:
     """The variance ratio fitted anew with each variant in the model."""
     ids = sample_ids(spark, sf)
     t = views.samples(spark, sf).orderBy("s_idx").toPandas()
-    return mixed.scan_refit(cells(spark, sf), t["y"].to_numpy(float), np.column_stack([np.ones(len(t)), t["cov"]]), kinship.relationship(cells(spark, sf), ids), ids)
+    return mixed.scan_refit(views.geno(spark, sf), t["y"].to_numpy(float), np.column_stack([np.ones(len(t)), t["cov"]]), kinship.relationship(views.geno(spark, sf), ids), ids)
 
 
 @register("lmm_scan_low_rank")
@@ -170,8 +174,8 @@ def lmm_scan_low_rank(spark: SparkSession, sf: str) -> DataFrame:
     """The leading axes of the relationship only, as for samples beyond a driver's eigenvectors."""
     ids = sample_ids(spark, sf)
     t = views.samples(spark, sf).orderBy("s_idx").toPandas()
-    fit = mixed.fit_null(t["y"].to_numpy(float), np.column_stack([np.ones(len(t)), t["cov"]]), kinship.relationship(cells(spark, sf), ids), ids, rank=max(1, len(ids) // 2))
-    return mixed.scan(cells(spark, sf), fit)
+    fit = mixed.fit_null(t["y"].to_numpy(float), np.column_stack([np.ones(len(t)), t["cov"]]), kinship.relationship(views.geno(spark, sf), ids), ids, rank=max(1, len(ids) // 2))
+    return mixed.scan(views.geno(spark, sf), fit)
 
 
 @register("variance_components")

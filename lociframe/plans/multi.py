@@ -9,13 +9,13 @@ from lociframe.operators import intervals, longitudinal, multilocus, multiple_te
 
 from . import views
 from .catalogue import register
-from .core import cells, r
+from .core import r
 from .glms import _design, table
 
 
 def _study(spark: SparkSession, sf: str):
     t = table(spark, sf)
-    return cells(spark, sf), t["s_idx"].tolist(), t["y"].to_numpy(float), _design(t)
+    return views.geno(spark, sf), t["s_idx"].tolist(), t["y"].to_numpy(float), _design(t)
 
 
 @register("conditional_leads")

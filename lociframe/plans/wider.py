@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.operators import genetics_extra, kinship, ld, qc
+from lociframe.operators import genetics_extra, haplotypes, hypotheses, intervals, kinship, ld, mixed, qc
 
 from . import views
 from .catalogue import register
-from .core import cells, r
+from .core import STATS, cells, r, stats
 from .models import GRM, sample_ids
 from .post import BOTH, SCORE_PAIRS, SCORE_WINDOW, pairs
+from .tails import norm_ppf
+from .views import cte
 
 
 SCORES = SCORE_PAIRS + BOTH + f""", studies AS ({views.SQL["studies"]}), l AS (SELECT v_idx, 1 + coalesce(sum(r2), 0) AS l FROM variants LEFT JOIN both_ways USING (v_idx) GROUP BY 1) """
@@ -73,3 +76,123 @@ def impute_knn(spark: SparkSession, sf: str) -> DataFrame:
 @register("impute_copying")
 def impute_copying(spark: SparkSession, sf: str) -> DataFrame:
     return genetics_extra.impute_copying(cells(spark, sf), views.variants(spark, sf), 10_000)
+
+
+def _half(k: int) -> str:
+    return f"(SELECT a.v_idx AS i, b.v_idx AS j, corr(a.dosage, b.dosage) AS r FROM c a JOIN c b ON a.chr = b.chr AND a.s_idx = b.s_idx AND b.pos > a.pos WHERE a.s_idx % 2 = {k} GROUP BY 1, 2 HAVING var_pop(a.dosage) > 1e-12 AND var_pop(b.dosage) > 1e-12)"
+
+
+@register(
+    "ld_cross_scores",
+    cte("geno", "variants") + f""", c AS (SELECT * FROM geno JOIN variants USING (v_idx)), x AS (SELECT a.i, a.j, a.r * b.r AS x FROM {_half(0)} a JOIN {_half(1)} b USING (i, j)),
+    s AS (SELECT v_idx, sum(x) AS s FROM (SELECT i AS v_idx, x FROM x UNION ALL SELECT j, x FROM x) GROUP BY 1) SELECT v_idx, round(1 + coalesce(s, 0), 5) AS cross_score FROM variants LEFT JOIN s USING (v_idx)""",
+)
+def ld_cross_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The samples' two halves as two panels."""
+    from lociframe.operators import ld_reference
+
+    g, v = views.geno(spark, sf), views.variants(spark, sf)
+    parts = [ld.pair_correlations(g.where(F.col("s_idx") % 2 == k), v, SCORE_WINDOW) for k in range(2)]
+    return ld_reference.cross_scores(*parts, v).select("v_idx", r("cross_score", 5))
+
+
+@register(
+    "grm_sparse",
+    GRM.format(where="") + "SELECT * FROM (SELECT a.s_idx AS i, b.s_idx AS j, round(sum(a.x * b.x) / max(c), 6) AS k FROM e a JOIN e b USING (v_idx), norm WHERE a.s_idx <= b.s_idx GROUP BY 1, 2) WHERE i = j OR abs(k) >= 0.1",
+)
+def grm_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    rows = kinship.gram_pairs(kinship.encoded(views.geno(spark, sf)), sample_ids(spark, sf)).withColumn("k", F.round("k", 6))
+    return rows.where("i = j OR abs(k) >= 0.1")
+
+
+@register("lmm_scan_sparse")
+def lmm_scan_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """Relationships above a threshold only, exact within the families they make."""
+    t = views.samples(spark, sf).orderBy("s_idx").toPandas()
+    pairs = kinship.sparse_pairs(kinship.encoded(views.geno(spark, sf)), 0.15, t["s_idx"].tolist())
+    fit = mixed.fit_sparse(t["y"].to_numpy(float), np.column_stack([np.ones(len(t)), t["cov"]]), pairs, t["s_idx"].tolist())
+    return mixed.scan(views.geno(spark, sf), fit)
+
+
+@register("max_t_adaptive")
+def max_t_adaptive(spark: SparkSession, sf: str) -> DataFrame:
+    t = views.samples(spark, sf).orderBy("s_idx").toPandas()
+    return hypotheses.adaptive_max(views.geno(spark, sf), t["s_idx"].tolist(), t["y"].to_numpy(float), np.column_stack([np.ones(len(t)), t["cov"]]), 50, 200)
+
+
+@register("adaptive_thresholds")
+def adaptive_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    return hypotheses.adaptive_thresholds(views.pvals(spark, sf), "n", ["v_idx"], q=0.5).select("v_idx", "p", "threshold", "selected")
+
+
+@register(
+    "scan_agreement",
+    cte("studies") + """, p AS (SELECT study, v_idx, -log10(greatest(exp(-power(beta / se, 2) / 2), 1e-300)) AS l FROM studies), b AS (SELECT a.l AS a, b.l AS b FROM p a JOIN p b USING (v_idx) WHERE a.study = 'N' AND b.study = 'R')
+    SELECT count(*) AS n, round(corr(a, b), 6) AS correlation, round(max(abs(a - b)), 6) AS max_gap, round(avg(abs(a - b)), 6) AS mean_gap, round(avg((abs(a - b) <= 0.1)::INT), 6) AS share_within FROM b""",
+)
+def scan_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    rows = views.studies(spark, sf).withColumn("p", F.exp(-F.pow(F.col("beta") / F.col("se"), 2) / 2))
+    found = hypotheses.compare_p(rows.where("study = 'N'"), rows.where("study = 'R'"), tolerance=0.1)
+    return found.select("n", *(r(c) for c in ("correlation", "max_gap", "mean_gap", "share_within")))
+
+
+@register(
+    "conditional_evidence",
+    cte("pvals") + """, x AS (SELECT v_idx, p AS p_gwas, power(p, 0.3) AS p_twas, least(p * (1 + v_idx % 20), 1) AS p_conditional FROM pvals),
+    m AS (SELECT *, log10(greatest(p_conditional, 1e-300)) - log10(greatest(p_gwas, 1e-300)) >= 1 AS mediated FROM x)
+    SELECT v_idx, mediated, round(CASE WHEN mediated THEN p_twas ELSE 0.5 - atan((tan((0.5 - p_gwas) * pi()) + tan((0.5 - p_twas) * pi())) / 2) / pi() END, 6) AS p_combined FROM m""",
+)
+def conditional_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    rows = views.pvals(spark, sf).select("v_idx", F.col("p").alias("p_gwas"), F.pow("p", F.lit(0.3)).alias("p_twas"), F.least(F.col("p") * (1 + F.col("v_idx") % 20), F.lit(1.0)).alias("p_conditional"))
+    return hypotheses.conditional_evidence(rows).select("v_idx", "mediated", r("p_combined"))
+
+
+@register(
+    "normal_scores",
+    cte("samples") + f""", q AS (SELECT s_idx, family, (rank() OVER (PARTITION BY family ORDER BY y) + (count(*) OVER (PARTITION BY family, y) - 1) / 2 - 0.375) / (count(*) OVER (PARTITION BY family) + 0.25) AS q FROM samples)
+    SELECT s_idx, family, round({norm_ppf('q')}, 6) + 0::DOUBLE AS score FROM q""",
+)
+def normal_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return views.samples(spark, sf).select("s_idx", "family", (F.round(hypotheses.normal_scores("y", ["family"]), 6) + F.lit(0.0)).alias("score"))
+
+
+@register(
+    "qc_long",
+    STATS + """SELECT v_idx, statistic, round(value, 6) + 0::DOUBLE AS value FROM (SELECT v_idx, af, maf, miss_rate, het FROM stats) UNPIVOT (value FOR statistic IN (af, maf, miss_rate, het))""",
+)
+def qc_long(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["af", "maf", "miss_rate", "het"]
+    return stats(spark, sf).unpivot(["v_idx"], names, "statistic", "value").select("v_idx", "statistic", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
+@register(
+    "variant_sets",
+    cte("geno") + """, hom AS (SELECT v_idx FROM geno WHERE dosage = 2 AND s_idx % 3 = 0), het AS (SELECT v_idx FROM geno WHERE dosage = 1 AND s_idx % 3 = 1)
+    SELECT v_idx, 'both' AS kind FROM (SELECT v_idx FROM hom INTERSECT SELECT v_idx FROM het) UNION ALL SELECT v_idx, 'only_first' FROM (SELECT v_idx FROM hom EXCEPT SELECT v_idx FROM het)""",
+)
+def variant_sets(spark: SparkSession, sf: str) -> DataFrame:
+    g = views.geno(spark, sf)
+    hom, het = g.where("dosage = 2 AND s_idx % 3 = 0").select("v_idx"), g.where("dosage = 1 AND s_idx % 3 = 1").select("v_idx")
+    return hom.intersect(het).withColumn("kind", F.lit("both")).unionByName(hom.subtract(het).withColumn("kind", F.lit("only_first")))
+
+
+@register("haplotype_scan")
+def haplotype_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Score and kernel tests of the haplotypes of each gene's region under a mixed model."""
+    t = views.samples(spark, sf).orderBy("s_idx").toPandas()
+    fit = mixed.fit_null(t["y"].to_numpy(float), np.column_stack([np.ones(len(t)), t["cov"]]), kinship.relationship(views.geno(spark, sf), t["s_idx"].tolist()), t["s_idx"].tolist())
+    return haplotypes.scan(*_haplotypes(spark, sf), fit)
+
+
+@register("haplotype_interaction")
+def haplotype_interaction(spark: SparkSession, sf: str) -> DataFrame:
+    t = views.samples(spark, sf).orderBy("s_idx").toPandas()
+    return haplotypes.scan_interaction(*_haplotypes(spark, sf), t["s_idx"].tolist(), t["y"].to_numpy(float), np.column_stack([np.ones(len(t)), t["cov"]]), t["cov"].to_numpy(float))
+
+
+def _haplotypes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    g = views.geno(spark, sf)
+    first = g.select("v_idx", "s_idx", F.lit(0).alias("copy"), (F.col("dosage") >= 1).cast("int").alias("allele"))
+    calls = first.unionByName(g.select("v_idx", "s_idx", F.lit(1).alias("copy"), (F.col("dosage") == 2).cast("int").alias("allele")))
+    hit = intervals.range_join(views.variants(spark, sf), views.genes(spark, sf), "start", "end").select(F.col("gene").alias("region"), "v_idx")
+    return calls, hit
