@@ -374,12 +374,22 @@ def zstandard():
     return library.ZstdDecompressor()
 
 
+def _small_file(spark: SparkSession, path: str) -> str:
+    """Text of a small file in any store; Spark's own readers pass over names that begin with a dot."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def read_zarr(spark: SparkSession, path: str, samples: list[str], variants: DataFrame | None = None) -> Genotypes:
     """A Zarr 2 array of dosages (variants x samples), chunks raw or by zlib, gzip or zstd; -1 and NaN are missing.
 
     Chunks are files, read by Spark; a chunk is one row of one task.
     """
-    told = json.loads(spark.read.text(f"{path}/.zarray", wholetext=True).first()["value"])
+    told = json.loads(_small_file(spark, f"{path}/.zarray"))
     shape, chunk, kind = told["shape"], told["chunks"], np.dtype(told["dtype"])
     codec = (told.get("compressor") or {}).get("id")
     if codec not in (None, "zlib", "gzip", "zstd") or told.get("filters"):
