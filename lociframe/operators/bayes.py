@@ -11,19 +11,22 @@ from pyspark.sql import functions as F
 
 
 def best_prior(z: np.ndarray, n: float, start: float = 0.04, widest: float = 100.0) -> float:
-    """The prior variance of a single effect with the largest marginal likelihood over variants: golden section on its logarithm; 0 if none beats no effect."""
+    """The prior variance of a single effect with the largest marginal likelihood over variants: grids on its logarithm, each finer around the best; 0 if none beats no effect."""
 
-    def likelihood(v: float) -> float:
+    def likelihood(logs: np.ndarray) -> np.ndarray:
+        v = np.exp(logs)[:, None]
         s2 = 1 / (1 / v + n)
         lbf = 0.5 * np.log(s2 / v) + 0.5 * s2 * n * z * z
-        return float(lbf.max() + np.log(np.exp(lbf - lbf.max()).mean()))
-
-    a, b, golden = np.log(1e-8), np.log(max(widest * start, float((z * z).max() / n))), (np.sqrt(5) - 1) / 2
-    for _ in range(80):
-        p, q = b - golden * (b - a), a + golden * (b - a)
-        a, b = (a, q) if likelihood(np.exp(p)) >= likelihood(np.exp(q)) else (p, b)
-    v = float(np.exp((a + b) / 2))
-    return v if likelihood(v) > 0 else 0.0
+        top = lbf.max(axis=1, keepdims=True)
+        return top[:, 0] + np.log(np.exp(lbf - top).mean(axis=1))
+
+    low, high = np.log(1e-8), np.log(max(widest * start, float((z * z).max() / n)))
+    for _ in range(5):
+        grid = np.linspace(low, high, 25)
+        values = likelihood(grid)
+        k = int(values.argmax())
+        low, high = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
+    return float(np.exp(grid[k])) if values[k] > 0 else 0.0
 
 
 def susie_rss(z: np.ndarray, r: np.ndarray, n: float, layers: int = 10, prior: float | None = None, rounds: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
