@@ -16,8 +16,14 @@ from lociframe.operators import bayes, blocks, dprime, encode, evidence, genetic
 from lociframe.sources import readers, writers
 
 
-def _write(df: DataFrame, path: str) -> None:
-    if path.endswith(".tsv"):
+#: Results of commands that are called from Python, innermost last.
+_results: list[list[DataFrame]] = []
+
+
+def _write(df: DataFrame, path: str | None) -> None:
+    if path is None:
+        _results[-1].append(df)
+    elif path.endswith(".tsv"):
         df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
     else:
         df.write.mode("overwrite").parquet(path)
@@ -29,7 +35,10 @@ def _names(told: str) -> list[str]:
 
 def _scan(spark: SparkSession, a: argparse.Namespace) -> None:
     found = api.gwas(spark, a.genotypes, a.phenotypes, a.trait, _names(a.covariates), a.model, a.ploidy, event=a.event or None)
-    writers.write_association(found.table, a.out)
+    if a.out is None:
+        _write(found.table, None)
+    else:
+        writers.write_association(found.table, a.out)
 
 
 def _model(name: str):
@@ -462,6 +471,7 @@ COMMANDS = {
     "preflight": (_preflight, {"genotypes": None, "phenotypes": None}),
     "recommend": (_recommend, {"genotypes": None, "phenotypes": None, "trait": None, "event": ""}),
     "models": (_models, {}),
+    "manifest": (lambda spark, a: print(json.dumps(manifest())), {}),
     "qc": (_qc, {"genotypes": None, "ploidy": 2}),
     "convert": (_convert, {"genotypes": None, "to": "parquet"}),
     "impute": (_impute, {"genotypes": None, "method": "mean", "ploidy": 2}),
@@ -492,6 +502,30 @@ COMMANDS = {
 }
 
 
+def call(spark: SparkSession, command: str, **options) -> DataFrame | None:
+    """A command's table without writing it; options as on the command line, with _ for -. None for commands that only print or write."""
+    _, defaults = COMMANDS[command]
+    given = {k.replace("_", "-") if k.replace("_", "-") in defaults else k: v for k, v in options.items()}
+    if unknown := given.keys() - defaults.keys() - {"out"}:
+        raise TypeError(f"{command} has no option {', '.join(sorted(unknown))}")
+    if missing := [k for k, v in defaults.items() if v is None and k not in given]:
+        raise TypeError(f"{command} needs {', '.join(missing)}")
+    _results.append([])
+    try:
+        COMMANDS[command][0](spark, argparse.Namespace(**{"out": None} | defaults | given))
+        return _results[-1][-1] if _results[-1] else None
+    finally:
+        _results.pop()
+
+
+def manifest() -> dict[str, dict]:
+    """Every command with what it does and its options: type, default, whether it must be given."""
+    return {
+        name: {"help": (work.__doc__ or name).strip().split("\n")[0], "options": {k: {"type": type(v).__name__ if v is not None else "str", "default": v, "required": v is None} for k, v in options.items()}}
+        for name, (work, options) in COMMANDS.items()
+    }
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lociframe")
     commands = parser.add_subparsers(dest="command", required=True)

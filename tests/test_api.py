@@ -145,3 +145,17 @@ def test_meta_keeps_every_variant(spark, tmp_path):
     (tmp_path / "b.tsv").write_text(head + "rs1\t1\t1\tG\tA\t-0.4\t0.1\t0.1\nrs2\t1\t2\tC\tT\t0.3\t0.1\t0.1\n")
     cli.main(["meta", "--sumstats", f"{tmp_path}/a.tsv,{tmp_path}/b.tsv", "--out", f"{tmp_path}/m"], spark)
     assert {r.snp: (r.k, round(r.beta, 6)) for r in spark.read.parquet(f"{tmp_path}/m").collect()} == {"rs1": (2, 0.3), "rs2": (1, 0.3)}
+
+
+def test_call(spark, files):
+    folder = files[0]
+    found = cli.call(spark, "lmm-scan", genotypes=str(folder / "g.vcf"), phenotypes=str(folder / "p.tsv"), trait="Y", covariates="C")
+    assert found.orderBy("p").first().snp == "rs0"
+    assert cli.call(spark, "ld-scores", genotypes=str(folder / "g.vcf"), window=5000).count() == 40
+    assert cli.call(spark, "models") is None
+    with pytest.raises(TypeError, match="needs"):
+        cli.call(spark, "qc")
+    with pytest.raises(TypeError, match="no option"):
+        cli.call(spark, "qc", genotypes="x", nothing=1)
+    told = cli.manifest()
+    assert told["clump"]["options"]["r2"] == {"type": "float", "default": 0.1, "required": False} and len(told) == len(cli.COMMANDS)
