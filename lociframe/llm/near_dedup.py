@@ -220,7 +220,8 @@ def labelled(numbered: DataFrame, width: int = WIDTH) -> DataFrame:
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     discard(members, open_, texts, links, more)
     reps = classes.select("n", "f1", "f2", "first", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    firsts = reps.groupBy("component").agg(F.min("first").alias("of_all"))
+    # written, so that the join back is one whose hot component can be split
+    firsts = written(reps.groupBy("component").agg(F.min("first").alias("of_all")), "component-firsts")
     reps = reps.join(firsts, "component").select("n", "f1", "f2", "of_all")
     rows = found.select("id", "key", "n", "f1", "f2").join(reps, ["n", "f1", "f2"], "left")
     linked = F.col("n") > 0
