@@ -48,6 +48,8 @@ ROWS = 6
 PART_ROWS = 64
 BLOCK_ROWS = 256
 SLICE_BYTES = 1 << 19
+#: Bytes of bitmaps that are compared at once: those of long texts are large.
+STEP_BYTES = 1 << 23
 #: Ratio of the sizes in one size class: above 1 / 0.8, so similar sets are at most one class apart.
 STEP = 1.26
 
@@ -160,8 +162,9 @@ def _plausible(group: pd.DataFrame) -> pd.DataFrame | None:
         x = fold(left, used)
         used, c = np.unique(columns[at], return_inverse=True)
         y = fold(right, used)
-        for k in range(0, len(at), 4096):
-            p, q, some = x[r[k : k + 4096]], y[c[k : k + 4096]], at[k : k + 4096]
+        step = max(1, STEP_BYTES // s)
+        for k in range(0, len(at), step):
+            p, q, some = x[r[k : k + step]], y[c[k : k + step]], at[k : k + step]
             a, b = n[rows[some], 0], m[0, columns[some]]
             most = np.minimum(a - np.bitwise_count(p & ~q).sum(axis=1).astype(np.int64), b - np.bitwise_count(q & ~p).sum(axis=1).astype(np.int64))
             keep.append(some[9 * most >= 4 * (a + b)])
