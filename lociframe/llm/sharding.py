@@ -118,6 +118,11 @@ def _table(spark: SparkSession, rows: list[list[int]], names: tuple[str, str]) -
     return cells.select(F.col("pos").alias(names[0]), F.split("col", ",").cast("array<bigint>").alias(names[1]))
 
 
+def _before(counts: str) -> Column:
+    """How many of the rising counts the row's place lies beyond."""
+    return F.size(F.filter(counts, lambda u: u < F.col("place")))
+
+
 def shuffle_to_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
     """Per row of ``docs``: key, size (UTF-8 bytes plus 16), text_crc32, shard, slot."""
     spark, value = docs.sparkSession, F.coalesce(F.col(text), F.lit(""))
@@ -131,11 +136,15 @@ def shuffle_to_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", text:
     counts = {r["block"]: r["count"] for r in rows.groupBy(block.alias("block")).count().collect()}
     sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     matrix = communication_matrix([counts.get(b, 0) for b in range(n_blocks)], sizes, seed)
-    upto = _table(spark, [np.cumsum(r).tolist() for r in matrix], ("of_block", "upto"))
+    # a row finds its shard among every step-th count, then within that group
+    step = max(1, math.isqrt(n_shards))
+    upto = _table(spark, [np.cumsum(r).tolist() for r in matrix], ("of_block", "upto")).withColumn("ends", F.filter("upto", lambda u, i: i % step == step - 1))
     ties: list[Column] = [F.col(c).asc_nulls_first() for c in ("h", "key", "size")]
     local = Window.partitionBy("block").orderBy(F.xxhash64("h", F.lit(2)), *ties)
     dealt = rows.withColumn("block", block).withColumn("place", F.row_number().over(local)).join(F.broadcast(upto), F.col("block") == F.col("of_block"))
-    dealt = dealt.select("key", "size", "crc", "h", F.size(F.filter("upto", lambda u: u < F.col("place"))).alias("shard"))
+    dealt = dealt.select("key", "size", "crc", "h", _before("ends").alias("group"), "upto", "place")
+    within = F.size(F.filter(F.slice("upto", F.col("group") * step + 1, F.lit(step)), lambda u: u < F.col("place")))
+    dealt = dealt.select("key", "size", "crc", "h", (F.col("group") * step + within).alias("shard"))
     n_subs = max(1, min(MAX_BLOCKS, math.ceil(total / n_shards / BLOCK_ROWS)))
     dealt = written(dealt.withColumn("sub", F.pmod(F.xxhash64("h", F.lit(3)), F.lit(n_subs)).cast("int")), "shard-dealt")
     before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
