@@ -12,7 +12,12 @@ boilerplate paths; a page that has none of the host's paths uses its own best co
 Elements are left out by what they are (nav, footer, form, ...), by hidden and role, and by class
 and id as a prior only: a name counts if all its words are names of furniture (`sidebar-left`, not
 `side-by-side`). Furniture that need not be furniture is kept after all where it holds most of the
-page's text in paragraphs; advertisements and comments never are.
+page's text in paragraphs; what is named as an advertisement or comments only where it holds all
+paragraphs of the page, two at least.
+
+A page takes time and memory in proportion to its length, however deep or unclosed its markup is: open
+elements are found by name, and a path names the outermost DEPTH steps, as browsers bound the depth of
+a page too; deeper containers share the path of the one at that depth.
 
 Scale: pages are parsed once; the blocks are written, smaller than the pages, and read as columns.
 Pages are never grouped by host: votes are (host, path) counts, partially aggregated, so a host
@@ -32,6 +37,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -52,6 +58,11 @@ REPEAT_SHARE = 0.3
 PATH_REPEATS = 0.8
 PATH_TEXT = 0.2
 
+#: Steps of a path.
+DEPTH = 128
+#: Bytes of pages that are parsed at once.
+SLICE_BYTES = 1 << 20
+
 #: Element names by what they do to text.
 RAW = "script|style|textarea|title|xmp|noembed|noframes"
 SKIPPED = frozenset("noscript template iframe svg audio video select button annotation annotation-xml".split())
@@ -68,7 +79,7 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
-#: Words of names of page furniture; NEVER are never the article, NEUTRAL may stand beside either.
+#: Words of names of page furniture; NEVER are seldom the article, NEUTRAL may stand beside either.
 NEVER = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply replies respond cookie cookies consent newsletter".split())
 FURNITURE = NEVER | frozenset(
     "banner nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar side aside footer foot header masthead notice notices alert alerts popup modal overlay "
@@ -98,6 +109,7 @@ class Box:
     tag: str
     parent: int
     path: str
+    name: str = ""
     score: float = 0.0
     own: float = 0.0
     links: int = 0
@@ -145,16 +157,20 @@ def _ends(text: str, tag: str) -> dict[int, int]:
     return found
 
 
-#: One open element: its name, container, path, whether it is left out, the containers around it that a weak prior would leave out.
-Open = tuple[str, int, str, bool, tuple[int, ...]]
-#: A block: its container, path, text, characters in links, whether it is a heading, and those containers.
-Found = tuple[int, str, str, int, bool, tuple[int, ...]]
+#: One open element: its name, container, path, whether it is left out, the innermost container around it that a prior
+#: would leave out (-1: none), its depth in blocks, and the place of the innermost block on the stack.
+Open = tuple[str, int, str, bool, int, int, int]
+#: A block: its container, path, text, characters in links, whether it is a heading, and that innermost container.
+Found = tuple[int, str, str, int, bool, int]
 
 
 def parse(text: str | None) -> Page:
     """Blocks and containers of a page, with the containers' scores."""
     page, text, at = Page(), text or "", 0
-    stack: list[Open] = [("html", 0, "", False, ())]
+    stack: list[Open] = [("html", 0, "", False, -1, 0, 0)]
+    places: dict[str, list[int]] = defaultdict(list, html=[0])  # of the open elements of a name
+    paths: dict[tuple[str, str], str] = {}
+    strong: set[int] = set()  # containers named as advertisements or comments
     ends: dict[str, dict[int, int]] = {}
     parts: list[str] = []
     found: list[Found] = []
@@ -167,20 +183,20 @@ def parse(text: str | None) -> Page:
         value = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if value:
-            _, box, path, _, flags = block_at()
-            found.append((box, path, value, min(links, len(value)), heading, flags))
+            _, box, path, _, flag, _, _ = stack[stack[-1][6]]
+            found.append((box, path, value, min(links, len(value)), heading, flag))
         links = 0
 
-    def block_at() -> Open:
-        return next(e for e in reversed(stack) if e[0] in BLOCK_TAGS)
+    def last(names: set[str] | frozenset[str]) -> int:
+        """Place of the innermost open element of these names, 0 if there is none but the root."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     def pop(names: set[str], barrier: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in barrier:
-                return
+        k = last(names)
+        if k and k >= (stack[-1][6] if barrier is BLOCK_TAGS else last(barrier)):
+            for e in stack[k:]:
+                places[e[0]].pop()
+            del stack[k:]
 
     def add(piece: str) -> None:
         nonlocal links
@@ -231,52 +247,66 @@ def parse(text: str | None) -> Page:
             pop({"p"}, CONTAINERS)
             if tag in CLOSES:
                 pop(*CLOSES[tag])
-        if self_closed and not is_block or tag == "body" and any(e[0] == "body" for e in stack):
+        if self_closed and not is_block or tag == "body" and bool(places.get("body")):
             continue
         above = stack[-1]
         step, gone, weak, never = _attributes(m[4]) if m[4] else ("", False, False, False)
         if tag in ("body", "main", "article"):
             weak = never
-        out = above[3] or gone or never or tag in NOISE_TAGS and tag not in ("form", "header")
+        out = above[3] or gone or tag in NOISE_TAGS and tag not in ("form", "header")
         if tag == "header" and not out:
-            weak = weak or not any(e[0] in ("article", "main") for e in stack)
+            weak = weak or not (places.get("article") or places.get("main"))
         weak = weak or tag == "form"
-        box, path, flags = above[1], above[2], above[4]
+        box, path, flag, depth = above[1], above[2], above[4], above[5]
+        if is_block:
+            if depth < DEPTH:
+                path = paths.setdefault((path, f"{tag}{step}"), f"{path}>{tag}{step}")
+            depth += 1
         if tag in CONTAINERS:
             in_link = 0
-            page.boxes.append(Box(tag, box, f"{path}>{tag}{step}"))
+            page.boxes.append(Box(tag, box, path, f"{tag}{step}"))
             box = len(page.boxes) - 1
             if weak:
-                flags = (*flags, box)
+                flag = box
+                if never or above[4] in strong:
+                    strong.add(box)
         else:
             out = out or weak
-        stack.append((tag, box, f"{path}>{tag}{step}" if is_block else path, out, flags))
+        places[tag].append(len(stack))
+        stack.append((tag, box, path, out, flag, depth, len(stack) if is_block else above[6]))
     at = max(at, skip_to)
     if at < len(text):
         rest = text[at:]
         add(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^<>]*\Z", rest) else rest)
     flush()
-    _score(page, found)
+    _score(page, found, strong)
     return page
 
 
-def _score(page: Page, found: list[Found]) -> None:
+def _score(page: Page, found: list[Found], strong: set[int]) -> None:
     """Keep what is not furniture and add up the containers' scores."""
-    plain, held = 0, {}
-    for _, _, value, links, _, flags in found:
+    plain = paragraphs = 0
+    held: dict[int, tuple[int, int]] = {}
+    for _, _, value, links, _, flag in found:
         own = len(value) - links
-        if flags:
-            chars, paragraphs = held.get(flags, (0, 0))
-            held[flags] = chars + own, paragraphs + (own >= 40)
+        if flag >= 0:
+            chars, n = held.get(flag, (0, 0))
+            held[flag] = chars + own, n + (own >= 40)
         else:
-            plain += own
-    kept = {flags for flags, (chars, paragraphs) in held.items() if chars > 2 * plain and paragraphs >= 3}
-    for box, path, value, links, heading, flags in found:
-        flag = flags[-1] if flags else -1
-        in_header = heading and flag >= 0 and "header" in page.boxes[flag].path.rpartition(">")[2]
-        if flags and flags not in kept and not (in_header and _in_article(page, flag)):
+            plain, paragraphs = plain + own, paragraphs + (own >= 40)
+    kept = {flag for flag, (chars, n) in held.items() if flag not in strong and chars > 2 * plain and n >= 3}
+    if not paragraphs and not kept:
+        kept = {flag for flag, (_, n) in held.items() if n >= 2 and n == sum(k for _, k in held.values())}
+    in_article, in_header = [], []  # of each container: in an article; in a header that is in one
+    for box in page.boxes:
+        above = box.parent >= 0 and in_article[box.parent]
+        in_article.append(above or box.tag in ("article", "main"))
+        in_header.append(above if box.tag == "header" else box.parent >= 0 and in_header[box.parent])
+    for box, path, value, links, heading, flag in found:
+        titled = heading and flag >= 0 and "header" in page.boxes[flag].name and in_article[flag]
+        if flag >= 0 and flag not in kept and not titled:
             continue
-        if _header_of_article(page, box) and not heading:
+        if in_header[box] and not heading:
             continue
         page.blocks.append((box, path, value))
         node = page.boxes[box]
@@ -291,23 +321,6 @@ def _score(page: Page, found: list[Found]) -> None:
             page.boxes[box.parent].score += box.score / weight * 0.6
 
 
-def _in_article(page: Page, box: int) -> bool:
-    while box >= 0:
-        if page.boxes[box].tag in ("article", "main"):
-            return True
-        box = page.boxes[box].parent
-    return False
-
-
-def _header_of_article(page: Page, box: int) -> bool:
-    """Whether a box stands in a header that stands in an article; of such only the headings are text."""
-    while box >= 0:
-        if page.boxes[box].tag == "header":
-            return _in_article(page, box)
-        box = page.boxes[box].parent
-    return False
-
-
 def best_path(page: Page) -> str | None:
     """Path of the container with the highest score, None where no text counts."""
     score, _, path = max(((b.score, -k, b.path) for k, b in enumerate(page.boxes)), default=(0.0, 0, ""))
@@ -332,10 +345,11 @@ def parsed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
 
     def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            found = [parse(t) for t in batch.column("html").to_pylist()]
-            blocks = [[{"path": p, "text": t} for _, p, t in page.blocks] for page in found]
-            columns = [*(batch.column(c) for c in ("key", "url", "host")), pa.array(map(best_path, found), pa.string()), pa.array(blocks, pa.list_(block))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "url", "host", "best", "blocks"])
+            for a, b, texts in bytescan.slices(batch.column("html"), SLICE_BYTES):
+                found = [parse(t) for t in texts]
+                blocks = [[{"path": p, "text": t} for _, p, t in page.blocks] for page in found]
+                columns = [*(batch.column(c).slice(a, b - a) for c in ("key", "url", "host")), pa.array(map(best_path, found), pa.string()), pa.array(blocks, pa.list_(block))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "url", "host", "best", "blocks"])
 
     return rows.mapInArrow(bytescan.tidy(scan), f"key {kind}, url string, host string, best string, blocks array<struct<path:string,text:string>>")
 

@@ -1,6 +1,8 @@
 import html
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -48,6 +50,30 @@ P = ["The first paragraph of a page says something that is long enough.", "A sec
 PS = "".join(f"<p>{p}</p>" for p in P)
 
 
+def test_hostile_pages():
+    """Deep and unclosed markup takes time and memory in proportion to the page."""
+    n = 30_000
+    for page in (
+        "<div>" * n + PS, "<div>x" * n, "<b>" * n + "<br>x" * n, "<b>" * n + "</i>x" * n, "<i><div>" + "<b>" * n + "</i>x" * n, '<div class="sidebar">' * n + PS, "<p><b>" * n,
+        "<ul><li>" * n + "x", "<span>" * n + "<p>x" * n, "<header>" * n + "x",
+    ):
+        began = time.process_time()
+        tracemalloc.start()
+        html_text.main_text(html_text.parse(page))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.process_time() - began < 10 and peak < 200e6, page[:20]
+    assert text_of("<div>" * 1000 + PS) == "\n".join(P)
+
+
+def test_names_round_the_only_article():
+    for name in ("class='post comments'", "id=ad-column", "class=sponsored", "class=newsletter"):
+        assert text_of(f"<body><ul class=menu><li>Home</ul><div {name}>{PS}</div><footer>All rights</footer>") == "\n".join(P), name
+        assert text_of(f"<body><div {name}><div>{ARTICLE}</div></div></body>") == TEXT
+    assert text_of(f"<body><div class=content><p>{P[0]}</p></div><div class=comments>{PS}{PS}</div>") == P[0]
+    assert text_of(f"<body><div class=cookie-notice><p>{P[0]}</p></div>") == ""
+
+
 def test_page_set():
     """Pages with what browsers forgive, and the exact texts."""
     all_three = "\n".join(P)
