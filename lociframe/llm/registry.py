@@ -120,7 +120,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
-    return rows.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+    return rows.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("key").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

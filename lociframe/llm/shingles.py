@@ -25,7 +25,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     for a, b in bytescan.batches(raw):
         data, bounds = bytescan.laid(raw[a:b])
         starts, ends = bytescan.words(data)
-        words = bytescan.span_hashes(bytescan.prefix_sums(data), starts, ends)
+        words = bytescan.identities(data, starts, ends)
         factors = bytescan.powers(int(_STEP), width + 2)
         joined = np.zeros(max(0, len(words) - width + 1), np.uint64)
         for k in range(width):

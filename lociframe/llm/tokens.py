@@ -123,7 +123,7 @@ class Encoder:
         real = np.ones(len(at), bool)
         real[np.searchsorted(at, bounds[1:] - 1)] = False
         starts, ends = at[real], ends[real]
-        hashes = bytescan.span_hashes(bytescan.prefix_sums(data), starts, ends)
+        hashes = bytescan.identities(data, starts, ends)
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         where = np.searchsorted(self.known, unique)
         new = np.ones(len(unique), bool)

@@ -31,3 +31,11 @@ def base_digest(text):
     found = base_spans(text)
     told = ",".join(f"{kind}:{a}:{b}" for kind, spans in found.items() for a, b in spans)
     return {f"n_{k}": len(v) for k, v in found.items()} | {"base_sha256": hashlib.sha256(told.encode()).hexdigest()}, told
+
+
+def thue_morse(n):
+    """Two texts of n letters (a power of two) that polynomials modulo 2**64 can't tell apart, whatever their base."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from brute import WORD
+from brute import WORD, thue_morse
 
 from lociframe.llm import near_dedup, shingles
 from lociframe.llm.components import components
@@ -49,6 +49,17 @@ def test_table(spark, sf):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts)
 
 
+def test_long_words_of_one_pattern(spark, tmp_path):
+    texts = [f"{t}{tail}" for n in (1024, 2048, 4096, 65536) for t in thue_morse(n) for tail in ("", " two three")]
+    assert len({s[0] for s in shingles.shingle_sets(texts, 5)}) == len(texts)
+    check(spark, tmp_path, dict(enumerate(texts)))
+
+
+def test_null_key_is_kept(spark, tmp_path):
+    spark.createDataFrame([(None, "a b c d e"), (3, "x y z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.kept for r in op4_near_dedup(spark, str(tmp_path)).collect()} == {None: True, 3: True}
+
+
 def test_groups(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 16)
     monkeypatch.setattr(near_dedup, "PART_ROWS", 8)

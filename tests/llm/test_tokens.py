@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from brute import thue_morse
 from tokenizers import Tokenizer
 
 from lociframe.llm import packing, token_counts
@@ -14,6 +15,7 @@ from lociframe.llm.tokens import Encoder
 HARD = [
     "", None, " ", "\n\n x", "a  b", "a  b", "a　 b   c", "it's 'll  <|endoftext|> x", "é é  é", "\U0001f600 \U0001f600", "x\t y",
     "a\n \n b", "tail  ", "\x1c a \x1f b", "한국어 텍 ", "a  b \u0085 c\u0085 d", "1234 5678", "x" * 5000, "don't they'll", "0 " * 3000,
+    *(t for n in (1024, 2048, 4096, 65536) for t in thue_morse(n)),
 ]
 
 
