@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import byte_ranges
+
 #: Two-base codes of one-letter heterozygous calls, and marks of a missing one.
 IUPAC = {"R": "AG", "Y": "CT", "S": "GC", "W": "AT", "K": "GT", "M": "AC"}
 MISSING = ("N", "NN", "NA", "-", "--", ".", "")
@@ -43,15 +45,16 @@ class Genotypes:
 
 def detect_format(path: str) -> str:
     """Name of a genotype file's format, from its first bytes, its header or its ending."""
-    if Path(path).is_dir() and (Path(path) / ".zarray").exists():
-        return "zarr"
-    with open(path, "rb") as f:
+    if Path(path).is_dir():
+        for inner, name in ((".zarray", "zarr"), ("calls", "parquet")):
+            if (Path(path) / inner).exists():
+                return name
+    with byte_ranges.open_input(path) as f:
         head = f.read(4096)
     if head[:2] == b"\x6c\x1b":
-        return {1: "bed", 2: "pgen"}.get(head[2], "pgen")
+        return "bed" if head[2] == 1 else "pgen"
     if head[:2] == b"\x1f\x8b":
-        with gzip.open(path) as f:
-            head = f.read(4096)
+        head = zlib.decompressobj(31).decompress(head, 4096)
     if head[16:20] in (b"bgen", bytes(4)) and path.endswith(".bgen"):
         return "bgen"
     if head.startswith(b"##fileformat=VCF") or head.startswith(b"#CHROM"):
@@ -142,33 +145,15 @@ def read_dosage_table(spark: SparkSession, path: str, sep: str = ",") -> Genotyp
     return Genotypes(variants, calls.select("v_idx", "x.iid", "x.dosage"))
 
 
-def read_plink(spark: SparkSession, prefix: str, variants_per_slice: int = 1024) -> Genotypes:
-    """PLINK 1 binary set, variant-major: codes 00, 01, 10, 11 are 2, missing, 1, 0 copies of a1."""
+def read_plink(spark: SparkSession, prefix: str, between: tuple[int, int] | None = None, range_bytes: int | None = None) -> Genotypes:
+    """PLINK 1 binary set, variant-major, in byte ranges; ``between`` reads the calls of some variants only."""
     white = r"\s+"
     fam = spark.read.text(f"{prefix}.fam").where(F.length(F.trim("value")) > 0)
     ids = [r["iid"] for r in _numbered(fam).select("v_idx", F.get(F.split(F.trim("value"), white), 1).alias("iid")).orderBy("v_idx").collect()]
     rows = _numbered(spark.read.text(f"{prefix}.bim").where(F.length(F.trim("value")) > 0)).select("v_idx", F.split(F.trim("value"), white).alias("f"))
     at = lambda k: F.get("f", k)
     variants = rows.select("v_idx", at(1).alias("snp"), at(0).alias("chr"), at(3).cast("long").alias("pos"), at(4).alias("a1"), at(5).alias("a2"))
-    stride = (len(ids) + 3) // 4
-    files = spark.read.format("binaryFile").load(f"{prefix}.bed").select("content")
-    step = variants_per_slice * stride
-    n = F.ceil((F.length("content") - 3) / step).cast("int")
-    slices = files.select("content", F.explode(F.sequence(F.lit(0), n - 1)).alias("slice"))
-    slices = slices.select("slice", F.substring("content", F.col("slice") * step + 4, F.lit(step)).alias("data"), F.substring("content", F.lit(1), F.lit(3)).alias("magic"))
-
-    def decode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = np.array([2.0, np.nan, 1.0, 0.0])
-        for batch in stream:
-            for piece, data, magic in zip(*(batch.column(c).to_pylist() for c in ("slice", "data", "magic")), strict=True):
-                if magic != b"\x6c\x1b\x01":
-                    raise ValueError("not a variant-major PLINK file")
-                raw = np.frombuffer(data, np.uint8).reshape(-1, stride)
-                d = codes[(raw[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3].reshape(len(raw), -1)[:, : len(ids)]
-                v = np.repeat(np.arange(len(raw), dtype=np.int64) + piece * variants_per_slice, len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(ids * len(raw)), pa.array(d.ravel(), from_pandas=True)], ["v_idx", "iid", "dosage"])
-
-    return Genotypes(variants, slices.mapInArrow(decode, "v_idx bigint, iid string, dosage double"))
+    return Genotypes(variants, _long(byte_ranges.read(spark, f"{prefix}.bed", "bed", len(ids), between=between, range_bytes=range_bytes), ids))
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
@@ -258,12 +243,13 @@ def with_map(g: Genotypes, table: DataFrame) -> Genotypes:
 
 def _unpacked(packed: DataFrame, names: DataFrame | list[str]) -> Genotypes:
     """Variants and calls of rows (v_idx, snp, chr, pos, a1, a2, d) with one dosage for each of the names."""
-    ids = F.split(F.lit("\t".join(names)), "\t")
-    calls = packed.select("v_idx", F.explode(F.arrays_zip(ids.alias("iid"), F.col("d").alias("dosage"))).alias("x")).select("v_idx", "x.iid", "x.dosage")
-    return Genotypes(packed.select("v_idx", "snp", "chr", "pos", "a1", "a2"), calls)
+    return Genotypes(packed.select("v_idx", "snp", "chr", "pos", "a1", "a2"), _long(packed, names))
 
 
-PACKED = "v_idx bigint, snp string, chr string, pos bigint, a1 string, a2 string, d array<double>"
+def _long(packed: DataFrame, names: list[str]) -> DataFrame:
+    """Calls (v_idx, iid, dosage) of rows (v_idx, d) with one dosage for each of the names."""
+    ids = F.split(F.lit("\t".join(names)), "\t")
+    return packed.select("v_idx", F.explode(F.arrays_zip(ids.alias("iid"), F.col("d").alias("dosage"))).alias("x")).select("v_idx", "x.iid", "x.dosage")
 
 
 def _bits(data: bytes, width: int) -> np.ndarray:
@@ -274,7 +260,7 @@ def _bits(data: bytes, width: int) -> np.ndarray:
     return flags[: len(flags) // width * width].reshape(-1, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
 
 
-def _bgen_dosages(block: bytes, n: int, layout: int) -> np.ndarray:
+def bgen_dosages(block: bytes, n: int, layout: int) -> np.ndarray:
     """Expected copies of the second allele from an uncompressed probability block."""
     if layout == 1:
         p = np.frombuffer(block, "<u2").reshape(n, 3) / 32768
@@ -302,70 +288,11 @@ def _bgen_dosages(block: bytes, n: int, layout: int) -> np.ndarray:
     return np.where(missing, np.nan, out)
 
 
-def read_bgen(spark: SparkSession, path: str, samples: list[str] | None = None) -> Genotypes:
-    """BGEN 1.1 to 1.3, two alleles; a1 is the second one. A file is one task, since only reading it finds its variants."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def header(data: bytes) -> tuple[int, int, int, int, int]:
-        offset, length, variants, n = struct.unpack_from("<IIII", data)
-        flags = struct.unpack_from("<I", data, length)[0]
-        return offset, length, n, flags & 3, flags >> 2 & 15
-
-    def named(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            for content in batch.column("content"):
-                data = content.as_buffer()
-                offset, length, n, _, _ = header(bytes(data[:4096]))
-                flags = struct.unpack_from("<I", data, length)[0]
-                names = [f"sample_{k}" for k in range(n)]
-                if flags >> 31:
-                    at = 4 + length + 8
-                    for k in range(n):
-                        size = struct.unpack_from("<H", data, at)[0]
-                        names[k], at = bytes(data[at + 2 : at + 2 + size]).decode(), at + 2 + size
-                yield pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.string()))], ["names"])
-
-    def read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            for content in batch.column("content"):
-                data = memoryview(content.as_buffer())
-                offset, _, n, compression, layout = header(bytes(data[:4096]))
-                at, number = offset + 4, 0
-                while at < len(data):
-                    if layout == 1:
-                        at += 4
-                    texts = []
-                    for _ in range(3):
-                        size = struct.unpack_from("<H", data, at)[0]
-                        texts.append(bytes(data[at + 2 : at + 2 + size]).decode())
-                        at += 2 + size
-                    pos = struct.unpack_from("<I", data, at)[0]
-                    alleles = struct.unpack_from("<H", data, at + 4)[0] if layout == 2 else 2
-                    at += 6 if layout == 2 else 4
-                    letters = []
-                    for _ in range(alleles):
-                        size = struct.unpack_from("<I", data, at)[0]
-                        letters.append(bytes(data[at + 4 : at + 4 + size]).decode())
-                        at += 4 + size
-                    size = struct.unpack_from("<I", data, at)[0] if layout == 2 or compression else 6 * n
-                    skip = 4 if layout == 2 or compression else 0
-                    start = at + skip + (4 if layout == 2 and compression else 0)
-                    block = bytes(data[start : at + skip + size])
-                    block = zlib.decompress(block) if compression == 1 else zstandard().decompress(block, 1 << 31) if compression == 2 else block
-                    at += skip + size
-                    d = _bgen_dosages(block, n, layout)
-                    snp = texts[1] or texts[0] or f"{texts[2]}:{pos}"
-                    values = [number, snp, texts[2], pos, letters[1], letters[0]]
-                    arrays = [pa.array([v]) for v in values] + [pa.array([d], pa.list_(pa.float64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["v_idx", "snp", "chr", "pos", "a1", "a2", "d"])
-                    number += 1
-
-    ids = samples or files.mapInArrow(named, "names array<string>").first()["names"]
-    return _unpacked(_no_nan(files.mapInArrow(read, PACKED)), ids)
-
-
-def _no_nan(packed: DataFrame) -> DataFrame:
-    return packed.withColumn("d", F.transform("d", lambda x: F.when(~F.isnan(x), x)))
+def read_bgen(spark: SparkSession, path: str, samples: list[str] | None = None, between: tuple[int, int] | None = None, range_bytes: int | None = None) -> Genotypes:
+    """BGEN 1.1 to 1.3, two alleles, in byte ranges; a1 is the second allele. Probabilities are unpacked for the calls only."""
+    head, names = byte_ranges.bgen_header(path)
+    read = lambda schema: byte_ranges.read(spark, path, "bgen", head.samples, schema, between, range_bytes)
+    return Genotypes(read(byte_ranges.VARIANTS), _long(read(byte_ranges.CALLS), samples or names))
 
 
 def zstandard():
@@ -416,8 +343,11 @@ def read_zarr(spark: SparkSession, path: str, samples: list[str], variants: Data
     return Genotypes(variants, calls)
 
 
-def read_pgen(spark: SparkSession, prefix: str, variants_per_slice: int = 1024) -> Genotypes:
-    """PLINK 2 hard calls of fixed width (storage mode 2), variants and samples from .pvar and .psam; a1 is the alternate allele."""
+def read_pgen(spark: SparkSession, prefix: str, between: tuple[int, int] | None = None, range_bytes: int | None = None, dosages: bool = False) -> Genotypes:
+    """PLINK 2 calls of fixed or variable width in byte ranges, variants and samples from .pvar and .psam; a1 is the alternate allele.
+
+    ``dosages`` takes those a record has before its calls.
+    """
     psam = spark.read.text(f"{prefix}.psam").where(~F.col("value").startswith("##"))
     f = F.split(F.trim("value"), r"\s+")
     head = psam.where(F.col("value").startswith("#")).select(f.alias("f")).first()
@@ -426,25 +356,7 @@ def read_pgen(spark: SparkSession, prefix: str, variants_per_slice: int = 1024)
     pvar = _numbered(spark.read.text(f"{prefix}.pvar").where(~F.col("value").startswith("#") & (F.length("value") > 0))).select("v_idx", f.alias("f"))
     at = lambda k: F.get("f", k)
     variants = pvar.select("v_idx", at(2).alias("snp"), at(0).alias("chr"), at(1).cast("long").alias("pos"), at(4).alias("a1"), at(3).alias("a2"))
-    stride = (len(ids) + 3) // 4
-    step = variants_per_slice * stride
-    files = spark.read.format("binaryFile").load(f"{prefix}.pgen").select("content")
-    n = F.ceil((F.length("content") - 12) / step).cast("int")
-    slices = files.select("content", F.explode(F.sequence(F.lit(0), n - 1)).alias("slice"))
-    slices = slices.select("slice", F.substring("content", F.col("slice") * step + 13, F.lit(step)).alias("data"), F.substring("content", F.lit(1), F.lit(3)).alias("magic"))
-
-    def decode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = np.array([0.0, 1.0, 2.0, np.nan])
-        for batch in stream:
-            for piece, data, magic in zip(*(batch.column(c).to_pylist() for c in ("slice", "data", "magic")), strict=True):
-                if magic != b"\x6c\x1b\x02":
-                    raise ValueError("only fixed-width hard calls (storage mode 2) are read")
-                raw = np.frombuffer(data, np.uint8).reshape(-1, stride)
-                d = codes[(raw[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3].reshape(len(raw), -1)[:, : len(ids)]
-                v = np.repeat(np.arange(len(raw), dtype=np.int64) + piece * variants_per_slice, len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(ids * len(raw)), pa.array(d.ravel(), from_pandas=True)], ["v_idx", "iid", "dosage"])
-
-    return Genotypes(variants, slices.mapInArrow(decode, "v_idx bigint, iid string, dosage double"))
+    return Genotypes(variants, _long(byte_ranges.read(spark, f"{prefix}.pgen", "pgen", len(ids), between=between, range_bytes=range_bytes, dosages=dosages), ids))
 
 
 def set_weights(af: Column, a: float = 1.0, b: float = 25.0) -> Column:
@@ -481,6 +393,11 @@ def read_genotypes(spark: SparkSession, path: str, fmt: str | None = None) -> Ge
         return read_bgen(spark, path)
     if fmt == "pgen":
         return read_pgen(spark, path.removesuffix(".pgen"))
+    if fmt == "parquet":
+        return Genotypes(spark.read.parquet(f"{path}/variants"), spark.read.parquet(f"{path}/calls"))
+    if fmt == "zarr":
+        n = json.loads(_small_file(spark, f"{path}/.zarray"))["shape"][1]
+        return read_zarr(spark, path, [f"sample_{k}" for k in range(n)])
     if fmt == "dosage":
         return read_dosage_table(spark, path, "," if path.endswith(".csv") else "\t")
     raise ValueError(f"no reader for {fmt}")

@@ -45,7 +45,7 @@ def test_plink(spark, tmp_path):
     (tmp_path / "x.fam").write_text("".join(f"F{k} I{k} 0 0 0 -9\n" for k in range(5)))
     (tmp_path / "x.bim").write_text("".join(f"1\trs{k}\t0\t{k * 10}\tA\tG\n" for k in range(7)))
     for size in (2, 1024):
-        g = readers.read_plink(spark, str(tmp_path / "x"), size)
+        g = readers.read_plink(spark, str(tmp_path / "x"), range_bytes=size)
         got = {(r.v_idx, r.iid): r.dosage for r in g.calls.collect()}
         assert got == {(v, f"I{s}"): None if np.isnan(calls[v, s]) else calls[v, s] for v in range(7) for s in range(5)}
     assert readers.detect_format(str(tmp_path / "x.bed")) == "bed"
@@ -125,7 +125,7 @@ def test_pgen(spark, tmp_path):
     (tmp_path / "x.psam").write_text("#FID\tIID\tSEX\n" + "".join(f"f\ti{k}\t1\n" for k in range(6)))
     (tmp_path / "x.pvar").write_text("##x\n#CHROM\tPOS\tID\tREF\tALT\n" + "".join(f"1\t{k}\trs{k}\tC\tT\n" for k in range(7)))
     for size in (2, 100):
-        g = readers.read_pgen(spark, str(tmp_path / "x"), size)
+        g = readers.read_pgen(spark, str(tmp_path / "x"), range_bytes=size)
         assert {(r.v_idx, r.iid): r.dosage for r in g.calls.collect()} == {(v, f"i{s}"): None if d[v, s] == 3 else float(d[v, s]) for v in range(7) for s in range(6)}
     assert readers.read_genotypes(spark, str(tmp_path / "x.pgen")).variants.where("a1 = 'T' AND a2 = 'C'").count() == 7
 
