@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lociframe import api
 from lociframe.functions import specfun
-from lociframe.operators import bayes, blocks, dprime, encode, evidence, genetics_extra, intervals, kinship, ld, mediation, mixed, multilocus, multiple_testing, multitrait, pgs, qc, scan, sumstats
+from lociframe.operators import bayes, blocks, dprime, encode, evidence, genetics_extra, intervals, kinship, ld, ld_cuts, mediation, mixed, multilocus, multiple_testing, multitrait, pgs, qc, scan, sumstats
 from lociframe.sources import readers, writers
 
 
@@ -304,19 +304,25 @@ def _mr_mega(spark: SparkSession, a: argparse.Namespace) -> None:
     _write(genetics_extra.mr_mega(rows, studies, genetics_extra.ancestry_axes(wide.drop("snp"), studies, a.axes)), a.out)
 
 
-def _stats_of(spark: SparkSession, g: readers.Genotypes, path: str) -> DataFrame:
-    """(v_idx, block, z, n) of summary statistics on the alleles of a genotype panel."""
+def _stats_of(spark: SparkSession, g: readers.Genotypes, path: str, n: float | None = None) -> DataFrame:
+    """(v_idx, chr, z, n) of summary statistics on the alleles of a genotype panel; n must be known, since all that follows depends on it."""
     own = sumstats.harmonize(g.variants, readers.read_sumstats(spark, path).withColumn("af", F.coalesce("af", F.lit(0.0)))).where(~F.col("status").isin("ambiguous", "mismatch"))
     z = F.col("beta") * F.col("sign") / F.col("se")
-    return own.select("snp", z.alias("z"), F.coalesce("n", F.lit(1000.0)).alias("n")).join(g.variants.select("snp", "v_idx", F.col("chr").alias("block")), "snp").where("z IS NOT NULL")
+    rows = own.select("snp", z.alias("z"), F.coalesce("n", F.lit(n)).alias("n")).join(g.variants.select("snp", "v_idx", "chr"), "snp").where("z IS NOT NULL")
+    if not rows.where("n IS NULL OR n <= 0").isEmpty():
+        raise SystemExit(f"{path} lacks sample sizes; give --n")
+    return rows
 
 
-def _panel(work):
-    """A command on summary statistics and the LD of a genotype panel."""
+def _panel(work, cut: bool = False):
+    """A command on summary statistics and the LD of a genotype panel, in blocks of least LD between them where the work is by block."""
 
     def run(spark: SparkSession, a: argparse.Namespace) -> None:
         g, _, pairs = _pairs(spark, a)
-        found = work(spark, a, g, _stats_of(spark, g, a.sumstats), pairs)
+        stats = _stats_of(spark, g, a.sumstats, a.n or None)
+        if cut:
+            stats = stats.join(ld_cuts.blocks(g.variants, pairs, a.block_least, a.block_most).select("v_idx", "block"), "v_idx")
+        found = work(spark, a, g, stats, pairs)
         _write(found.join(g.variants, "v_idx") if "v_idx" in found.columns else found, a.out)
 
     return run
@@ -328,7 +334,7 @@ def _ldsc_h2(spark: SparkSession, a: argparse.Namespace, g: readers.Genotypes, s
 
 
 def _ldsc_rg(spark: SparkSession, a: argparse.Namespace, g: readers.Genotypes, stats: DataFrame, pairs: DataFrame) -> DataFrame:
-    other = _stats_of(spark, g, a.other).select("v_idx", F.col("z").alias("z2"), F.col("n").alias("n2"))
+    other = _stats_of(spark, g, a.other, a.n or None).select("v_idx", F.col("z").alias("z2"), F.col("n").alias("n2"))
     rows = stats.select("v_idx", F.col("z").alias("z1"), F.col("n").alias("n1")).join(other, "v_idx").join(ld.scores(pairs, g.variants), "v_idx")
     return genetics_extra.ldsc_covariance(rows, a.m or g.variants.count())
 
@@ -417,7 +423,7 @@ def _pgs_fit(spark: SparkSession, a: argparse.Namespace) -> None:
         leads = ld.clump(hits, pairs, a.p, a.r2).select(F.col("index").alias("v_idx")).distinct().join(g.variants, "v_idx")
         _write(leads.join(stats.select("snp", F.col("beta").alias("weight")), "snp").select("v_idx", "snp", "chr", "pos", "a1", "a2", "weight"), a.out)
         return
-    _panel(lambda spark, a, g, stats, pairs: bayes.polygenic_weights(stats, pairs, a.method, a.h2, a.share))(spark, a)
+    _panel(lambda spark, a, g, stats, pairs: bayes.polygenic_weights(stats, pairs, a.method, a.h2, a.share), True)(spark, a)
 
 
 def _pgs(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -439,7 +445,9 @@ def _pipeline(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 STUDY = {"genotypes": None, "phenotypes": None, "trait": None, "covariates": "", "ploidy": 2}
-PANEL = {"genotypes": None, "sumstats": None, "window": 1_000_000}
+PANEL = {"genotypes": None, "sumstats": None, "window": 1_000_000, "n": 0.0}
+#: Blocks of a method that works by LD block: variants of one, least and most.
+CUT = PANEL | {"block_least": 200, "block_most": 2000}
 #: Command: (function, its options with defaults; None is required).
 COMMANDS = {
     "scan": (_scan, STUDY | {"model": "auto", "event": ""}),
@@ -480,12 +488,12 @@ COMMANDS = {
     "ld-scores": (_ld_scores, {"genotypes": None, "window": 1_000_000}),
     "ld-blocks": (_ld_blocks, {"genotypes": None, "window": 200_000, "method": "gabriel", "det": ""}),
     "clump": (_clump, {"genotypes": None, "sumstats": None, "window": 250_000, "p": 5e-8, "r2": 0.1}),
-    "finemap": (_panel(lambda spark, a, g, stats, pairs: bayes.finemap(stats, pairs, a.layers)), PANEL | {"layers": 10}),
-    "bayes-scan-rss": (_panel(lambda spark, a, g, stats, pairs: bayes.finemap(stats, pairs, a.layers)), PANEL | {"layers": 10}),
-    "hess": (_panel(lambda spark, a, g, stats, pairs: bayes.hess(stats, pairs)), PANEL),
+    "finemap": (_panel(lambda spark, a, g, stats, pairs: bayes.finemap(stats, pairs, a.layers), True), CUT | {"layers": 10}),
+    "bayes-scan-rss": (_panel(lambda spark, a, g, stats, pairs: bayes.finemap(stats, pairs, a.layers), True), CUT | {"layers": 10}),
+    "hess": (_panel(lambda spark, a, g, stats, pairs: bayes.hess(stats, pairs), True), CUT),
     "ldsc": (_panel(_ldsc_h2), PANEL | {"m": 0, "blocks": 200}),
     "ldsc-rg": (_panel(_ldsc_rg), PANEL | {"m": 0, "other": None}),
-    "pgs-fit": (_pgs_fit, PANEL | {"method": "inf", "h2": 0.3, "share": 0.1, "p": 5e-8, "r2": 0.1}),
+    "pgs-fit": (_pgs_fit, CUT | {"method": "inf", "h2": 0.3, "share": 0.1, "p": 5e-8, "r2": 0.1}),
     "pgs-score": (_pgs, {"genotypes": None, "weights": None}),
     "meta": (_meta, {"sumstats": None, "random": 0}),
     "mr": (_mr, {"exposure": None, "outcome": None, "p": 5e-8}),

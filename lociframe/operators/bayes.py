@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Variants of an LD block at most: its matrix of correlations is dense in one task.
+MOST_VARIANTS = 10_000
+
 
 def best_prior(z: np.ndarray, n: float, start: float = 0.04, widest: float = 100.0) -> float:
     """The prior variance of a single effect with the largest marginal likelihood over variants: grids on its logarithm, each finer around the best; 0 if none beats no effect."""
@@ -155,8 +158,12 @@ def correlation_matrix(v: np.ndarray, i: np.ndarray, j: np.ndarray, r: np.ndarra
 def by_block(stats: DataFrame, pairs: DataFrame, work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, shrink: float = 0.1) -> DataFrame:
     """``work`` on each LD block's rows (v_idx, block, z, n) and correlation matrix.
 
-    Both tables are grouped by block in one cogroup; a block's size bounds a task.
+    Both tables are grouped by block in one cogroup; a block's size bounds a task, so it is checked.
+    Blocks of few variants come from `ld_cuts.blocks`.
     """
+    largest = stats.groupBy("block").count().orderBy(F.desc("count"), "block").first()
+    if largest and largest["count"] > MOST_VARIANTS:
+        raise ValueError(f"block {largest['block']} has {largest['count']} variants; cut blocks of at most {MOST_VARIANTS}")
     blocks = stats.select("v_idx", "block")
     inside = pairs.join(blocks.withColumnsRenamed({"v_idx": "i"}), "i").join(blocks.withColumnsRenamed({"v_idx": "j", "block": "other"}), "j")
     inside = inside.where("block = other").select(F.col("block").alias("of_block"), "i", "j", "r")

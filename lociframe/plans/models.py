@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociframe.functions import specfun
-from lociframe.operators import bayes, encode, intervals, kinship, ld, mediation, mixed, scan, sumstats
+from lociframe.operators import bayes, encode, intervals, kinship, ld, ld_cuts, matrix_free, mediation, mixed, scan, sumstats
 from lociframe.streaming import running
 
 from . import views
 from .catalogue import register
 from .core import CELLS, JOINED, LINEAR, STATS, cells, joined, r, stats
-from .post import BOTH, PAIR_WINDOW, SCORE_PAIRS, SCORE_WINDOW, pairs
+from .post import BOTH, PAIR_WINDOW, PAIRS, SCORE_PAIRS, SCORE_WINDOW, pairs
 from .tails import chi2_sf, norm_cdf, norm_ppf, t_sf2
 from .views import cte
 
@@ -178,6 +178,41 @@ def lmm_scan_low_rank(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.scan(views.geno(spark, sf), fit)
 
 
+KIN = cte("geno", "samples") + """, p AS (SELECT v_idx, avg(dosage) / 2 AS p FROM geno GROUP BY 1),
+  x AS (SELECT v_idx, s_idx, dosage - 2 * p AS x FROM geno JOIN p USING (v_idx) JOIN samples USING (s_idx)),
+  f AS (SELECT v_idx, sum(x * y) AS fy, sum(x * cov) AS fc FROM x JOIN samples USING (s_idx) GROUP BY 1), n AS (SELECT sum(2 * p * (1 - p)) AS norm FROM p)
+  SELECT s_idx, round(sum(x * fy) / any_value(norm), 6) AS k_y, round(sum(x * fc) / any_value(norm), 6) AS k_cov FROM x JOIN f USING (v_idx), n GROUP BY 1"""
+
+
+def stored(spark: SparkSession, sf: str) -> tuple[matrix_free.Calls, pd.DataFrame]:
+    """The calls for repeated passes, and the samples in their order."""
+    return matrix_free.stored_calls(views.geno(spark, sf), sample_ids(spark, sf)), views.samples(spark, sf).orderBy("s_idx").toPandas()
+
+
+@register("kinship_products", KIN)
+def kinship_products(spark: SparkSession, sf: str) -> DataFrame:
+    """The relationship times the trait and the covariate, without the relationship."""
+    calls, t = stored(spark, sf)
+    found = matrix_free.times(calls, t[["y", "cov"]].to_numpy(float))
+    return spark.createDataFrame(pd.DataFrame({"s_idx": t["s_idx"], "k_y": found[:, 0], "k_cov": found[:, 1]})).select("s_idx", r("k_y"), r("k_cov"))
+
+
+@register("lmm_scan_matrix_free")
+def lmm_scan_matrix_free(spark: SparkSession, sf: str) -> DataFrame:
+    """A mixed-model scan for any number of samples: REML and scores by products with the relationship."""
+    calls, t = stored(spark, sf)
+    fit = matrix_free.fit_null(t["y"].to_numpy(float), np.column_stack([np.ones(len(t)), t["cov"]]), calls, steps=25)
+    return matrix_free.scan(calls, fit)
+
+
+@register("pca_matrix_free")
+def pca_matrix_free(spark: SparkSession, sf: str) -> DataFrame:
+    """Leading axes by products with the relationship."""
+    calls, t = stored(spark, sf)
+    values, vectors = matrix_free.leading_axes(calls, 4)
+    return spark.createDataFrame(pd.DataFrame({"s_idx": t["s_idx"]} | {f"pc{k + 1}": vectors[:, k] * np.sqrt(values[k]) for k in range(4)}))
+
+
 @register("variance_components")
 def variance_components(spark: SparkSession, sf: str) -> DataFrame:
     f = null_fit(spark, sf)
@@ -202,7 +237,44 @@ def set_tests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def block_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return views.pvals(spark, sf).select("v_idx", F.col("chr").alias("block"), (F.col("beta") / F.col("se")).alias("z"), F.col("n").cast("double").alias("n"))
+    """Statistics in LD blocks of the variants' least LD."""
+    return in_blocks(spark, sf, views.pvals(spark, sf))
+
+
+#: Variants of a block, least and most: a chromosome of the test views has 40.
+BLOCK = (8, 24)
+
+
+def in_blocks(spark: SparkSession, sf: str, stats: DataFrame) -> DataFrame:
+    cut = ld_cuts.blocks(views.variants(spark, sf), pairs(spark, sf, PAIR_WINDOW), *BLOCK).select("v_idx", "block")
+    return stats.join(cut, "v_idx").select("v_idx", "block", (F.col("beta") / F.col("se")).alias("z"), F.col("n").cast("double").alias("n"))
+
+
+BOTH_ENDS = PAIRS + """, o AS (SELECT chr, v_idx, row_number() OVER (PARTITION BY chr ORDER BY pos, v_idx) AS place FROM variants),
+  e AS (SELECT a.chr, a.place AS lo, b.place AS hi, r * r AS r2 FROM pairs JOIN o a ON a.v_idx = i JOIN o b ON b.v_idx = j) """
+
+CUTS = BOTH_ENDS + """SELECT chr, v_idx, place, round(coalesce((SELECT sum(r2) FROM e WHERE e.chr = o.chr AND e.lo <= o.place AND e.hi > o.place), 0), 6) + 0.0 AS cost FROM o"""
+
+
+@register("ld_cut_costs", CUTS)
+def ld_cut_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """The LD that a cut after each variant would cross."""
+    return ld_cuts.cut_costs(views.variants(spark, sf), pairs(spark, sf, PAIR_WINDOW)).withColumn("cost", F.round("cost", 6) + F.lit(0.0))
+
+
+#: The least total over all ways to cut, by one more variant in each step; best(k) has the totals of the cuts after the first k variants.
+CUT_TOTALS = BOTH_ENDS.replace("WITH ", "WITH RECURSIVE ", 1) + """, cc AS (SELECT o.chr, place, coalesce(sum(r2), 0) AS cost FROM o LEFT JOIN e ON e.chr = o.chr AND lo <= place AND hi > place GROUP BY 1, 2),
+  m AS (SELECT chr, list(cost ORDER BY place) AS cost, count(*) AS n FROM cc GROUP BY 1),
+  d AS (SELECT chr, 0 AS k, [0.0::DOUBLE] AS best FROM m
+    UNION ALL SELECT d.chr, k + 1, list_append(best, coalesce(list_min(best[greatest(k + 2 - {most}, 1):greatest(k + 2 - {least}, 0)]), 'inf'::DOUBLE) + cost[k + 1]) FROM d JOIN m USING (chr) WHERE k < n)
+  SELECT chr, round(list_min(best[greatest(n + 1 - {most}, 1):n]), 5) + 0.0 AS total FROM d JOIN m USING (chr) WHERE k = n""".format(least=8, most=24)
+
+
+@register("ld_block_totals", CUT_TOTALS)
+def ld_block_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The LD between the blocks that the block methods use, by chromosome."""
+    cut = ld_cuts.blocks(views.variants(spark, sf), pairs(spark, sf, PAIR_WINDOW), *BLOCK)
+    return cut.join(views.variants(spark, sf), "v_idx").groupBy("chr").agg((F.round(F.sum("cost"), 5) + F.lit(0.0)).alias("total"))
 
 
 @register("susie_rss")
@@ -218,7 +290,7 @@ for _method in ("inf", "grid", "auto", "cs"):
 
 @register("hess_covariance")
 def hess_covariance(spark: SparkSession, sf: str) -> DataFrame:
-    other = views.studies(spark, sf).where("study = 'R'").select("v_idx", F.col("chr").alias("block"), (F.col("beta") / F.col("se")).alias("z"), F.col("n").cast("double").alias("n"))
+    other = in_blocks(spark, sf, views.studies(spark, sf).where("study = 'R'"))
     return bayes.hess_covariance(block_stats(spark, sf), other, pairs(spark, sf, PAIR_WINDOW))
 
 
