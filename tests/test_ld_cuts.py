@@ -77,3 +77,17 @@ def test_block_methods_refuse_large_blocks(spark, monkeypatch):
         bayes.finemap(stats, pairs)
     cut = stats.drop("block").join(ld_cuts.blocks(variants, pairs, 4, 8).select("v_idx", "block"), "v_idx")
     assert bayes.finemap(cut, pairs).select("block").distinct().count() == 2
+
+
+def test_sample_sizes_are_not_made_up(spark, tmp_path):
+    from lociframe import cli
+    from lociframe.sources.readers import Genotypes
+
+    variants = spark.createDataFrame([(0, "rs0", "1", 10, "A", "G"), (1, "rs1", "1", 20, "C", "T")], "v_idx long, snp string, chr string, pos long, a1 string, a2 string")
+    panel = Genotypes(variants, spark.createDataFrame([], "v_idx long, iid string, dosage double"))
+    path = tmp_path / "s.tsv"
+    path.write_text("SNP\tCHR\tBP\tA1\tA2\tBETA\tSE\tP\nrs0\t1\t10\tA\tG\t0.1\t0.1\t0.3\nrs1\t1\t20\tT\tC\t0.2\t0.1\t0.05\n")
+    with pytest.raises(SystemExit, match="--n"):
+        cli._stats_of(spark, panel, str(path))
+    rows = {r.v_idx: (round(r.z, 6), r.n) for r in cli._stats_of(spark, panel, str(path), 500.0).collect()}
+    assert set(rows.values()) <= {(1.0, 500.0), (2.0, 500.0), (-2.0, 500.0)} and rows[0] == (1.0, 500.0)
