@@ -10,7 +10,7 @@ from lociframe.operators import blocks, dprime, evidence, intervals, ld, sumstat
 from . import views
 from .catalogue import register
 from .core import CELLS, cells, r, study_p
-from .models import block_stats
+from .models import chromosome_stats
 from .post import EQTL, PAIR_WINDOW, PAIRS, eqtl, inst, pairs
 from .tails import chi2_sf, norm_cdf, norm_ppf, norm_sf2, t_sf2
 from .views import cte
@@ -342,10 +342,10 @@ def smr_top_genes(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("effective_tests")
 def effective_tests(spark: SparkSession, sf: str) -> DataFrame:
-    """Effective number of tests of each LD block from its correlation spectrum."""
+    """Effective number of tests of each chromosome from its correlation spectrum."""
     import pandas as pd
 
     from lociframe.operators import bayes, kinship
 
     work = lambda rows, r: pd.DataFrame({"block": rows["block"].iloc[:1], "n": [len(rows)], "n_effective": [kinship.effective_tests(r)]})
-    return bayes.by_block(block_stats(spark, sf), pairs(spark, sf, PAIR_WINDOW), work, "block string, n long, n_effective long")
+    return bayes.by_block(chromosome_stats(spark, sf), pairs(spark, sf, PAIR_WINDOW), work, "block string, n long, n_effective long")

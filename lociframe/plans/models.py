@@ -236,6 +236,11 @@ def set_tests(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("gene").applyInPandas(run, "gene string, n_variants long, q_skat double, p_skat double, p_burden double, p_skato double")
 
 
+def chromosome_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics with a whole chromosome as a block."""
+    return views.pvals(spark, sf).select("v_idx", F.col("chr").alias("block"), (F.col("beta") / F.col("se")).alias("z"), F.col("n").cast("double").alias("n"))
+
+
 def block_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics in LD blocks of the variants' least LD."""
     return in_blocks(spark, sf, views.pvals(spark, sf))
