@@ -10,7 +10,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six characters that separate words.
@@ -47,6 +47,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def told_apart(rows: DataFrame, value: str, h: str = "h") -> DataFrame:
+    """``rows`` with other hashes ``h`` for the second and later rows of a value; the first keeps its own.
+
+    Blocks made by hash then stay of even size where a third of all rows is one row repeated. Rows are
+    numbered by split (column ``split``, the partition they were written from, is dropped) and a split
+    starts after the earlier ones, so no task meets all rows of a value. Which of a value's rows gets
+    which hash depends on the splits; the hashes of a value as a whole do not.
+    """
+    earlier = Window.partitionBy(value).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(value, "split").count().withColumn("start", F.sum("count").over(earlier)).where("start > 0").drop("count")
+    nth = F.row_number().over(Window.partitionBy(value, "split").orderBy(h)) - 1
+    own = rows.withColumn("nth", nth).join(starts, [value, "split"], "left").withColumn("nth", F.col("nth") + F.coalesce("start", F.lit(0)))
+    return own.withColumn(h, F.when(F.col("nth") == 0, F.col(h)).otherwise(F.xxhash64(h, "nth"))).select(*(c for c in rows.columns if c != "split"))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what `written` wrote for these tables, once nothing that is still to run reads them."""
     for frame in frames:

@@ -8,7 +8,7 @@ constraints; each move settles one of them. What can't move any more, two docume
 goes up a level.
 
 Scale: only (key, source, size) move. A source is cut into blocks of about BLOCK_ROWS rows by a
-hash of the key, however many rows it has; the flight of a block is one group of bounded size.
+hash of key and text, and of their number where rows repeat, however many rows it has; the flight of a block is one group of bounded size.
 The at most two open documents of each block meet in the next level's blocks, until a source
 has one block, where the landing drops the constraints one by one. Long documents come first, so
 what lands is short and a source misses its target by little.
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import discard, n_words, told_apart, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -118,7 +118,10 @@ def mix_counts(
     """Per row of ``docs``: key, size, source_size, target (both its source's) and copies; row, if a column of that name is carried."""
     carried = [F.col(row).alias("row")] if row else []
     sized = docs.select(*carried, F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("h"))
-    sized = written(sized, "mix-sizes")
+    value = F.xxhash64("h", "source", F.col("source").isNull())
+    first = written(sized.withColumn("value", value).withColumn("split", F.spark_partition_id()), "mix-first")
+    sized = written(told_apart(first, "value").drop("value"), "mix-sizes")
+    discard(first)
     targets = written(source_targets(sized, weights, share, most), "mix-targets")
     rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

@@ -9,7 +9,8 @@ sequences at which offset; pieces find their slot by joining on length and rank
 
 Scale: one pass tokenizes and writes one small row for each piece. Ranks come from windows over
 (length, part), a length having as many parts as its count asks for, so a length that holds a
-third of the pieces is spread. The plan's size depends on CAPACITY, not on the input.
+third of the pieces is spread; the split a piece was read from counts too, so that one row that
+repeats doesn't fill a part. The plan's size depends on CAPACITY, not on the input.
 
 Defined results: a null or empty text is a piece of the separator alone; rows that repeat are
 packed one by one; an empty table gives an empty result; only the named columns are read.
@@ -128,12 +129,12 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """The rows of `pieces` with sequence_id and offset."""
     spark = docs.sparkSession
-    rows = written(pieces(docs, tokenizer, key, text, capacity, with_ids), "pack-pieces")
+    rows = written(pieces(docs, tokenizer, key, text, capacity, with_ids).withColumn("split", F.spark_partition_id()), "pack-pieces")
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
     runs = plan(counts, capacity)
     parts = spark.createDataFrame([(n, math.ceil(c / PART_ROWS)) for n, c in counts.items()], "of_length long, parts int")
-    part = F.pmod(F.xxhash64("key", "piece", "crc"), F.col("parts")).cast("int")
-    rows = rows.join(F.broadcast(parts), F.col("length") == F.col("of_length")).withColumn("part", part).drop("parts", "of_length")
+    part = F.pmod(F.xxhash64("key", "piece", "crc", "split"), F.col("parts")).cast("int")
+    rows = rows.join(F.broadcast(parts), F.col("length") == F.col("of_length")).withColumn("part", part).drop("parts", "of_length", "split")
     within = Window.partitionBy("length", "part").orderBy("key", "piece", "crc")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier"))

@@ -1,6 +1,7 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-Rows fall into blocks by a hash of key and text (the partitions of the method). How many rows
+Rows fall into blocks by a hash of key and text (the partitions of the method), and of their
+number where they repeat. How many rows
 of each block go to each shard is drawn exactly: row b of the matrix is multivariate
 hypergeometric over the room still left in the shards. Then each block permutes its rows and
 deals them out by its row of the matrix, and each shard permutes what it received. Shard counts
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, told_apart, written
 
 BLOCK_ROWS = 10_000
 MAX_BLOCKS = 8192
@@ -129,7 +130,9 @@ def shuffle_to_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", text:
     rows = docs.select(
         F.col(key).alias("key"), (F.octet_length(value).cast("long") + 16).alias("size"), F.crc32(value.cast("binary")).alias("crc"), F.xxhash64(F.lit(seed), F.col(key), value).alias("h")
     )
-    rows = written(rows, "shard-rows")
+    first = written(rows.withColumn("value", F.col("h")).withColumn("split", F.spark_partition_id()), "shard-first")
+    rows = written(told_apart(first, "value").drop("value"), "shard-rows")
+    discard(first)
     total = rows.count()
     n_blocks = max(1, min(MAX_BLOCKS, math.ceil(total / BLOCK_ROWS)))
     block = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(n_blocks)).cast("int")

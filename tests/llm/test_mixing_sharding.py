@@ -128,3 +128,35 @@ def test_large_draws():
     sd = math.sqrt(mean * bad / (good + bad) * (1 - sample / (good + bad)))
     assert abs(draws.mean() - mean) < 5 * sd / 300**0.5 and abs(draws.std() / sd - 1) < 0.2
     assert sharding._draw(rng, 10**9, 10**9, 2 * 10**9) == 10**9
+
+
+def test_rows_that_repeat_are_spread(spark, monkeypatch):
+    """A third of all rows is one row: no block, no part holds it whole, and splits don't matter."""
+    from lociframe.llm import common, packing
+    from lociframe.llm.registry import tokenizer_file
+
+    same = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("s").alias("source"))
+    other = spark.range(200_000).select((F.col("id") + 10).alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    docs = same.union(other)
+    seen = []
+    monkeypatch.setattr(mixing, "_level", lambda rows, *a, go=mixing._level: seen.append(rows.groupBy("source_h", "block").count().agg(F.max("count")).first()[0]) or go(rows, *a))
+    rows = mixing.mix_counts(docs)
+    assert max(seen) < 2 * mixing.BLOCK_ROWS and rows.count() == 300_000
+    taken = rows.agg(F.sum(F.col("size") * F.col("copies"))).first()[0]
+    assert abs(taken - rows.first()["target"]) <= 3
+
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("h")).withColumn("value", F.col("h"))
+    hashes = [
+        common.told_apart(common.written(hashed.repartition(n).withColumn("split", F.spark_partition_id()), "t"), "value").agg(F.count_distinct("h"), F.sum(F.col("h").cast("decimal(38)"))).first()
+        for n in (3, 11)
+    ]
+    assert hashes[0] == hashes[1] and hashes[0][0] == 300_000
+
+    places = sharding.shuffle_to_shards(docs, 7)
+    per = places.where("key = 7").groupBy("shard").count().collect()
+    assert len(per) == 7 and max(r["count"] for r in per) < 16_000
+    assert places.select("shard", "slot").distinct().count() == 300_000
+
+    monkeypatch.setattr(packing, "PART_ROWS", 1000)
+    packed = packing.pack(docs, tokenizer_file())
+    assert packed.count() == 300_000 and packed.select("sequence_id", "offset").distinct().count() == 300_000
