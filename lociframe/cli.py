@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lociframe import api
 from lociframe.functions import specfun
-from lociframe.operators import bayes, blocks, dprime, encode, evidence, genetics_extra, intervals, kinship, ld, ld_cuts, mediation, mixed, multilocus, multiple_testing, multitrait, pgs, qc, scan, sumstats
+from lociframe.operators import bayes, blocks, dprime, encode, env_glmm, evidence, genetics_extra, intervals, kinship, ld, ld_cuts, mediation, mixed, multilocus, multiple_testing, multitrait, pgs, qc, scan, sumstats
 from lociframe.sources import readers, writers
 
 
@@ -56,6 +56,16 @@ def _glmm(spark: SparkSession, a: argparse.Namespace) -> None:
     _scan(spark, a)
 
 
+def _me_glmm(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The named traits are one trait in several environments."""
+    s, y, x = _study(spark, a)
+    if y.shape[1] < 2:
+        raise ValueError("me-glmm-scan needs a trait for each of two environments or more")
+    family = {"binary": "logit", "probit": "probit", "poisson": "log", "ordinal": "ordinal"}[a.family]
+    fit = env_glmm.fit(y, x[:, 1:] if family == "ordinal" else x, s.kinship(ploidy=a.ploidy), s.samples, family)
+    _named(env_glmm.scan(s.cells, fit), s, a.out)
+
+
 def _study(spark: SparkSession, a: argparse.Namespace, extra: list[str] = ()) -> tuple[api.Study, np.ndarray, np.ndarray]:
     """The aligned study, its traits (one column for each name) and the design."""
     traits, covariates = _names(a.trait), _names(a.covariates)
@@ -461,6 +471,7 @@ COMMANDS = {
     "survival-scan": (_model("frailty"), STUDY | {"event": None}),
     "mvlmm-scan": (_mvlmm, STUDY),
     "met-scan": (_met, STUDY | {"structure": "unstructured"}),
+    "me-glmm-scan": (_me_glmm, STUDY | {"family": "binary"}),
     "mtmet-scan": (_mtmet, STUDY | {"traits": 2}),
     "rr-scan": (_rr, STUDY | {"times": None, "order": 1}),
     "mklmm-scan": (_mklmm, STUDY | {"epistatic": ""}),

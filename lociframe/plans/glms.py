@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.operators import glm, glmm, kinship, multitrait
+from lociframe.operators import env_glmm, glm, glmm, kinship, multitrait
 from lociframe.operators.packed import map_variants
 
 from . import views
@@ -160,6 +160,51 @@ def gxe_lmm(spark: SparkSession, sf: str) -> DataFrame:
     return multitrait.scan_gxe(views.geno(spark, sf), fit, z)
 
 
+#: Ordered flags of each sample's lines: the environments of a binary trait.
+FLAGS = ("A", "N", "R")
+
+
+def environments(spark: SparkSession, sf: str) -> pd.DataFrame:
+    """Per sample: cov, and for each return flag its lines' mean quantity (null where it has none)."""
+    lines = views.read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s_idx")).pivot("l_returnflag", list(FLAGS)).agg(F.avg("l_quantity"))
+    return views.samples(spark, sf).select("s_idx", "cov").join(lines, "s_idx", "left").orderBy("s_idx").toPandas()
+
+
+def _above(t: pd.DataFrame, *cuts: float) -> np.ndarray:
+    """How many of the cuts each environment's value lies above; nan where unseen."""
+    values = t[list(FLAGS)].to_numpy(float)
+    return np.where(np.isnan(values), np.nan, sum((values > c).astype(float) for c in cuts))
+
+
+@register("multi_env_glmm_binary")
+def multi_env_glmm_binary(spark: SparkSession, sf: str) -> DataFrame:
+    t = environments(spark, sf)
+    return env_glmm.scan(views.geno(spark, sf), env_glmm.fit(_above(t, 25.5), _design(t), _kinship(spark, sf, t), t["s_idx"].tolist()))
+
+
+@register("multi_env_glmm_ordinal")
+def multi_env_glmm_ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    t = environments(spark, sf)
+    return env_glmm.scan(views.geno(spark, sf), env_glmm.fit(_above(t, 25.0, 26.0), t[["cov"]].to_numpy(float), _kinship(spark, sf, t), t["s_idx"].tolist(), "ordinal"))
+
+
+@register(
+    "multi_env_glm_binary",
+    CELLS + """, v AS (SELECT l_suppkey AS s_idx, l_returnflag AS env, (avg(l_quantity) > 25.5)::INT AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+    m AS (SELECT env, avg(y) AS mu FROM v GROUP BY 1),
+    x AS (SELECT v_idx, s_idx, coalesce(dosage, avg(dosage) OVER (PARTITION BY v_idx)) AS g FROM cells),
+    t AS (SELECT v_idx, env, sum(g * (y - mu)) AS u, mu * (1 - mu) * (sum(g * g) - sum(g) * sum(g) / count(*)) AS i FROM x JOIN v USING (s_idx) JOIN m USING (env) GROUP BY v_idx, env, mu),
+    a AS (SELECT v_idx, sum(u * u / i) AS joint, sum(u) * sum(u) / sum(i) AS common, sum(u) / sum(i) AS alpha, 1 / sqrt(sum(i)) AS se FROM t GROUP BY 1)
+    SELECT v_idx, round(joint, 6) AS chi2, round(alpha, 6) + 0::DOUBLE AS alpha, round(se, 6) AS se, round(joint - common, 6) + 0::DOUBLE AS chi2_gxe FROM a""",
+)
+def multi_env_glm_binary(spark: SparkSession, sf: str) -> DataFrame:
+    """Without covariance between samples and with an intercept only, the score tests have a closed form."""
+    t = environments(spark, sf)
+    null = env_glmm.fit(_above(t, 25.5), np.ones((len(t), 1)), np.eye(len(t)), t["s_idx"].tolist(), sigma=np.zeros((len(FLAGS), len(FLAGS))))
+    rows = env_glmm.scan(views.geno(spark, sf), null)
+    return rows.select("v_idx", r("chi2"), (F.round("alpha", 6) + F.lit(0.0)).alias("alpha"), r("se"), (F.round("chi2_gxe", 6) + F.lit(0.0)).alias("chi2_gxe"))
+
+
 @register("ordinal_scan")
 def ordinal_scan(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf)

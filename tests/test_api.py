@@ -87,6 +87,7 @@ def test_all_commands(spark, files, tmp_path, capsys):
     for name in ("mvlmm-scan", "met-scan"):
         run(name, *study, "--trait", "Y,T", "--covariates", "C", rows=40)
     run("mtmet-scan", *study, "--trait", "Y,T,B,L", rows=40)
+    run("me-glmm-scan", *study, "--trait", "B,E", rows=40)
     run("rr-scan", *study, "--trait", "Y,T,B", "--times", "0,1,2", rows=40)
     run("mklmm-scan", *study, "--trait", "Y", rows=40)
     run("gxe-scan", *study, "--trait", "Y", "--environment", "C", rows=40)
