@@ -101,6 +101,64 @@ def adaptive_thresholds(rows: DataFrame, covariate: str, ties: list[str], p: str
     return placed.withColumn("threshold", F.least(F.lit(s) * F.col("__shape"), F.lit(0.5))).withColumn("selected", (F.col("threshold") > 0) & (F.col(p) <= F.col("threshold"))).drop("__bin", "__shape")
 
 
+def shrink(small: np.ndarray, large: np.ndarray, middle: np.ndarray, v: np.ndarray, q: float, refit: int = 10) -> tuple[np.ndarray, list[int]]:
+    """(level of each bin, bins in the order in which they gave way) of thresholds that shrink on masked p-values.
+
+    small and large (bins x cells) count the p and the 1 - p that fall into a cell, cells in order of
+    falling v; middle counts the rest by bin. While a cell is masked only small + large may be looked
+    at. The bin whose outermost cell is least likely to hold effects gives it up, until (1 + large) /
+    small of what is masked is at most q. Likely is what a two-group model says, with a share of
+    effects for each bin and p^(a - 1) for effects, refitted on masked pairs and revealed cells.
+    """
+    bins, cells = small.shape
+    level, path, shape = np.zeros(bins, int), [], 0.3
+    share = np.full(bins, 0.1)
+    low, high = -np.log(v), -np.log1p(-v)
+    half = np.array([np.log(2.0)])
+    while (level < cells).any():
+        masked = np.arange(cells)[None] >= level[:, None]
+        if (1 + large[masked].sum()) / max(1, small[masked].sum()) <= q:
+            break
+        if len(path) % refit == 0:
+            weights = np.concatenate([np.where(masked, small + large, 0), np.where(masked, 0, small), np.where(masked, 0, large), middle[:, None]], axis=1)
+            for _ in range(20):
+                a, b = np.exp((1 - shape) * low), np.exp((1 - shape) * high)
+                density = shape * np.concatenate([(a + b) / 2, a, b, np.exp((1 - shape) * half)])
+                depth = np.concatenate([(a * low + b * high) / (a + b), low, high, half])
+                chance = share[:, None] * density / (share[:, None] * density + 1 - share[:, None])
+                held = weights * chance
+                share = np.clip(held.sum(axis=1) / np.maximum(weights.sum(axis=1), 1), 1e-3, 0.999)
+                shape = float(np.clip(held.sum() / max((held * depth).sum(), 1e-12), 0.05, 0.95))
+        at = np.minimum(level, cells - 1)
+        odds = share / (1 - share) * np.exp((1 - shape) * low[at])
+        path.append(int(np.where(level < cells, odds, np.inf).argmin()))
+        level[path[-1]] += 1
+    return level, path
+
+
+def masked_thresholds(rows: DataFrame, covariate: str, p: str = "p", q: float = 0.1, n_bins: int = 5, cells: int = 120, ratio: float = 0.86) -> DataFrame:
+    """``rows`` with threshold and selected: a threshold for each bin of the covariate, shrunk by `shrink` until the estimated share of false discoveries is q.
+
+    One aggregation counts p-values by bin, side and cell (cells are geometric from 0.45 down); the
+    rounds run on these counts, whose number does not grow with the data. A null p is not selected;
+    a null covariate belongs to the first bin.
+    """
+    edges = rows.approxQuantile(covariate, [k / n_bins for k in range(1, n_bins)], 0.001)
+    side = F.when(F.col(p) <= 0.45, "small").when(F.col(p) >= 0.55, "large").when(F.col(p).isNotNull(), "middle")
+    depth = F.floor(F.log(F.greatest(F.least(p, 1 - F.col(p)), F.lit(1e-300)) / 0.45) / float(np.log(ratio)))
+    placed = rows.withColumn("__bin", sum((F.when(F.col(covariate) > e, 1).otherwise(0) for e in edges), F.lit(0))).withColumn("__side", side)
+    placed = placed.withColumn("__cell", F.greatest(F.least(depth, F.lit(cells - 1)), F.lit(0)).cast("int"))
+    counts = {name: np.zeros((n_bins, cells)) for name in ("small", "large", "middle")}
+    for r in placed.where("__side IS NOT NULL").groupBy("__bin", "__side", "__cell").count().collect():
+        counts[r["__side"]][r["__bin"], r["__cell"]] = r["count"]
+    v = 0.45 * ratio ** (np.arange(cells) + 0.5)
+    level, _ = shrink(counts["small"], counts["large"], counts["middle"].sum(axis=1), v, q)
+    at = F.get(F.array(*(F.lit(int(n)) for n in level)), F.col("__bin"))
+    threshold = F.when(at < cells, 0.45 * F.pow(F.lit(ratio), at)).otherwise(0.0)
+    selected = F.coalesce((F.col("__side") == "small") & (F.col("__cell") >= at), F.lit(False))
+    return placed.withColumn("threshold", threshold).withColumn("selected", selected).drop("__bin", "__side", "__cell")
+
+
 def adaptive_max(cells: DataFrame, samples: list[int], y: np.ndarray, x: np.ndarray, first: int = 100, most: int = 1000, enough: int = 10, seed: int = 0) -> DataFrame:
     """Family-wise p of each variant by the largest squared correlation under permutation: ``first`` rounds for all, the rest only if some variant is not yet decided.
 

@@ -125,6 +125,11 @@ def adaptive_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return hypotheses.adaptive_thresholds(views.pvals(spark, sf), "n", ["v_idx"], q=0.5).select("v_idx", "p", "threshold", "selected")
 
 
+@register("masked_thresholds")
+def masked_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    return hypotheses.masked_thresholds(views.pvals(spark, sf), "n").select("v_idx", "p", F.round("threshold", 9).alias("threshold"), "selected")
+
+
 @register(
     "scan_agreement",
     cte("studies") + """, p AS (SELECT study, v_idx, -log10(greatest(exp(-power(beta / se, 2) / 2), 1e-300)) AS l FROM studies), b AS (SELECT a.l AS a, b.l AS b FROM p a JOIN p b USING (v_idx) WHERE a.study = 'N' AND b.study = 'R')
