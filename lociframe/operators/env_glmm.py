@@ -17,6 +17,7 @@ the scan streams packed variants against the broadcast projection.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,6 +145,8 @@ def fit(y: np.ndarray, x: np.ndarray, kinship: np.ndarray, samples: list[int], f
         if change < tol * (1 + np.abs(eta).max()):
             settled = True
             break
+    if not settled:
+        warnings.warn(f"the null fit had not settled after {rounds} rounds", stacklevel=2)
     s, w, mu = working(eta)
     p, solve, _ = project(w, cov)
     residual, mean, projection = np.zeros((e, n)), np.zeros((e, n)), np.zeros((e * n, e * n))
