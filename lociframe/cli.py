@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lociframe import api
 from lociframe.functions import specfun
-from lociframe.operators import bayes, blocks, dprime, encode, env_glmm, evidence, genetics_extra, intervals, kinship, ld, ld_cuts, mediation, mixed, multilocus, multiple_testing, multitrait, pgs, qc, scan, sumstats
+from lociframe.operators import bayes, blocks, dprime, encode, env_curves, env_glmm, evidence, genetics_extra, intervals, kinship, ld, ld_cuts, liability, mediation, mixed, multilocus, multiple_testing, multitrait, pgs, qc, scan, sumstats
 from lociframe.sources import readers, writers
 
 
@@ -98,6 +98,28 @@ def _rr(spark: SparkSession, a: argparse.Namespace) -> None:
     _named(multitrait.scan(s.cells, multitrait.fit(coefficients, x, s.kinship(ploidy=a.ploidy), s.samples)), s, a.out)
 
 
+def _rr_met(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Long measures (IID, trait, time, environment) as curves; samples with a curve in some environment and genotypes."""
+    rows = spark.read.option("sep", "\t").option("header", True).csv(a.phenotypes).select(F.col("IID").alias("iid"), F.col(f"`{a.environment}`").alias("env"), *(F.col(f"`{c}`").try_cast("double").alias(n) for c, n in ((a.time, "time"), (a.trait, "value"))))
+    basis = env_curves.pooled_basis(rows, "time", a.basis, a.order, a.knots)
+    projected = env_curves.project(rows, basis, "iid", "env", "time", "value").where("coefficients is not null").persist()
+    covariates = _names(a.covariates)
+    own = readers.read_phenotypes(spark, a.phenotypes)
+    who = own.groupBy("iid").agg(F.lit(1.0).alias("measured"), *(F.avg(f"`{c}`").alias(c) for c in covariates)).join(projected.select(F.col("who").alias("iid")).distinct(), "iid")
+    s = api.study(spark, a.genotypes, who, ["measured", *covariates], a.ploidy)
+    environments = [r[0] for r in projected.select("env").distinct().orderBy("env").collect()]
+    y = env_curves.traits(projected, s.table["iid"].tolist(), environments, basis.size)
+    fit = env_curves.fit(y, s.design(covariates), [s.kinship(ploidy=a.ploidy)], s.samples, environments, basis, a.structure)
+    _named(env_curves.scan(s.cells, fit, tuple(float(t) for t in _names(a.at))), s, a.out)
+
+
+def _threshold_linear(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Ordered traits (levels 0, 1, ..) named in --ordinal and linear ones, jointly."""
+    s, y, x = _study(spark, a)
+    ordinal = [_names(a.trait).index(t) for t in _names(a.ordinal)]
+    _named(liability.scan(s.cells, liability.fit(y, x, s.kinship(ploidy=a.ploidy), s.samples, ordinal)), s, a.out)
+
+
 def _mklmm(spark: SparkSession, a: argparse.Namespace) -> None:
     s, y, x = _study(spark, a)
     additive, dominance = s.kinship(ploidy=a.ploidy), s.kinship("dominance", a.ploidy)
@@ -474,6 +496,8 @@ COMMANDS = {
     "me-glmm-scan": (_me_glmm, STUDY | {"family": "binary"}),
     "mtmet-scan": (_mtmet, STUDY | {"traits": 2}),
     "rr-scan": (_rr, STUDY | {"times": None, "order": 1}),
+    "rr-met-scan": (_rr_met, STUDY | {"time": None, "environment": None, "basis": "legendre", "order": 1, "knots": 4, "structure": "separable", "at": ""}),
+    "threshold-linear-scan": (_threshold_linear, STUDY | {"ordinal": None}),
     "mklmm-scan": (_mklmm, STUDY | {"epistatic": ""}),
     "gxe-scan": (_gxe, STUDY | {"environment": None}),
     "poly-scan": (_poly, STUDY),

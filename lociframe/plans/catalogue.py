@@ -28,7 +28,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from . import core, extra, glms, models, multi, post, wider  # noqa: F401
+    from . import core, curves, extra, glms, liabilities, models, multi, post, wider  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
