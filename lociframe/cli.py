@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lociframe import api
 from lociframe.functions import specfun
-from lociframe.operators import bayes, blocks, dprime, encode, env_curves, env_glmm, evidence, genetics_extra, intervals, kinship, ld, ld_cuts, liability, mediation, mixed, multilocus, multiple_testing, multitrait, pgs, qc, scan, sumstats
+from lociframe.operators import bayes, blocks, dprime, encode, env_curves, env_glmm, evidence, genetics_extra, intervals, kinship, ld, ld_cuts, liability, mediation, mixed, multilocus, multiple_testing, multitrait, pgs, prefix_copying, qc, scan, sumstats
 from lociframe.sources import readers, writers
 
 
@@ -268,6 +268,8 @@ def _impute(spark: SparkSession, a: argparse.Namespace) -> None:
         done = genetics_extra.impute_knn(cells, both)
     elif a.method == "copying":
         done = genetics_extra.impute_copying(cells, g.variants)
+    elif a.method == "prefix":
+        done = prefix_copying.impute(cells, g.variants)
     else:
         done = {"mean": encode.impute_mean, "mode": encode.impute_mode, "ld": evidence.impute_from_neighbours}[a.method](cells)
     _write(done.join(ids, "s_idx").select("v_idx", "iid", "dosage"), a.out)

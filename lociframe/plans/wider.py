@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.operators import genetics_extra, haplotypes, hypotheses, intervals, kinship, ld, mixed, qc
+from lociframe.operators import genetics_extra, haplotypes, hypotheses, intervals, kinship, ld, mixed, prefix_copying, qc
 
 from . import views
 from .catalogue import register
@@ -73,6 +73,12 @@ def impute_knn(spark: SparkSession, sf: str) -> DataFrame:
     return genetics_extra.impute_knn(c, both).withColumn("dosage", F.round("dosage", 5))
 
 
+@register("impute_prefix")
+def impute_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    """The copying model on the 50 samples that match each one best."""
+    return prefix_copying.impute(cells(spark, sf), views.variants(spark, sf), 50, window=10_000)
+
+
 @register("impute_copying")
 def impute_copying(spark: SparkSession, sf: str) -> DataFrame:
     return genetics_extra.impute_copying(cells(spark, sf), views.variants(spark, sf), 10_000)
