@@ -1,4 +1,4 @@
-"""Queries: traits over time in several environments. Samples are suppliers, environments return flags, times ship dates, values quantities."""
+"""Queries: traits over time in several environments, and in a field. Samples are suppliers, environments return flags, times ship dates, values quantities."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.operators import env_curves, kinship
+from lociframe.operators import env_curves, field, kinship, multitrait
 from lociframe.operators.env_curves import Basis
 
 from . import views
@@ -108,3 +108,13 @@ def env_curves_kernels(spark: SparkSession, sf: str) -> DataFrame:
     ids = t["s_idx"].tolist()
     fit = env_curves.fit(y, _design(t), [kinship.relationship(cells, ids, k) for k in ("vanraden", "dominance")], ids, list(FLAGS), basis)
     return env_curves.scan(cells, fit)
+
+
+@register("field_lmm")
+def field_lmm(spark: SparkSession, sf: str) -> DataFrame:
+    """Balances as a field of ten columns: trend, relationship and noise in one fit."""
+    t = views.samples(spark, sf).orderBy("s_idx").toPandas()
+    ids, place = t["s_idx"].tolist(), t["s_idx"].to_numpy() - 1
+    near = kinship.relationship(views.geno(spark, sf), ids)
+    fit, _ = field.fit(t["y"].to_numpy(float), np.ones((len(t), 1)), near, place // 10, place % 10, ids)
+    return multitrait.scan_kernels(views.geno(spark, sf), fit)
