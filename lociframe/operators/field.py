@@ -41,6 +41,10 @@ def parts(rows: np.ndarray, columns: np.ndarray, interior: int = 6, degree: int
 def fit(y: np.ndarray, x: np.ndarray, kinship: np.ndarray, rows: np.ndarray, columns: np.ndarray, samples: list[int], interior: int = 6) -> tuple[multitrait.KernelFit, np.ndarray]:
     """(null fit of relationship, trend and noise together, the trend of each plot without its lines' level)."""
     fixed, kernels = parts(rows, columns, interior)
+    for k in range(fixed.shape[1])[::-1]:  # lines that follow from the design and the others say nothing of their own
+        rest = np.column_stack([x, np.delete(fixed, k, axis=1)])
+        if np.abs(fixed[:, k] - rest @ np.linalg.lstsq(rest, fixed[:, k], rcond=None)[0]).max() < 1e-8:
+            fixed = np.delete(fixed, k, axis=1)
     whole = np.column_stack([x, fixed])
     found = multitrait.fit_kernels(y, whole, [kinship, *kernels], samples)
     smooth = sum(v * k for v, k in zip(found.variances[1:-1], kernels, strict=True)) @ found.py if kernels else np.zeros(len(y))

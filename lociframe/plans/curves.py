@@ -114,7 +114,7 @@ def env_curves_kernels(spark: SparkSession, sf: str) -> DataFrame:
 def field_lmm(spark: SparkSession, sf: str) -> DataFrame:
     """Balances as a field of ten columns: trend, relationship and noise in one fit."""
     t = views.samples(spark, sf).orderBy("s_idx").toPandas()
-    ids, place = t["s_idx"].tolist(), t["s_idx"].to_numpy() - 1
+    ids, place = t["s_idx"].tolist(), t["s_idx"].to_numpy()
     near = kinship.relationship(views.geno(spark, sf), ids)
     fit, _ = field.fit(t["y"].to_numpy(float), np.ones((len(t), 1)), near, place // 10, place % 10, ids)
     return multitrait.scan_kernels(views.geno(spark, sf), fit)
