@@ -112,6 +112,8 @@ def multi_test(d: np.ndarray, fit: multitrait.NullFit) -> tuple[float, int, floa
     pr = np.einsum("ijk,ik->ij", fit.precision, fit.residual)
     u = np.einsum("ia,ij->aj", rd, pr).ravel()
     v = np.einsum("ia,ijk,ib->ajbk", rd, fit.precision, rd).reshape(h * traits, h * traits)
+    if fit.beyond is not None:
+        v = v + np.kron(d.T @ d - rd.T @ rd, fit.beyond)
     cross = np.einsum("ia,ijk,ic->ajck", rd, fit.precision, fit.design).reshape(h * traits, -1)
     v = v - cross @ fit.gram_inverse @ cross.T
     rank = int(np.linalg.matrix_rank(v, tol=1e-8 * max(np.trace(v), 1e-300)))
