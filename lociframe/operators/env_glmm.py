@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from lociframe.functions import specfun
 
-from . import glm, glmm, mixed
+from . import glm, glmm, mixed, thin
 from .packed import map_variants
 
 
@@ -39,7 +39,7 @@ class EnvironmentFit:
     seen: np.ndarray
     residual: np.ndarray
     mean: np.ndarray
-    projection: np.ndarray  # (e, n, e, n)
+    projection: np.ndarray | thin.StackedProjection  # (e, n, e, n)
     sigma: np.ndarray
     beta: np.ndarray
     thresholds: np.ndarray | None
@@ -57,13 +57,33 @@ def _covariance_step(sigma: np.ndarray, p: np.ndarray, r: np.ndarray, env: np.nd
         for b in range(e):
             quad[a, b] = r[own[a]] @ shift[own[a], b]
             trace[a, b] = (p[np.ix_(own[a], own[b])] * near[np.ix_(own[a], own[b])]).sum()
+    pairs = [(a, b) for a in range(e) for b in range(a, e)]
+    moves = np.stack([np.where(own[a], shift[:, b], 0.0) + (np.where(own[b], shift[:, a], 0.0) if a != b else 0.0) for a, b in pairs], axis=1)
+    return _stepped(sigma, quad, trace, lambda: moves.T @ p @ moves, samples, careful)
+
+
+def _thin_step(sigma: np.ndarray, found: thin.Solved, samples: int, careful: bool) -> np.ndarray:
+    """The step of `_covariance_step` by the factor of the relationship."""
+    e, q = len(sigma), found.q
+    rank = q.shape[1]
+    trace = np.array([[np.trace(found.within[a * rank : (a + 1) * rank, b * rank : (b + 1) * rank]) for b in range(e)] for a in range(e)])
+    moves = np.zeros((e, rank, e * (e + 1) // 2))
+    for k, (a, b) in enumerate((a, b) for a in range(e) for b in range(a, e)):
+        moves[a, :, k] += q[b]
+        if a != b:
+            moves[b, :, k] += q[a]
+    moves = moves.reshape(e * rank, -1)
+    return _stepped(sigma, q @ q.T, trace, lambda: moves.T @ found.within @ moves, samples, careful)
+
+
+def _stepped(sigma: np.ndarray, quad: np.ndarray, trace: np.ndarray, information, samples: int, careful: bool) -> np.ndarray:
+    e = len(sigma)
     em = sigma + sigma @ (quad - trace) @ sigma / samples
     if careful:
         return em
     pairs = [(a, b) for a in range(e) for b in range(a, e)]
-    moves = np.stack([np.where(own[a], shift[:, b], 0.0) + (np.where(own[b], shift[:, a], 0.0) if a != b else 0.0) for a, b in pairs], axis=1)
     score = np.array([(1.0 if a == b else 2.0) * (quad[a, b] - trace[a, b]) / 2 for a, b in pairs])
-    delta = np.linalg.lstsq(moves.T @ p @ moves / 2, score, rcond=None)[0]
+    delta = np.linalg.lstsq(information() / 2, score, rcond=None)[0]
     new = sigma.copy()
     for (a, b), d in zip(pairs, delta, strict=True):
         new[a, b] = new[b, a] = sigma[a, b] + d
@@ -84,7 +104,8 @@ def fit(y: np.ndarray, x: np.ndarray, kinship: np.ndarray, samples: list[int], f
     n, e = y.shape
     seen = ~np.isnan(y).T
     env, who = np.nonzero(seen)
-    if len(env) ** 2 * 8 > mixed.MOST_BYTES:
+    factored = isinstance(kinship, thin.Thin)
+    if not factored and len(env) ** 2 * 8 > mixed.MOST_BYTES:
         raise ValueError(f"{len(env)} rows of samples and environments are too many for a dense fit")
     ordinal = family == "ordinal"
     inner = np.column_stack([np.ones(n), x - x.mean(axis=0)]) if ordinal else x
@@ -94,7 +115,7 @@ def fit(y: np.ndarray, x: np.ndarray, kinship: np.ndarray, samples: list[int], f
     full = np.zeros((len(env), e * c))
     for k in range(e):
         full[own[k], k * c : (k + 1) * c] = inner[who[own[k]]]
-    near = kinship[np.ix_(who, who)]
+    near = None if factored else kinship[np.ix_(who, who)]
     thresholds = None
     if ordinal:
         level = stacked.astype(int)
@@ -125,14 +146,25 @@ def fit(y: np.ndarray, x: np.ndarray, kinship: np.ndarray, samples: list[int], f
         gram = np.linalg.pinv(full.T @ ix)
         return inverse - ix @ gram @ ix.T, gram @ ix.T, effect
 
+    def solved(w: np.ndarray, z: np.ndarray, cov: np.ndarray) -> thin.Solved:
+        weights, wz = np.zeros((e, e, n)), np.zeros((e, n))
+        weights[env, env, who], wz[env, who] = w, w * z
+        return thin.solve(weights, wz, inner, kinship, cov)
+
     cov, settled = np.eye(e) * 0.2 if sigma is None else np.asarray(sigma, float), False
     for step in range(rounds):
         s, w, _ = working(eta)
         z = eta + s / w
-        p, solve, effect = project(w, cov)
-        r, beta = p @ z, solve @ z
-        new_cov = cov if sigma is not None else _covariance_step(cov, p, r, env, near, n, step < 3)
-        new = full @ beta + effect @ r
+        if factored:
+            at = solved(w, z, cov)
+            beta = at.beta.ravel()
+            new_cov = cov if sigma is not None else _thin_step(cov, at, n, step < 3)
+            new = full @ beta + (cov @ at.q @ kinship.factor.T)[env, who]
+        else:
+            p, solve, effect = project(w, cov)
+            r, beta = p @ z, solve @ z
+            new_cov = cov if sigma is not None else _covariance_step(cov, p, r, env, near, n, step < 3)
+            new = full @ beta + effect @ r
         if ordinal:
             for k, o in enumerate(own):
                 new[o] -= beta[k * c]
@@ -148,9 +180,13 @@ def fit(y: np.ndarray, x: np.ndarray, kinship: np.ndarray, samples: list[int], f
     if not settled:
         warnings.warn(f"the null fit had not settled after {rounds} rounds", stacklevel=2)
     s, w, mu = working(eta)
-    p, solve, _ = project(w, cov)
-    residual, mean, projection = np.zeros((e, n)), np.zeros((e, n)), np.zeros((e * n, e * n))
+    residual, mean = np.zeros((e, n)), np.zeros((e, n))
     residual[seen], mean[seen] = s, mu
+    if factored:
+        at = solved(w, eta + s / w, cov)
+        return EnvironmentFit(tuple(samples), family, inner, seen, residual, mean, at.projection, cov, at.beta, thresholds, step + 1, settled)
+    p, solve, _ = project(w, cov)
+    projection = np.zeros((e * n, e * n))
     at = np.flatnonzero(seen.ravel())
     projection[np.ix_(at, at)] = p
     return EnvironmentFit(tuple(samples), family, inner, seen, residual, mean, projection.reshape(e, n, e, n), cov, (solve @ (eta + s / w)).reshape(e, c), thresholds, step + 1, settled)
@@ -176,7 +212,9 @@ def score(g: np.ndarray, state: tuple[EnvironmentFit, float]) -> dict[str, np.nd
     e, m = len(fit.residual), g.shape[1]
     u = (fit.residual @ g).T
     v = np.empty((m, e, e))
-    for a in range(e):
+    if isinstance(fit.projection, thin.StackedProjection):
+        v = np.moveaxis(fit.projection.forms(g), 2, 0)
+    for a in range(0 if isinstance(fit.projection, np.ndarray) else e, e):
         for b in range(a, e):
             v[:, a, b] = v[:, b, a] = (g * (fit.projection[a, :, b] @ g)).sum(axis=0)
     own = np.diagonal(v, axis1=1, axis2=2)

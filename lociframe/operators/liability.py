@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from lociframe.functions import specfun
 
-from . import env_curves, linalg, mixed, multitrait
+from . import env_curves, linalg, mixed, multitrait, thin
 from .env_curves import Stacked
 from .packed import map_variants
 
@@ -133,7 +133,8 @@ def components(y: np.ndarray, ordinal: list[int], x: np.ndarray, kinship: np.nda
         ends = np.concatenate([[-np.inf], quantile_thresholds(y[own, k], 1.0), [np.inf]])
         middle = linalg.truncated_moments(0.0, 1.0, ends[:-1], ends[1:])[0]
         scored[:, k] = middle[y[own, k].astype(int)]
-    found = multitrait.fit(scored, x[own], kinship[np.ix_(own, own)], [s for s, o in zip(samples, own, strict=True) if o])
+    near = kinship.of(own) if isinstance(kinship, thin.Thin) else kinship[np.ix_(own, own)]
+    found = multitrait.fit(scored, x[own], near, [s for s, o in zip(samples, own, strict=True) if o])
     scale = np.array([1 / math.sqrt(found.ve[k, k]) if k in ordinal else 1.0 for k in range(y.shape[1])])
     return found.vg * np.outer(scale, scale), found.ve * np.outer(scale, scale)
 
@@ -141,7 +142,8 @@ def components(y: np.ndarray, ordinal: list[int], x: np.ndarray, kinship: np.nda
 def fit(y: np.ndarray, x: np.ndarray, kinship: np.ndarray, samples: list, ordinal: list[int], vg: np.ndarray | None = None, ve: np.ndarray | None = None, thresholds: list[np.ndarray] | None = None, rounds: int = 100, tol: float = 1e-9) -> LiabilityFit:
     """Null model of y (samples x traits, NaN where unseen); x has an intercept, ``ordinal`` says which columns are ordered."""
     n, d = y.shape
-    if (n * d) ** 2 * 32 > mixed.MOST_BYTES:
+    factored = isinstance(kinship, thin.Thin)
+    if not factored and (n * d) ** 2 * 32 > mixed.MOST_BYTES:
         raise ValueError(f"{n} samples of {d} traits are too many for a dense fit")
     for k in ordinal:
         seen = y[~np.isnan(y[:, k]), k]
@@ -151,13 +153,14 @@ def fit(y: np.ndarray, x: np.ndarray, kinship: np.ndarray, samples: list, ordina
         vg, ve = components(y, ordinal, x, kinship, samples)
     vg, ve = np.asarray(vg, float), np.asarray(ve, float)
     if thresholds is None:
-        thresholds = [quantile_thresholds(y[:, k], math.sqrt(ve[k, k] + vg[k, k] * np.diag(kinship).mean())) for k in ordinal]
+        level = (kinship.factor**2).sum() / n if factored else np.diag(kinship).mean()
+        thresholds = [quantile_thresholds(y[:, k], math.sqrt(ve[k, k] + vg[k, k] * level)) for k in ordinal]
     for k, cuts in zip(ordinal, thresholds, strict=True):
         if (~np.isnan(y[:, k])).any() and np.nanmax(y[:, k]) > len(cuts):
             raise ValueError("an ordered trait has more categories than its thresholds make")
     thresholds = tuple(np.asarray(t, float) for t in thresholds)
     inverse = np.linalg.inv(ve)
-    spread_u = lambda r: vg @ r @ kinship  # noqa: E731  of (d, n)
+    spread_u = lambda r: vg @ (r @ kinship.factor) @ kinship.factor.T if factored else vg @ r @ kinship  # noqa: E731  of (d, n)
 
     def at(beta: np.ndarray, r: np.ndarray):
         u = spread_u(r)
@@ -169,6 +172,11 @@ def fit(y: np.ndarray, x: np.ndarray, kinship: np.ndarray, samples: list, ordina
         s = (expected - mean) @ inverse
         lam, q = np.linalg.eigh(inverse - inverse @ cov @ inverse)
         root = np.sqrt(np.where(lam > 1e-12 * np.abs(lam).max(), np.maximum(lam, 0), 0.0))
+        if factored:
+            weights = np.einsum("iab,ib,icb->aci", q, root**2, q)
+            seen = np.einsum("iab,ib,icb,ic->ai", q, (root > 0).astype(float), q, s)
+            found = thin.solve(weights, np.einsum("abi,ib->ai", weights, mean) + seen, x, kinship, vg)
+            return s, found.projection, found.beta.T, found.r
         half = np.einsum("iab,ib,icb->iac", q, root, q)
         back = np.einsum("iab,ib,icb->iac", q, np.where(root > 0, 1 / np.where(root > 0, root, 1.0), 0.0), q)
         mid = np.einsum("ita,ab,jbs->tisj", half, vg, half, optimize=True) * kinship[None, :, None, :]
@@ -178,7 +186,9 @@ def fit(y: np.ndarray, x: np.ndarray, kinship: np.ndarray, samples: list, ordina
         hz = (np.einsum("its,is->ti", half, mean) + np.einsum("its,is->ti", back, s)).ravel()
         beta = gram @ (hx.T @ (core @ hz))
         r = np.einsum("its,si->ti", half, (core @ (hz - hx @ beta)).reshape(d, n))
-        return s, half, core, hx, gram, beta.reshape(d, -1).T, r
+        ch = core @ hx
+        p = lambda: np.einsum("iat,tisj,jsb->aibj", half, (core - ch @ gram @ ch.T).reshape(d, n, d, n), half, optimize=True)
+        return s, p, beta.reshape(d, -1).T, r
 
     beta, r, settled = np.zeros((x.shape[1], d)), np.zeros((d, n)), False
     for k in range(d):
@@ -187,7 +197,7 @@ def fit(y: np.ndarray, x: np.ndarray, kinship: np.ndarray, samples: list, ordina
             beta[:, k] = np.linalg.lstsq(x[seen], y[seen, k], rcond=None)[0]
     best, mean, expected, cov = at(beta, r)
     for _ in range(rounds):
-        *_, new_beta, new_r = newton(mean, expected, cov)
+        _, _, new_beta, new_r = newton(mean, expected, cov)
         step = 1.0
         while step > 1e-6:
             b, v = beta + step * (new_beta - beta), r + step * (new_r - r)
@@ -202,10 +212,8 @@ def fit(y: np.ndarray, x: np.ndarray, kinship: np.ndarray, samples: list, ordina
             break
     if not settled:
         warnings.warn(f"the null fit had not settled after {rounds} rounds", stacklevel=2)
-    s, half, core, hx, gram, _, _ = newton(mean, expected, cov)
-    ch = core @ hx
-    p = (core - ch @ gram @ ch.T).reshape(d, n, d, n)
-    projection = np.einsum("iat,tisj,jsb->aibj", half, p, half, optimize=True)
+    s, p, _, _ = newton(mean, expected, cov)
+    projection = p if factored else p()
     return LiabilityFit(tuple(samples), thresholds, vg, ve, beta, expected, float(best), settled, Stacked(s.T.copy(), projection))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.operators import kinship, liability
+from lociframe.operators import liability, thin
 
 from . import views
 from .catalogue import register
@@ -29,7 +29,7 @@ def liability_independent(spark: SparkSession, sf: str) -> DataFrame:
     """A binary and a linear trait at variances that have a closed form: no covariance, residual variances 1 and 4."""
     t = table(spark, sf)
     ids = t["s_idx"].tolist()
-    fit = liability.fit(t[["status", "y"]].to_numpy(float), np.ones((len(t), 1)), np.eye(len(t)), ids, [0], np.zeros((2, 2)), np.diag([1.0, 4.0]), [np.zeros(1)])
+    fit = liability.fit(t[["status", "y"]].to_numpy(float), np.ones((len(t), 1)), thin.Thin(np.zeros((len(t), 1))), ids, [0], np.zeros((2, 2)), np.diag([1.0, 4.0]), [np.zeros(1)])
     return liability.scan(views.geno(spark, sf), fit).select("v_idx", r("stat_d0", 5), r("stat_d1", 5), r("stat", 5), r("p", 5))
 
 
@@ -45,7 +45,7 @@ def liability_scan(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf)
     ids = t["s_idx"].tolist()
     y = np.column_stack([t["level"].to_numpy(float), _quantities(spark, sf, t)])
-    return liability.scan(views.geno(spark, sf), liability.fit(y, np.column_stack([np.ones(len(t)), t["cov"]]), kinship.relationship(views.geno(spark, sf), ids), ids, [0]))
+    return liability.scan(views.geno(spark, sf), liability.fit(y, np.column_stack([np.ones(len(t)), t["cov"]]), thin.relationship(views.geno(spark, sf), ids), ids, [0]))
 
 
 @register("liability_scan_two_ordered")
@@ -55,4 +55,4 @@ def liability_scan_two_ordered(spark: SparkSession, sf: str) -> DataFrame:
     ids, q = t["s_idx"].tolist(), _quantities(spark, sf, t)
     y = np.column_stack([t["level"].to_numpy(float), np.where(np.isnan(q), np.nan, (q > 25.5).astype(float)), t["time"]])
     y[:, 2] = np.log(y[:, 2]) + np.sin(t["s_idx"])
-    return liability.scan(views.geno(spark, sf), liability.fit(y, np.ones((len(t), 1)), kinship.relationship(views.geno(spark, sf), ids), ids, [0, 1]))
+    return liability.scan(views.geno(spark, sf), liability.fit(y, np.ones((len(t), 1)), thin.relationship(views.geno(spark, sf), ids), ids, [0, 1]))

@@ -105,3 +105,45 @@ def test_queries_need_no_full_matrix(spark, sf, monkeypatch, name):
     monkeypatch.setattr(views, "geno", lambda spark, sf: geno(spark, sf).where("v_idx < 6"))
     monkeypatch.setattr(kinship, "MOST_SAMPLES", 5)
     assert __spark_entry__.queries()[name](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("family", ["logit", "ordinal"])
+def test_environments_with_unseen_cells(family):
+    from lociframe.operators import env_glmm
+
+    y = np.column_stack([np.digitize(U + RNG.standard_normal(N), [-0.5, 0.6]), np.digitize(0.7 * U + RNG.standard_normal(N), [-0.4, 0.5])]).astype(float)
+    y = (y > 0).astype(float) if family == "logit" else y
+    y[RNG.random(y.shape) < 0.1] = np.nan
+    x = X[:, 1:] if family == "ordinal" else X
+    for rounds in (6, 60):
+        with pytest.warns() if rounds == 6 else __import__("contextlib").nullcontext():
+            a, b = (env_glmm.fit(y, x, k, IDS, family, rounds=rounds) for k in (K, K.dense()))
+        assert np.allclose(a.sigma, b.sigma, atol=1e-5) and np.allclose(a.beta, b.beta, atol=1e-5) and a.rounds == b.rounds
+        same(env_glmm.score(G, (a, 2.0)), env_glmm.score(G, (b, 2.0)))
+
+
+@pytest.mark.parametrize("ordered", [[0], [0, 1]])
+def test_ordered_traits_with_unseen_cells(ordered):
+    from lociframe.operators import liability
+
+    y = np.column_stack([np.digitize(U + RNG.standard_normal(N), [-0.5, 0.6]), (0.7 * U + RNG.standard_normal(N) > 0), Y]).astype(float)
+    y = y if len(ordered) == 2 else y[:, [0, 2]]
+    y[RNG.random(y.shape) < 0.1] = np.nan
+    vg = np.eye(y.shape[1]) * 0.4 + 0.2
+    ve = np.eye(y.shape[1]) * 0.8 + 0.2
+    a, b = (liability.fit(y, X, k, IDS, ordered, vg, ve) for k in (K, K.dense()))
+    assert np.allclose(a.liabilities, b.liabilities, atol=1e-6) and np.isclose(a.objective, b.objective) and np.allclose(a.beta, b.beta, atol=1e-6)
+    same(liability.score(G, a), liability.score(G, b))
+    left, right = (liability.components(y, ordered, X, k, IDS) for k in (K, K.dense()))
+    assert np.allclose(left[0], right[0], atol=5e-3) and np.allclose(left[1], right[1], atol=5e-3)
+
+
+@pytest.mark.parametrize("name", ["multi_env_glmm_binary", "multi_env_glm_binary", "liability_scan", "liability_independent"])
+def test_stacked_queries_need_no_full_matrix(spark, sf, monkeypatch, name):
+    """A budget that the stacked rows of 10 samples exceed and a factor doesn't."""
+    from lociframe.plans import views
+
+    geno = views.geno
+    monkeypatch.setattr(views, "geno", lambda spark, sf: geno(spark, sf).where("v_idx < 6"))
+    monkeypatch.setattr(mixed, "MOST_BYTES", 1200)
+    assert __spark_entry__.queries()[name](spark, sf).count() > 0
