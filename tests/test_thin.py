@@ -147,3 +147,22 @@ def test_stacked_queries_need_no_full_matrix(spark, sf, monkeypatch, name):
     monkeypatch.setattr(views, "geno", lambda spark, sf: geno(spark, sf).where("v_idx < 6"))
     monkeypatch.setattr(mixed, "MOST_BYTES", 1200)
     assert __spark_entry__.queries()[name](spark, sf).count() > 0
+
+
+def test_curves_with_two_kernels_and_unseen_environments():
+    from lociframe.operators import env_curves
+
+    n = 90
+    x, two = X[:n], [K.of(np.arange(n)), thin.Thin(np.random.default_rng(8).standard_normal((n, 9)) / 3)]
+    shared = two[0].factor @ RNG.standard_normal((M, 4)) + two[1].factor @ RNG.standard_normal((9, 4)) * 0.7
+    y = 3 * (shared @ (np.eye(4) + 0.5) + RNG.standard_normal((n, 4)))
+    y[:5, [0, 2]] = np.nan
+    y[5:9, [1, 3]] = np.nan
+    a = env_curves._factored(y, x, two, 2, 2, "separable", 300)
+    b = env_curves._stacked(y, x, [k.dense() for k in two], 2, 2, "separable", 300)
+    assert np.isclose(a[1], b[1], atol=1e-4)
+    assert all(np.allclose(p, q, atol=0.05 * np.abs(q).max()) for p, q in zip(a[0], b[0], strict=True))
+    g = G[:n]
+    assert np.allclose(a[3].residual @ g, b[3].residual @ g, atol=0.02)
+    dense = np.array([[(g * (b[3].projection[s, :, t] @ g)).sum(0) for t in range(4)] for s in range(4)])
+    assert np.allclose(a[3].projection.forms(g), dense, rtol=0.02, atol=0.02 * np.abs(dense).max())
