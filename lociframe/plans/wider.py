@@ -68,9 +68,8 @@ def mr_mega(spark: SparkSession, sf: str) -> DataFrame:
 )
 def impute_knn(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf)
-    k = kinship.gram_pairs(kinship.encoded(c), sample_ids(spark, sf)).withColumn("k", F.round("k", 9))
-    both = k.select(F.col("i").alias("s_idx"), F.col("j").alias("other"), F.col("k").alias("w")).unionByName(k.where("i <> j").select(F.col("j").alias("s_idx"), F.col("i").alias("other"), F.col("k").alias("w")))
-    return genetics_extra.impute_knn(c, both).withColumn("dosage", F.round("dosage", 5))
+    near = kinship.nearest(kinship.encoded(c), 5, views.samples(spark, sf).count())
+    return genetics_extra.impute_knn(c, near).withColumn("dosage", F.round("dosage", 5))
 
 
 @register("impute_prefix")

@@ -33,3 +33,28 @@ def test_values_of_many_levels_are_packed_as_they_are():
     rng = np.random.default_rng(1)
     for x in (rng.integers(0, 3, (4, 1000)) - 0.3, rng.standard_normal((4, 300)), np.zeros((0, 5))):
         assert np.array_equal(kinship._decoded(*kinship._coded(x), *x.shape), x)
+
+
+def test_nearest_others_are_those_of_all_pairs(spark, sf, monkeypatch):
+    """Stripes, tiles and chunks of variants of any size, and copies whose ties go to the smaller sample; no pair becomes a row."""
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 3, (70, 300)).astype(float)
+    g[40:] = g[:30]  # copies
+    g[rng.random(g.shape) < 0.1] = np.nan
+    g[60:] = g[:10]
+    cells = spark.createDataFrame([(v, 3 * s, None if np.isnan(g[s, v]) else float(g[s, v])) for v in range(300) for s in range(70)], "v_idx long, s_idx long, dosage double")
+    rows = kinship.encoded(cells).localCheckpoint()
+    x = np.nan_to_num(g - np.nanmean(g, axis=0))
+    p = np.nanmean(g, axis=0) / 2
+    k = np.round(x @ x.T / (2 * p * (1 - p)).sum(), 9)
+    np.fill_diagonal(k, -np.inf)
+    want = {(3 * s, 3 * int(o)): k[s, o] for s in range(70) for o in np.lexsort((np.arange(70), -k[s]))[:4]}
+    for stripes, block, wide in ((1, 1 << 22, 256), (3, 70, 256), (5, 1, 64)):
+        monkeypatch.setattr(kinship, "BLOCK", block)
+        monkeypatch.setattr(kinship, "WIDE", wide)
+        got = {(r.s_idx, r.other): r.w for r in kinship.nearest(rows, 4, 70, stripes=stripes).collect()}
+        assert got.keys() == want.keys() and all(got[a] == pytest.approx(want[a], abs=2e-9) for a in want)
+    assert kinship.nearest(rows.where("s_idx < 6"), 4).count() == 2
+    assert kinship.nearest(rows.limit(0), 4).count() == 0
+    monkeypatch.setattr(kinship, "gram_pairs", None)
+    assert __spark_entry__.queries()["impute_knn"](spark, sf).where("dosage IS NOT NULL").count() == 2000
