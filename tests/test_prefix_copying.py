@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -64,6 +65,34 @@ def test_cost_grows_with_samples():
     assert took[1] < 10 * took[0]  # four times the samples; the square would be sixteen times
 
 
+def test_memory_is_a_few_numbers_a_call():
+    """Neighbours and states of all samples at all sites are never held at once."""
+    took = []
+    for n in (4000, 16_000):
+        g = np.random.default_rng(1).integers(0, 3, (n, 10)).astype(float)
+        g[::40, 3] = np.nan
+        tracemalloc.start()
+        done = prefix_copying.posterior(g, 50)
+        took.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert not np.isnan(done).any()
+    assert took[1] - took[0] < 12_000 * 10 * 120  # 120 bytes a call; it took 290 with the neighbours at all sites
+
+
+def test_windows_of_samples_in_tiles(spark, monkeypatch):
+    """Tiles of samples, holes as missing rows, and positions that two variants share."""
+    rng = np.random.default_rng(4)
+    g = rng.integers(0, 3, (40, 12)).astype(float)
+    g[rng.random(g.shape) < 0.1] = np.nan
+    cells = spark.createDataFrame([(j, 7 * i, float(g[i, j])) for i in range(40) for j in range(12) if not np.isnan(g[i, j])], "v_idx long, s_idx long, dosage double")
+    variants = spark.createDataFrame([(j, "1", 1000 * (j // 2)) for j in range(12)], "v_idx long, chr string, pos long")
+    want = np.column_stack([prefix_copying.posterior(g[:, a : a + 4], 8) for a in (0, 4, 8)])
+    for tile in (50, 1 << 16):
+        monkeypatch.setattr(prefix_copying, "TILE", tile)
+        rows = {(r.v_idx, r.s_idx): r.dosage for r in prefix_copying.impute(cells, variants, 8, window=2000).collect()}
+        assert len(rows) == 480 and all(rows[j, 7 * i] == pytest.approx(want[i, j]) for i in range(40) for j in range(12))
+
+
 def test_edges(spark):
     assert np.allclose(prefix_copying.posterior(np.array([[1.0, np.nan]]), 5), [[1.0, 0.0]])
     assert np.allclose(prefix_copying.posterior(np.full((4, 3), np.nan), 2), 0)
