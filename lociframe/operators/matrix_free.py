@@ -8,6 +8,10 @@ On these products stand Lanczos recurrences for many starts at once. The tridiag
 gives y' f(K) y, and with the basis f(K) y, for every function f at no further pass: so one
 recurrence serves all variance ratios. The log determinant in REML is the mean of such forms over
 random signs (or their exact sum over unit vectors, where there are no more samples than probes).
+
+Where there are fewer variants than samples, one pass gives X'X and X' with the starts, and the
+recurrences run in the axes of K, in vectors of a length in variants: the same tridiagonals, and what
+comes to the driver does not grow with the passes (`Axes`).
 """
 
 from __future__ import annotations
@@ -189,6 +193,126 @@ def leading_axes(calls: Calls, count: int, extra: int = 10, rounds: int = 12, to
     return np.maximum(values, 0.0), basis @ small[:, ::-1][:, :count]
 
 
+#: Variants up to which the products of all pairs come to the driver: 134 MB.
+MOST_VARIANTS = 4096
+
+
+@dataclass(frozen=True)
+class Axes:
+    """Axes in which K is diagonal, for starts b of a length in samples: ``values`` and then a 0 for each axis of what K leaves of the starts.
+
+    ``starts`` are the coordinates of b; X ``load`` are the axes where K is not 0, load's rows being the variants at their ``place``.
+    """
+
+    values: np.ndarray
+    starts: np.ndarray
+    load: np.ndarray
+    place: dict[int, int]
+
+
+def _moments(calls: Calls, b: np.ndarray) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
+    """The variants' places, X'X and X'b: the calls pass to tasks by tiles of samples, whose products add up."""
+    n, r = b.shape
+    names = sorted(x["v_idx"] for x in calls.table.select("v_idx").collect())  # fewer than MOST_VARIANTS
+    place, m = {v: k for k, v in enumerate(names)}, len(names)
+    tile, parts = max(1, min(n, packed.BATCH_CELLS // max(1, m))), calls.table.sparkSession.sparkContext.defaultParallelism
+    shared = calls.table.sparkSession.sparkContext.broadcast(b)
+
+    def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for k in range(batch.num_rows):
+                g = np.frombuffer(batch.column("g")[k].as_buffer(), np.uint8)
+                known = g[g != 255]
+                mean, blobs = float(known.mean()) if len(known) else 0.0, [g[a : a + tile].tobytes() for a in range(0, n, tile)]
+                count = len(blobs)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(count)), pa.array([batch.column("v_idx")[k].as_py()] * count), pa.array([mean] * count), pa.array(blobs, pa.binary())], ["tile", "v_idx", "mean", "g"]
+                )
+
+    def products(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xx, xb = np.zeros((m, m)), np.zeros((m, r))
+        now, x = None, None
+
+        def add() -> None:
+            own = shared.value[now * tile : now * tile + x.shape[1]]
+            np.add(xx, x @ x.T, out=xx)
+            np.add(xb, x @ own, out=xb)
+
+        for batch in stream:
+            for k in range(batch.num_rows):
+                t = batch.column("tile")[k].as_py()
+                if t != now:
+                    if now is not None:
+                        add()
+                    now, x = t, np.zeros((m, min(n, (t + 1) * tile) - t * tile))
+                at, mu = place[batch.column("v_idx")[k].as_py()], batch.column("mean")[k].as_py()
+                g = np.frombuffer(batch.column("g")[k].as_buffer(), np.uint8)
+                x[at] = np.where(g == 255, 0.0, g - mu)
+        if now is not None:
+            add()
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (xx, xb)], ["xx", "xb"])
+
+    tiles = calls.table.mapInArrow(cut, "tile bigint, v_idx bigint, mean double, g binary")
+    tiles = tiles.repartition(min(parts, max(1, -(-n // tile))), "tile").sortWithinPartitions("tile")
+    xx, xb = np.zeros((m, m)), np.zeros((m, r))
+    for row in tiles.mapInArrow(products, "xx binary, xb binary").toLocalIterator():  # at most one for each core
+        xx += np.frombuffer(row["xx"]).reshape(m, m)
+        xb += np.frombuffer(row["xb"]).reshape(m, r)
+    shared.destroy()
+    return place, xx, xb
+
+
+def axes(calls: Calls, b: np.ndarray, shared: int) -> Axes:
+    """The axes for starts b, of which the first ``shared`` keep their products with each other; each of the rest keeps its own length."""
+    place, xx, xb = _moments(calls, b)
+    values, vectors = np.linalg.eigh((xx + xx.T) / 2)
+    keep = values > 1e-12 * max(values.max(initial=0.0), 1e-300)
+    values, load = values[keep], vectors[:, keep] / np.sqrt(values[keep])
+    inside = load.T @ xb
+    first = b[:, :shared]
+    left = first.T @ first - inside[:, :shared].T @ inside[:, :shared]
+    w, u = np.linalg.eigh((left + left.T) / 2)
+    outside = np.zeros((max(1, shared), b.shape[1]))
+    outside[:shared, :shared] = np.sqrt(np.maximum(w, 0.0))[:, None] * u.T
+    outside[0, shared:] = np.sqrt(np.maximum((b[:, shared:] ** 2).sum(axis=0) - (inside[:, shared:] ** 2).sum(axis=0), 0.0))
+    return Axes(np.concatenate([values / calls.norm, np.zeros(len(outside))]), np.vstack([inside, outside]), load, place)
+
+
+def combined(calls: Calls, weights: np.ndarray, place: dict[int, int]) -> np.ndarray:
+    """X weights, one number a sample, in one pass: ``weights`` has one for each variant."""
+    n = len(calls.samples)
+    found = np.zeros(n)
+    shared, ploidy = calls.table.sparkSession.sparkContext.broadcast((weights, place)), calls.ploidy
+
+    def sums(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at = shared.value
+        total = None
+        for batch in stream:
+            first = 0
+            for x, _ in _centred(iter([batch.select(["g"])]), n, ploidy):
+                w = own[[at[v.as_py()] for v in batch.column("v_idx")[first : first + x.shape[1]]]]
+                first += x.shape[1]
+                total = x @ w if total is None else total + x @ w
+        if total is not None:
+            for a in range(0, n, TILE_VALUES):
+                yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([total[a : a + TILE_VALUES].tobytes()], pa.binary())], ["tile", "part"])
+
+    def added(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in stream:
+            for t, part in zip(batch.column("tile").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                totals[t] = totals[t] + np.frombuffer(part) if t in totals else np.frombuffer(part)
+        for t, part in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([part.tobytes()], pa.binary())], ["tile", "part"])
+
+    form = "tile bigint, part binary"
+    for row in calls.table.mapInArrow(sums, form).repartition("tile").mapInArrow(added, form).toLocalIterator():  # n numbers
+        part = np.frombuffer(row["part"])
+        found[row["tile"] : row["tile"] + len(part)] = part
+    shared.destroy()
+    return found
+
+
 @dataclass(frozen=True)
 class FreeFit:
     """A REML fit without the inverse covariance; ``gamma`` is the mean share of a variant's residual square that the inverse leaves."""
@@ -216,38 +340,52 @@ def fit_null(y: np.ndarray, x: np.ndarray, calls: Calls, probes: int = 30, steps
     rng = np.random.default_rng(seed)
     exact = n <= probes
     signs = np.eye(n) if exact else rng.choice([-1.0, 1.0], (n, probes))
+    g = _sampled(calls, calibration)
+    variants = calls.table.limit(min(n, MOST_VARIANTS + 1)).count()
+    own, starts = None, [np.column_stack([y, x, signs]), g]
     multiply = lambda v: times(calls, v)
-    run = lanczos(multiply, np.column_stack([y, x, signs]), steps)
+    if variants < n and variants <= MOST_VARIANTS:
+        # all that follows is in the axes, but for py
+        own = axes(calls, np.column_stack([y, x, g, signs]), 1 + c + g.shape[1])
+        first, last = 1 + c, 1 + c + g.shape[1]
+        starts = [np.delete(own.starts, slice(first, last), axis=1), own.starts[:, first:last]]
+        multiply = lambda v: own.values[:, None] * v
+    run = lanczos(multiply, starts[0], steps)
     of = lambda k: Lanczos(run.basis[:, :, k], run.values[k], run.weights[k], run.vectors[k], run.length[k])
     fixed, random = of(slice(0, 1 + c)), of(slice(1 + c, None))
+    left, right = starts[0][:, 0], starts[0][:, 1 : 1 + c]  # y and x, or their coordinates
 
     def at(ratio: float):
         solved = fixed.applied(lambda d: 1 / (ratio * d + 1))
         hy, hx = solved[:, 0], solved[:, 1:]
-        gram = (x.T @ hx + hx.T @ x) / 2
-        beta = np.linalg.solve(gram, x.T @ hy)
-        s2 = max(float(y @ hy - (x.T @ hy) @ beta) / (n - c), 1e-300)
+        gram = (right.T @ hx + hx.T @ right) / 2
+        beta = np.linalg.solve(gram, right.T @ hy)
+        s2 = max(float(left @ hy - (right.T @ hy) @ beta) / (n - c), 1e-300)
         trace = random.quadratic(lambda d: np.log1p(ratio * d)).sum() * (1.0 if exact else 1.0 / probes)
         ll = -0.5 * ((n - c) * np.log(2 * np.pi * s2) + trace + np.linalg.slogdet(gram)[1] + (n - c))
-        return ll, hy - hx @ beta, gram, s2, solved
+        return ll, beta, gram, s2, solved
 
     ratio = best_ratio(lambda r: at(r)[0])
-    ll, py, gram, s2, solved = at(ratio)
-    wanted = np.column_stack([y, x])
-    left = wanted - solved - ratio * multiply(solved)
-    residual = float((np.linalg.norm(left, axis=0) / np.maximum(np.linalg.norm(wanted, axis=0), 1e-300)).max())
+    ll, beta, gram, s2, solved = at(ratio)
+    wanted = np.column_stack([left, right])
+    rest = wanted - solved - ratio * multiply(solved)
+    residual = float((np.linalg.norm(rest, axis=0) / np.maximum(np.linalg.norm(wanted, axis=0), 1e-300)).max())
     inverse, hx = np.linalg.inv(gram), solved[:, 1:]
-    g = _sampled(calls, calibration)
     gamma, spread = 1.0, 0.0
     if g.shape[1]:
-        hg = lanczos(multiply, g, steps).applied(lambda d: 1 / (ratio * d + 1))
-        gx = hx.T @ g
-        info = (g * hg).sum(axis=0) - np.einsum("ij,ik,kj->j", gx, inverse, gx)
+        hg = lanczos(multiply, starts[1], steps).applied(lambda d: 1 / (ratio * d + 1))
+        gx = hx.T @ starts[1]
+        info = (starts[1] * hg).sum(axis=0) - np.einsum("ij,ik,kj->j", gx, inverse, gx)
         plain = ((g - x @ np.linalg.lstsq(x, g, rcond=None)[0]) ** 2).sum(axis=0)
         ok = plain > 1e-8
         if ok.any():
             share = info[ok] / plain[ok]
             gamma, spread = float(share.mean()), float(share.std())
+    py = solved[:, 0] - hx @ beta
+    if own is not None:
+        # outside the axes of K the inverse leaves what is there; inside, the axes are sums of variants
+        plain, rank = left - right @ beta, own.load.shape[1]
+        py = y - x @ beta + combined(calls, own.load @ (py - plain)[:rank], own.place)
     return FreeFit(calls.samples, x, py, inverse, ratio, ratio * s2, s2, float(ll), residual, gamma, spread)
 
 

@@ -75,6 +75,21 @@ def test_random_probes_and_scan(spark):
     assert got.gamma_spread < 0.1 * got.gamma
 
 
+def test_more_samples_than_variants_take_no_passes(spark, monkeypatch):
+    """The fit in the axes is that of the recurrences over the samples, and no vectors of the samples come back pass by pass."""
+    cells, y, x = study(spark, 150, 40, 7)
+    calls = matrix_free.stored_calls(cells, list(range(150)))
+    monkeypatch.setattr(matrix_free, "MOST_VARIANTS", 0)
+    want = matrix_free.fit_null(y, x, calls, steps=12)
+    monkeypatch.undo()
+    monkeypatch.setattr(matrix_free, "times", None)
+    monkeypatch.setattr(matrix_free.packed, "BATCH_CELLS", 2000)  # tiles of 50 samples
+    got = matrix_free.fit_null(y, x, calls, steps=12)
+    for name in ("ratio", "sigma2_g", "sigma2_e", "log_likelihood", "gamma", "gamma_spread"):
+        assert getattr(got, name) == pytest.approx(getattr(want, name), rel=1e-6)
+    assert np.allclose(got.py, want.py, atol=1e-7) and np.allclose(got.gram_inverse, want.gram_inverse, rtol=1e-6)
+
+
 def test_leading_axes(spark):
     n = 200
     cells, _, _ = study(spark, n, 300, 5, structure=0.2)
