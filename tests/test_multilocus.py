@@ -90,3 +90,23 @@ def test_curves(spark):
     s = 0.5 * np.array(range(5)) - 1
     basis = np.column_stack([np.sqrt((2 * k + 1) / 2) * np.polynomial.legendre.Legendre.basis(k)(s) for k in range(3)])
     assert all(np.allclose(basis @ c, [1.0 + k * t + 0.5 * t * t for t in range(5)]) for k, c in got.items())
+
+
+def test_curves_are_least_squares_and_gather_no_measures(spark, monkeypatch):
+    """Usual individuals by sums; close, few, repeated and null ones by their different times."""
+    rng = np.random.default_rng(6)
+    times = {0: rng.uniform(0, 1000, 40), 1: 500 + rng.uniform(0, 0.5, 30), 2: [0, 1, 1000], 3: [5.0] * 8 + [6.0] * 3, 4: [7.0, 7.5, 8.0] * 20, 5: [1.0, 2.0], None: [1.0, 500.0, 900.0, 950.0]}
+    rows = [(k, float(t), float(rng.normal())) for k, own in times.items() for t in own]
+    frame = spark.createDataFrame(rows, "who long, time double, value double")
+    got = {r.who: r.coefficients for r in longitudinal.individual_coefficients(frame, "who", "time", "value").collect()}
+    assert set(got) == {0, 1, 2, 4, None}
+    low, high = min(t for _, t, _ in rows), max(t for _, t, _ in rows)
+    for k, c in got.items():
+        t, y = np.array([(t, v) for o, t, v in rows if o == k]).T
+        s = 2 * (t - low) / (high - low) - 1
+        b = np.column_stack([np.sqrt((2 * j + 1) / 2) * np.polynomial.legendre.Legendre.basis(j)(s) for j in range(3)])
+        want = np.linalg.lstsq(b, y, rcond=None)[0]
+        assert np.allclose(b @ c, b @ want, atol=1e-6) and np.allclose(c, want, rtol=1e-5)
+    monkeypatch.setattr(F, "collect_list", lambda c: F.lit(None).cast("array<double>"))
+    usual = longitudinal.individual_coefficients(frame.where("who = 0"), "who", "time", "value").collect()
+    assert len(usual) == 1
