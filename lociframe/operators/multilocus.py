@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +16,32 @@ from . import mixed
 from .packed import map_variants, pack
 
 
+#: Cells worked on at once.
+CELLS = 1 << 20
+#: Samples of one packed row.
+TILE = 1 << 16
+
+
+def _rows(g: np.ndarray) -> list[slice]:
+    """Slices of samples of some CELLS."""
+    step = max(1, CELLS // max(1, g.shape[1]))
+    return [slice(a, min(a + step, len(g))) for a in range(0, len(g), step)]
+
+
 def score_linear(g: np.ndarray, s: dict) -> dict[str, np.ndarray]:
     """Least-squares effect of each column after the design; a column inside the design's span has no p."""
     y, x = s["y"], s["x"]
     q, _ = np.linalg.qr(x)
-    ry, rg = y - q @ (q.T @ y), g - q @ (q.T @ g)
-    gg = (rg * rg).sum(axis=0)
-    ok = gg > 1e-8 * np.maximum((g * g).sum(axis=0), 1e-12)
+    ry, inside = y - q @ (q.T @ y), q.T @ g
+    whole, gg, gy = (np.zeros(g.shape[1]) for _ in range(3))
+    for rows in _rows(g):
+        rg = g[rows] - q[rows] @ inside
+        whole += (g[rows] * g[rows]).sum(axis=0)
+        gg += (rg * rg).sum(axis=0)
+        gy += rg.T @ ry[rows]
+    ok = gg > 1e-8 * np.maximum(whole, 1e-12)
     df = float(len(y) - x.shape[1] - 1)
-    beta = np.where(ok, rg.T @ ry / np.where(ok, gg, 1.0), np.nan)
+    beta = np.where(ok, gy / np.where(ok, gg, 1.0), np.nan)
     s2 = np.maximum(ry @ ry - np.nan_to_num(beta) ** 2 * gg, 1e-300) / df
     se = np.sqrt(s2 / np.where(ok, gg, 1.0))
     return {"beta": beta, "se": np.where(ok, se, np.nan), "p": np.where(ok, specfun.f_sf(np.nan_to_num(beta / se) ** 2, 1.0, df), np.nan)}
@@ -139,37 +159,78 @@ def farmcpu(cells: DataFrame, variants: DataFrame, samples: list[int], y: np.nda
     return _final(cells, packed, samples, y, x, chosen), chosen
 
 
-def knockoffs(g: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Second-order Gaussian copies of a block's columns (samples x variants)."""
+def knockoffs(g: np.ndarray, seed: int = 0, out: np.ndarray | None = None) -> np.ndarray:
+    """Second-order Gaussian copies of a block's columns (samples x variants), some samples at a time; ``out`` may be g itself."""
     rng = np.random.default_rng(seed)
-    mean, sd = g.mean(axis=0), np.maximum(g.std(axis=0), 1e-9)
-    z = (g - mean) / sd
-    sigma = 0.95 * (z.T @ z / len(z)) + 0.05 * np.eye(z.shape[1])
+    n, m = g.shape
+    mean = g.mean(axis=0)
+    sd = np.maximum(np.sqrt(sum(((g[rows] - mean) ** 2).sum(axis=0) for rows in _rows(g)) / n), 1e-9)
+    products = np.zeros((m, m))
+    for rows in _rows(g):
+        z = (g[rows] - mean) / sd
+        products += z.T @ z
+    sigma = 0.95 * (products / n) + 0.05 * np.eye(m)
     s = float(np.clip(2 * np.linalg.eigvalsh(sigma)[0], 1e-6, 1.0))
     inverse = np.linalg.inv(sigma)
     cov = 2 * s * np.eye(len(sigma)) - s * s * inverse
     values, vectors = np.linalg.eigh((cov + cov.T) / 2)
-    noise = rng.standard_normal(z.shape) @ (vectors * np.sqrt(np.maximum(values, 0))).T
-    return (z - s * z @ inverse + noise) * sd + mean
+    root = (vectors * np.sqrt(np.maximum(values, 0))).T
+    out = np.empty_like(g) if out is None else out
+    for rows in _rows(g):
+        z = (g[rows] - mean) / sd
+        out[rows] = (z - s * z @ inverse + rng.standard_normal(z.shape) @ root) * sd + mean
+    return out
 
 
 def knockoff_statistics(cells: DataFrame, variants: DataFrame, samples: list[int], y: np.ndarray, x: np.ndarray, block: int = 20_000, kinship: np.ndarray | None = None) -> DataFrame:
-    """(v_idx, w): |z| of each variant less that of its knockoff, made block by block; under a mixed model if there is a kinship matrix."""
-    placed = cells.join(variants.select("v_idx", "chr", F.floor(F.col("pos") / block).alias("block")), "v_idx")
-    shared = cells.sparkSession.sparkContext.broadcast((sorted(samples), y, x, mixed.fit_null(y, x, kinship, sorted(samples)) if kinship is not None else None))
+    """(v_idx, w): |z| of each variant less that of its knockoff, made block by block; under a mixed model if there is a kinship matrix.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    Calls come packed by variant and tile of samples; a task holds one matrix of a block.
+    """
+    placed = cells.where(F.col("dosage").isNotNull()).groupBy("v_idx", F.floor(F.col("s_idx") / TILE).alias("tile")).agg(F.collect_list(F.struct("s_idx", "dosage")).alias("x"))
+    # a variant without calls stays
+    placed = placed.unionByName(cells.select("v_idx").distinct().select("v_idx", F.lit(None).cast("bigint").alias("tile"), F.lit(None).cast(placed.schema["x"].dataType).alias("x")))
+    placed = placed.join(variants.select("v_idx", "chr", F.floor(F.col("pos") / block).alias("block")), "v_idx").select("chr", "block", "v_idx", F.col("x.s_idx").alias("s"), F.col("x.dosage").alias("d"))
+    spark = cells.sparkSession
+    dealt = placed.repartition(8 * spark.sparkContext.defaultParallelism, "chr", "block").sortWithinPartitions("chr", "block", "v_idx")
+    shared = spark.sparkContext.broadcast((np.array(sorted(samples)), y, x, mixed.fit_null(y, x, kinship, sorted(samples)) if kinship is not None else None))
+
+    def statistics(names: list[int], parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         order, y, x, fit = shared.value
-        wide = group.pivot(index="s_idx", columns="v_idx", values="dosage").reindex(order)
-        g = wide.fillna(wide.mean()).fillna(0.0).to_numpy(float)
+        g = np.full((len(order), len(names)), np.nan)
+        while parts:
+            column, who, d = parts.pop()
+            row = np.minimum(np.searchsorted(order, who), len(order) - 1)
+            inside = order[row] == who
+            g[row[inside], column] = d[inside]
+        for k in range(len(names)):  # missing calls at the variant's mean
+            gone = np.isnan(g[:, k])
+            g[gone, k] = g[~gone, k].mean() if not gone.all() else 0.0
 
         def score(m: np.ndarray) -> np.ndarray:
             found = score_linear(m, {"y": y, "x": x}) if fit is None else dict(zip(("beta", "se", "p"), mixed.score(fit, m), strict=True))
             return np.abs(np.nan_to_num(found["beta"] / found["se"]))
 
-        return pd.DataFrame({"v_idx": wide.columns.to_numpy(), "w": score(g) - score(knockoffs(g, int(wide.columns[0])))})
-
-    return placed.groupBy("chr", "block").applyInPandas(run, "v_idx long, w double")
+        own = score(g)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(own - score(knockoffs(g, names[0], g)))], ["v_idx", "w"])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, parts = None, [], []
+        for batch in stream:
+            for r in range(batch.num_rows):
+                key = batch.column("chr")[r].as_py(), batch.column("block")[r].as_py()
+                if key != now and names:
+                    yield statistics(names, parts)
+                    names = []
+                now, v = key, batch.column("v_idx")[r].as_py()
+                if not names or names[-1] != v:
+                    names.append(v)
+                if batch.column("s")[r].is_valid:
+                    parts.append((len(names) - 1, batch.column("s")[r].values.to_numpy().copy(), batch.column("d")[r].values.to_numpy().copy()))
+        if names:
+            yield statistics(names, parts)
+
+    return dealt.mapInArrow(run, "v_idx long, w double")
 
 
 def cross_fitted(cells: DataFrame, samples: list[int], y: np.ndarray, x: np.ndarray, folds: int = 5, seed: int = 0) -> DataFrame:

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -110,3 +112,20 @@ def test_curves_are_least_squares_and_gather_no_measures(spark, monkeypatch):
     monkeypatch.setattr(F, "collect_list", lambda c: F.lit(None).cast("array<double>"))
     usual = longitudinal.individual_coefficients(frame.where("who = 0"), "who", "time", "value").collect()
     assert len(usual) == 1
+
+
+def test_knockoffs_by_some_samples_are_those_of_all(spark, study, monkeypatch):
+    """Steps and tiles of samples change nothing; a block takes one matrix beside what it works on."""
+    cells, variants, ids, y, x, _ = study
+    want = {r.v_idx: r.w for r in multilocus.knockoff_statistics(cells, variants, ids, y, x).collect()}
+    monkeypatch.setattr(multilocus, "TILE", 50)
+    got = {r.v_idx: r.w for r in multilocus.knockoff_statistics(cells, variants, ids, y, x).collect()}
+    assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v], abs=1e-9) for v in want)
+    g = np.random.default_rng(2).integers(0, 3, (30_000, 20)).astype(float)
+    whole = multilocus.knockoffs(g, 5)
+    monkeypatch.setattr(multilocus, "CELLS", 1 << 14)
+    tracemalloc.start()
+    some = multilocus.knockoffs(g.copy(), 5)
+    took = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(some, whole, atol=1e-9) and took < 2.5 * g.nbytes
