@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from lociframe.operators import kinship
+from lociframe.operators import kinship, ld
 from lociframe.plans import views
 
 
@@ -58,3 +58,12 @@ def test_nearest_others_are_those_of_all_pairs(spark, sf, monkeypatch):
     assert kinship.nearest(rows.limit(0), 4).count() == 0
     monkeypatch.setattr(kinship, "gram_pairs", None)
     assert __spark_entry__.queries()["impute_knn"](spark, sf).where("dosage IS NOT NULL").count() == 2000
+
+
+def test_tasks_of_pairs_hold_a_small_tile(spark):
+    """No group of `ld` has more than some ten thousand samples of a variant; tiles add up to the same correlations."""
+    calls = spark.range(40_000).selectExpr("id % 2 AS v_idx", "id AS s_idx", "CAST((id * 7 + id DIV 11) % 3 AS DOUBLE) AS dosage")
+    calls = calls.unionByName(calls.selectExpr("1 - v_idx AS v_idx", "s_idx", "CAST((s_idx * 5 + s_idx DIV 13) % 3 AS DOUBLE) AS dosage"))
+    variants = spark.createDataFrame([(0, "1", 10), (1, "1", 20)], "v_idx long, chr string, pos long")
+    assert max(len(r.s) for r in ld._tiled(calls, variants, 100, ld.TILE).select("s").collect()) <= 16_384
+    assert ld.pair_correlations(calls, variants, 100).collect() == ld.pair_correlations(calls, variants, 100, 1 << 20).collect()
