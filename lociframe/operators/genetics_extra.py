@@ -107,34 +107,71 @@ def impute_knn(cells: DataFrame, kinship: DataFrame, k: int = 5) -> DataFrame:
     return cells.join(guess, ["v_idx", "s_idx"], "left").join(means, "v_idx").select("v_idx", "s_idx", F.coalesce("dosage", "guess", "mean").alias("dosage"))
 
 
+#: States of all sites that `copying_posterior` holds at once, of some samples.
+COPIED = 4_000_000
+
+
 def copying_posterior(g: np.ndarray, switch: float = 0.05, error: float = 0.02, ploidy: int = 2) -> np.ndarray:
-    """Expected dosages under a copying model: each sample is a mosaic of the others (rows samples, columns sites, NaN missing)."""
+    """Expected dosages under a copying model: each sample is a mosaic of the others (rows samples, columns sites, NaN missing).
+
+    Samples with the same calls are one state that counts as often as there are of them, and get the same dosages.
+    """
     n, m = g.shape
     out = g.copy()
-    mean = np.nan_to_num(np.nanmean(g, axis=0), nan=0.0)
-    for s in np.flatnonzero(np.isnan(g).any(axis=1)):
-        ref = np.delete(g, s, axis=0)
-        filled = np.where(np.isnan(ref), mean, ref)
-        own = g[s]
-        emit = np.where(np.isnan(own)[None], 1.0, np.exp(-np.abs(filled - np.nan_to_num(own)[None]) / ploidy * np.log((1 - error) / error)))
-        forward, backward = np.empty((m, n - 1)), np.ones((m, n - 1))
-        f = emit[:, 0] / emit[:, 0].sum()
-        forward[0] = f
-        for t in range(1, m):
-            f = ((1 - switch) * f + switch / (n - 1)) * emit[:, t]
-            f = f / f.sum()
-            forward[t] = f
-        b = np.ones(n - 1)
-        for t in range(m - 2, -1, -1):
-            e = emit[:, t + 1] * b
-            b = (1 - switch) * e + switch * e.mean()
-            b = b / b.sum()
-            backward[t] = b
-        post = forward * backward
-        post /= post.sum(axis=1, keepdims=True)
-        at = np.isnan(own)
-        out[s, at] = (post[at] * filled[:, at].T).sum(axis=1)
-    return out
+    gone = np.isnan(g).any(axis=1)
+    if not gone.any():
+        return out
+    known = ~np.isnan(g)
+    mean = np.where(known, g, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+    if n == 1:
+        return np.where(known, g, mean)
+    # a call's level at its site, the last for one that is missing
+    level, levels = np.empty(g.shape, np.int32), []
+    for t in range(m):
+        own, at = np.unique(g[known[:, t], t], return_inverse=True)
+        level[:, t] = len(own)
+        level[known[:, t], t] = at
+        levels.append(own)
+    rows, of, counts = np.unique(level, axis=0, return_inverse=True, return_counts=True)
+    of, u, counts = of.ravel(), len(rows), counts.astype(float)
+    filled = np.stack([np.append(own, mean[t])[rows[:, t]] for t, own in enumerate(levels)])
+    fits = [np.vstack([*(np.exp(-np.abs(filled[t] - v) / ploidy * np.log((1 - error) / error)) for v in own), np.ones(u)]) for t, own in enumerate(levels)]
+    asked = np.unique(of[gone])
+    done = np.zeros((u, m))
+    step = max(1, COPIED // (u * m))
+    for a in range(0, len(asked), step):
+        who = asked[a : a + step]
+        at, alone = np.arange(len(who)), counts[who] == 1
+
+        def fit_of(t: int, who: np.ndarray = who, at: np.ndarray = at, alone: np.ndarray = alone) -> np.ndarray:
+            f = fits[t][rows[who, t]]
+            f[at[alone], who[alone]] = 0.0  # a sample does not copy from itself
+            return f
+
+        # of a state with others, all but the sample itself
+        over = lambda x: (x @ counts - np.where(alone, 0.0, x[at, who]))[:, None]  # noqa: B023, E731
+        forward = np.empty((m, len(who), u))
+        for t in range(m):
+            f = fit_of(t)
+            if t:
+                f *= (1 - switch) * forward[t - 1] + switch / (n - 1)
+            np.divide(f, over(f), out=forward[t])
+        b = np.ones((len(who), u))
+        for t in range(m - 1, -1, -1):
+            if t < m - 1:
+                b *= fit_of(t + 1)
+                share = switch * over(b) / (n - 1)
+                b *= 1 - switch
+                b += share
+                b /= (b @ counts)[:, None]
+            need = np.flatnonzero(rows[who, t] == len(levels[t]))
+            if len(need):
+                post = forward[t][need] * b[need]
+                own = post[np.arange(len(need)), who[need]].copy()
+                post *= counts
+                post[np.arange(len(need)), who[need]] -= own
+                done[who[need], t] = (post @ filled[t]) / post.sum(axis=1)
+    return np.where(known, g, done[of])
 
 
 def impute_copying(cells: DataFrame, variants: DataFrame, window: int = 50_000) -> DataFrame:

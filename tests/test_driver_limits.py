@@ -45,3 +45,42 @@ def test_derivatives_of_complete_samples():
     m = (p - np.outer(p @ y, p @ y)).reshape(6, N, 6, N)
     for found, k in zip(slopes, [*(k.dense() for k in KERNELS), np.eye(N)], strict=True):
         assert np.allclose(found, np.einsum("aibj,ij->ab", m, k))
+
+
+def _plain_copying(g: np.ndarray, switch: float = 0.05, error: float = 0.02) -> np.ndarray:
+    """Each sample by itself against each other one."""
+    n, m = g.shape
+    out, mean = g.copy(), np.nanmean(g, axis=0)
+    for s in np.flatnonzero(np.isnan(g).any(axis=1)):
+        ref = np.delete(g, s, axis=0)
+        ref = np.where(np.isnan(ref), mean, ref)
+        emit = np.where(np.isnan(g[s]), 1.0, ((1 - error) / error) ** (-np.abs(ref - np.nan_to_num(g[s])) / 2))
+        move = (1 - switch) * np.eye(n - 1) + switch / (n - 1)
+        for t in np.flatnonzero(np.isnan(g[s])):
+            left, right = emit[:, 0], np.ones(n - 1)
+            for k in range(1, t + 1):
+                left = (move @ left) * emit[:, k]
+            for k in range(m - 2, t - 1, -1):
+                right = move @ (emit[:, k + 1] * right)
+            out[s, t] = (left * right * ref[:, t]).sum() / (left * right).sum()
+    return out
+
+
+@pytest.mark.parametrize("held", [1, 4_000_000])
+def test_copying_takes_equal_samples_as_one_state(monkeypatch, held):
+    from lociframe.operators import genetics_extra
+
+    g = RNG.integers(0, 3, (9, 6)).astype(float)
+    g[RNG.random(g.shape) < 0.2] = np.nan
+    g = np.vstack([g, g, g[:4]])
+    monkeypatch.setattr(genetics_extra, "COPIED", held)
+    assert np.allclose(genetics_extra.copying_posterior(g), _plain_copying(g))
+    large = np.tile(g, (2000, 1))
+    found = genetics_extra.copying_posterior(large)  # 40,000 samples, 9 states
+    assert not np.isnan(found).any() and np.array_equal(found[: len(g)], found[-len(g) :])
+
+
+def test_copying_of_one_sample():
+    from lociframe.operators import genetics_extra
+
+    assert np.array_equal(genetics_extra.copying_posterior(np.array([[1.0, np.nan, 2.0]])), [[1.0, 0.0, 2.0]])
