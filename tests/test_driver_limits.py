@@ -84,3 +84,17 @@ def test_copying_of_one_sample():
     from lociframe.operators import genetics_extra
 
     assert np.array_equal(genetics_extra.copying_posterior(np.array([[1.0, np.nan, 2.0]])), [[1.0, 0.0, 2.0]])
+
+
+def test_independent_curves_hold_no_matrix_of_samples():
+    n = 30_000
+    x = np.column_stack([np.ones(n), RNG.standard_normal(n)])
+    y = RNG.standard_normal((n, 6)) + 36
+    fit = env_curves.independent(y, x, list(range(n)), list("abc"), Basis("legendre", 0.0, 1.0, 1))
+    assert fit.inner.vectors.shape[1] <= 8
+    g = RNG.integers(0, 3, (n, 3)).astype(float)
+    beta, cov = env_curves._effects(g, fit)
+    left = lambda v: v - x @ np.linalg.lstsq(x, v, rcond=None)[0]
+    gl, yl = left(g), left(y)
+    assert np.allclose(beta, gl.T @ yl / (gl**2).sum(axis=0)[:, None], atol=1e-8)
+    assert np.allclose(np.diagonal(cov, axis1=1, axis2=2), (yl**2).sum(axis=0) / (n - 2) / (gl**2).sum(axis=0)[:, None], rtol=1e-6)
