@@ -98,3 +98,28 @@ def test_independent_curves_hold_no_matrix_of_samples():
     gl, yl = left(g), left(y)
     assert np.allclose(beta, gl.T @ yl / (gl**2).sum(axis=0)[:, None], atol=1e-8)
     assert np.allclose(np.diagonal(cov, axis1=1, axis2=2), (yl**2).sum(axis=0) / (n - 2) / (gl**2).sum(axis=0)[:, None], rtol=1e-6)
+
+
+def test_leave_one_out_by_factors(spark):
+    from lociframe.operators import kinship
+
+    rows = [(v, s * 3, float(RNG.integers(0, 3)), v % 3) for v in range(7) for s in range(12) if (v + s) % 7]
+    cells = spark.createDataFrame(rows, "v_idx long, s_idx long, dosage double, chr int")
+    ids = [s * 3 for s in range(12)]
+    whole = kinship.leave_one_out(cells, ids)
+    found = dict(thin.leave_one_out(cells, ids))
+    assert list(found) == sorted(whole) and all(isinstance(k, thin.Thin) and np.allclose(k.dense(), whole[c]) for c, k in found.items())
+    odd = cells.unionByName(cells.limit(0).sparkSession.createDataFrame([(0, 0, 1.0, 2)], cells.schema))  # a variant on two chromosomes
+    whole = kinship.leave_one_out(odd, ids)
+    assert all(np.allclose(k, whole[c]) for c, k in thin.leave_one_out(odd, ids))
+
+
+@pytest.mark.parametrize("name", ["lmm_scan_loco"])
+def test_more_queries_need_no_full_matrix(spark, sf, monkeypatch, name):
+    from lociframe.operators import kinship
+    from lociframe.plans import views
+
+    geno = views.geno
+    monkeypatch.setattr(views, "geno", lambda spark, sf: geno(spark, sf).where("v_idx < 6"))
+    monkeypatch.setattr(kinship, "MOST_SAMPLES", 5)
+    assert __spark_entry__.queries()[name](spark, sf).count() > 0
