@@ -114,7 +114,17 @@ def test_leave_one_out_by_factors(spark):
     assert all(np.allclose(k, whole[c]) for c, k in thin.leave_one_out(odd, ids))
 
 
-@pytest.mark.parametrize("name", ["lmm_scan_loco"])
+def test_spectrum_by_factors():
+    from lociframe.operators import kinship
+
+    k = KERNELS[0]
+    values, vectors = thin.spectrum(k, 11)
+    whole = kinship.spectrum(k.dense())
+    assert len(values) == 11 and np.allclose(values, whole[0][:11]) and np.allclose(vectors.T @ vectors, np.eye(11))
+    assert np.allclose(np.abs(vectors[:, :8].T @ whole[1][:, :8]), np.eye(8), atol=1e-8)
+
+
+@pytest.mark.parametrize("name", ["pca", "lmm_scan_loco"])
 def test_more_queries_need_no_full_matrix(spark, sf, monkeypatch, name):
     from lociframe.operators import kinship
     from lociframe.plans import views
