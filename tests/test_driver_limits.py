@@ -133,3 +133,23 @@ def test_more_queries_need_no_full_matrix(spark, sf, monkeypatch, name):
     monkeypatch.setattr(views, "geno", lambda spark, sf: geno(spark, sf).where("v_idx < 6"))
     monkeypatch.setattr(kinship, "MOST_SAMPLES", 5)
     assert __spark_entry__.queries()[name](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("held", [1 << 25, 1])
+def test_relationships_by_groups_of_tiles(spark, monkeypatch, held):
+    """Tiles of two samples: values go to few groups, not to each tile; the products are the same."""
+    from lociframe.operators import kinship
+
+    n = 75
+    rows = [(v, s * 2, float(RNG.integers(0, 3)), 1.0) for v in (1, 3, 64, 65, 200) for s in range(n) if (v + s) % 9]
+    cells = spark.createDataFrame(rows, "v_idx long, s_idx long, x double, norm double")
+    whole = np.zeros((n, 5))
+    for v, s, x, _ in rows:
+        whole[s // 2, (1, 3, 64, 65, 200).index(v)] = x
+    seen, grouped = [], kinship._grouped
+    monkeypatch.setattr(kinship, "_grouped", lambda packed, group, *rest: seen.append(group) or grouped(packed, group, *rest))
+    monkeypatch.setattr(kinship, "GROUPED", held)
+    found = kinship.gram_pairs(cells, [s * 2 for s in range(n)], 2).toPandas()
+    assert (seen[0] > 1) if held > 1 else not seen
+    assert len(found) == n * (n + 1) // 2 and not found.duplicated(["i", "j"]).any() and (found["i"] <= found["j"]).all()
+    assert np.allclose(found["k"], (whole @ whole.T)[found["i"] // 2, found["j"] // 2] / 5)
