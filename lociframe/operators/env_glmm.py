@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -245,6 +245,8 @@ def scan(cells: DataFrame, fit: EnvironmentFit, spa_above: float = 2.0) -> DataF
 
     A variant without variance in some environment has nulls in the joint tests.
     """
+    if isinstance(fit.projection, thin.StackedProjection):
+        fit = replace(fit, projection=fit.projection.compact())
     if fit.projection.nbytes > mixed.MOST_BYTES:
         raise ValueError(f"the projection of {len(fit.samples)} samples is too large to broadcast")
     singles = ", ".join(f"beta_e{k} double, p_e{k} double" for k in range(len(fit.residual)))

@@ -153,3 +153,24 @@ def test_relationships_by_groups_of_tiles(spark, monkeypatch, held):
     assert (seen[0] > 1) if held > 1 else not seen
     assert len(found) == n * (n + 1) // 2 and not found.duplicated(["i", "j"]).any() and (found["i"] <= found["j"]).all()
     assert np.allclose(found["k"], (whole @ whole.T)[found["i"] // 2, found["j"] // 2] / 5)
+
+
+def test_stacked_forms_hold_some_samples_at_once(monkeypatch):
+    n, k = 60, 3
+    factor = RNG.integers(0, 3, (n, 7)) / 3.0
+    weights = np.zeros((k, k, n))
+    weights[range(k), range(k)] = RNG.random((k, n))
+    weights[0, 1] = weights[1, 0] = 0.1
+    design, g = X[:n], RNG.integers(0, 3, (n, 4)).astype(float)
+    p = thin.solve(weights, np.zeros((k, n)), design, thin.Thin(factor), 0.4 * np.eye(k) + 0.1).projection
+    v = np.kron(0.4 * np.eye(k) + 0.1, factor @ factor.T)
+    w = np.block([[np.diag(weights[a, b]) for b in range(k)] for a in range(k)])
+    inverse = np.linalg.inv(np.linalg.inv(w) + v)
+    x = np.kron(np.eye(k), design)
+    whole = (inverse - inverse @ x @ np.linalg.solve(x.T @ inverse @ x, x.T @ inverse)).reshape(k, n, k, n)
+    want = np.einsum("im,aibj,jm->abm", g, whole, g)
+    for rows in (7, 8192):
+        monkeypatch.setattr(thin, "ROWS", rows)
+        small = p.compact()
+        assert small.nbytes < 7 * 256 * 8 + n * 7 + 1 and np.array_equal(small.factor[3:9], factor[3:9])
+        assert np.allclose(p.forms(g), want) and np.allclose(small.forms(g), want)
