@@ -174,3 +174,28 @@ def test_stacked_forms_hold_some_samples_at_once(monkeypatch):
         small = p.compact()
         assert small.nbytes < 7 * 256 * 8 + n * 7 + 1 and np.array_equal(small.factor[3:9], factor[3:9])
         assert np.allclose(p.forms(g), want) and np.allclose(small.forms(g), want)
+
+
+def test_families_too_large_are_refused_before_their_pairs_are_held(spark, monkeypatch):
+    from lociframe.operators import mixed
+
+    rows = [(k, k, 1.0) for k in range(40)] + [(k, k + 1, 0.3) for k in range(0, 40, 2)]
+    pairs = spark.createDataFrame(rows, "i long, j long, k double").coalesce(1)
+    y, x = RNG.standard_normal(40), np.ones((40, 1))
+    fit = mixed.fit_sparse(y, x, pairs, list(range(40)))
+    assert sorted(len(a) for a, _ in fit.blocks) == [2] * 20
+    read = []
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def toLocalIterator(self):
+            for r in rows + [(k, k + 1, 0.3) for k in range(39)]:
+                read.append(r)
+                yield r
+
+    monkeypatch.setattr(mixed, "MOST_BYTES", 8 * 200)
+    with pytest.raises(ValueError, match="families are too large"):
+        mixed.fit_sparse(y, x, Rows(), list(range(40)))
+    assert len(read) < 80
